@@ -81,7 +81,7 @@ def place(
     rows, quantiles = facts["n"], sorted(facts["q"] or [])
     width = len(features) + 2
     wanted = math.ceil(rows * width / values_per_chunk)
-    parallel = min(2 * spark.sparkContext.defaultParallelism, math.ceil(rows / min_rows_per_chunk))
+    parallel = min(spark.sparkContext.defaultParallelism, math.ceil(rows / min_rows_per_chunk))
     slabs = max(1, min(MAX_CHUNKS // 2, max(wanted, parallel)))
     if slabs > QUANTILES:
         cuts = quantile_cuts(base, "_t", slabs)
