@@ -139,21 +139,28 @@ def holdout_split(
 
 
 def with_folds(
-    df: DataFrame, keys: Sequence[str], folds: int = FOLDS, seed: int = FOLD_SEED, name: str = "fold"
+    df: DataFrame,
+    keys: Sequence[str],
+    folds: int = FOLDS,
+    seed: int = FOLD_SEED,
+    name: str = "fold",
+    basis: DataFrame | None = None,
 ) -> DataFrame:
-    """Add the fold number. Folds are blocks of the hash order; the first n % folds get one row more."""
-    marked = df.withColumn("_hash", order_hash(keys, seed))
-    rows = df.count()
+    """Add the fold number. Folds are blocks of the hash order of the `basis` rows (all rows by
+    default); the first n % folds get one row more."""
+    counted = (df if basis is None else basis).withColumn("_hash", order_hash(keys, seed))
+    rows = counted.count()
     ends, end = [], 0
     for fold in range(folds):
         end += rows // folds + (1 if fold < rows % folds else 0)
         ends.append(end)
-    cutoffs = rank_cutoffs(marked, "_hash", None, {0: ends[:-1]})
+    cutoffs = rank_cutoffs(counted, "_hash", None, {0: ends[:-1]})
     fold = F.lit(folds - 1)
     for number in reversed(range(folds - 1)):
         limit = cutoffs.get((0, ends[number]))
         if limit is not None:
             fold = F.when(F.col("_hash") <= F.lit(limit), number).otherwise(fold)
+    marked = df.withColumn("_hash", order_hash(keys, seed))
     return marked.withColumn(name, fold.cast("int")).drop("_hash")
 
 
