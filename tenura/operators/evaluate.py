@@ -20,30 +20,33 @@ from tenura.operators.sampling import FOLD_SEED, FOLDS, with_folds
 RISK_DIGITS = 10
 
 
-def score_rows(rows: DataFrame, features: Sequence[str], jobs: Sequence[tuple[str, CoxModel, bool]]) -> DataFrame:
+def score_rows(
+    rows: DataFrame,
+    features: Sequence[str],
+    jobs: Sequence[tuple[str, CoxModel, bool]],
+    folds: Sequence[str] = (),
+) -> DataFrame:
     """Long rows (label, duration, event, risk), one per model and row it can score.
 
-    `rows` has _t, _e and one column per feature in order (x0, x1, ...), and k0, ... for folds. A
-    job flagged as held out scores only the fold its model left out.
+    `rows` has _t, _e, one column per feature in order (x0, x1, ...) and one per name in `folds`
+    (k0, k1, ...). A job flagged as held out scores only the fold its model left out.
     """
     plan = []
-    fold_names = [c for c in rows.columns if c.startswith("k")]
     for label, model, held_out in jobs:
         columns = [features.index(f) for f in model.features]
-        plan.append((label, columns, model.coef, model.means, model.spec.left_out if held_out else None,
-                     model.spec.fold_column))
-    folds_at = {name: f"k{i}" for i, name in enumerate(_fold_order(jobs))}
+        fold = f"k{folds.index(model.spec.fold_column)}" if held_out else None
+        plan.append((label, columns, model.coef, model.means, fold, model.spec.left_out))
     needed = sorted({c for _, columns, *_ in plan for c in columns})
-    kept = rows.select("_t", "_e", *[f"x{c}" for c in needed], *[k for k in folds_at.values() if k in fold_names])
+    kept = rows.select("_t", "_e", *[f"x{c}" for c in needed], *sorted({p[4] for p in plan if p[4]}))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = {c: batch.column(f"x{c}").to_numpy(zero_copy_only=False) for c in needed}
-            for label, columns, coef, means, left_out, fold_column in plan:
+            for label, columns, coef, means, fold, left_out in plan:
                 matrix = np.column_stack([x[c] for c in columns])
                 keep = np.isfinite(matrix).all(axis=1)
-                if left_out is not None:
-                    keep &= batch.column(folds_at[fold_column]).to_numpy(zero_copy_only=False) == left_out
+                if fold is not None:
+                    keep &= batch.column(fold).to_numpy(zero_copy_only=False) == left_out
                 if not keep.any():
                     continue
                 risk = np.round((matrix[keep] - means) @ coef, RISK_DIGITS) + 0.0
@@ -61,11 +64,6 @@ def score_rows(rows: DataFrame, features: Sequence[str], jobs: Sequence[tuple[st
     return kept.mapInArrow(task, "label string, duration double, event int, risk double")
 
 
-def _fold_order(jobs) -> list[str]:
-    names = [m.spec.fold_column for _, m, _ in jobs if m.spec.fold_column is not None]
-    return sorted(set(names))
-
-
 def plain_rows(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.dropna(subset=["duration", "event"]).select(
         F.col("duration").cast("double").alias("_t"),
@@ -138,7 +136,7 @@ def evaluate(
         fitted = fit_many(placed, specs, penalizer, skip_failed)
         jobs = [(name, m, True) for name, m in fitted.items() if m.spec.fold_column is not None]
         whole = [(name, m, False) for name, m in fitted.items() if m.spec.fold_column is None]
-        scored = score_rows(placed.df, placed.features, jobs) if jobs else None
+        scored = score_rows(placed.df, placed.features, jobs, placed.folds) if jobs else None
         if apparent and whole:
             own = score_rows(placed.df, placed.features, [(f"{n}#apparent", m, f) for n, m, f in whole])
             scored = own if scored is None else scored.unionByName(own)
