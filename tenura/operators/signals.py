@@ -153,11 +153,12 @@ def enrich_with_scorer(
     batch_size: int = BATCH_SIZE,
     max_chars: int | None = None,
     batch: str | None = None,
+    presorted: bool = False,
 ) -> DataFrame:
     """Add signals from a Python scorer that takes a list of texts and returns a list of signals.
 
     Rows are handed over in batches of `batch_size` inside each task, without a shuffle; name a
-    `batch` column to fix the batches instead. A call that raises or breaks the contract makes
+    `batch` column to fix the batches instead (`presorted` if its rows already lie together). A call that raises or breaks the contract makes
     its batch neutral (`signal_fallback`); a wrong number of signals is cut or filled, and the
     batch's `signal_surplus` or `signal_shortage` says by how much.
     """
@@ -204,7 +205,7 @@ def enrich_with_scorer(
             for start, stop in _spans(rest, batch, batch_size):
                 yield score(rest.iloc[start:stop])
 
-    rows = df if batch is None else df.repartition(batch).sortWithinPartitions(batch)
+    rows = df if batch is None or presorted else df.repartition(batch).sortWithinPartitions(batch)
     return rows.mapInPandas(task, schema)
 
 

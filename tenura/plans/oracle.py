@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tenura.operators import signals as lexicon
+
 L_CTE = """
 pairs AS (
   SELECT o_custkey AS user_id, l_partkey AS item_id,
@@ -214,3 +216,247 @@ ORACLE["spearman_matrix"] = on_l(_spearman(SIGNALS) + """
 SELECT feature_x, feature_y, round(rho, 6) AS rho FROM matrix""")
 ORACLE["collinear_pairs"] = on_l(_spearman(FEATURES) + """
 SELECT feature_x, feature_y, round(rho, 6) AS rho FROM matrix WHERE feature_x < feature_y AND abs(rho) > 0.004""")
+
+
+# ---------------------------------------------------------------- Cox quantities at fixed coefficients
+
+ETA = "0.1::DOUBLE * log_playtime_2weeks + 0.3::DOUBLE * frustration_level + (-0.2)::DOUBLE * technical_issue"
+FIXED = ("log_playtime_2weeks", "frustration_level", "technical_issue")
+
+SCORED = f"scored AS (SELECT *, {ETA} AS eta FROM L)"
+
+RISK = f"""{SCORED},
+times AS (SELECT duration AS time, count(*) AS n, CAST(sum(event) AS BIGINT) AS d, sum(exp(eta)) AS r0,
+                 sum(exp(eta) * event) AS d0, {", ".join(
+    f"sum(exp(eta) * {f}) AS r_{f}, sum(exp(eta) * event * {f}) AS d_{f}, sum(event * {f}) AS x_{f}" for f in FIXED)}
+          FROM scored GROUP BY duration),
+risk AS (SELECT *, sum(r0) OVER later AS s0, {", ".join(f"sum(r_{f}) OVER later AS s_{f}" for f in FIXED)},
+                sum(n) OVER (ORDER BY time) AS upto
+         FROM times WINDOW later AS (ORDER BY time DESC)),
+steps AS (SELECT *, l / d AS frac, s0 - l / d * d0 AS phi
+          FROM (SELECT *, unnest(range(0, d)) AS l FROM risk WHERE d > 0)),
+means AS (SELECT time, {", ".join(f"sum((s_{f} - frac * d_{f}) / phi) / max(d) AS e_{f}" for f in FIXED)}
+          FROM steps GROUP BY time)"""
+
+ORACLE["cindex_fixed_risk"] = on_l(f"""{SCORED},
+cells AS MATERIALIZED (SELECT duration AS t, event AS e, round(eta, 9) AS r, count(*) AS w FROM scored GROUP BY ALL),
+found AS (SELECT CAST(sum(CASE WHEN b.r < a.r THEN a.w * b.w ELSE 0 END) AS DOUBLE) AS concordant,
+                 CAST(sum(CASE WHEN b.r = a.r THEN a.w * b.w ELSE 0 END) AS DOUBLE) AS tied,
+                 CAST(sum(a.w * b.w) AS DOUBLE) AS pairs
+          FROM cells a JOIN cells b ON a.e = 1 AND (b.t > a.t OR (b.t = a.t AND b.e = 0)))
+SELECT concordant, tied, pairs, round((concordant + 0.5 * tied) / pairs, 6) AS cindex FROM found""")
+
+ORACLE["cox_loglik_fixed_beta"] = on_l(RISK + """
+SELECT (SELECT count(*) FROM scored) AS n_rows, (SELECT CAST(sum(event) AS BIGINT) FROM scored) AS n_events,
+       round((SELECT sum(event * eta) FROM scored) - (SELECT sum(ln(phi)) FROM steps), 3) AS loglik""")
+
+ORACLE["baseline_hazard_fixed_beta"] = on_l(RISK + """
+SELECT time, round(d / s0, 9) AS hazard, round(sum(d / s0) OVER (ORDER BY time), 6) AS cumulative_hazard FROM risk""")
+
+ORACLE["schoenfeld_fixed_beta"] = on_l(RISK + f"""
+SELECT user_id, item_id, time, {", ".join(f"round({f} - e_{f}, 6) AS {f}" for f in FIXED)}
+FROM L JOIN means ON duration = time WHERE event = 1""")
+
+ORACLE["ph_sums_fixed_beta"] = on_l(RISK + """,
+ranked AS (SELECT risk.*, means.* EXCLUDE (time), upto - (n - 1) / 2.0::DOUBLE AS g
+           FROM risk JOIN means ON risk.time = means.time),
+centre AS (SELECT sum(d * g) / sum(d) AS gm, sum(d) AS n_events FROM ranked),
+spread AS (SELECT sum(d * (g - gm) * (g - gm)) AS v FROM ranked, centre)
+""" + _union([
+    f"SELECT '{f}' AS covariate, (SELECT round(sum((g - gm) * (x_{f} - d * e_{f})), 0) FROM ranked, centre) AS rank_residual, "
+    "round(v, 0) AS rank_variation, CAST(n_events AS BIGINT) AS n_events FROM spread, centre" for f in FIXED]))
+
+ORACLE["survival_curve"] = on_l(RISK + """,
+base AS (SELECT time, sum(d / s0) OVER (ORDER BY time) AS h FROM risk),
+asked AS (SELECT i * 20 + 0.25::DOUBLE AS time FROM range(0, 130) AS r(i)),
+around AS (
+  SELECT a.time, (SELECT max(b.time) FROM base b WHERE b.time <= a.time) AS t0,
+         (SELECT min(b.time) FROM base b WHERE b.time >= a.time) AS t1 FROM asked a),
+clamped AS (SELECT time, coalesce(t0, t1) AS t0, coalesce(t1, t0) AS t1 FROM around),
+curves AS (SELECT 0 AS curve_id, exp(0.1::DOUBLE * 1.0) AS risk
+           UNION ALL SELECT 1, exp(0.1::DOUBLE * 3.5 + 0.3::DOUBLE * 1.0 - 0.2::DOUBLE)),
+ends AS (SELECT curve_id, c.time, t0, t1, exp(-l.h * risk) AS low, exp(-u.h * risk) AS high
+         FROM clamped c JOIN base l ON c.t0 = l.time JOIN base u ON c.t1 = u.time, curves)
+SELECT curve_id, time, round(CASE WHEN t1 = t0 THEN low ELSE low + (high - low) * (time - t0) / (t1 - t0) END, 6)
+       AS survival_prob FROM ends""")
+
+
+# ---------------------------------------------------------------- the ridge fit itself, Newton step by step
+
+
+def newton(models: str, steps: int = 7) -> str:
+    """CTEs that fit two-covariate models, one per k, by `steps` Newton steps from zero.
+
+    `models` selects (k, t, e, x1, x2); a model whose x2 is constant is a one-covariate model.
+    """
+    ctes = [
+        f"rows_in AS MATERIALIZED ({models})",
+        """scale AS MATERIALIZED (SELECT k, count(*) AS n, avg(x1) AS m1, stddev_samp(x1) AS s1, avg(x2) AS m2,
+            CASE WHEN stddev_samp(x2) > 0 THEN stddev_samp(x2) ELSE 1 END AS s2 FROM rows_in GROUP BY k)""",
+        """z AS MATERIALIZED (SELECT r.k, t, e, (x1 - m1) / s1 AS z1, (x2 - m2) / s2 AS z2
+            FROM rows_in r JOIN scale s ON r.k = s.k)""",
+        "b0 AS (SELECT k, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2 FROM scale)",
+    ]
+    moments = {"a": "z1", "b": "z2", "aa": "z1 * z1", "ab": "z1 * z2", "bb": "z2 * z2"}
+    for i in range(steps + 1):
+        ctes += [
+            f"r{i} AS (SELECT z.*, b1, b2, b1 * z1 + b2 * z2 AS eta, exp(b1 * z1 + b2 * z2) AS r FROM z JOIN b{i} b ON z.k = b.k)",
+            f"t{i} AS MATERIALIZED (SELECT k, t, CAST(sum(e) AS BIGINT) AS d, sum(r) AS r0, sum(r * e) AS d0, sum(e * eta) AS eta, "
+            "sum(e * z1) AS xa, sum(e * z2) AS xb, "
+            + ", ".join(f"sum(r * {v}) AS r{m}, sum(r * e * {v}) AS d{m}" for m, v in moments.items())
+            + f" FROM r{i} GROUP BY k, t)",
+            f"s{i} AS (SELECT *, sum(r0) OVER w AS s0, " + ", ".join(f"sum(r{m}) OVER w AS s{m}" for m in moments)
+            + f" FROM t{i} WINDOW w AS (PARTITION BY k ORDER BY t DESC))",
+            f"l{i} AS (SELECT k, (sa - f * da) / phi AS ga, (sb - f * db) / phi AS gb, (saa - f * daa) / phi AS haa, "
+            f"(sab - f * dab) / phi AS hab, (sbb - f * dbb) / phi AS hbb, ln(phi) AS logphi FROM "
+            f"(SELECT *, l / d AS f, s0 - l / d * d0 AS phi FROM (SELECT *, unnest(range(0, d)) AS l FROM s{i} WHERE d > 0)))",
+            f"x{i} AS (SELECT k, sum(xa) AS xa, sum(xb) AS xb, sum(eta) AS eta FROM t{i} GROUP BY k)",
+            f"q{i} AS (SELECT k, sum(ga) AS ga, sum(gb) AS gb, sum(haa - ga * ga) AS haa, sum(hab - ga * gb) AS hab, "
+            f"sum(hbb - gb * gb) AS hbb, sum(logphi) AS logphi FROM l{i} GROUP BY k)",
+            f"d{i} AS MATERIALIZED (SELECT b.k, b1, b2, xa - ga - 0.1 * n * b1 AS ga, xb - gb - 0.1 * n * b2 AS gb, "
+            f"haa + 0.1 * n AS haa, hab, hbb + 0.1 * n AS hbb, eta - logphi AS loglik "
+            f"FROM b{i} b JOIN x{i} x ON b.k = x.k JOIN q{i} q ON b.k = q.k JOIN scale s ON b.k = s.k)",
+            f"b{i + 1} AS (SELECT k, b1 + (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS b1, "
+            f"b2 + (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b2 FROM d{i})",
+        ]
+    return ",\n".join(ctes)
+
+
+STEPS = 7
+ALL_ROWS = "SELECT 0 AS k, duration AS t, event AS e, log_playtime_2weeks AS x1, log_items_count AS x2 FROM L"
+
+ORACLE["cox_fit"] = on_l(newton(ALL_ROWS) + f""",
+raw AS (
+  SELECT 'log_playtime_2weeks' AS feature, b1 / s1 AS coef, sqrt(hbb / (haa * hbb - hab * hab)) / s1 AS se
+  FROM d{STEPS} d JOIN scale s ON d.k = s.k
+  UNION ALL
+  SELECT 'log_items_count', b2 / s2, sqrt(haa / (haa * hbb - hab * hab)) / s2 FROM d{STEPS} d JOIN scale s ON d.k = s.k)
+SELECT feature, round(coef, 6) AS coef, round(se, 6) AS se, round(exp(coef), 6) AS HR,
+       round(exp(coef - 1.959963984540054 * se), 6) AS HR_lower,
+       round(exp(coef + 1.959963984540054 * se), 6) AS HR_upper FROM raw""")
+
+ORACLE["lr_test"] = on_l(newton(ALL_ROWS + """
+  UNION ALL SELECT 1, duration, event, log_playtime_2weeks, 0 FROM L""") + f"""
+SELECT round(a.loglik, 4) AS loglik_full, round(b.loglik, 4) AS loglik_restricted,
+       round(2 * (a.loglik - b.loglik), 4) AS lr_statistic, 1 AS df
+FROM d{STEPS} a, d{STEPS} b WHERE a.k = 0 AND b.k = 1""")
+
+ORACLE["cv_cindex"] = on_l(HASHED.format(seed=42) + f""",
+folded AS MATERIALIZED (
+  SELECT *, CAST(CASE WHEN r < (n % 5) * (n // 5 + 1) THEN r // (n // 5 + 1)
+                      ELSE (n % 5) + (r - (n % 5) * (n // 5 + 1)) // (n // 5) END AS INTEGER) AS fold
+  FROM (SELECT *, row_number() OVER (ORDER BY h) - 1 AS r, count(*) OVER () AS n FROM hashed)),
+""" + newton("""SELECT CAST(i AS INTEGER) AS k, duration AS t, event AS e, log_playtime_2weeks AS x1, log_items_count AS x2
+                FROM folded, range(0, 5) AS folds(i) WHERE fold <> i""") + f""",
+held AS MATERIALIZED (
+  SELECT fold, duration AS t, event AS e,
+         round((log_playtime_2weeks - m1) * b1 / s1 + (log_items_count - m2) * b2 / s2, 9) AS r
+  FROM folded f JOIN d{STEPS} d ON f.fold = d.k JOIN scale s ON s.k = d.k)
+SELECT a.fold, round(sum(CASE WHEN b.r < a.r THEN 1.0 WHEN b.r = a.r THEN 0.5 ELSE 0 END)::DOUBLE / count(*), 4) AS cindex
+FROM held a JOIN held b ON a.fold = b.fold AND a.e = 1 AND (b.t > a.t OR (b.t = a.t AND b.e = 0)) GROUP BY a.fold""")
+
+
+# ---------------------------------------------------------------- text
+
+WORDS = "regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}')"
+
+TERMS = f"""
+tokens AS (SELECT item_id, {WORDS.format("review_text")} AS w FROM T),
+grams AS (SELECT item_id, unnest(w) AS term FROM tokens
+          UNION ALL
+          SELECT item_id, w[i] || ' ' || w[i + 1] FROM (SELECT item_id, w, unnest(range(1, len(w))) AS i FROM tokens)),
+counts AS MATERIALIZED (SELECT item_id, term, count(*) AS tf FROM grams GROUP BY item_id, term),
+vocab AS MATERIALIZED (
+  SELECT term, CAST(sum(tf) AS BIGINT) AS tf, count(*) AS df,
+         ln((1 + (SELECT count(*) FROM T)) / (1 + count(*))::DOUBLE) + 1 AS idf
+  FROM counts GROUP BY term HAVING count(*) >= 3 AND count(*) <= 0.95 * (SELECT count(*) FROM T)
+  ORDER BY tf DESC, term LIMIT 10000)"""
+
+ORACLE["tfidf_vocab"] = on_t(TERMS + """
+SELECT term, tf, df, round(idf, 6) AS idf FROM vocab""")
+
+ORACLE["tfidf_weights"] = on_t(TERMS + """,
+weights AS (SELECT item_id, c.term, (1 + ln(c.tf)) * idf AS w FROM counts c JOIN vocab v ON c.term = v.term),
+lengths AS (SELECT item_id, sqrt(sum(w * w)) AS length FROM weights GROUP BY item_id)
+SELECT w.item_id, term, round(w / length, 6) AS weight FROM weights w JOIN lengths l ON w.item_id = l.item_id""")
+
+ORACLE["dense_vectors"] = on_t("""
+cells AS (SELECT item_id, embedding, unnest(range(0, 64)) AS p FROM T JOIN embeddings ON item_id = vec_id),
+norms AS (SELECT item_id, sqrt(sum(pow(embedding[p + 1]::DOUBLE, 2))) AS length FROM cells GROUP BY item_id)
+SELECT c.item_id, CAST(p AS INTEGER) AS position,
+       round(CASE WHEN length > 0 THEN embedding[p + 1]::DOUBLE / length ELSE 0 END, 6) AS value
+FROM cells c JOIN norms n ON c.item_id = n.item_id""")
+
+
+# ---------------------------------------------------------------- signals
+
+
+def _list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _flag(words, phrases) -> str:
+    found = [f"list_has_any(w, {_list(words)})"] + [f"contains(j, ' {p} ')" for p in phrases]
+    return "CASE WHEN " + " OR ".join(found) + " THEN 1 ELSE 0 END"
+
+
+SCORES = f"""
+tokens AS (SELECT doc_id, text, lang, {WORDS.format("text")} AS w FROM documents),
+hits AS (SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS j,
+                len(list_filter(w, lambda t: list_contains({_list(lexicon.POSITIVE_WORDS)}, t))) AS pos,
+                len(list_filter(w, lambda t: list_contains({_list(lexicon.NEGATIVE_WORDS)}, t))) AS neg FROM tokens),
+scores AS (SELECT doc_id, text, lang,
+       CASE WHEN pos + neg > 0 THEN (pos - neg) / (pos + neg) ELSE 0.0::DOUBLE END AS sentiment_score,
+       least(1.0::DOUBLE, neg / 4.0::DOUBLE) AS frustration_level,
+       {_flag(lexicon.TECHNICAL_WORDS, ())} AS technical_issue,
+       {_flag(lexicon.VALUE_WORDS, lexicon.VALUE_PHRASES)} AS value_complaint,
+       {_flag(lexicon.DROPPED_WORDS, lexicon.DROPPED_PHRASES)} AS engagement_dropped,
+       {_flag(lexicon.POSITIVE_SIGNAL_WORDS, lexicon.POSITIVE_SIGNAL_PHRASES)} AS positive_signal FROM hits)"""
+
+ORACLE["text_signals"] = f"WITH {SCORES} SELECT * EXCLUDE (text, lang) FROM scores"
+ORACLE["signals_stream"] = f"WITH {SCORES} SELECT * EXCLUDE (text, lang) FROM scores WHERE length(text) > 20"
+
+ORACLE["signal_contract"] = on_l("""
+raw AS (SELECT 1 - 25 * discount AS a, tax > 0.07 AS unknown, round(tax / 0.06, 6) AS b,
+               CAST(quantity % 3 AS INTEGER) AS c, event = 0 AS p FROM pairs)
+SELECT concat_ws(',', CASE WHEN a < -1 OR a > 1 THEN 'sentiment_score' END,
+                 CASE WHEN unknown OR b < 0 OR b > 1 THEN 'frustration_level' END,
+                 CASE WHEN c > 1 THEN 'technical_issue' END,
+                 CASE WHEN NOT p THEN 'positive_signal' END) AS broken, count(*) AS n_rows
+FROM raw GROUP BY ALL""")
+
+BATCHED = "batched AS (SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // 10 AS batch FROM {0})"
+
+ORACLE["align_batches"] = f"""WITH {SCORES},
+{BATCHED.format("scores")},
+grouped AS (SELECT batch, CAST(count(*) FILTER (lang = 'en') AS INTEGER) AS expected,
+                   coalesce(list(sentiment_score ORDER BY b.doc_id) FILTER (l.doc_id IS NOT NULL), []) AS s
+            FROM batched b LEFT JOIN labels l ON b.doc_id = l.doc_id GROUP BY batch)
+SELECT batch, expected, CAST(len(s) AS INTEGER) AS returned, CAST(greatest(len(s) - expected, 0) AS INTEGER) AS surplus,
+       CAST(greatest(expected - len(s), 0) AS INTEGER) AS shortage, expected AS n_aligned,
+       round(coalesce(list_sum(s[1:expected]), 0.0), 6) AS sentiment_sum FROM grouped"""
+
+ORACLE["signal_fallbacks"] = f"""WITH {BATCHED.format("documents")},
+facts AS (SELECT batch, bool_or(contains(text, 'worthless')) AS failed, bool_or(contains(text, 'pathetic')) AS short,
+                 count(*) AS n, max(doc_id) AS last_id FROM batched GROUP BY batch)
+SELECT b.batch, failed AS signal_fallback, CAST(CASE WHEN short AND NOT failed THEN 1 ELSE 0 END AS INTEGER) AS signal_shortage,
+       count(*) AS n_rows,
+       CAST(sum(CASE WHEN NOT failed AND NOT (short AND doc_id = last_id) AND contains(text, 'best') THEN 1 ELSE 0 END) AS INTEGER)
+         AS n_positive,
+       round(sum(CASE WHEN NOT failed AND NOT (short AND doc_id = last_id) THEN least(1.0, length(text) / 20000.0::DOUBLE)
+                      ELSE 0 END), 6) AS frustration_sum
+FROM batched b JOIN facts f ON b.batch = f.batch GROUP BY b.batch, failed, short"""
+
+
+# ---------------------------------------------------------------- raw records
+
+ORACLE["ingest_reviews"] = on_t("""
+SELECT user_id, CAST(item_id AS VARCHAR) AS item_id, recommend, '' AS posted, md5(review_text) AS text_md5
+FROM texts WHERE item_id % 10 <> 3""")
+
+ORACLE["ingest_items"] = """
+WITH owned AS (SELECT o_orderkey, o_custkey, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)
+SELECT 'u' || o_custkey AS user_id, CAST(l_partkey AS VARCHAR) AS item_id, count(*) AS n_rows,
+       round(sum(l_quantity / 60.0::DOUBLE), 6) AS hours, round(sum(l_linenumber / 60.0::DOUBLE), 6) AS recent_hours,
+       CAST(max(n) AS INTEGER) AS items_count
+FROM lineitem JOIN owned ON l_orderkey = o_orderkey GROUP BY o_custkey, l_partkey"""

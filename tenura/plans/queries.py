@@ -2,20 +2,40 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenura.operators import dataset, diagnostics, kaplan_meier, sampling
+from tenura.functions.columns import linear_predictor
+from tenura.lineage import cut, shared_dir
+from tenura.operators import cox, dataset, diagnostics, evaluate, kaplan_meier, reduce, risk_sets, sampling, text
+from tenura.operators.concordance import concordance
+from tenura.operators.layout import place
+from tenura.operators.signals import (
+    FIELDS,
+    NEUTRAL,
+    align,
+    enrich_signals,
+    enrich_with_scorer,
+    with_batches,
+    with_violations,
+)
+from tenura.plans import reports, studies
 from tenura.plans.frames import (
+    BEHAVIOURAL,
     L_KEYS,
     SIGNALS,
-    BEHAVIOURAL,
     document_items,
     frame_l,
     frame_t,
+    frame_v,
     labelled_reviews,
     line_pairs,
+    table,
 )
+from tenura.sources import nested
+from tenura.streaming.scoring import score_stream, write_scores
 
 FEATURES = (*BEHAVIOURAL, *SIGNALS)
 BINARY = ("technical_issue", "value_complaint", "engagement_dropped", "positive_signal")
@@ -125,6 +145,294 @@ def collinear_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(diagnostics.collinear_pairs(matrix, 0.004), 6, "rho")
 
 
+# ---------------------------------------------------------------- Cox quantities at fixed coefficients
+
+FIXED = {"log_playtime_2weeks": 0.1, "frustration_level": 0.3, "technical_issue": -0.2}
+
+
+def cindex_fixed_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # rounded, so that equal covariates give equal risks in any engine
+    risk = F.round(linear_predictor(FIXED), 9)
+    return rounded(concordance(frame_l(spark, sf_dir), risk=risk), 6, "cindex")
+
+
+def cox_loglik_fixed_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(risk_sets.partial_loglik(frame_l(spark, sf_dir), FIXED), 3, "loglik")
+
+
+def baseline_hazard_fixed_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = risk_sets.baseline_hazard(frame_l(spark, sf_dir), FIXED)
+    return rounded(base, 9, "hazard").withColumn("cumulative_hazard", F.round("cumulative_hazard", 6))
+
+
+def schoenfeld_fixed_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    residuals = risk_sets.schoenfeld_residuals(frame_l(spark, sf_dir), FIXED, keep=L_KEYS)
+    return rounded(residuals, 6, *FIXED)
+
+
+def ph_sums_fixed_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sums = risk_sets.rank_residual_sums(frame_l(spark, sf_dir), FIXED)
+    return sums.withColumns(
+        {"rank_residual": F.round("rank_residual", 0), "rank_variation": F.round("rank_variation", 0)}
+    )
+
+
+def survival_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = risk_sets.baseline_hazard(frame_l(spark, sf_dir), FIXED)
+    times = spark.range(0, 130).select((F.col("id") * 20 + F.lit(0.25)).alias("time"))
+    observations = [
+        {"log_playtime_2weeks": 1.0, "frustration_level": 0.0, "technical_issue": 0},
+        {"log_playtime_2weeks": 3.5, "frustration_level": 1.0, "technical_issue": 1},
+    ]
+    curve = risk_sets.predict_survival(base, FIXED, dict.fromkeys(FIXED, 0.0), observations, times)
+    return rounded(curve, 6, "survival_prob")
+
+
+# ---------------------------------------------------------------- fitted models
+
+
+def _fit(spark: SparkSession, sf_dir: str, *variants):
+    frame = cut(frame_l(spark, sf_dir))
+    placed = place(frame, list(dict.fromkeys(f for v in variants for f in v)), keys=L_KEYS)
+    try:
+        models = cox.fit_many(placed, [cox.Spec(str(i), tuple(v)) for i, v in enumerate(variants)])
+    finally:
+        placed.release()
+    return frame, [models[str(i)] for i in range(len(variants))]
+
+
+def cox_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, (model,) = _fit(spark, sf_dir, BEHAVIOURAL)
+    ratios = cox.hazard_ratios(spark, model).select("feature", "coef", "se", "HR", "HR_lower", "HR_upper")
+    return rounded(ratios, 6, "coef", "se", "HR", "HR_lower", "HR_upper")
+
+
+def hazard_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, (model,) = _fit(spark, sf_dir, FEATURES)
+    return reports.hazard_forest(cox.hazard_ratios(spark, model))
+
+
+def lr_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, (full, restricted) = _fit(spark, sf_dir, BEHAVIOURAL, BEHAVIOURAL[:1])
+    found = cox.likelihood_ratio_test(full, restricted)
+    row = (full.loglik, restricted.loglik, found["lr_statistic"], found["df"])
+    schema = "loglik_full double, loglik_restricted double, lr_statistic double, df int"
+    return rounded(spark.createDataFrame([row], schema), 4, "loglik_full", "loglik_restricted", "lr_statistic")
+
+
+def lr_test_all_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, (full, restricted) = _fit(spark, sf_dir, FEATURES, BEHAVIOURAL)
+    return spark.createDataFrame([cox.likelihood_ratio_test(full, restricted)])
+
+
+def ph_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame, (model,) = _fit(spark, sf_dir, FEATURES)
+    return reports.ph_bars(risk_sets.ph_test(frame, model))
+
+
+def cv_cindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = evaluate.cv_cindex(frame_l(spark, sf_dir), BEHAVIOURAL, L_KEYS)
+    scores = spark.createDataFrame(
+        [(k, s) for k, s in enumerate(found["folds"])], "fold int, cindex double"
+    )
+    return rounded(scores, 4, "cindex")
+
+
+def univariate_cindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.univariate_ranking(evaluate.univariate_cindex(frame_l(spark, sf_dir), FEATURES, L_KEYS))
+
+
+def experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return studies.run_experiment(frame_l(spark, sf_dir), L_KEYS)["models"]
+
+
+def leakage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return studies.run_leakage_audit(frame_l(spark, sf_dir), L_KEYS)["variants"]
+
+
+def leakage_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    audit = studies.run_leakage_audit(frame_l(spark, sf_dir), L_KEYS)
+    return reports.leakage_decomposition(audit["variants"])
+
+
+def _ablation(spark: SparkSession, sf_dir: str) -> studies.Study:
+    return studies.run_ablation(enrich_signals(frame_v(spark, sf_dir)), ["item_id"], components=8)
+
+
+def ablation_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.ablation_isolation(_ablation(spark, sf_dir)["isolation"])
+
+
+def ablation_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.ablation_additive(_ablation(spark, sf_dir)["additive"])
+
+
+# ---------------------------------------------------------------- text
+
+
+def tfidf_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = frame_t(spark, sf_dir)
+    return rounded(text.vocabulary(frame, frame.count()), 6, "idf")
+
+
+def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = frame_t(spark, sf_dir)
+    model = text.fit_tfidf(frame)
+    return rounded(text.weight_rows(model.transform(frame), model, "item_id"), 6, "weight")
+
+
+def tfidf_svd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = frame_t(spark, sf_dir)
+    model = text.fit_tfidf(frame)
+    weighted = cut(model.transform(frame.select("item_id", "review_text")).drop("review_text"))
+    svd = reduce.fit_truncated_svd(weighted, "tfidf", model.size)
+    return svd.transform(weighted, "tfidf", "components").drop("tfidf")
+
+
+def dense_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "item_id")
+    joined = reduce.attach_vectors(frame_t(spark, sf_dir), vectors, "item_id")
+    return joined.select("item_id", F.posexplode("embedding").alias("position", "value")).withColumn(
+        "value", F.round("value", 6)
+    )
+
+
+def pca_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = reduce.unit_vectors(frame_v(spark, sf_dir).select("item_id", "embedding"), "embedding")
+    return reduce.fit_pca(frame, "embedding", 16).transform(frame, "embedding", "components").drop("embedding")
+
+
+# ---------------------------------------------------------------- signals
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("review_text"), "lang")
+
+
+def text_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich_signals(_documents(spark, sf_dir)).drop("review_text", "lang")
+
+
+def signals_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents arriving as a stream, scored and appended to a table."""
+    schema = table(spark, sf_dir, "documents").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    reviews = stream.select("doc_id", F.col("text").alias("review_text"))
+    out = f"{shared_dir(spark)}/{uuid.uuid4()}"
+    write_scores(score_stream(reviews).drop("review_text"), f"{out}/scores", f"{out}/state", once=True).awaitTermination()
+    return spark.read.parquet(f"{out}/scores")
+
+
+def signal_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw signal values, some of them out of range, checked against the contract."""
+    raw = line_pairs(spark, sf_dir).select(
+        (1 - 25 * F.col("discount")).alias("sentiment_score"),
+        F.when(F.col("tax") > 0.07, F.lit("unknown")).otherwise(F.round(F.col("tax") / 0.06, 6).cast("string")).alias("frustration_level"),
+        (F.col("quantity") % 3).cast("int").alias("technical_issue"),
+        (F.col("price") > 53000).alias("value_complaint"),
+        (F.col("order_status") == "F").cast("int").alias("engagement_dropped"),
+        F.when(F.col("event") == 0, 1).alias("positive_signal"),
+    )
+    marked = with_violations(raw).withColumn("broken", F.array_join("violations", ","))
+    return marked.groupBy("broken").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def align_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per batch of ten documents: signals of the labelled ones against the number of English ones."""
+    batched = with_batches(enrich_signals(_documents(spark, sf_dir)), "doc_id")
+    labelled = table(spark, sf_dir, "labels").select(F.col("doc_id"), F.lit(True).alias("labelled"))
+    fields = F.struct(*FIELDS)
+    # ten documents per batch
+    grouped = (
+        batched.join(labelled, "doc_id", "left")
+        .groupBy("batch")
+        .agg(
+            F.count_if(F.col("lang") == "en").cast("int").alias("expected"),
+            F.sort_array(
+                F.collect_list(F.when(F.col("labelled"), F.struct("doc_id", fields.alias("signal"))))
+            ).alias("found"),
+        )
+        .select("batch", "expected", F.col("found.signal").alias("signals"))
+    )
+    aligned = align(grouped)
+    score = F.aggregate("aligned", F.lit(0.0), lambda acc, s: acc + s["sentiment_score"])
+    return aligned.select(
+        "batch", "expected", F.size("signals").alias("returned"), "surplus", "shortage",
+        F.size("aligned").alias("n_aligned"), F.round(score, 6).alias("sentiment_sum"),
+    )
+
+
+def signal_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python scorer that fails on batches with a certain word and returns too few signals for others."""
+
+    def scorer(texts: list[str]) -> list[dict]:
+        if any("worthless" in t for t in texts):
+            raise RuntimeError("no answer")
+        found = [{**NEUTRAL, "frustration_level": min(1.0, len(t) / 20000), "positive_signal": "best" in t} for t in texts]
+        return found[:-1] if any("pathetic" in t for t in texts) else found
+
+    # the order of the texts in a batch decides which one is filled: number the batches by key
+    batched = with_batches(_documents(spark, sf_dir), "doc_id").repartition("batch")
+    scored = enrich_with_scorer(batched.sortWithinPartitions("batch", "doc_id"), scorer, batch="batch", presorted=True)
+    return scored.groupBy("batch", "signal_fallback", "signal_shortage").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum("positive_signal").cast("int").alias("n_positive"),
+        F.round(F.sum("frustration_level"), 6).alias("frustration_sum"),
+    )
+
+
+# ---------------------------------------------------------------- raw records
+
+
+def _literal(column: str):
+    """A string as a quoted literal: JSON escapes are also Python escapes."""
+    return F.regexp_extract(F.to_json(F.array(column)), r"(?s)^\[(.*)\]$", 1)
+
+
+def _written_lines(spark: SparkSession, lines: DataFrame) -> str:
+    path = f"{shared_dir(spark)}/{uuid.uuid4()}"
+    lines.write.option("compression", "gzip").text(path)
+    return path
+
+
+def ingest_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents written as gzipped record literals, with some broken lines, and read back."""
+    documents = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    line = F.format_string(
+        "{'user_id': %s, u'reviews': [{'item_id': '%d', %s'review': %s}, {'item_id': 'short', 'review': ' x '}]}",
+        _literal("source"), F.col("doc_id"),
+        F.when(F.col("quality") == 1, "'recommend': True, ").otherwise(""), _literal("text"),
+    )
+    broken = F.when(F.col("doc_id") % 10 == 3, F.expr("left(line, 40)")).otherwise(F.col("line"))
+    path = _written_lines(spark, documents.withColumn("line", line).select(broken.alias("value")))
+    flat, _ = nested.load_reviews(spark, path)
+    return flat.select("user_id", "item_id", "recommend", "posted", F.md5("review_text").alias("text_md5"))
+
+
+def ingest_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as items owned by a customer, one record per order, written and read back."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_linenumber")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    item = F.format_string(
+        "{'item_id': '%d', 'playtime_forever': %s, 'playtime_2weeks': %d}",
+        F.col("l_partkey"), F.col("l_quantity").cast("string"), F.col("l_linenumber"),
+    )
+    # the lines of one order
+    records = (
+        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .groupBy("o_orderkey", "o_custkey")
+        .agg(F.concat_ws(", ", F.collect_list(item)).alias("items"), F.count(F.lit(1)).alias("n"))
+    )
+    line = F.format_string("{'user_id': 'u%d', 'items_count': %d, 'items': [%s]}", "o_custkey", "n", "items")
+    flat, _ = nested.load_items(spark, _written_lines(spark, records.select(line.alias("value"))))
+    return flat.groupBy("user_id", "item_id").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.round(F.sum("playtime_forever"), 6).alias("hours"),
+        F.round(F.sum("playtime_2weeks"), 6).alias("recent_hours"),
+        F.max("items_count").alias("items_count"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -147,5 +455,35 @@ QUERIES = {
         histogram_by_event,
         spearman_matrix,
         collinear_pairs,
+        cindex_fixed_risk,
+        cox_loglik_fixed_beta,
+        baseline_hazard_fixed_beta,
+        schoenfeld_fixed_beta,
+        ph_sums_fixed_beta,
+        survival_curve,
+        cox_fit,
+        hazard_ratios,
+        lr_test,
+        lr_test_all_signals,
+        ph_test,
+        cv_cindex,
+        univariate_cindex,
+        experiment,
+        leakage_audit,
+        leakage_decomposition,
+        ablation_isolation,
+        ablation_additive,
+        tfidf_vocab,
+        tfidf_weights,
+        tfidf_svd,
+        dense_vectors,
+        pca_embedding,
+        text_signals,
+        signals_stream,
+        signal_contract,
+        align_batches,
+        signal_fallbacks,
+        ingest_reviews,
+        ingest_items,
     )
 }
