@@ -54,6 +54,24 @@ def unigrams_and_bigrams(tokens: Column) -> Column:
     return F.concat(tokens, pairs)
 
 
+def unit_length(values: Column) -> Column:
+    """A numeric array scaled to length 1; a zero array stays as it is.
+
+    The array and its length are bound to lambda variables: a plain column would be inlined into
+    the inner lambda and computed again for every element.
+    """
+    scaled = F.transform(
+        F.array(values),
+        lambda v: F.aggregate(
+            v,
+            F.lit(0.0),
+            lambda total, x: total + x * x,
+            lambda total: F.transform(v, lambda x: F.when(total > 0, x / F.sqrt(total)).otherwise(x)),
+        ),
+    )
+    return F.element_at(scaled, 1)
+
+
 def order_hash(keys: Sequence[str], seed: int) -> Column:
     """A seeded, engine-independent shuffle order: the md5 of the row key and the seed."""
     parts = [F.col(k).cast("string") for k in keys]

@@ -7,12 +7,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tenura.functions.columns import unit_length
+
 COMPONENTS = 64
 OVERSAMPLING = 10
 ROWS_AT_ONCE = 256
@@ -85,31 +88,41 @@ def _dense_blocks(values: pa.StructArray) -> Iterator[tuple[np.ndarray, np.ndarr
         yield block, cols
 
 
-def _gram_times(df: DataFrame, column: str, q: np.ndarray) -> np.ndarray:
-    """X'X q in one pass: each task adds up its rows, Spark sums the tasks per matrix row."""
+def _gram_times(df: DataFrame, column: str, q: np.ndarray, tasks: int) -> np.ndarray:
+    """X'X q in one pass: each task adds up its rows, the tasks are added up in a tree."""
     sent = df.sparkSession.sparkContext.broadcast(q)
-    names = [f"c{i}" for i in range(q.shape[1])]
 
     def task(batches):
         basis = sent.value
-        total, touched = np.zeros(basis.shape), np.zeros(basis.shape[0], bool)
+        total = np.zeros(basis.shape)
         for batch in batches:
             for block, cols in _dense_blocks(batch.column(0)):
                 total[cols] += block.T @ (block @ basis[cols])
-                touched[cols] = True
-        rows = np.flatnonzero(touched)
-        part = total[rows]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(rows.astype(np.int32)), *[pa.array(part[:, i]) for i in range(len(names))]],
-            names=["j", *names],
-        )
-
-    parts = df.select(column).mapInArrow(task, "j int, " + ", ".join(f"{n} double" for n in names))
-    summed = parts.groupBy("j").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
+        yield _partial(TaskContext.get().partitionId(), total)
+
+    parts = df.select(column).mapInArrow(task, PARTIAL)
+    while tasks > FAN_IN:
+        parts = parts.groupBy(F.floor(F.col("part") / FAN_IN).cast("int")).applyInArrow(_add_partials, PARTIAL)
+        tasks = -(-tasks // FAN_IN)
+    payloads = parts.toArrow().column("payload").to_pylist()
     sent.unpersist()
-    out = np.zeros(q.shape)
-    out[summed["j"].to_numpy()] = summed[names].to_numpy()
-    return out
+    return sum((np.frombuffer(p) for p in payloads), np.zeros(q.size)).reshape(q.shape)
+
+
+PARTIAL = "part int, payload binary"
+# Partial matrices added up at a time, on an executor or at last on the driver.
+FAN_IN = 16
+
+
+def _partial(part: int, total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "payload"]
+    )
+
+
+def _add_partials(key, table):
+    total = sum(np.frombuffer(p) for p in table.column("payload").to_pylist())
+    return pa.Table.from_batches([_partial(key[0].as_py(), total)])
 
 
 def fit_truncated_svd(
@@ -120,13 +133,15 @@ def fit_truncated_svd(
 
     Every pass reads the rows once and returns a (columns x (k + oversampling)) matrix; the number
     of columns is bounded by the vocabulary size. Stops early when the singular values settle.
+    Pass rows that are cheap to read again.
     """
+    tasks = df.rdd.getNumPartitions()
     k = min(k, columns)
     width = min(columns, k + OVERSAMPLING)
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((columns, width)))[0]
     previous = None
     for _ in range(passes):
-        y = _gram_times(df, column, q)
+        y = _gram_times(df, column, q, tasks)
         small = q.T @ y
         values, rotation = np.linalg.eigh((small + small.T) / 2)
         strengths = np.sqrt(np.maximum(values[::-1], 0.0))[:k]
@@ -157,13 +172,7 @@ def _signed(vectors: np.ndarray) -> np.ndarray:
 
 def unit_vectors(df: DataFrame, column: str) -> DataFrame:
     """Scale an array<double> column to length 1; a zero vector stays as it is."""
-    length = F.sqrt(F.aggregate(column, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    scaled = F.transform(column, lambda x: x.cast("double") / F.col("_length"))
-    return (
-        df.withColumn("_length", length)
-        .withColumn(column, F.when(F.col("_length") > 0, scaled).otherwise(F.col(column).cast("array<double>")))
-        .drop("_length")
-    )
+    return df.withColumn(column, unit_length(F.col(column).cast("array<double>")))
 
 
 def attach_vectors(df: DataFrame, vectors: DataFrame, key: str, column: str = "embedding") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenura.functions.columns import unigrams_and_bigrams, words
+from tenura.functions.columns import unigrams_and_bigrams, unit_length, words
 
 # Vocabulary rules.
 MIN_DOCUMENTS = 3
@@ -40,19 +40,10 @@ class TfidfModel:
             F.transform(raw["indices"], lambda i: F.element_at(idf, i + 1)),
             lambda tf, scale: (1 + F.log(tf)) * scale,
         )
-        length = F.sqrt(F.aggregate("_weights", F.lit(0.0), lambda acc, w: acc + w * w))
-        return (
-            counted.withColumns({"_indices": raw["indices"], "_weights": weights})
-            .withColumn("_length", length)
-            .withColumn(
-                name,
-                F.struct(
-                    F.col("_indices").alias("indices"),
-                    F.transform("_weights", lambda w: w / F.col("_length")).alias("values"),
-                ),
-            )
-            .drop("_terms", "_counts", "_indices", "_weights", "_length")
-        )
+        return counted.withColumn(
+            name,
+            F.struct(raw["indices"].alias("indices"), unit_length(weights).alias("values")),
+        ).drop("_terms", "_counts")
 
 
 def term_statistics(df: DataFrame, text: str = "review_text") -> DataFrame:

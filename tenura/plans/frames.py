@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tenura.functions.columns import field_or, order_hash, stripped
 from tenura.operators.dataset import as_survival, in_duration_range, join_reviews_items, keep_first
+from tenura.operators.signals import enrich_signals
 
 BEHAVIOURAL = ("log_playtime_2weeks", "log_items_count")
 SIGNALS = (
@@ -93,10 +94,11 @@ def labelled_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in the shape of owned items: their length plays the minutes."""
+    """All documents in the shape of owned items: their length plays the minutes, the number of
+    documents in the same language the items of their owner."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
-    per_source = documents.groupBy("source").agg(F.count(F.lit(1)).alias("items_count"))
-    return documents.join(per_source, "source", "inner").select(
+    per_lang = documents.groupBy("lang").agg(F.count(F.lit(1)).alias("items_count"))
+    return documents.join(per_lang, "lang", "inner").select(
         F.col("source").alias("user_id"),
         F.col("doc_id").alias("item_id"),
         (F.col("n_chars") / 60).alias("playtime_forever"),
@@ -117,3 +119,23 @@ def frame_v(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("vec_id").alias("item_id"), F.col("embedding").cast("array<double>").alias("embedding")
     )
     return frame_t(spark, sf_dir).join(vectors, "item_id", "inner")
+
+
+def frame_v_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V with six signals: the word scores of the text, and stand-ins for the flags that are rare
+    in it (digits, marks, the toxic label, several lines)."""
+    toxic = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item_id"), "toxic")
+    text = F.col("review_text")
+    return (
+        enrich_signals(frame_v(spark, sf_dir))
+        .join(toxic, "item_id", "inner")
+        .withColumns(
+            {
+                "technical_issue": text.rlike("[0-9]").cast("int"),
+                "value_complaint": text.rlike("[|!]").cast("int"),
+                "engagement_dropped": F.col("toxic"),
+                "positive_signal": (F.size(F.split(text, "\n")) > 5).cast("int"),
+            }
+        )
+        .drop("toxic")
+    )

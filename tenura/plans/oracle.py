@@ -37,11 +37,11 @@ reviews AS (
   SELECT source AS user_id, d.doc_id AS item_id, quality = 1 AS recommend,
          regexp_replace(coalesce(text, ''), '^[\s\p{Z}\x{0085}\x{000B}]+|[\s\p{Z}\x{0085}\x{000B}]+$', '', 'g') AS review_text
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
-per_source AS (SELECT source, count(*) AS items_count FROM documents GROUP BY source),
+per_lang AS (SELECT lang, count(*) AS items_count FROM documents GROUP BY lang),
 items AS (
   SELECT d.source AS user_id, doc_id AS item_id, n_chars / 60.0::DOUBLE AS playtime_forever,
          (doc_id % 97) / 60.0::DOUBLE AS playtime_2weeks, items_count
-  FROM documents d JOIN per_source s ON d.source = s.source),
+  FROM documents d JOIN per_lang s ON d.lang = s.lang),
 texts AS (SELECT * FROM reviews WHERE length(review_text) > 20),
 joined AS (
   SELECT t.user_id, t.item_id, recommend, review_text, playtime_forever AS duration, playtime_2weeks, items_count

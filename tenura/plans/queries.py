@@ -30,6 +30,7 @@ from tenura.plans.frames import (
     frame_l,
     frame_t,
     frame_v,
+    frame_v_signals,
     labelled_reviews,
     line_pairs,
     table,
@@ -256,7 +257,7 @@ def leakage_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ablation(spark: SparkSession, sf_dir: str) -> studies.Study:
-    return studies.run_ablation(enrich_signals(frame_v(spark, sf_dir)), ["item_id"], components=8)
+    return studies.run_ablation(frame_v_signals(spark, sf_dir), ["item_id"], components=8)
 
 
 def ablation_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:

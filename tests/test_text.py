@@ -46,7 +46,8 @@ def dense(rows, width):
     return out
 
 
-def test_tfidf_and_svd(spark, corpus):
+def test_tfidf_and_svd(spark, corpus, monkeypatch):
+    monkeypatch.setattr(reduce, "FAN_IN", 2)  # several levels of adding up
     docs = [*corpus, None, ""]
     df = spark.createDataFrame(list(enumerate(docs)), "id int, review_text string").repartition(5)
     train = df.filter("id < 90")
