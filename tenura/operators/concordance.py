@@ -27,7 +27,7 @@ from tenura.lineage import cut
 from tenura.operators.ordered import Cuts, cut_points, quantile_cuts, with_slab
 
 CHILDREN = 64
-LEAF_ROWS = 100_000
+LEAF_ROWS = 50_000
 RISK_SLABS = 64
 MAX_LEAVES = 65_536
 PART_SCHEMA = "model string, concordant double, tied double, pairs double"
@@ -132,22 +132,31 @@ def count_pairs(cls: np.ndarray, risk: np.ndarray, events: np.ndarray, weight: n
     Two rows with different classes first differ at one bit; with that bit as the split and the
     higher bits as the group, running sums in risk order count all such pairs.
     """
-    rank = np.unique(risk, return_inverse=True)[1]
+    order = np.argsort(risk, kind="stable")
+    cls, risk = cls[order], risk[order]
+    events, weight = events[order], weight[order]
+    here = np.arange(len(cls))
     concordant = tied = pairs = 0.0
-    for bit in range(int(cls.max()).bit_length()):
+    for bit in reversed(range(int(cls.max()).bit_length())):
+        # rows lie in order of (higher bits, risk)
         group = cls >> (bit + 1)
-        order = np.lexsort((rank, group))
-        g, k = group[order], rank[order]
-        later = (cls[order] >> bit) & 1
-        upto = np.concatenate([[0.0], np.cumsum(weight[order] * later)])
-        early = events[order] * (1 - later)
-        new_group = np.concatenate([[True], g[1:] != g[:-1]])
-        new_run = new_group | np.concatenate([[True], k[1:] != k[:-1]])
+        later = (cls >> bit) & 1
+        new_group = np.concatenate([[True], group[1:] != group[:-1]])
         g_start, g_stop = _spans(new_group)
-        r_start, r_stop = _spans(new_run)
+        r_start, r_stop = _spans(new_group | np.concatenate([[True], risk[1:] != risk[:-1]]))
+        upto = np.concatenate([[0.0], np.cumsum(weight * later)])
+        early = events * (1 - later)
         concordant += float((early * (upto[r_start] - upto[g_start])).sum())
         tied += float((early * (upto[r_stop] - upto[r_start])).sum())
         pairs += float((early * (upto[g_stop] - upto[g_start])).sum())
+        # move the early rows of each group in front of its later rows, keeping risk order
+        zeros = np.concatenate([[0], np.cumsum(1 - later)])
+        ahead = zeros[:-1] - zeros[g_start]
+        front = zeros[g_stop] - zeros[g_start]
+        place = g_start + np.where(later == 0, ahead, front + (here - g_start - ahead))
+        moved = np.empty_like(place)
+        moved[place] = here
+        cls, risk, events, weight = cls[moved], risk[moved], events[moved], weight[moved]
     return concordant, tied, pairs
 
 

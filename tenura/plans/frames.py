@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenura.functions.columns import field_or, order_hash, stripped
+from tenura.lineage import spread_small
 from tenura.operators.dataset import as_survival, in_duration_range, join_reviews_items, keep_first
 from tenura.operators.signals import enrich_signals
 
@@ -32,9 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items joined to their orders, before any filter."""
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
-        "l_returnflag", "l_linestatus", "l_shipdate",
+    lines = spread_small(
+        table(spark, sf_dir, "lineitem").select(
+            "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+            "l_returnflag", "l_linestatus", "l_shipdate",
+        )
     )
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"
@@ -83,7 +86,7 @@ def frame_l(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labelled_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a quality label, in the shape of flat reviews."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    documents = spread_small(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     return documents.join(labels, "doc_id", "inner").select(
         F.col("source").alias("user_id"),

@@ -42,7 +42,8 @@ class Study:
 
 
 def split_train_test(df: DataFrame, keys: Sequence[str], fraction: float, seed: int):
-    marked = cut(holdout_split(df, keys, fraction=fraction, seed=seed))
+    # the split reads the rows a few times, so they are written first
+    marked = holdout_split(cut(df), keys, fraction=fraction, seed=seed)
     return marked.filter(F.col("split") == "train"), marked.filter(F.col("split") == "test"), marked
 
 
@@ -85,7 +86,8 @@ def run_experiment(
     df = backfill_behaviour(df)
     check_features(AUGMENTED, df.columns)
     spark = df.sparkSession
-    train, test, marked = split_train_test(df, keys, fraction, seed)
+    needed = df.select(*dict.fromkeys([*keys, "duration", "event", *AUGMENTED]))
+    train, test, marked = split_train_test(needed, keys, fraction, seed)
     results = evaluate(train, {"baseline": BEHAVIOURAL, "augmented": AUGMENTED}, keys, test, **options)
     models = _deltas(results.table(spark), "baseline")
     lr = _lr_table(spark, results, [("augmented", "baseline")])
