@@ -54,6 +54,11 @@ def unigrams_and_bigrams(tokens: Column) -> Column:
     return F.concat(tokens, pairs)
 
 
+def literal_array(values: Sequence, kind: str) -> Column:
+    """A long array constant: one string literal that the optimizer turns into an array once."""
+    return F.split(F.lit(",".join(repr(v) for v in values)), ",").cast(f"array<{kind}>")
+
+
 def unit_length(values: Column) -> Column:
     """A numeric array scaled to length 1; a zero array stays as it is.
 

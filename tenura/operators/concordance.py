@@ -23,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tenura.functions.columns import literal_array
 from tenura.lineage import cut
 from tenura.operators.ordered import Cuts, cut_points, quantile_cuts, with_slab
 
 CHILDREN = 64
 LEAF_ROWS = 50_000
-RISK_SLABS = 64
-MAX_LEAVES = 65_536
+MIN_RISK_SLABS, MAX_RISK_SLABS = 64, 4096
+MAX_LEAVES = CHILDREN**3
 PART_SCHEMA = "model string, concordant double, tied double, pairs double"
 
 
@@ -63,7 +64,7 @@ def concordance(
     placed, leaves, single = _place(cells, largest, leaf_rows)
     parts = [_inside_leaves(placed, single)]
     if leaves > 1:
-        placed, hot_risks = _with_risk_slab(placed)
+        placed, hot_risks = _with_risk_slab(placed, largest, leaf_rows)
         for level in range(_levels(leaves)):
             parts += _between_children(placed, hot_risks, level, _levels(leaves))
     total = parts[0]
@@ -98,17 +99,19 @@ def _place(cells: DataFrame, largest: int, leaf_rows: int):
         if alone:
             single += [leaves, leaves + 1]
         leaves += 2 if alone else 1
-    leaf = F.element_at(F.array(*[F.lit(i) for i in first]), F.col("slab") + 1)
+    leaf = F.element_at(literal_array(first, "int"), F.col("slab") + 1)
     if single:
-        alone = F.array(*[F.lit(int(a)) for a in cuts.single()])
+        alone = literal_array([int(a) for a in cuts.single()], "int")
         leaf = leaf + F.element_at(alone, F.col("slab") + 1) * (1 - F.col("e"))
     return slabbed.withColumn("leaf", leaf.cast("int")).drop("slab"), leaves, single
 
 
-def _with_risk_slab(placed: DataFrame):
-    """Add the risk slab of each row; also returns, per model, the slabs with a single risk."""
-    shares = [i / RISK_SLABS for i in range(1, RISK_SLABS)]
-    found = placed.groupBy("model").agg(F.percentile_approx("r", shares, 4 * RISK_SLABS).alias("q")).collect()
+def _with_risk_slab(placed: DataFrame, largest: int, leaf_rows: int):
+    """Add the risk slab of each row; also returns, per model, the slabs with a single risk. Each
+    slab is one stretch of work, so their number grows with the rows."""
+    slabs = min(MAX_RISK_SLABS, max(MIN_RISK_SLABS, math.ceil(largest / leaf_rows)))
+    shares = [i / slabs for i in range(1, slabs)]
+    found = placed.groupBy("model").agg(F.percentile_approx("r", shares, 4 * slabs).alias("q")).collect()
     cuts = {row["model"]: cut_points(sorted(row["q"])) for row in found}
     edges = {m: np.array(c.points) for m, c in cuts.items()}
     hot = [(m, slab) for m, c in cuts.items() for slab, alone in enumerate(c.single()) if alone]
@@ -220,7 +223,7 @@ def _between_children(placed: DataFrame, hot_risks: list, level: int, levels: in
             {"model": pa.array([model]), **{n: pa.array([float(v)]) for n, v in zip(PARTS, found)}}
         )
 
-    # at most (2 * RISK_SLABS) x CHILDREN counts per group
+    # at most (2 * MAX_RISK_SLABS) x CHILDREN counts per group
     across = counts.groupBy("model", "parent").applyInArrow(grid, PART_SCHEMA)
 
     mixed = rows

@@ -17,6 +17,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tenura.functions.columns import literal_array
 from tenura.lineage import cut
 from tenura.operators.ordered import Cuts, cut_points, quantile_cuts, with_slab
 
@@ -90,8 +91,8 @@ def place(
     starts, slab_of_chunk, hot = _chunk_plan(cuts, quantiles, slabs)
     slabbed = with_slab(base, "_t", cuts)
     if hot:
-        first = F.array(*[F.lit(s) for s in starts[:-1]])
-        pieces = F.array(*[F.lit(b - a) for a, b in zip(starts, starts[1:])])
+        first = literal_array(starts[:-1], "int")
+        pieces = literal_array([b - a for a, b in zip(starts, starts[1:])], "int")
         at = F.col("_slab") + 1
         chunk = F.element_at(first, at) + F.pmod(F.col("_h"), F.element_at(pieces, at)).cast("int")
     else:

@@ -9,7 +9,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenura.functions.columns import unigrams_and_bigrams, unit_length, words
+from tenura.functions.columns import literal_array, unigrams_and_bigrams, unit_length, words
 
 # Vocabulary rules.
 MIN_DOCUMENTS = 3
@@ -33,8 +33,7 @@ class TfidfModel:
         counter = CountVectorizerModel.from_vocabulary(self.terms, "_terms", "_counts")
         counted = counter.transform(df.withColumn("_terms", unigrams_and_bigrams(words(text))))
         raw = F.unwrap_udt("_counts")
-        # one literal array, folded once by the optimizer
-        idf = F.split(F.lit(",".join(repr(float(v)) for v in self.idf)), ",").cast("array<double>")
+        idf = literal_array(self.idf.tolist(), "double")
         weights = F.zip_with(
             raw["values"],
             F.transform(raw["indices"], lambda i: F.element_at(idf, i + 1)),

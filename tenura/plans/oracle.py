@@ -455,8 +455,11 @@ SELECT user_id, CAST(item_id AS VARCHAR) AS item_id, recommend, '' AS posted, md
 FROM texts WHERE item_id % 10 <> 3""")
 
 ORACLE["ingest_items"] = """
-WITH owned AS (SELECT o_orderkey, o_custkey, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)
-SELECT 'u' || o_custkey AS user_id, CAST(l_partkey AS VARCHAR) AS item_id, count(*) AS n_rows,
-       round(sum(l_quantity / 60.0::DOUBLE), 6) AS hours, round(sum(l_linenumber / 60.0::DOUBLE), 6) AS recent_hours,
-       CAST(max(n) AS INTEGER) AS items_count
-FROM lineitem JOIN owned ON l_orderkey = o_orderkey GROUP BY o_custkey, l_partkey"""
+WITH owned AS (
+  SELECT o_custkey, CAST(l_partkey AS VARCHAR) AS item_id, l_quantity / 60.0::DOUBLE AS h,
+         l_linenumber / 60.0::DOUBLE AS r, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  UNION ALL
+  SELECT o_custkey, 's' || l_suppkey, 0, 0, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT 'u' || o_custkey AS user_id, item_id, count(*) AS n_rows, round(sum(h), 6) AS hours,
+       round(sum(r), 6) AS recent_hours, max(l_linenumber) AS items_count
+FROM owned GROUP BY o_custkey, item_id"""

@@ -413,21 +413,18 @@ def ingest_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as items owned by a customer, one record per order, written and read back."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_linenumber")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    item = F.format_string(
-        "{'item_id': '%d', 'playtime_forever': %s, 'playtime_2weeks': %d}",
-        F.col("l_partkey"), F.col("l_quantity").cast("string"), F.col("l_linenumber"),
+    """Order lines as records of a customer with two items each, written and read back."""
+    lines = spread_small(
+        table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_linenumber")
     )
-    # the lines of one order
-    records = (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy("o_orderkey", "o_custkey")
-        .agg(F.concat_ws(", ", F.collect_list(item)).alias("items"), F.count(F.lit(1)).alias("n"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    line = F.format_string(
+        "{'user_id': 'u%d', 'items_count': %d, 'items': ["
+        "{'item_id': '%d', 'playtime_forever': %s, 'playtime_2weeks': %d}, {'item_id': 's%d'}]}",
+        "o_custkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("string"), "l_linenumber", "l_suppkey",
     )
-    line = F.format_string("{'user_id': 'u%d', 'items_count': %d, 'items': [%s]}", "o_custkey", "n", "items")
-    flat, _ = nested.load_items(spark, _written_lines(spark, records.select(line.alias("value"))))
+    records = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(line.alias("value"))
+    flat, _ = nested.load_items(spark, _written_lines(spark, records))
     return flat.groupBy("user_id", "item_id").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.round(F.sum("playtime_forever"), 6).alias("hours"),

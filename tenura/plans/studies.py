@@ -36,6 +36,7 @@ class Study:
 
     tables: dict[str, DataFrame]
     results: Results
+    split: DataFrame | None = None  # the train / test assignment of every row
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
@@ -108,9 +109,8 @@ def run_experiment(
         "hazard_ratios": hazard_ratios(spark, results.models["augmented"]),
         "sizes": sizes,
         "summary": summary,
-        "split": marked.select(*keys, "event", "split"),
     }
-    return Study(tables, results)
+    return Study(tables, results, marked.select(*keys, "event", "split"))
 
 
 def add_text_features(
@@ -193,7 +193,7 @@ def run_ablation(
     sizes = whole.agg(
         F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "test").alias("n_test")
     ).withColumn("holdout_seed", F.lit(seed))
-    return Study({"isolation": isolation, "additive": additive, "sizes": sizes}, results)
+    return Study({"isolation": isolation, "additive": additive, "sizes": sizes}, results, whole.select(*keys, "event", "split"))
 
 
 def run_leakage_audit(df: DataFrame, keys: Sequence[str] = KEYS, **options) -> Study:

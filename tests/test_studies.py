@@ -42,7 +42,7 @@ def test_augmented_recovers_the_planted_signal(experiment):
 
 
 def test_scores_equal_brute_force(spark, experiment):
-    pdf = planted(1500).merge(experiment["split"].toPandas()[["user_id", "split"]])
+    pdf = planted(1500).merge(experiment.split.toPandas()[["user_id", "split"]])
     train, test = pdf[pdf.split == "train"], pdf[pdf.split == "test"]
     cols = list(studies.AUGMENTED)
     coef, _, _ = ridge_fit(train.duration.values, train.event.values, train[cols].values.astype(float))
