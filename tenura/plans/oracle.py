@@ -341,11 +341,15 @@ SELECT round(a.loglik, 4) AS loglik_full, round(b.loglik, 4) AS loglik_restricte
        round(2 * (a.loglik - b.loglik), 4) AS lr_statistic, 1 AS df
 FROM d{STEPS} a, d{STEPS} b WHERE a.k = 0 AND b.k = 1""")
 
-ORACLE["cv_cindex"] = on_l(HASHED.format(seed=42) + f""",
+ORACLE["cox_gradient_at_fit"] = _union([f"SELECT '{f}' AS feature, 0.0::DOUBLE AS gradient" for f in FEATURES])
+
+FOLDED = HASHED.format(seed=42) + """,
 folded AS MATERIALIZED (
   SELECT *, CAST(CASE WHEN r < (n % 5) * (n // 5 + 1) THEN r // (n // 5 + 1)
                       ELSE (n % 5) + (r - (n % 5) * (n // 5 + 1)) // (n // 5) END AS INTEGER) AS fold
-  FROM (SELECT *, row_number() OVER (ORDER BY h) - 1 AS r, count(*) OVER () AS n FROM hashed)),
+  FROM (SELECT *, row_number() OVER (ORDER BY h) - 1 AS r, count(*) OVER () AS n FROM hashed))"""
+
+ORACLE["cv_cindex"] = on_l(FOLDED + """,
 """ + newton("""SELECT CAST(i AS INTEGER) AS k, duration AS t, event AS e, log_playtime_2weeks AS x1, log_items_count AS x2
                 FROM folded, range(0, 5) AS folds(i) WHERE fold <> i""") + f""",
 held AS MATERIALIZED (
@@ -355,6 +359,26 @@ held AS MATERIALIZED (
 SELECT a.fold, round(sum(CASE WHEN b.r < a.r THEN 1.0 WHEN b.r = a.r THEN 0.5 ELSE 0 END)::DOUBLE / count(*), 4) AS cindex
 FROM held a JOIN held b ON a.fold = b.fold AND a.e = 1 AND (b.t > a.t OR (b.t = a.t AND b.e = 0)) GROUP BY a.fold""")
 
+# one covariate at a time: the model number is 5 * feature + fold
+SINGLE = _union([f"SELECT {i} AS f, '{name}' AS feature, fold, duration, event, CAST({name} AS DOUBLE) AS x FROM folded"
+                 for i, name in enumerate(FEATURES)])
+
+ORACLE["univariate_cindex"] = on_l(FOLDED + f""",
+single AS MATERIALIZED ({SINGLE}),
+""" + newton("""SELECT CAST(5 * f + i AS INTEGER) AS k, duration AS t, event AS e, x AS x1, 0 AS x2
+                FROM single, range(0, 5) AS folds(i) WHERE fold <> i""") + f""",
+held AS MATERIALIZED (
+  SELECT feature, fold, duration AS t, event AS e, round((x - m1) * b1 / s1, 9) AS r, count(*) AS w
+  FROM single g JOIN d{STEPS} d ON 5 * g.f + g.fold = d.k JOIN scale s ON s.k = d.k GROUP BY ALL),
+scores AS (
+  SELECT a.feature, a.fold,
+         sum(CASE WHEN b.r < a.r THEN a.w * b.w WHEN b.r = a.r THEN 0.5 * a.w * b.w ELSE 0 END)::DOUBLE / sum(a.w * b.w) AS c
+  FROM held a JOIN held b ON a.feature = b.feature AND a.fold = b.fold AND a.e = 1
+       AND (b.t > a.t OR (b.t = a.t AND b.e = 0)) GROUP BY a.feature, a.fold)
+SELECT feature, round(avg(c), 4) AS univariate_c,
+       CASE WHEN feature IN ('log_playtime_2weeks', 'log_items_count') THEN 'behavioural' ELSE 'signal' END AS family
+FROM scores GROUP BY feature""")
+
 
 # ---------------------------------------------------------------- text
 

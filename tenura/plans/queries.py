@@ -213,6 +213,19 @@ def hazard_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.hazard_forest(cox.hazard_ratios(spark, model))
 
 
+def cox_gradient_at_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Penalised gradient per row at the fit of all covariates, computed again from the residuals
+    of every event; it must vanish."""
+    frame, (model,) = _fit(spark, sf_dir, FEATURES)
+    residuals = risk_sets.schoenfeld_residuals(frame, model.coefficients(), means=model.centres())
+    sums = residuals.agg(*[F.sum(f).alias(f) for f in FEATURES])
+    entries = []
+    for feature, std, beta in zip(model.features, model.stds.tolist(), model.beta.tolist()):
+        gradient = F.col(feature) / (std * model.n) - model.penalizer * beta
+        entries.append(F.struct(F.lit(feature).alias("feature"), F.abs(F.round(gradient, 7)).alias("gradient")))
+    return sums.select(F.explode(F.array(*entries)).alias("_row")).select("_row.*")
+
+
 def lr_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, (full, restricted) = _fit(spark, sf_dir, BEHAVIOURAL, BEHAVIOURAL[:1])
     found = cox.likelihood_ratio_test(full, restricted)
@@ -240,7 +253,8 @@ def cv_cindex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def univariate_cindex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.univariate_ranking(evaluate.univariate_cindex(frame_l(spark, sf_dir), FEATURES, L_KEYS))
+    scores = evaluate.univariate_cindex(frame_l(spark, sf_dir), FEATURES, L_KEYS)
+    return rounded(reports.univariate_ranking(scores), 4, "univariate_c")
 
 
 def experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -463,6 +477,7 @@ QUERIES = {
         survival_curve,
         cox_fit,
         hazard_ratios,
+        cox_gradient_at_fit,
         lr_test,
         lr_test_all_signals,
         ph_test,
