@@ -119,14 +119,17 @@ def evaluate(
     """Fit every variant on all training rows and on the rows outside each fold, then score.
 
     All fits share the same passes over the placed rows, and one concordance run scores all of
-    them. A variant that is missing values gets its own folds over its complete rows.
+    them. A variant that is missing values gets its own folds over its complete rows. With
+    `folds` = 0 there is no cross-validation.
     """
     variants = {name: tuple(f) for name, f in variants.items()}
     features = list(dict.fromkeys(f for fs in variants.values() for f in fs))
     check_features(features, train.columns)
     keys = list(keys)
     train = cut(train.select(*dict.fromkeys([*keys, "duration", "event", *features])))
-    train, fold_column = _assign_folds(train, variants, features, keys, folds, seed)
+    fold_column: dict[str, str] = {}
+    if folds > 0:
+        train, fold_column = _assign_folds(train, variants, features, keys, folds, seed)
     fold_columns = sorted(set(fold_column.values()))
     placed = place(train, features, fold_columns, keys)
     try:

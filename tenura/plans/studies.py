@@ -16,7 +16,14 @@ from tenura.operators import reduce
 from tenura.operators.cox import check_features, hazard_ratios, likelihood_ratio_test
 from tenura.operators.dataset import KEYS, backfill_behaviour
 from tenura.operators.evaluate import Results, evaluate
-from tenura.operators.sampling import HOLDOUT_FRACTION, HOLDOUT_SEED, holdout_split
+from tenura.operators.sampling import (
+    FOLD_SEED,
+    FOLDS,
+    HOLDOUT_FRACTION,
+    HOLDOUT_SEED,
+    holdout_split,
+    with_folds,
+)
 from tenura.operators.text import fit_tfidf
 
 # The covariate families.
@@ -148,13 +155,32 @@ ADDITIVE = {
 }
 
 
+def _representations(marked: DataFrame, components: int, rules: dict):
+    """Rows with all representations, fitted on the rows marked train, and the variants to fit."""
+    with_text, tfidf, _ = add_text_features(marked, components=components, **rules)
+    with_dense, dense, _ = add_dense_features(with_text, components=components)
+    variants = {
+        "Baseline": BEHAVIOURAL,
+        "TF-IDF only": BEHAVIOURAL + tfidf,
+        "Dense only": BEHAVIOURAL + dense,
+        "Signals only": AUGMENTED,
+        "+TF-IDF +Dense": BEHAVIOURAL + tfidf + dense,
+        "+Dense +Signals": BEHAVIOURAL + dense + SIGNALS,
+        "+TF-IDF +Dense +Signals": BEHAVIOURAL + tfidf + dense + SIGNALS,
+    }
+    return cut(with_dense.drop("review_text")), variants
+
+
 def run_ablation(
     df: DataFrame,
     keys: Sequence[str] = KEYS,
     components: int = reduce.COMPONENTS,
     fraction: float = HOLDOUT_FRACTION,
     seed: int = HOLDOUT_SEED,
+    folds: int = FOLDS,
+    fold_seed: int = FOLD_SEED,
     tfidf_rules: dict | None = None,
+    refit_per_fold: bool = False,
     **options,
 ) -> Study:
     """Each text representation alone, then stacked, on top of the behavioural covariates.
@@ -162,27 +188,30 @@ def run_ablation(
     Needs review_text, an embedding array and the six signals. Seven variants are fitted in shared
     passes; the two rows that both tables share are fitted once. Representations are fitted on the
     whole training slice, so the folds of the cross-validation see its vocabulary; the hold-out
-    does not.
+    does not. `refit_per_fold` fits the representations again on the other folds for each fold.
     """
     df = backfill_behaviour(df)
     check_features(AUGMENTED, df.columns)
     spark = df.sparkSession
     _, _, marked = split_train_test(df, keys, fraction, seed)
-    with_text, tfidf, _ = add_text_features(marked, components=components, **(tfidf_rules or {}))
-    with_dense, dense, _ = add_dense_features(with_text, components=components)
-    whole = cut(with_dense.drop("review_text"))
-    variants = {
-        "Baseline": BEHAVIOURAL,
-        "TF-IDF only": BEHAVIOURAL + tfidf,
-        "Dense only": BEHAVIOURAL + dense,
-        "Signals only": AUGMENTED,
-        "+TF-IDF +Dense": BEHAVIOURAL + tfidf + dense,
-        "+Dense +Signals": BEHAVIOURAL + dense + SIGNALS,
-        "+TF-IDF +Dense +Signals": BEHAVIOURAL + tfidf + dense + SIGNALS,
-    }
+    whole, variants = _representations(marked, components, tfidf_rules or {})
+    inner = 0 if refit_per_fold else folds
     results = evaluate(
-        whole.filter(F.col("split") == "train"), variants, keys, whole.filter(F.col("split") == "test"), **options
+        whole.filter(F.col("split") == "train"), variants, keys, whole.filter(F.col("split") == "test"),
+        folds=inner, seed=fold_seed, **options,
     )
+    if refit_per_fold:
+        folded = cut(with_folds(marked.filter(F.col("split") == "train"), keys, folds, fold_seed))
+        results.folds = {v: [] for v in variants}
+        for fold in range(folds):
+            sides = folded.withColumn("split", F.when(F.col("fold") == fold, "test").otherwise("train"))
+            rows, own = _representations(sides, components, tfidf_rules or {})
+            found = evaluate(
+                rows.filter(F.col("split") == "train"), own, keys, rows.filter(F.col("split") == "test"),
+                folds=0, apparent=False, **options,
+            )
+            for v in variants:
+                results.folds[v].append(found.holdout[v])
     table = results.table(spark)
     order = spark.createDataFrame(
         [(i, name, source) for i, (name, source) in enumerate(ADDITIVE.items())],

@@ -118,3 +118,25 @@ def test_report_tables(spark, experiment):
     )
     tiers = {r.label: r.tier for r in reports.ablation_additive(additive).collect()}
     assert tiers == {"Baseline": "none", "a": "small", "b": "medium", "c": "large"}
+
+
+@pytest.mark.parametrize("refit", [False, True])
+def test_ablation(spark, refit):
+    pdf = planted(240, seed=5)
+    rng = np.random.default_rng(9)
+    words = np.array([f"word{i}" for i in range(30)])
+    # events tend to use the first words
+    lean = np.where(pdf.event.values[:, None] == 1, np.arange(30) < 10, np.arange(30) >= 8) + 0.2
+    pdf["review_text"] = [" ".join(rng.choice(words, 15, p=w / w.sum())) for w in lean]
+    pdf["embedding"] = (rng.normal(size=(240, 6)) + pdf.event.values[:, None]).tolist()
+    study = studies.run_ablation(spark.createDataFrame(pdf), components=3, folds=2, refit_per_fold=refit)
+    isolation = {r.label: r for r in study["isolation"].collect()}
+    assert set(isolation) == set(studies.ISOLATION)
+    assert [isolation[v].n_features for v in studies.ISOLATION] == [2, 5, 5, 8]
+    additive = study["additive"].collect()
+    assert [r.label for r in additive] == list(studies.ADDITIVE)
+    assert [r.n_features for r in additive] == [2, 5, 8, 11, 14]
+    assert additive[1].cv_mean == isolation["TF-IDF only"].cv_mean
+    assert isolation["TF-IDF only"].cv_mean > isolation["Baseline"].cv_mean + 0.05
+    assert all(len(r.cv_folds) == 2 for r in additive)
+    assert study.split.count() == 240
