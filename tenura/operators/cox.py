@@ -173,20 +173,23 @@ class _View:
         self.fold = [
             None if s.fold_column is None else (placed.folds.index(s.fold_column), s.left_out) for s in specs
         ]
+        self.complete = [not placed.nulls[c].any() for c in self.columns]
         self.means = [placed.means[c] for c in self.columns]
         self.stds = [np.where(placed.stds[c] > 0, placed.stds[c], 1.0) for c in self.columns]
 
-    def rows(self, i: int, chunk: Chunk, held_out: bool = False):
+    def rows(self, i: int, chunk: Chunk):
         """Time, event and standardised features of the rows that model i uses."""
         x = chunk.x[:, self.columns[i]]
-        keep = np.isfinite(x).all(axis=1)
+        keep = None
         if self.fold[i] is not None:
             column, left_out = self.fold[i]
-            inside = chunk.folds[column] == left_out
-            keep &= inside if held_out else ~inside
-        if not keep.all():
-            return chunk.t[keep], chunk.e[keep], (x[keep] - self.means[i]) / self.stds[i]
-        return chunk.t, chunk.e, (x - self.means[i]) / self.stds[i]
+            keep = chunk.folds[column] != left_out
+        if not self.complete[i]:
+            usable = np.isfinite(x).all(axis=1)
+            keep = usable if keep is None else keep & usable
+        if keep is None:
+            return chunk.t, chunk.e, (x - self.means[i]) / self.stds[i]
+        return chunk.t[keep], chunk.e[keep], (x[keep] - self.means[i]) / self.stds[i]
 
 
 def _moments(view: _View, active: list[int]):

@@ -143,16 +143,19 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY event ORDER BY h) AS rn FRO
 SELECT user_id, item_id, event FROM ranked, take
 WHERE n <= 10000 OR (event = 1 AND rn <= k1) OR (event = 0 AND rn <= least(10000 - k1, n0))""")
 
-ORACLE["holdout_split"] = on_l(HASHED.format(seed=1729) + """,
+SPLIT = HASHED.format(seed=1729) + """,
 sizes AS (SELECT event, count(*) AS c, sum(count(*)) OVER () AS n FROM L GROUP BY event),
 shares AS (SELECT event, c, n - ceil(n * 0.2) AS n_train, c * (n - ceil(n * 0.2)) / n::DOUBLE AS exact FROM sizes),
 floors AS (SELECT event, c, floor(exact) AS f,
                   row_number() OVER (ORDER BY exact - floor(exact) DESC, event) AS pos,
                   n_train - sum(floor(exact)) OVER () AS missing FROM shares),
 tests AS (SELECT event, c - f - CASE WHEN pos <= missing THEN 1 ELSE 0 END AS n_test FROM floors),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY event ORDER BY h) AS rn FROM hashed)
-SELECT user_id, item_id, r.event, CASE WHEN rn <= n_test THEN 'test' ELSE 'train' END AS split
-FROM ranked r JOIN tests t ON r.event = t.event""")
+ranked AS (SELECT *, row_number() OVER (PARTITION BY event ORDER BY h) AS rn FROM hashed),
+sides AS (SELECT r.*, CASE WHEN rn <= n_test THEN 'test' ELSE 'train' END AS split
+          FROM ranked r JOIN tests t ON r.event = t.event)"""
+
+ORACLE["holdout_split"] = on_l(SPLIT + """
+SELECT user_id, item_id, event, split FROM sides""")
 
 ORACLE["kfold_assignment"] = on_l(HASHED.format(seed=42) + """,
 ranked AS (SELECT *, row_number() OVER (ORDER BY h) - 1 AS r, count(*) OVER () AS n FROM hashed)
@@ -359,6 +362,30 @@ held AS MATERIALIZED (
 SELECT a.fold, round(sum(CASE WHEN b.r < a.r THEN 1.0 WHEN b.r = a.r THEN 0.5 ELSE 0 END)::DOUBLE / count(*), 4) AS cindex
 FROM held a JOIN held b ON a.fold = b.fold AND a.e = 1 AND (b.t > a.t OR (b.t = a.t AND b.e = 0)) GROUP BY a.fold""")
 
+ORACLE["experiment_baseline"] = on_l(SPLIT + """,
+train AS (SELECT *, md5(concat_ws('|', CAST(user_id AS VARCHAR), CAST(item_id AS VARCHAR), '42')) AS fh
+          FROM sides WHERE split = 'train'),
+folded AS MATERIALIZED (
+  SELECT *, CAST(CASE WHEN r < (n % 5) * (n // 5 + 1) THEN r // (n // 5 + 1)
+                      ELSE (n % 5) + (r - (n % 5) * (n // 5 + 1)) // (n // 5) END AS INTEGER) AS fold
+  FROM (SELECT *, row_number() OVER (ORDER BY fh) - 1 AS r, count(*) OVER () AS n FROM train)),
+""" + newton("""SELECT CAST(i AS INTEGER) AS k, duration AS t, event AS e, log_playtime_2weeks AS x1, log_items_count AS x2
+                FROM folded, range(0, 6) AS folds(i) WHERE fold <> i""") + f""",
+jobs AS (
+  SELECT fold AS k, 'fold' || fold AS job, duration, event, log_playtime_2weeks AS x1, log_items_count AS x2 FROM folded
+  UNION ALL SELECT 5, 'apparent', duration, event, log_playtime_2weeks, log_items_count FROM folded
+  UNION ALL SELECT 5, 'holdout', duration, event, log_playtime_2weeks, log_items_count FROM sides WHERE split = 'test'),
+held AS MATERIALIZED (
+  SELECT job, duration AS t, event AS e, round((x1 - m1) * b1 / s1 + (x2 - m2) * b2 / s2, 9) AS r, count(*) AS w
+  FROM jobs j JOIN d{STEPS} d ON j.k = d.k JOIN scale s ON s.k = d.k GROUP BY ALL),
+scores AS (
+  SELECT a.job, sum(CASE WHEN b.r < a.r THEN a.w * b.w WHEN b.r = a.r THEN 0.5 * a.w * b.w ELSE 0 END)::DOUBLE / sum(a.w * b.w) AS c
+  FROM held a JOIN held b ON a.job = b.job AND a.e = 1 AND (b.t > a.t OR (b.t = a.t AND b.e = 0)) GROUP BY a.job)
+SELECT 'baseline' AS variant, 2 AS n_features,
+       round(avg(c) FILTER (job LIKE 'fold%'), 4) AS cv_mean, round(stddev_pop(c) FILTER (job LIKE 'fold%'), 4) AS cv_std,
+       round(max(c) FILTER (job = 'holdout'), 4) AS holdout_cindex, round(max(c) FILTER (job = 'apparent'), 4) AS apparent_cindex
+FROM scores""")
+
 # one covariate at a time: the model number is 5 * feature + fold
 SINGLE = _union([f"SELECT {i} AS f, '{name}' AS feature, fold, duration, event, CAST({name} AS DOUBLE) AS x FROM folded"
                  for i, name in enumerate(FEATURES)])

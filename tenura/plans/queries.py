@@ -261,6 +261,15 @@ def experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return studies.run_experiment(frame_l(spark, sf_dir), L_KEYS)["models"]
 
 
+def experiment_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The behavioural model of the experiment: hold-out split, folds, fits and all concordances."""
+    frame = frame_l(spark, sf_dir).select(*L_KEYS, "duration", "event", *BEHAVIOURAL)
+    train, test, _ = studies.split_train_test(frame, L_KEYS, sampling.HOLDOUT_FRACTION, sampling.HOLDOUT_SEED)
+    found = evaluate.evaluate(train, {"baseline": BEHAVIOURAL}, L_KEYS, test).table(spark)
+    scores = ("cv_mean", "cv_std", "holdout_cindex", "apparent_cindex")
+    return rounded(found.select("variant", "n_features", *scores), 4, *scores)
+
+
 def leakage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return studies.run_leakage_audit(frame_l(spark, sf_dir), L_KEYS)["variants"]
 
@@ -484,6 +493,7 @@ QUERIES = {
         cv_cindex,
         univariate_cindex,
         experiment,
+        experiment_baseline,
         leakage_audit,
         leakage_decomposition,
         ablation_isolation,
