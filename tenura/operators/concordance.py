@@ -31,6 +31,7 @@ CHILDREN = 64
 LEAF_ROWS = 50_000
 MIN_RISK_SLABS, MAX_RISK_SLABS = 64, 4096
 MAX_LEAVES = CHILDREN**3
+SLOTS = 2**20  # risk slab numbers set aside for one model
 PART_SCHEMA = "model string, concordant double, tied double, pairs double"
 
 
@@ -64,9 +65,9 @@ def concordance(
     placed, leaves, single = _place(cells, largest, leaf_rows)
     parts = [_inside_leaves(placed, single)]
     if leaves > 1:
-        placed, hot_risks = _with_risk_slab(placed, largest, leaf_rows)
+        placed, names, hot = _with_risk_slab(placed, largest, leaf_rows)
         for level in range(_levels(leaves)):
-            parts += _between_children(placed, hot_risks, level, _levels(leaves))
+            parts += _between_children(placed, names, hot, level, _levels(leaves))
     total = parts[0]
     for part in parts[1:]:
         total = total.unionByName(part)
@@ -107,23 +108,26 @@ def _place(cells: DataFrame, largest: int, leaf_rows: int):
 
 
 def _with_risk_slab(placed: DataFrame, largest: int, leaf_rows: int):
-    """Add the risk slab of each row; also returns, per model, the slabs with a single risk. Each
-    slab is one stretch of work, so their number grows with the rows."""
+    """Add the risk slab of each row, numbered over all models; also returns the models in that
+    order and the slabs with a single risk. Each slab is one stretch of work, so their number grows
+    with the rows."""
     slabs = min(MAX_RISK_SLABS, max(MIN_RISK_SLABS, math.ceil(largest / leaf_rows)))
     shares = [i / slabs for i in range(1, slabs)]
     found = placed.groupBy("model").agg(F.percentile_approx("r", shares, 4 * slabs).alias("q")).collect()
     cuts = {row["model"]: cut_points(sorted(row["q"])) for row in found}
-    edges = {m: np.array(c.points) for m, c in cuts.items()}
-    hot = [(m, slab) for m, c in cuts.items() for slab, alone in enumerate(c.single()) if alone]
+    names = sorted(cuts)
+    edges = {m: (SLOTS * i, np.array(cuts[m].points)) for i, m in enumerate(names)}
+    hot = [SLOTS * i + slab for i, m in enumerate(names) for slab, alone in enumerate(cuts[m].single()) if alone]
 
-    @F.pandas_udf("int")
+    @F.pandas_udf("long")
     def risk_slab(models: pd.Series, risks: pd.Series) -> pd.Series:
-        out = np.zeros(len(risks), dtype=np.int32)
+        out = np.zeros(len(risks), dtype=np.int64)
         for name, at in risks.groupby(models, sort=False).indices.items():
-            out[at] = np.searchsorted(edges[name], risks.to_numpy()[at], side="right")
+            first, points = edges[name]
+            out[at] = first + np.searchsorted(points, risks.to_numpy()[at], side="right")
         return pd.Series(out)
 
-    return cut(placed.withColumn("rs", risk_slab("model", "r"))), hot
+    return cut(placed.withColumn("rs", risk_slab("model", "r"))), names, hot
 
 
 # ---------------------------------------------------------------- pairs inside one leaf
@@ -192,7 +196,9 @@ PARTS = ("concordant", "tied", "pairs")
 # ---------------------------------------------------------------- pairs across leaves
 
 
-def _between_children(placed: DataFrame, hot_risks: list, level: int, levels: int) -> list[DataFrame]:
+def _between_children(
+    placed: DataFrame, names: list[str], hot: list[int], level: int, levels: int
+) -> list[DataFrame]:
     below = CHILDREN ** (levels - level - 1)
     rows = placed.select(
         "model",
@@ -204,9 +210,6 @@ def _between_children(placed: DataFrame, hot_risks: list, level: int, levels: in
         F.col("w").cast("double").alias("w"),
     )
     counts = rows.groupBy("model", "parent", "rs", "child").agg(F.sum("ev").alias("ev"), F.sum("w").alias("w"))
-    hot = {}
-    for model, slab in hot_risks:
-        hot.setdefault(model, set()).add(slab)
 
     def grid(key, table):
         model = key[0].as_py()
@@ -217,7 +220,7 @@ def _between_children(placed: DataFrame, hot_risks: list, level: int, levels: in
         al[slot, child] = table.column("w").to_numpy()
         later = _later_children(al)
         lower = np.cumsum(later, axis=0) - later  # later children in lower risk slabs
-        alone = np.isin(rs, list(hot.get(model, ())))
+        alone = np.isin(rs, hot)
         found = ((ev * lower).sum(), (ev * later)[alone].sum(), (ev * later.sum(axis=0)).sum())
         return pa.table(
             {"model": pa.array([model]), **{n: pa.array([float(v)]) for n, v in zip(PARTS, found)}}
@@ -226,43 +229,41 @@ def _between_children(placed: DataFrame, hot_risks: list, level: int, levels: in
     # at most (2 * MAX_RISK_SLABS) x CHILDREN counts per group
     across = counts.groupBy("model", "parent").applyInArrow(grid, PART_SCHEMA)
 
-    mixed = rows
-    for model, slabs in hot.items():
-        mixed = mixed.filter((F.col("model") != model) | ~F.col("rs").isin(sorted(slabs)))
-    ordered = mixed.repartition("model", "parent", "rs").sortWithinPartitions("model", "parent", "rs", "r")
-    return [across, ordered.mapInArrow(_in_risk_order, PART_SCHEMA)]
+    mixed = rows.filter(~F.col("rs").isin(hot)) if hot else rows
+    ordered = mixed.drop("model").repartition("rs", "parent").sortWithinPartitions("rs", "parent", "r")
+    return [across, ordered.mapInArrow(lambda batches: _in_risk_order(batches, names), PART_SCHEMA)]
 
 
 def _later_children(counts: np.ndarray) -> np.ndarray:
     return np.cumsum(counts[..., ::-1], axis=-1)[..., ::-1] - counts
 
 
-def _in_risk_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _in_risk_order(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
     """Pairs in the same risk slab, from one pass over rows sorted by slab and risk. Only counts
     per child are carried from batch to batch, so a slab may have any number of rows."""
     sums: dict[str, np.ndarray] = {}
     lower = np.zeros(CHILDREN)  # counts at lower risks of the current slab
     here = np.zeros((2, CHILDREN))  # events and counts at the current risk
-    at = None
+    at = None  # model, slab, parent and risk that `here` belongs to
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        frame = batch.to_pandas()
-        keys = frame[["model", "parent", "rs"]]
-        new_slab = (keys != keys.shift()).any(axis=1).to_numpy()
-        new_risk = new_slab | (frame["r"] != frame["r"].shift()).to_numpy()
-        risk_starts = np.flatnonzero(new_risk)
+        rs, parent, r, child = (batch.column(c).to_numpy() for c in ("rs", "parent", "r", "child"))
+        new_slab = np.concatenate([[True], (rs[1:] != rs[:-1]) | (parent[1:] != parent[:-1])])
+        new_risk = new_slab | np.concatenate([[True], r[1:] != r[:-1]])
         run = np.cumsum(new_risk) - 1
-        grid = np.zeros((2, len(risk_starts), CHILDREN))
-        np.add.at(grid[0], (run, frame["child"].to_numpy()), frame["ev"].to_numpy())
-        np.add.at(grid[1], (run, frame["child"].to_numpy()), frame["w"].to_numpy())
-        stops = np.append(risk_starts[new_slab[risk_starts]], len(frame))
+        cell = run * CHILDREN + child
+        size = (run[-1] + 1) * CHILDREN
+        grid = [
+            np.bincount(cell, batch.column(c).to_numpy(), minlength=size).reshape(-1, CHILDREN) for c in ("ev", "w")
+        ]
+        stops = np.append(np.flatnonzero(new_slab), len(rs))
         for start, stop in zip(stops[:-1], stops[1:]):
             first, last = run[start], run[stop - 1] + 1
-            slab = tuple(keys.iloc[start])
-            events, counts = grid[0, first:last], grid[1, first:last]
+            slab = (names[rs[start] // SLOTS], rs[start], parent[start])
+            events, counts = grid[0][first:last], grid[1][first:last]
             if at is not None and at[:-1] == slab:
-                if at[-1] == frame["r"].iloc[start]:
+                if at[-1] == r[start]:
                     events[0] += here[0]
                     counts[0] += here[1]
                 else:
@@ -276,7 +277,7 @@ def _in_risk_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             _settle(sums, slab[0], events[:-1], counts[:-1], lower)
             lower = lower + counts[:-1].sum(axis=0)
             here = np.stack([events[-1], counts[-1]])
-            at = (*slab, frame["r"].iloc[stop - 1])
+            at = (*slab, r[stop - 1])
     if at is not None:
         _settle(sums, at[0], here[0][None], here[1][None], lower)
     for model, (concordant, tied) in sums.items():
