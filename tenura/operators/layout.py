@@ -57,7 +57,10 @@ def place(
     min_rows_per_chunk: int = 4096,
 ) -> Placed:
     """Lay out the rows that have a duration and an event; feature nulls are kept and left to each
-    model, because a model drops only the rows it cannot use itself."""
+    model, because a model drops only the rows it cannot use itself.
+
+    `keys` identify a row and spread the rows of a hot time over its chunks; without them exact
+    copies of a row stay together."""
     features = tuple(dict.fromkeys(features))
     folds = tuple(dict.fromkeys(folds))
     spread = [k for k in keys if k in df.columns] or ["duration", "event", *features, *folds]
