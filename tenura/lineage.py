@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +34,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def staged(df: DataFrame, *partition_by: str) -> DataFrame:
+    """Write `df` once as Parquet in the shared folder and continue from a scan of it.
+
+    Unlike a checkpoint the written table is compressed, keeps column pruning, filter pushdown and
+    size statistics, and survives the loss of any executor. Row order and partitioning are not
+    kept. The folder belongs to the session: it goes with the shared folder.
+    """
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # Input per core below which a scan may come from fewer files than there are cores.
 SMALL_BYTES_PER_CORE = 16 * 1024 * 1024
 
