@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from tenura.llm.decision_list import op4_decision_list
 from tenura.llm.virtual_slots import op10_virtual_slots
 
 QUERIES = {
+    "op4_decision_list": op4_decision_list,
     "op10_virtual_slots": op10_virtual_slots,
 }
 
