@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from tenura.llm.decision_list import op4_decision_list
+from tenura.llm.simple8b import op2_simple8b
 from tenura.llm.virtual_slots import op10_virtual_slots
 
 QUERIES = {
+    "op2_simple8b": op2_simple8b,
     "op4_decision_list": op4_decision_list,
     "op10_virtual_slots": op10_virtual_slots,
 }
