@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from tenura.llm.decision_list import op4_decision_list
 from tenura.llm.simple8b import op2_simple8b
+from tenura.llm.two_fit import op8_two_fit
 from tenura.llm.virtual_slots import op10_virtual_slots
 
 QUERIES = {
+    "op8_two_fit": op8_two_fit,
     "op2_simple8b": op2_simple8b,
     "op4_decision_list": op4_decision_list,
     "op10_virtual_slots": op10_virtual_slots,
