@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tenura.llm.decision_list import op4_decision_list
+from tenura.llm.pivot_simhash import op9_pivot_simhash
 from tenura.llm.simple8b import op2_simple8b
 from tenura.llm.two_fit import op8_two_fit
 from tenura.llm.virtual_slots import op10_virtual_slots
@@ -11,6 +12,7 @@ QUERIES = {
     "op8_two_fit": op8_two_fit,
     "op2_simple8b": op2_simple8b,
     "op4_decision_list": op4_decision_list,
+    "op9_pivot_simhash": op9_pivot_simhash,
     "op10_virtual_slots": op10_virtual_slots,
 }
 
