@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from tenura.llm.decision_list import op4_decision_list
 from tenura.llm.edit_matching import op7_edit_matching
+from tenura.llm.paragraphs import op6_paragraphs
 from tenura.llm.pivot_simhash import op9_pivot_simhash
 from tenura.llm.simple8b import op2_simple8b
 from tenura.llm.two_fit import op8_two_fit
 from tenura.llm.virtual_slots import op10_virtual_slots
 
 QUERIES = {
+    "op6_paragraphs": op6_paragraphs,
     "op7_edit_matching": op7_edit_matching,
     "op8_two_fit": op8_two_fit,
     "op2_simple8b": op2_simple8b,
