@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,14 +12,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words whose ids a worker remembers, first come first kept: a bound on memory, never on results.
-REMEMBERED = 250_000
-#: Characters of text whose words are looked up at once.
-BATCH_CHARS = 4_000_000
+REMEMBERED = 600_000
+#: Bytes of text whose words are looked up at once.
+BATCH_CHARS = 8_000_000
 
 # Texts of these letters, digits and marks are cut into pieces by simple classes; every library pattern
 # treats them alike. Anything else in a word sends that word through the whole library pipeline.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-MARKS = r"!-&(-/:-@\[-`{-~"
+MARKS = r"!-&(-/:;=-@\[-`{-~"  # without the apostrophe of contractions and the < of special tokens
 WHITE = r"[\t-\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 _LOADED: dict[str, WordTokenizer] = {}
@@ -52,34 +53,42 @@ class WordTokenizer:
             raise ValueError("a byte-level vocabulary with leading spaces or one with word ends is needed")
         digits = "[0-9]+" if self.spaced else "[0-9]"
         lead = " ?" if self.spaced else ""
-        self.simple = re.compile(f"{lead}[{LETTERS}0-9{MARKS}]+")
-        self.pieces = re.compile(f"{lead}[{LETTERS}]+|{lead}{digits}|{lead}[{MARKS}]+")
+        if not all("<" in t.content for t in self.library.get_added_tokens_decoder().values()):
+            raise ValueError("special tokens without < are not foreseen")
+        letters = LETTERS if self.spaced else "a-zß-öø-ÿ"  # those that lower-casing leaves alone
+        some = f"[{letters}0-9{MARKS}]+"
+        self.simple = re.compile(f"{lead}{some}(?:\n{some})*")
+        self.one = re.compile(f"{lead}[{letters}]+")
+        self.pieces = re.compile(f"{lead}[{letters}]+|{lead}{digits}|{lead}[{MARKS}]+|\n")
         self.alphabet = str.maketrans(dict(enumerate(byte_alphabet())))
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.model = self.library.model
         self.known: dict[str, bytes] = {}
 
-    def _ids(self, word: str) -> bytes:
-        if self.simple.fullmatch(word) and not any(s in word for s in self.special):
-            model, ids = self.library.model, []
-            for piece in self.pieces.findall(word if self.spaced else word.lower()):
-                ids += [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]
-        else:
-            ids = self.library.encode(word, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
-
-    def _look_up(self, word: str) -> bytes:
-        got = self.known.get(word)
+    def _piece(self, piece: str) -> bytes:
+        """The ids of one piece of the library's pattern."""
+        got = self.known.get(piece)
         if got is None:
-            got = self._ids(word)
+            shown = piece.encode().decode("latin-1").translate(self.alphabet)
+            got = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
             if len(self.known) < REMEMBERED:
-                self.known[word] = got
+                self.known[piece] = got
         return got
 
+    def _word(self, word: str) -> bytes:
+        """The ids of a word that is not known."""
+        if self.one.fullmatch(word):
+            return self._piece(word)
+        if self.simple.fullmatch(word):
+            return b"".join(map(self._piece, self.pieces.findall(word)))
+        return array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes()
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and where each text's ids begin and end (one more bound than texts)."""
         whole = pc.match_substring_regex(texts, WHITE + " ").to_numpy(zero_copy_only=False)
-        if not self.spaced:
+        if not self.spaced:  # white space and the case of letters are lost in any event
             whole = np.zeros(len(texts), bool)
+            lower = pc.ascii_lower(pc.replace_substring(texts, "\n", " "))
+            texts = pc.if_else(pc.match_substring(texts, "<|"), texts, lower)  # special tokens heed case
         split = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
         bounds = np.asarray(split.offsets) - split.offsets[0].as_py()
         words = split.flatten().dictionary_encode()
@@ -93,7 +102,8 @@ class WordTokenizer:
             keys = [distinct[c >> 1] if c & 1 else " " + distinct[c >> 1] for c in used.tolist()]
         else:
             keys = distinct
-        found = [self._look_up(k) for k in keys]
+        known = self.known.get
+        found = [known(k) or self._word(k) for k in keys]
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.frombuffer(b"".join(found), "<u4")
         ids, ends = expand(flat, sizes, index)
