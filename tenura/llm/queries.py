@@ -7,10 +7,12 @@ from tenura.llm.edit_matching import op7_edit_matching
 from tenura.llm.paragraphs import op6_paragraphs
 from tenura.llm.pivot_simhash import op9_pivot_simhash
 from tenura.llm.simple8b import op2_simple8b
+from tenura.llm.subword_language import op5_subword_language
 from tenura.llm.two_fit import op8_two_fit
 from tenura.llm.virtual_slots import op10_virtual_slots
 
 QUERIES = {
+    "op5_subword_language": op5_subword_language,
     "op6_paragraphs": op6_paragraphs,
     "op7_edit_matching": op7_edit_matching,
     "op8_two_fit": op8_two_fit,
