@@ -10,6 +10,7 @@ from tenura.llm.simple8b import op2_simple8b
 from tenura.llm.subword_language import op5_subword_language
 from tenura.llm.two_fit import op8_two_fit
 from tenura.llm.virtual_slots import op10_virtual_slots
+from tenura.llm.weak_toxicity import op3_weak_toxicity
 
 QUERIES = {
     "op5_subword_language": op5_subword_language,
@@ -17,6 +18,7 @@ QUERIES = {
     "op7_edit_matching": op7_edit_matching,
     "op8_two_fit": op8_two_fit,
     "op2_simple8b": op2_simple8b,
+    "op3_weak_toxicity": op3_weak_toxicity,
     "op4_decision_list": op4_decision_list,
     "op9_pivot_simhash": op9_pivot_simhash,
     "op10_virtual_slots": op10_virtual_slots,
