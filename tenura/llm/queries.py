@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tenura.llm.bucket_pointers import op1_bucket_pointers
 from tenura.llm.decision_list import op4_decision_list
 from tenura.llm.edit_matching import op7_edit_matching
 from tenura.llm.paragraphs import op6_paragraphs
@@ -13,6 +14,7 @@ from tenura.llm.virtual_slots import op10_virtual_slots
 from tenura.llm.weak_toxicity import op3_weak_toxicity
 
 QUERIES = {
+    "op1_bucket_pointers": op1_bucket_pointers,
     "op5_subword_language": op5_subword_language,
     "op6_paragraphs": op6_paragraphs,
     "op7_edit_matching": op7_edit_matching,
