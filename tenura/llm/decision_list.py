@@ -36,17 +36,20 @@ PRECISION, SUPPORT = 0.9, 5
 Condition = tuple[str, str, float]
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
+def with_statistics(docs: DataFrame, carry: bool = False) -> DataFrame:
     """doc_id, the counts of the base rules and the features of the learned ones, for whole texts.
 
     A missing or empty text has no words and every count 0. Repeated 5-word windows are found inside the
     row: windows are hashed to 64 bits and sorted, and only texts with an equal pair of neighbours
     go on to mark the words that repeated windows cover. All in O(n log n) of one text's words.
+    With `carry`, the whole input row comes along as the struct `row`.
     """
+    own = ["row"] if carry else []
     text = F.coalesce("text", F.lit(""))
     size = F.size("words")
     split = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
+        *([F.struct(*docs.columns).alias("row")] if carry else []),
         F.array_remove(F.split(text, f"{SPACE}+"), "").alias("words"),
         F.char_length(F.regexp_replace(text, f"{SPACE}+", "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -107,6 +110,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     words = F.greatest(F.col("n_words"), F.lit(1))
     chars = F.greatest(F.col("word_chars"), F.lit(1))
     counted = starts.select(
+        *own,
         "doc_id",
         "n_words",
         "word_chars",
@@ -119,6 +123,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
         "n_digits",
     )
     return counted.select(
+        *own,
         "doc_id",
         "n_words",
         "word_chars",
@@ -267,6 +272,14 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return judged(statistics, learn(statistics, labels))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `docs` that base rules and learned list keep, with all columns. Rows are written once with
+    their statistics, learned from by their narrow columns and filtered as they are read again: no
+    shuffle, and no statistic is computed twice (a filter above the computation would be pushed into it)."""
+    statistics = staged(with_statistics(docs, carry=True))
+    return judged(statistics, learn(statistics, labels)).filter("kept").select("row.*")
+
+
 def op4_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"

@@ -170,10 +170,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, share: float = ERROR_SHARE, b
     return spark.createDataFrame([], MATCHES) if found is None else found
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`docs` without the rows whose doc_id holds an item; rows without doc_id stay."""
-    hit = matches(docs, benchmark).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+def decontaminated(docs: DataFrame, benchmark: DataFrame, share: float = ERROR_SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of `docs` whose text holds no item, with all columns; each is searched where it is read, block
+    by block of items, without a shuffle. Rows without text or doc_id stay if nothing is found in them."""
+    for block in _blocks(benchmark, block_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(block)  # at most block_bytes and one item
+
+        def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(sent.value, share)
+            for batch in batches:
+                texts = batch.column("text")
+                yield batch.filter(pa.array([not t.is_valid or not matcher.find(t.as_py()) for t in texts], pa.bool_()))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
 
 
 def op7_edit_matching(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -352,32 +352,32 @@ def removal_spans(text: str, lines: set[int], sentences: list[tuple[int, int]])
     return [run for run in sized if run[2] >= RUN]
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, kept_text, n_runs, n_words_removed) of the documents that lose something. Equal rows
-    are one; rows of one doc_id but different texts are told apart by their text."""
-    named = (
+def _named(docs: DataFrame) -> DataFrame:
+    """(id, lines, spans): what repeats in each document that may lose a run."""
+    return (
         repeated(docs)
-        .groupBy("doc_id")
+        .groupBy(F.col("doc_id").alias("id"))
         .agg(
             F.collect_set(F.when(F.col("kind") == "line", F.col("line"))).alias("lines"),
             F.collect_set(F.when(F.col("kind") == "sentence", F.struct("begin", "end"))).alias("spans"),
             F.sum("n_words").alias("words"),
         )
         .filter(F.col("words") >= RUN // 2)
+        .drop("words")
     )
 
+
+def removals(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, kept_text, n_runs, n_words_removed) of the documents that lose something. Rows that share
+    a doc_id count as one document; each loses what is named for that doc_id, by its place in the text."""
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                spans = [(s["begin"], s["end"]) for s in r["spans"]]
-                runs = removal_spans(r["text"], set(r["lines"]), spans)
+                runs = removal_spans(r["text"], set(r["lines"]), [(s["begin"], s["end"]) for s in r["spans"]])
                 if runs:
-                    rest, at = [], 0
-                    for a, b, _ in runs:
-                        rest.append(r["text"][at:a])
-                        at = b
-                    kept = "".join([*rest, r["text"][at:]])
+                    kept = without(r["text"], runs)
                     rows.append((r["doc_id"], r["text"], kept, len(runs), sum(n for *_, n in runs)))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64())
@@ -386,12 +386,53 @@ def removals(docs: DataFrame) -> DataFrame:
                 ["doc_id", "text", "kept_text", "n_runs", "n_words_removed"],
             )
 
-    rows = texts(docs).filter("doc_id is not null and text <> ''").join(named, "doc_id")
+    rows = texts(docs).filter("doc_id is not null and text <> ''").join(_named(docs), F.col("doc_id") == F.col("id"))
     return rows.select("doc_id", "text", "lines", "spans").mapInArrow(
         apply, "doc_id long, text string, kept_text string, n_runs int, n_words_removed long"
     )
 
 
+def without(text: str, runs: list[tuple[int, int, int]]) -> str:
+    rest, at = [], 0
+    for a, b, _ in runs:
+        rest.append(text[at:a])
+        at = b
+    return "".join([*rest, text[at:]])
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """`docs` with its repeated runs cut from the texts, all columns kept; `n_chars`, if there, counts the new
+    text. A document that had words and lost all of them goes. Rows without doc_id or text stay as they are."""
+    found = _named(docs)
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*docs.columns).alias("row")).join(found, "id", "left")
+    fields = docs.schema
+    text_at = docs.columns.index("text")
+    chars_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(batch.column("row").flatten())
+            text, keep = columns[text_at].to_pylist(), np.ones(batch.num_rows, bool)
+            chars = columns[chars_at].to_pylist() if chars_at is not None else None
+            lists, spans = batch.column("lines"), batch.column("spans")
+            for r in np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                if text[r] is None:
+                    continue
+                named = [(s["begin"], s["end"]) for s in spans[r].as_py()]
+                runs = removal_spans(text[r], set(lists[r].as_py()), named)
+                if runs:
+                    text[r] = without(text[r], runs)
+                    keep[r] = bool(text[r].strip())
+                    if chars is not None:
+                        chars[r] = len(text[r])
+            columns[text_at] = pa.array(text, pa.string())
+            if chars is not None:
+                columns[chars_at] = pa.array(chars, columns[chars_at].type)
+            yield pa.RecordBatch.from_arrays(columns, fields.names).filter(pa.array(keep))
+
+    return rows.select("row", "lines", "spans").mapInArrow(apply, fields)
+
+
 def op6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with repeated passages: how many runs and words go, and the hash of what stays."""
     return removals(table(spark, sf_dir, "documents")).select(

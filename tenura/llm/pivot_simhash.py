@@ -209,11 +209,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """`docs` without all but the document of smallest doc_id of each component, all columns kept. Of
-    rows that share that doc_id one stays; rows without doc_id go only where another one stays."""
-    found = near_duplicates(docs)
-    stays = found.filter("doc_id = component_id or (component_id is null and doc_id is null)")
-    return docs.join(stays.select("doc_id").distinct(), docs["doc_id"].eqNullSafe(stays["doc_id"]), "left_semi")
+    """One row of each component, that of smallest doc_id, all columns kept. Of rows that share this doc_id
+    one stays, any; rows without doc_id stay as they are, since nothing can name them."""
+    stays = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    named = docs.filter("doc_id is not null")
+    kept = named.join(stays, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter("doc_id is null"))
 
 
 def op9_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
