@@ -90,7 +90,7 @@ def levelling_edits(slot_map: DataFrame, weights: DataFrame) -> DataFrame:
     Surplus and lack are laid side by side as running sums, so a slot's new shard is the one whose
     interval holds the middle of the slot's own. Works on the map (at most SLOTS rows), not on the rows.
     """
-    now = current(slot_map)
+    now = current(slot_map).select("slot", "shard")
     weighed = now.join(weights.select("slot", "bytes"), "slot", "left").fillna(0, ["bytes"])
     totals = weighed.groupBy("shard").agg(F.sum("bytes").alias("held"))
     mean = totals.agg(F.avg("held").alias("mean"))
