@@ -28,8 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` once to the shared folder and continue from the written rows."""
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write `df` once to the shared folder, keeping its partitions and the order of rows in them. Reads
+    cannot be pruned, so this is for rows whose placement matters; all others are `staged`."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -45,14 +46,3 @@ def staged(df: DataFrame, *partition_by: str) -> DataFrame:
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-# Input per core below which a scan may come from fewer files than there are cores.
-SMALL_BYTES_PER_CORE = 16 * 1024 * 1024
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread an input over all cores if it is too small to fill them by itself (a single row
-    group or compressed file is read by one task). Larger inputs are left alone: no shuffle."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 1 < cores and size < cores * SMALL_BYTES_PER_CORE else df

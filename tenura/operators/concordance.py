@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenura.functions.columns import literal_array
-from tenura.lineage import cut
+from tenura.lineage import staged
 from tenura.operators.ordered import Cuts, cut_points, quantile_cuts, with_slab
 
 CHILDREN = 64
@@ -59,7 +59,7 @@ def concordance(
         .groupBy("model", "t", "e", "r")
         .agg(F.count(F.lit(1)).alias("w"))
     )
-    cells = cut(cells)
+    cells = staged(cells)
     sizes = {row["model"]: row["count"] for row in cells.groupBy("model").count().collect()}
     largest = max(sizes.values(), default=0)
     placed, leaves, single = _place(cells, largest, leaf_rows)
@@ -127,7 +127,7 @@ def _with_risk_slab(placed: DataFrame, largest: int, leaf_rows: int):
             out[at] = first + np.searchsorted(points, risks.to_numpy()[at], side="right")
         return pd.Series(out)
 
-    return cut(placed.withColumn("rs", risk_slab("model", "r"))), names, hot
+    return staged(placed.withColumn("rs", risk_slab("model", "r"))), names, hot
 
 
 # ---------------------------------------------------------------- pairs inside one leaf

@@ -17,6 +17,7 @@ from tenura.functions.columns import (
 from tenura.operators.sampling import FOLD_SEED, stratified_cap
 
 KEYS = ("user_id", "item_id")
+# Fixed value: the size of the published sample. Only a caller who asks for a cap gets one.
 MAX_REVIEWS = 10_000
 
 # The columns of the survival table, in order.
@@ -98,11 +99,12 @@ def build_survival_table(
     reviews: DataFrame,
     items: DataFrame,
     order: Sequence[str] = (),
-    max_rows: int | None = MAX_REVIEWS,
+    max_rows: int | None = None,
     seed: int = FOLD_SEED,
     min_duration: float = MIN_DURATION,
     max_duration: float = MAX_DURATION,
 ) -> DataFrame:
+    """The table of all usable reviews; `max_rows` names the size of a stratified cap, if one is wanted."""
     joined = join_reviews_items(reviews, items, order, min_duration, max_duration)
     return stratified_cap(as_survival(joined), max_rows, KEYS, seed=seed)
 

@@ -9,7 +9,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenura.lineage import cut
+from tenura.lineage import staged
 from tenura.operators.ordered import average_ranks, quantile_cuts, slabs_for
 
 # A rank table up to this many rows is small enough to send to every executor.
@@ -115,14 +115,12 @@ def density_by_event(
 
 
 def histogram_by_event(df: DataFrame, feature: str, low: float, high: float, bins: int) -> DataFrame:
-    """Row counts per event class and equal-width bin; the last bin includes its upper edge."""
-    place = F.floor((F.col(feature) - F.lit(low)) / F.lit((high - low) / bins)).cast("int")
-    bin_of = F.least(place, F.lit(bins - 1))
-    return (
-        df.filter(F.col(feature).between(low, high))
-        .groupBy("event", bin_of.alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n_rows"))
-    )
+    """Row counts per event class and equal-width bin; the last bin includes its upper edge. Rows below
+    the range are counted in bin -1 and rows above it in bin `bins`, missing values in a null bin."""
+    x = F.col(feature)
+    place = F.least(F.floor((x - F.lit(low)) / F.lit((high - low) / bins)).cast("int"), F.lit(bins - 1))
+    bin_of = F.when(x < low, F.lit(-1)).when(x > high, F.lit(bins)).when(x.isNotNull(), place)
+    return df.groupBy("event", bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def spearman_matrix(df: DataFrame, features: Sequence[str], rows_per_slab: int = 250_000) -> DataFrame:
@@ -134,11 +132,11 @@ def spearman_matrix(df: DataFrame, features: Sequence[str], rows_per_slab: int =
     """
     names = [f"f{i}" for i in range(len(features))]
     typed = df.select(*[F.col(f).cast("double").alias(n) for f, n in zip(features, names)]).dropna()
-    joint = cut(typed.groupBy(*names).agg(F.count(F.lit(1)).alias("w")))
+    joint = staged(typed.groupBy(*names).agg(F.count(F.lit(1)).alias("w")))
     total = joint.agg(F.sum("w")).first()[0] or 0
     ranked = joint
     for n in names:
-        counts = cut(joint.groupBy(n).agg(F.sum("w").alias("c")))
+        counts = staged(joint.groupBy(n).agg(F.sum("w").alias("c")))
         size = counts.count()
         ranks = average_ranks(counts, n, "c", f"r_{n}", quantile_cuts(counts, n, slabs_for(size, rows_per_slab)))
         ranks = ranks.select(n, f"r_{n}")

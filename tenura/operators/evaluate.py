@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenura.lineage import cut
+from tenura.lineage import staged
 from tenura.operators.concordance import concordance
 from tenura.operators.cox import PENALIZER, CoxModel, Spec, check_features, fit_many
 from tenura.operators.layout import place
@@ -126,7 +126,7 @@ def evaluate(
     features = list(dict.fromkeys(f for fs in variants.values() for f in fs))
     check_features(features, train.columns)
     keys = list(keys)
-    train = cut(train.select(*dict.fromkeys([*keys, "duration", "event", *features])))
+    train = staged(train.select(*dict.fromkeys([*keys, "duration", "event", *features])))
     fold_column: dict[str, str] = {}
     if folds > 0:
         train, fold_column = _assign_folds(train, variants, features, keys, folds, seed)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenura.functions.tails import Z_95
-from tenura.lineage import cut
+from tenura.lineage import staged
 from tenura.operators.ordered import ROWS_PER_SLAB, Cuts, quantile_cuts, running_sums, slabs_for
 
 
@@ -32,7 +32,7 @@ def kaplan_meier(df: DataFrame, group: str | None = None, rows_per_slab: int = R
     NULL once survival is 0.
     """
     keys = [group] if group else []
-    steps = cut(time_steps(df, keys))
+    steps = staged(time_steps(df, keys))
     cuts = cuts_of(steps, rows_per_slab)
     size = steps.groupBy(*keys).agg(F.sum("removed").alias("_size"))
     left = running_sums(steps, "time", {"_gone": F.col("removed")}, keys, cuts=cuts)
@@ -106,7 +106,7 @@ def by_median(df: DataFrame, column: str, name: str = "above_median") -> DataFra
 def exact_median(df: DataFrame, column: str, rows_per_slab: int = ROWS_PER_SLAB) -> float | None:
     """Exact median from value counts: running counts are ordered slab by slab, and only the one
     or two middle values come to the driver."""
-    counts = cut(
+    counts = staged(
         df.filter(F.col(column).isNotNull())
         .groupBy(F.col(column).cast("double").alias("value"))
         .agg(F.count(F.lit(1)).alias("n"))

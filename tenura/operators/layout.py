@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenura.functions.columns import literal_array
-from tenura.lineage import cut
+from tenura.lineage import checkpointed
 from tenura.operators.ordered import Cuts, cut_points, quantile_cuts, with_slab
 
 VALUES_PER_CHUNK = 32_000_000  # about 256 MB of doubles in one task
@@ -107,7 +107,7 @@ def place(
         .sortWithinPartitions("_chunk", "_t")
     )
     # written once to the shared folder; the cache only spares reading it back
-    written = cut(placed).persist(StorageLevel.MEMORY_AND_DISK)
+    written = checkpointed(placed).persist(StorageLevel.MEMORY_AND_DISK)
     array = lambda prefix: np.array([_number(facts[f"{prefix}_{n}"]) for n in names])
     return Placed(
         written, features, folds, rows, array("m"), array("s"), array("z"),

@@ -126,31 +126,56 @@ def _add_partials(key, table):
 
 
 def fit_truncated_svd(
-    df: DataFrame, column: str, columns: int, k: int = COMPONENTS, passes: int = 12,
-    tolerance: float = 1e-7, seed: int = 42,
+    df: DataFrame, column: str, columns: int, k: int = COMPONENTS, passes: int = 200,
+    tolerance: float = 1e-9, seed: int = 42,
 ) -> Projection:
-    """Leading right singular vectors of the uncentred sparse matrix, by block power iteration.
-
-    Every pass reads the rows once and returns a (columns x (k + oversampling)) matrix; the number
-    of columns is bounded by the vocabulary size. Stops early when the singular values settle.
-    Pass rows that are cheap to read again.
+    """Leading right singular vectors of the uncentred sparse matrix, by block Krylov iteration.
+
+    Every pass reads the rows once and multiplies one new block; the best vectors are sought in the
+    whole subspace seen so far (Rayleigh-Ritz), which is cut back to its best part when it outgrows
+    BASIS columns. Ends when the residual |X'Xv - s^2 v| of every wanted component is below `tolerance`
+    times the largest s^2, and raises if `passes` are not enough. The driver holds two matrices of
+    (columns x basis); the number of columns is bounded by the vocabulary size. Pass rows that are cheap
+    to read again.
     """
     tasks = df.rdd.getNumPartitions()
     k = min(k, columns)
     width = min(columns, k + OVERSAMPLING)
-    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((columns, width)))[0]
-    previous = None
+    block = np.linalg.qr(np.random.default_rng(seed).standard_normal((columns, width)))[0]
+    basis, image = np.zeros((columns, 0)), np.zeros((columns, 0))
     for _ in range(passes):
-        y = _gram_times(df, column, q, tasks)
-        small = q.T @ y
+        product = _gram_times(df, column, block, tasks)
+        basis, image = np.hstack([basis, block]), np.hstack([image, product])
+        small = basis.T @ image
         values, rotation = np.linalg.eigh((small + small.T) / 2)
-        strengths = np.sqrt(np.maximum(values[::-1], 0.0))[:k]
-        vectors = (q @ rotation[:, ::-1])[:, :k]
-        if previous is not None and np.abs(strengths - previous).max() <= tolerance * strengths[0]:
-            break
-        previous = strengths
-        q = np.linalg.qr(y)[0]
-    return Projection(_signed(vectors), None, strengths, True)
+        order = np.argsort(values)[::-1]
+        values, rotation = values[order], rotation[:, order]
+        vectors, residual = basis @ rotation[:, :k], image @ rotation[:, :k]
+        residual -= vectors * values[:k]
+        if np.linalg.norm(residual, axis=0).max() <= tolerance * max(values[0], 0.0):
+            return Projection(_signed(vectors), None, np.sqrt(np.maximum(values[:k], 0.0)), True)
+        # the residuals of all vectors lie in what the last product adds to the whole basis
+        block = _new_directions(product, basis, values[0])
+        if basis.shape[1] + width > max(BASIS, 4 * width):
+            kept = rotation[:, : 2 * width]
+            basis, image = basis @ kept, image @ kept
+        if not block.shape[1]:  # the subspace is closed: what it holds is exact
+            return Projection(_signed(vectors), None, np.sqrt(np.maximum(values[:k], 0.0)), True)
+    raise RuntimeError(f"the leading {k} components did not settle within {passes} passes")
+
+
+#: Columns of the subspace that is kept between passes.
+BASIS = 1200
+
+
+def _new_directions(product: np.ndarray, basis: np.ndarray, scale: float) -> np.ndarray:
+    """An orthonormal basis of what `product` adds to `basis`; twice orthogonalised, noise left out."""
+    for _ in range(2):
+        product = product - basis @ (basis.T @ product)
+    left, sizes, _ = np.linalg.svd(product, full_matrices=False)
+    left = left[:, sizes > 1e-12 * max(scale, 1e-300)]
+    left = left - basis @ (basis.T @ left)
+    return np.linalg.qr(left)[0] if left.shape[1] else left
 
 
 def fit_pca(df: DataFrame, column: str, k: int = COMPONENTS) -> Projection:

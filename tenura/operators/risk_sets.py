@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tenura.functions.columns import linear_predictor
 from tenura.functions.tails import normal_two_sided
-from tenura.lineage import cut
+from tenura.lineage import staged
 from tenura.operators.cox import CoxModel
 from tenura.operators.ordered import ROWS_PER_SLAB, Cuts, quantile_cuts, running_sums, slabs_for, with_slab
 
@@ -52,7 +52,7 @@ def risk_table(
             sums[f"r1_{k}"] = F.sum(F.col("r") * F.col(f"f_{k}"))
             sums[f"d1_{k}"] = F.sum(dead * F.col(f"f_{k}"))
             sums[f"x_{k}"] = F.sum(F.col("e") * F.col(f"f_{k}"))
-    steps = cut(
+    steps = staged(
         rows.groupBy("time").agg(F.count(F.lit(1)).alias("n"), *[v.alias(k) for k, v in sums.items()])
     )
     cuts = quantile_cuts(steps, "time", slabs_for(steps.count(), rows_per_slab))
@@ -117,7 +117,7 @@ def baseline_hazard(
 ) -> DataFrame:
     """Breslow baseline: per distinct time the hazard d/s0 and its running sum."""
     table, cuts = risk_table(df, coef, means, rows_per_slab=rows_per_slab)
-    hazard = cut(table.select("time", (F.col("deaths") / F.col("s0")).alias("hazard")))
+    hazard = staged(table.select("time", (F.col("deaths") / F.col("s0")).alias("hazard")))
     return running_sums(hazard, "time", {"cumulative_hazard": F.col("hazard")}, cuts=cuts)
 
 
@@ -139,7 +139,7 @@ def schoenfeld_residuals(
     """Per event row the covariates minus their risk-set mean at that time, one column per feature."""
     features = list(coef)
     table, _ = risk_table(df, coef, means, moments=True, rows_per_slab=rows_per_slab)
-    at_times = cut(_with_means(table, len(features)).select("time", *[f"e_{k}" for k in range(len(features))]))
+    at_times = staged(_with_means(table, len(features)).select("time", *[f"e_{k}" for k in range(len(features))]))
     if at_times.count() <= BROADCAST_TIMES:
         at_times = F.broadcast(at_times)
     events = df.dropna(subset=["duration", "event", *features]).filter(F.col("event") == 1)
@@ -160,7 +160,7 @@ def rank_residual_sums(
     """
     features = list(coef)
     table, cuts = risk_table(df, coef, means, moments=True, rows_per_slab=rows_per_slab)
-    upto = cut(running_sums(table, "time", {"upto": F.col("n")}, cuts=cuts))
+    upto = staged(running_sums(table, "time", {"upto": F.col("n")}, cuts=cuts))
     ranked = _with_means(upto, len(features)).withColumn("g", F.col("upto") - (F.col("n") - 1) / 2.0)
     d, g = F.col("deaths"), F.col("g")
     residual = {k: F.col(f"x_{k}") - d * F.col(f"e_{k}") for k in range(len(features))}
@@ -234,7 +234,7 @@ def surrounding(baseline: DataFrame, times: DataFrame, rows_per_slab: int = ROWS
     """For each requested time the nearest baseline points at or before (t0, h0) and at or after
     it (t1, h1); beyond an end both are the end point."""
     points = baseline.select("time", F.struct("time", F.col("cumulative_hazard").alias("h")).alias("p"))
-    points = cut(points)
+    points = staged(points)
     asked = times.select(F.col("time").cast("double").alias("time")).distinct().withColumn("p", F.lit(None).cast(points.schema["p"].dataType))
     cuts = quantile_cuts(points, "time", slabs_for(points.count(), rows_per_slab))
     rows = with_slab(points.unionByName(asked), "time", cuts)

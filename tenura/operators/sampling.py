@@ -42,11 +42,11 @@ def rank_cutoffs(
     length = 0
     while open_ranks:
         narrowed = _inside(base, {(s, p) for (s, _), (p, _) in open_ranks.items()}, length)
-        length = min(32, length + PREFIX_STEP)
+        known, length = length, min(32, length + PREFIX_STEP)
         counts: dict[tuple, list[tuple[str, int]]] = {}
         rows = narrowed.groupBy("s", F.substring("h", 1, length).alias("p")).count().collect()
         for row in rows:
-            counts.setdefault((row["s"], row["p"][: length - PREFIX_STEP]), []).append((row["p"], row["count"]))
+            counts.setdefault((row["s"], row["p"][:known]), []).append((row["p"], row["count"]))
         close: dict[tuple, tuple[str, int]] = {}
         further: dict[tuple, tuple[str, int]] = {}
         for (s, asked), (prefix, rank) in open_ranks.items():

@@ -18,8 +18,8 @@ RANGES = {"sentiment_score": (-1.0, 1.0), "frustration_level": (0.0, 1.0)}
 FLAGS = ("technical_issue", "value_complaint", "engagement_dropped", "positive_signal")
 FIELDS = (*RANGES, *FLAGS)
 BATCH_SIZE = 10
+RANKING_SLABS = 16
 # Text length that a remote scorer is shown; the built-in scorer always reads whole texts.
-SCORER_TEXT_CHARS = 600
 
 NEUTRAL = {**dict.fromkeys(RANGES, 0.0), **dict.fromkeys(FLAGS, False)}
 
@@ -125,11 +125,16 @@ def align(df: DataFrame, signals: str = "signals", expected: str = "expected") -
 
 
 def with_batches(df: DataFrame, key: str, size: int = BATCH_SIZE, name: str = "batch") -> DataFrame:
-    """Add the number of the fixed-size batch each row falls into, in the order of a unique numeric key."""
-    keys = df.select(F.col(key))
-    cuts = quantile_cuts(keys, key, slabs_for(keys.count()))
-    ranked = running_sums(df, key, {"_rank": F.lit(1)}, cuts=cuts)
-    return ranked.withColumn(name, F.floor((F.col("_rank") - 1) / size)).drop("_rank")
+    """Add the number of the fixed-size batch each row falls into, in the order of a unique numeric key.
+
+    Only keys are ranked, in several slabs at any size; the batch is then joined to the rows by key, so
+    no text is sorted or gathered. Rows of an equal key share a batch, rows without key have none.
+    """
+    keys = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    slabs = max(RANKING_SLABS, slabs_for(keys.count()))
+    ranked = running_sums(keys, "_key", {"_rank": F.col("_n")}, cuts=quantile_cuts(keys, "_key", slabs))
+    numbered = ranked.select("_key", F.floor((F.col("_rank") - 1) / size).alias(name))
+    return df.join(numbered, F.col(key) == F.col("_key"), "left").drop("_key")
 
 
 def _checked(signal: dict) -> dict:

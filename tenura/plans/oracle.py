@@ -202,8 +202,9 @@ SELECT event, feature, CAST(point AS INTEGER) AS point, round(min(s + w * point
 FROM binned, grid GROUP BY event, feature, point""")
 
 ORACLE["histogram_by_event"] = on_l("""
-SELECT event, CAST(least(floor(log_items_count / 0.25), 15) AS INTEGER) AS bin, count(*) AS n_rows
-FROM L WHERE log_items_count BETWEEN 0 AND 4 GROUP BY ALL""")
+SELECT event, CASE WHEN log_items_count < 0 THEN -1 WHEN log_items_count > 4 THEN 16
+                   ELSE CAST(least(floor(log_items_count / 0.25), 15) AS INTEGER) END AS bin, count(*) AS n_rows
+FROM L GROUP BY ALL""")
 
 
 def _spearman(features) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenura.functions.columns import linear_predictor
-from tenura.lineage import cut, shared_dir, spread_small
+from tenura.lineage import shared_dir, staged
 from tenura.operators import cox, dataset, diagnostics, evaluate, kaplan_meier, reduce, risk_sets, sampling, text
 from tenura.operators.concordance import concordance
 from tenura.operators.layout import place
@@ -80,17 +80,17 @@ def churn_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stratified_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = sampling.stratified_cap(cut(frame_l(spark, sf_dir)), dataset.MAX_REVIEWS, L_KEYS)
+    kept = sampling.stratified_cap(staged(frame_l(spark, sf_dir).select(*L_KEYS, "event")), dataset.MAX_REVIEWS, L_KEYS)
     return kept.select("user_id", "item_id", "event")
 
 
 def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = sampling.holdout_split(cut(frame_l(spark, sf_dir)), L_KEYS)
+    split = sampling.holdout_split(staged(frame_l(spark, sf_dir).select(*L_KEYS, "event")), L_KEYS)
     return split.select("user_id", "item_id", "event", "split")
 
 
 def kfold_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.with_folds(cut(frame_l(spark, sf_dir)), L_KEYS).select("user_id", "item_id", "fold")
+    return sampling.with_folds(staged(frame_l(spark, sf_dir).select(*L_KEYS)), L_KEYS).select("user_id", "item_id", "fold")
 
 
 def _curve(df: DataFrame) -> DataFrame:
@@ -106,7 +106,9 @@ def km_by_event(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def km_median_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = kaplan_meier.by_median(cut(frame_l(spark, sf_dir)), "frustration_level")
+    split = kaplan_meier.by_median(
+        staged(frame_l(spark, sf_dir).select("duration", "event", "frustration_level")), "frustration_level"
+    )
     return _curve(kaplan_meier.kaplan_meier(split, "above_median"))
 
 
@@ -130,7 +132,7 @@ def rates_by_event(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def density_by_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(diagnostics.density_by_event(cut(frame_l(spark, sf_dir)), CONTINUOUS), 6, "x", "density")
+    return rounded(diagnostics.density_by_event(staged(frame_l(spark, sf_dir).select("event", *CONTINUOUS)), CONTINUOUS), 6, "x", "density")
 
 
 def histogram_by_event(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +169,7 @@ def baseline_hazard_fixed_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def schoenfeld_fixed_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    residuals = risk_sets.schoenfeld_residuals(cut(frame_l(spark, sf_dir)), FIXED, keep=L_KEYS)
+    residuals = risk_sets.schoenfeld_residuals(staged(frame_l(spark, sf_dir)), FIXED, keep=L_KEYS)
     return rounded(residuals, 6, *FIXED)
 
 
@@ -193,7 +195,7 @@ def survival_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fit(spark: SparkSession, sf_dir: str, *variants):
-    frame = cut(frame_l(spark, sf_dir))
+    frame = staged(frame_l(spark, sf_dir))
     placed = place(frame, list(dict.fromkeys(f for v in variants for f in v)), keys=L_KEYS)
     try:
         models = cox.fit_many(placed, [cox.Spec(str(i), tuple(v)) for i, v in enumerate(variants)])
@@ -295,20 +297,20 @@ def ablation_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tfidf_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = cut(frame_t(spark, sf_dir).select("item_id", "review_text"))
+    frame = staged(frame_t(spark, sf_dir).select("item_id", "review_text"))
     return rounded(text.vocabulary(frame, frame.count()), 6, "idf")
 
 
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = cut(frame_t(spark, sf_dir).select("item_id", "review_text"))
+    frame = staged(frame_t(spark, sf_dir).select("item_id", "review_text"))
     model = text.fit_tfidf(frame)
     return rounded(text.weight_rows(model.transform(frame), model, "item_id"), 6, "weight")
 
 
 def tfidf_svd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = cut(frame_t(spark, sf_dir).select("item_id", "review_text"))
+    frame = staged(frame_t(spark, sf_dir).select("item_id", "review_text"))
     model = text.fit_tfidf(frame)
-    weighted = cut(model.transform(frame).drop("review_text"))
+    weighted = staged(model.transform(frame).drop("review_text"))
     svd = reduce.fit_truncated_svd(weighted, "tfidf", model.size)
     return svd.transform(weighted, "tfidf", "components").drop("tfidf")
 
@@ -323,16 +325,15 @@ def dense_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pca_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = reduce.unit_vectors(frame_v(spark, sf_dir).select("item_id", "embedding"), "embedding")
-    frame = cut(frame)
-    return reduce.fit_pca(frame, "embedding", 16).transform(frame, "embedding", "components").drop("embedding")
+    frame = staged(frame)
+    return reduce.fit_pca(frame, "embedding").transform(frame, "embedding", "components").drop("embedding")
 
 
 # ---------------------------------------------------------------- signals
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("review_text"), "lang")
-    return spread_small(documents)
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("review_text"), "lang")
 
 
 def text_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -437,9 +438,7 @@ def ingest_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ingest_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as records of a customer with two items each, written and read back."""
-    lines = spread_small(
-        table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_linenumber")
-    )
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_linenumber")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     line = F.format_string(
         "{'user_id': 'u%d', 'items_count': %d, 'items': ["

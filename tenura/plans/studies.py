@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenura.lineage import cut
+from tenura.lineage import staged
 from tenura.operators import reduce
 from tenura.operators.cox import check_features, hazard_ratios, likelihood_ratio_test
 from tenura.operators.dataset import KEYS, backfill_behaviour
@@ -51,7 +51,7 @@ class Study:
 
 def split_train_test(df: DataFrame, keys: Sequence[str], fraction: float, seed: int):
     # the split reads the rows a few times, so they are written first
-    marked = holdout_split(cut(df), keys, fraction=fraction, seed=seed)
+    marked = holdout_split(staged(df), keys, fraction=fraction, seed=seed)
     return marked.filter(F.col("split") == "train"), marked.filter(F.col("split") == "test"), marked
 
 
@@ -127,7 +127,7 @@ def add_text_features(
     """TF-IDF and truncated SVD fitted on the training rows, applied to all: tfidf_0, tfidf_1, ..."""
     train = df.filter(F.col(is_train) == "train")
     vocabulary = fit_tfidf(train, text, **rules)
-    weighted = cut(vocabulary.transform(df, text))
+    weighted = staged(vocabulary.transform(df, text).drop(text))  # texts go no further
     svd = reduce.fit_truncated_svd(
         weighted.filter(F.col(is_train) == "train"), "tfidf", vocabulary.size, components
     )
@@ -168,7 +168,7 @@ def _representations(marked: DataFrame, components: int, rules: dict):
         "+Dense +Signals": BEHAVIOURAL + dense + SIGNALS,
         "+TF-IDF +Dense +Signals": BEHAVIOURAL + tfidf + dense + SIGNALS,
     }
-    return cut(with_dense.drop("review_text")), variants
+    return staged(with_dense.drop("review_text")), variants
 
 
 def run_ablation(
@@ -201,7 +201,7 @@ def run_ablation(
         folds=inner, seed=fold_seed, **options,
     )
     if refit_per_fold:
-        folded = cut(with_folds(marked.filter(F.col("split") == "train"), keys, folds, fold_seed))
+        folded = staged(with_folds(marked.filter(F.col("split") == "train"), keys, folds, fold_seed))
         results.folds = {v: [] for v in variants}
         for fold in range(folds):
             sides = folded.withColumn("split", F.when(F.col("fold") == fold, "test").otherwise("train"))

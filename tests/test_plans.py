@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 from test_cox import FEATURES, tied_frame
 
-from tenura.lineage import shared_dir, spread_small
+from tenura.lineage import shared_dir, staged
 from tenura.operators import cox, kaplan_meier, sampling, text
 from tenura.operators.layout import place
+from tenura.operators.signals import with_batches
 
 
 def plan(df) -> str:
@@ -40,11 +41,17 @@ def test_tfidf_weights_are_narrow(spark):
     assert "Exchange" not in plan(model.transform(df))
 
 
-def test_small_inputs_are_spread_and_large_ones_are_not(spark, monkeypatch):
-    df = spark.range(100)
-    assert "Exchange" in plan(spread_small(df))
-    monkeypatch.setattr("tenura.lineage.SMALL_BYTES_PER_CORE", 1)
-    assert "Exchange" not in plan(spread_small(df))
+def test_staged_rows_are_pruned(spark):
+    rows = spark.range(50).select("id", F.lit("a long text").alias("review_text"), (F.col("id") % 2).alias("event"))
+    scan = plan(staged(rows).filter("event = 1").select("event"))
+    assert "review_text" not in scan and "id#" not in scan and "PushedFilters: [IsNotNull(event), EqualTo(event,1)]" in scan
+
+
+def test_batches_rank_keys_only(spark, tmp_path):
+    spark.range(100).select("id", F.lit("a long text").alias("review_text")).write.parquet(str(tmp_path / "t"))
+    numbered = with_batches(spark.read.parquet(str(tmp_path / "t")), "id")
+    windows = [line for line in plan(numbered).splitlines() if "Window" in line]
+    assert windows and not any("review_text" in line for line in windows)
 
 
 def test_the_session_folder_wins(spark):

@@ -12,13 +12,6 @@ NAMES = "documents labels embeddings lineitem orders events".split()
 duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not TABLES.exists(), reason="no tables")
 
-CHEAP = (
-    "survival_dataset", "stage_counts", "holdout_split", "kfold_assignment", "km_by_group", "spearman_matrix",
-    "cindex_fixed_risk", "cox_loglik_fixed_beta", "survival_curve", "tfidf_vocab", "text_signals", "align_batches",
-    "ingest_reviews",
-)
-
-
 def rows(frame):
     def cell(v):
         if v is None or (isinstance(v, float) and math.isnan(v)):
@@ -29,7 +22,7 @@ def rows(frame):
     return columns, sorted(tuple(cell(v) for v in r) for r in frame[columns].astype(object).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", CHEAP)
+@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in NAMES:

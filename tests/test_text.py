@@ -58,7 +58,7 @@ def test_tfidf_and_svd(spark, corpus, monkeypatch):
     rows = weighted.orderBy("id").collect()
     np.testing.assert_allclose(dense(rows, 70), expected, atol=1e-12)
 
-    svd = reduce.fit_truncated_svd(model.transform(train), "tfidf", 70, k=6, passes=200, tolerance=1e-14)
+    svd = reduce.fit_truncated_svd(model.transform(train), "tfidf", 70, k=6)
     u, s, vt = np.linalg.svd(expected[:90], full_matrices=False)
     np.testing.assert_allclose(svd.strengths, s[:6], rtol=1e-6)
     projected = np.array([r.z for r in svd.transform(weighted, "tfidf", "z").orderBy("id").collect()])
@@ -68,6 +68,25 @@ def test_tfidf_and_svd(spark, corpus, monkeypatch):
     assert set(reduce.numbered("tfidf_c", 6)) < set(wide.columns)
 
 
+def test_svd_at_its_defaults(spark, monkeypatch):
+    """64 components of several hundred texts, without and with a subspace that must be cut back."""
+    rng = np.random.default_rng(3)
+    weight = 1 / np.arange(1, 901) ** 0.7
+    docs = [" ".join(f"w{i}" for i in rng.choice(900, rng.integers(5, 60), p=weight / weight.sum())) for _ in range(700)]
+    df = spark.createDataFrame(list(enumerate(docs)), "id int, review_text string").repartition(4)
+    model = text.fit_tfidf(df)
+    weighted = model.transform(df).select("tfidf").cache()
+    x = dense(weighted.collect(), model.size)
+    s, vt = np.linalg.svd(x, full_matrices=False)[1:]
+    for basis in (reduce.BASIS, 1):
+        monkeypatch.setattr(reduce, "BASIS", basis)
+        svd = reduce.fit_truncated_svd(weighted, "tfidf", model.size)
+        np.testing.assert_allclose(svd.strengths, s[:64], rtol=1e-6)
+        assert (np.abs((svd.components * vt[:64].T).sum(axis=0)) > 0.9999).all()
+    with pytest.raises(RuntimeError, match="settle"):
+        reduce.fit_truncated_svd(weighted, "tfidf", model.size, passes=1)
+
+
 def test_pca(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 8)) @ rng.normal(size=(8, 8)) + 5
