@@ -592,8 +592,11 @@ def likelihood_ratio_test(full: CoxModel, restricted: CoxModel, penalized: bool
     }
 
 
-def save_model(spark: SparkSession, model: CoxModel, path: str) -> None:
-    """Coefficients and covariance as Parquet tables, one folder per table."""
+def save_model(spark: SparkSession, model: CoxModel, path: str, baseline: DataFrame | None = None) -> None:
+    """Coefficients and covariance as Parquet tables, one folder per table; with the baseline hazard
+    (`risk_sets.baseline_hazard`) the saved model can predict survival without its training rows."""
+    if baseline is not None:
+        baseline.select("time", "hazard", "cumulative_hazard").write.mode("overwrite").parquet(f"{path}/baseline")
     rows = [
         (i, f, float(c), float(m), float(s))
         for i, (f, c, m, s) in enumerate(zip(model.features, model.coef, model.means, model.stds))
@@ -610,6 +613,11 @@ def save_model(spark: SparkSession, model: CoxModel, path: str) -> None:
     spark.createDataFrame([(json.dumps(facts),)], "facts string").write.mode("overwrite").parquet(f"{path}/facts")
 
 
+def load_baseline(spark: SparkSession, path: str) -> DataFrame:
+    """The baseline hazard of a saved model, one row per distinct time."""
+    return spark.read.schema("time double, hazard double, cumulative_hazard double").parquet(f"{path}/baseline")
+
+
 def load_model(spark: SparkSession, path: str) -> CoxModel:
     facts = json.loads(spark.read.parquet(f"{path}/facts").first()[0])
     rows = spark.read.parquet(f"{path}/coefficients").orderBy("position").collect()

@@ -124,7 +124,30 @@ def histogram_by_event(df: DataFrame, feature: str, low: float, high: float, bin
 
 
 def spearman_matrix(df: DataFrame, features: Sequence[str], rows_per_slab: int = 250_000) -> DataFrame:
-    """Spearman correlation of every pair, as rows (feature_x, feature_y, rho).
+    """Spearman correlation of every pair, as rows (feature_x, feature_y, rho), each over the rows that
+    have both values: a sparse feature does not change the correlations of the others.
+
+    Features without missing values share one computation; each pair with a sparse one has its own.
+    """
+    missing = df.agg(*[F.count(F.when(F.col(f).isNull(), 1)).alias(f) for f in features]).first()
+    full = [f for f in features if not missing[f]]
+    if len(full) == len(features):
+        return _complete_matrix(df, features, rows_per_slab)
+    result = _complete_matrix(df, full, rows_per_slab) if full else None
+    for i, x in enumerate(features):
+        for y in features[i:]:
+            if x in full and y in full:
+                continue
+            pair = [x] if x == y else [x, y]
+            part = _complete_matrix(df.select(*pair), pair, rows_per_slab)
+            # the diagonal belongs to the feature's own rows
+            part = part if x == y else part.filter(F.col("feature_x") != F.col("feature_y"))
+            result = part if result is None else result.unionByName(part)
+    return result
+
+
+def _complete_matrix(df: DataFrame, features: Sequence[str], rows_per_slab: int) -> DataFrame:
+    """The matrix over the rows that have all features.
 
     Equal rows are counted together first. Each feature's average ranks come from its value
     counts; rank tables are broadcast when their checked size is small and joined by shuffle

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenura.functions.columns import field_or, order_hash, stripped
+from tenura.lineage import staged
 from tenura.operators.dataset import as_survival, in_duration_range, join_reviews_items, keep_first
 from tenura.operators.signals import enrich_signals
 
@@ -24,6 +25,7 @@ SIGNALS = (
     "positive_signal",
 )
 L_KEYS = ("user_id", "item_id")
+BROADCAST_BYTES = 8 * 1024 * 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,7 +99,11 @@ def document_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in the shape of owned items: their length plays the minutes, the number of
     documents in the same language the items of their owner."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
-    per_lang = documents.groupBy("lang").agg(F.count(F.lit(1)).alias("items_count"))
+    # few languages: sent to all tasks after a look at their size, as a join on `lang` would gather the
+    # documents in as many tasks as there are languages
+    per_lang = staged(documents.groupBy("lang").agg(F.count(F.lit(1)).alias("items_count")))
+    size = per_lang.agg(F.sum(F.octet_length("lang") + 32)).first()[0] or 0
+    per_lang = F.broadcast(per_lang) if size <= BROADCAST_BYTES else per_lang
     return documents.join(per_lang, "lang", "inner").select(
         F.col("source").alias("user_id"),
         F.col("doc_id").alias("item_id"),

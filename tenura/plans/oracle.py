@@ -329,6 +329,7 @@ def newton(models: str, steps: int = 7) -> str:
 STEPS = 7
 ALL_ROWS = "SELECT 0 AS k, duration AS t, event AS e, log_playtime_2weeks AS x1, log_items_count AS x2 FROM L"
 
+ORACLE["model_roundtrip"] = ORACLE["survival_curve"]
 ORACLE["cox_fit"] = on_l(newton(ALL_ROWS) + f""",
 raw AS (
   SELECT 'log_playtime_2weeks' AS feature, b1 / s1 AS coef, sqrt(hbb / (haa * hbb - hab * hab)) / s1 AS se

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -180,15 +181,34 @@ def ph_sums_fixed_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OBSERVATIONS = (
+    {"log_playtime_2weeks": 1.0, "frustration_level": 0.0, "technical_issue": 0},
+    {"log_playtime_2weeks": 3.5, "frustration_level": 1.0, "technical_issue": 1},
+)
+
+
+def _predicted(spark: SparkSession, base: DataFrame, coef: dict[str, float], means: dict[str, float]) -> DataFrame:
+    times = spark.range(0, 130).select((F.col("id") * 20 + F.lit(0.25)).alias("time"))
+    return rounded(risk_sets.predict_survival(base, coef, means, OBSERVATIONS, times), 6, "survival_prob")
+
+
 def survival_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = risk_sets.baseline_hazard(frame_l(spark, sf_dir), FIXED)
-    times = spark.range(0, 130).select((F.col("id") * 20 + F.lit(0.25)).alias("time"))
-    observations = [
-        {"log_playtime_2weeks": 1.0, "frustration_level": 0.0, "technical_issue": 0},
-        {"log_playtime_2weeks": 3.5, "frustration_level": 1.0, "technical_issue": 1},
-    ]
-    curve = risk_sets.predict_survival(base, FIXED, dict.fromkeys(FIXED, 0.0), observations, times)
-    return rounded(curve, 6, "survival_prob")
+    return _predicted(spark, base, FIXED, dict.fromkeys(FIXED, 0.0))
+
+
+def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The curves of `survival_curve` from a model that was saved with its baseline hazard and loaded."""
+    p = len(FIXED)
+    model = cox.CoxModel(
+        cox.Spec("fixed", tuple(FIXED)), 0.0, 0, 0, np.zeros(p), np.ones(p), np.array(list(FIXED.values())),
+        0.0, 0.0, np.zeros(p), -np.eye(p), 0,
+    )
+    path = f"{shared_dir(spark)}/{uuid.uuid4()}"
+    cox.save_model(spark, model, path, risk_sets.baseline_hazard(frame_l(spark, sf_dir), FIXED))
+    again = cox.load_model(spark, path)
+    coef, means = (dict(zip(again.features, v.tolist(), strict=True)) for v in (again.coef, again.means))
+    return _predicted(spark, cox.load_baseline(spark, path), coef, means)
 
 
 # ---------------------------------------------------------------- fitted models
@@ -483,6 +503,7 @@ QUERIES = {
         schoenfeld_fixed_beta,
         ph_sums_fixed_beta,
         survival_curve,
+        model_roundtrip,
         cox_fit,
         hazard_ratios,
         cox_gradient_at_fit,
