@@ -516,3 +516,12 @@ WITH owned AS (
 SELECT 'u' || o_custkey AS user_id, item_id, count(*) AS n_rows, round(sum(h), 6) AS hours,
        round(sum(r), 6) AS recent_hours, max(l_linenumber) AS items_count
 FROM owned GROUP BY o_custkey, item_id"""
+
+ORACLE["ingest_bad_lines"] = """
+SELECT count(*) AS n_lines, count(*) FILTER (doc_id % 10 = 3) AS n_bad FROM documents JOIN labels USING (doc_id)"""
+
+# what is written and read back must be what was written
+ORACLE["survival_saved"] = ORACLE["survival_dataset"]
+ORACLE["split_saved"] = ORACLE["holdout_split"]
+ORACLE["weights_saved"] = ORACLE["tfidf_weights"]
+ORACLE["vectors_cached"] = ORACLE["dense_vectors"]

@@ -36,7 +36,7 @@ from tenura.plans.frames import (
     line_pairs,
     table,
 )
-from tenura.sources import nested
+from tenura.sources import nested, tables
 from tenura.streaming.scoring import score_stream, write_scores
 
 FEATURES = (*BEHAVIOURAL, *SIGNALS)
@@ -442,8 +442,8 @@ def _written_lines(spark: SparkSession, lines: DataFrame) -> str:
     return path
 
 
-def ingest_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents written as gzipped record literals, with some broken lines, and read back."""
+def _review_lines(spark: SparkSession, sf_dir: str) -> str:
+    """Labelled documents written as gzipped record literals, with some broken lines."""
     documents = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     line = F.format_string(
         "{'user_id': %s, u'reviews': [{'item_id': '%d', %s'review': %s}, {'item_id': 'short', 'review': ' x '}]}",
@@ -451,11 +451,20 @@ def ingest_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("quality") == 1, "'recommend': True, ").otherwise(""), _literal("text"),
     )
     broken = F.when(F.col("doc_id") % 10 == 3, F.expr("left(line, 40)")).otherwise(F.col("line"))
-    path = _written_lines(spark, documents.withColumn("line", line).select(broken.alias("value")))
-    flat, _ = nested.load_reviews(spark, path)
+    return _written_lines(spark, documents.withColumn("line", line).select(broken.alias("value")))
+
+
+def ingest_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record literals read back as flat reviews."""
+    flat, _ = nested.load_reviews(spark, _review_lines(spark, sf_dir))
     return flat.select("user_id", "item_id", "recommend", "posted", F.md5("review_text").alias("text_md5"))
 
 
+def ingest_bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines were read, and how many of them are broken."""
+    return nested.bad_lines(nested.read_dict_lines(spark, _review_lines(spark, sf_dir), nested.REVIEWS))
+
+
 def ingest_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as records of a customer with two items each, written and read back."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_linenumber")
@@ -475,6 +484,54 @@ def ingest_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------- tables written and read back
+
+
+def _new_path(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/{uuid.uuid4()}"
+
+
+def survival_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The survival table built once, and found again as its input is the same."""
+    path, inputs = _new_path(spark), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    tables.materialize(spark, path, lambda: frame_l(spark, sf_dir), inputs)
+    again = tables.materialize(spark, path, lambda: frame_l(spark, sf_dir).limit(0), inputs)
+    return rounded(again, 6, *BEHAVIOURAL, *CONTINUOUS)
+
+
+def split_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides of a saved split, selected from the rows by the stored assignment."""
+    path, rows = _new_path(spark), staged(frame_l(spark, sf_dir).select(*L_KEYS, "event"))
+    split = sampling.holdout_split(rows, L_KEYS).select(*L_KEYS, "split")
+    tables.write_split(split, path, sampling.HOLDOUT_SEED, sampling.HOLDOUT_FRACTION)
+    saved = tables.read_table(spark, path)
+    train, test = (
+        tables.select_by_split(rows, saved, L_KEYS, side).withColumn("split", F.lit(side)) for side in ("train", "test")
+    )
+    return train.unionByName(test)
+
+
+def weights_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _new_path(spark)
+    tables.write_table(tfidf_weights(spark, sf_dir), path)
+    return tables.read_table(spark, path)
+
+
+def vectors_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of the documents with an event cached first, then those that are missing."""
+    path, rows = _new_path(spark), frame_t(spark, sf_dir)
+    vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "item_id")
+
+    def encode(wanted: DataFrame) -> DataFrame:
+        return reduce.attach_vectors(wanted.select("item_id"), vectors, "item_id")
+
+    tables.cached_vectors(spark, path, rows.filter("event = 1"), "item_id", encode)
+    cached = tables.cached_vectors(spark, path, rows, "item_id", encode)
+    return cached.select("item_id", F.posexplode("embedding").alias("position", "value")).withColumn(
+        "value", F.round("value", 6)
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -530,5 +587,10 @@ QUERIES = {
         signal_fallbacks,
         ingest_reviews,
         ingest_items,
+        ingest_bad_lines,
+        survival_saved,
+        split_saved,
+        weights_saved,
+        vectors_cached,
     )
 }

@@ -53,11 +53,12 @@ def materialize(
 ) -> DataFrame:
     """The table at `path`, built if it is absent, on request, or if the input rows changed.
 
-    A table without a matching record of its inputs is rebuilt rather than trusted.
+    A table without a matching record of its inputs is rebuilt rather than trusted; without `inputs` it
+    is always rebuilt.
     """
     want = fingerprint(inputs) if inputs is not None else {"rows": "", "hash": ""}
     note = f"{path.rstrip('/')}_inputs"
-    if not refresh and _exists(spark, path) and _exists(spark, note):
+    if inputs is not None and not refresh and _exists(spark, path) and _exists(spark, note):
         if spark.read.parquet(note).select("rows", "hash").first().asDict() == want:
             return spark.read.parquet(path)
     write_table(build(), path)
