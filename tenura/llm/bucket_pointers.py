@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,11 +118,49 @@ def _slices(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         at = to
 
 
+def _dump(values: np.ndarray) -> bytes:
+    """Structured rows, field by field; compressed, as these are most of what is shuffled."""
+    return zstandard.compress(b"".join(np.ascontiguousarray(values[n]).tobytes() for n in values.dtype.names), 1)
+
+
+def _load(data: list[bytes], kind: np.dtype) -> np.ndarray:
+    parts = [np.zeros(0, kind)]
+    for packed in data:
+        raw, at = zstandard.decompress(packed), 0
+        part = np.zeros(len(raw) // kind.itemsize, kind)
+        for name in kind.names:
+            field = kind[name]
+            size = len(part) * field.itemsize
+            part[name] = np.frombuffer(raw[at : at + size], field.base).reshape(part[name].shape)
+            at += size
+        parts.append(part)
+    return np.concatenate(parts)
+
+
+def _dump_sorted(hashes: np.ndarray) -> bytes:
+    """Ascending hashes as their differences, byte by byte of equal rank."""
+    steps = np.diff(hashes, prepend=np.uint64(0)).astype("<u8")
+    return zstandard.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _load_sorted(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8")[:, 0], dtype=np.uint64)
+
+
 def _texts(rows: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Texts as bytes, doc_ids, tags, and whether there is a doc_id."""
+    """Texts as bytes, doc_ids, ranks, and whether there is a doc_id. The rank tells rows of one doc_id in
+    a block apart: their different texts in the order of their tags; equal rows have equal ranks."""
     text = rows.column("text").combine_chunks().cast(pa.binary()).to_pylist()
-    doc = rows.column("doc_id").combine_chunks()
-    return text, doc.fill_null(0).to_numpy(), rows.column("tag").to_numpy(), doc.is_valid().to_numpy(zero_copy_only=False)
+    ids = rows.column("doc_id").combine_chunks()
+    doc, tag = ids.fill_null(0).to_numpy(), rows.column("tag").to_numpy()
+    order = np.lexsort((tag, doc))
+    new_doc = np.diff(doc[order], prepend=doc[order][:1] - 1) != 0
+    new_tag = new_doc | (np.diff(tag[order], prepend=tag[order][:1]) != 0)
+    number = np.cumsum(new_tag) - 1
+    rank = np.zeros(len(doc), np.int64)
+    rank[order] = number - np.maximum.accumulate(np.where(new_doc, number, 0))
+    return text, doc, rank, ids.is_valid().to_numpy(zero_copy_only=False)
 
 
 def _packed(rows: list[dict], schema: pa.Schema) -> pa.Table:
@@ -154,7 +193,7 @@ def bucket_members(rows: pa.Table, block: int, buckets: int) -> pa.Table:
     parts = np.split(order, cuts) if len(order) else []
     return _packed(
         [
-            {"bucket": int(group[p[0]]), "block": block, "hashes": hashes[p].tobytes(), "several": several[p].tobytes()}
+            {"bucket": int(group[p[0]]), "block": block, "hashes": _dump_sorted(hashes[p]), "several": np.packbits(several[p]).tobytes()}
             for p in parts
         ],
         PASS1,
@@ -166,8 +205,10 @@ SHARED = pa.schema([("block", pa.int32()), ("hashes", pa.binary()), ("hot", pa.b
 
 def shared_buckets(rows: pa.Table, hot_blocks: int = HOT_BLOCKS) -> pa.Table:
     """For each block, those of its minimizer buckets that at least two documents meet anywhere."""
-    lists = [np.frombuffer(b, np.uint64) for b in rows.column("hashes").to_pylist()]
-    several = np.concatenate([np.frombuffer(b, bool) for b in rows.column("several").to_pylist()])
+    lists = [_load_sorted(b) for b in rows.column("hashes").to_pylist()]
+    several = np.concatenate(
+        [np.unpackbits(np.frombuffer(b, np.uint8), count=len(own)) for b, own in zip(rows.column("several").to_pylist(), lists, strict=True)]
+    ).astype(bool)
     hashes = np.concatenate(lists)
     values, code, n = np.unique(hashes, return_inverse=True, return_counts=True)
     met = n > 1
@@ -177,19 +218,19 @@ def shared_buckets(rows: pa.Table, hot_blocks: int = HOT_BLOCKS) -> pa.Table:
     for block, own in zip(rows.column("block").to_pylist(), lists, strict=True):
         k = keep[at : at + len(own)]
         if k.any():
-            out.append({"block": block, "hashes": own[k].tobytes(), "hot": hot[at : at + len(own)][k].tobytes()})
+            out.append({"block": block, "hashes": _dump_sorted(own[k]), "hot": hot[at : at + len(own)][k].tobytes()})
         at += len(own)
     return _packed(out, SHARED)
 
 
-#: Segments travel in packed columns: key, doc_id, tag, position (8 bytes each), least and greatest offset of
-#: the minimizer in a window (1 byte each), the bytes before it, nearest first, and those after it.
+#: Segments travel in packed columns: key, doc_id, rank, position, least and greatest offset of the minimizer
+#: in a window, the bytes before it, nearest first, and those after it.
 FIELDS = np.dtype(
-    [("key", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("at", "<i8"), ("low", "u1"), ("high", "u1"),
+    [("key", "<u8"), ("doc", "<i8"), ("rank", "<u2"), ("at", "<u4"), ("low", "u1"), ("high", "u1"),
      ("before", "u1", (SIDE,)), ("after", "u1", (SIDE,))]
 )
-SETTLED = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("at", "<i8"), ("end", "<i8")])
-PASS2 = pa.schema([("bucket", pa.int32()), ("segments", pa.binary()), ("settled", pa.binary())])
+SETTLED = np.dtype([("doc", "<i8"), ("rank", "<u2"), ("at", "<u4"), ("end", "<u4")])
+PASS2 = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("segments", pa.binary()), ("settled", pa.binary())])
 
 
 def _distinct(segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,13 +244,13 @@ def _distinct(segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
-def block_segments(rows: pa.Table, shared: pa.Table, buckets: int) -> pa.Table:
+def block_segments(rows: pa.Table, shared: pa.Table, block: int, buckets: int) -> pa.Table:
     """The segments of a block that lie in shared buckets, dealt by bucket group. Of equal segments only
     those of the smallest doc_id travel; the others are settled: all their windows repeat."""
     if not rows.num_rows or not shared.num_rows:
         return PASS2.empty_table()
-    texts, doc, tag, known = _texts(rows)
-    hashes = np.concatenate([np.frombuffer(b, np.uint64) for b in shared.column("hashes").to_pylist()])
+    texts, doc, rank, known = _texts(rows)
+    hashes = np.concatenate([_load_sorted(b) for b in shared.column("hashes").to_pylist()])
     hot = np.concatenate([np.frombuffer(b, bool) for b in shared.column("hot").to_pylist()])
     order = np.argsort(hashes)
     hashes, hot = hashes[order], hot[order]
@@ -230,7 +271,7 @@ def block_segments(rows: pa.Table, shared: pa.Table, buckets: int) -> pa.Table:
         out = np.zeros(len(begin), FIELDS)
         out["key"] = least[begin]
         where = first + row[begin]
-        out["doc"], out["tag"] = doc[where], tag[where]
+        out["doc"], out["rank"] = doc[where], rank[where]
         out["at"] = at[begin] - bounds[row[begin]]
         out["high"], out["low"] = at[begin] - windows[begin], at[begin] - windows[last]
         padded = np.concatenate([np.zeros(SIDE, np.uint8), data, np.zeros(LENGTH, np.uint8)])
@@ -254,16 +295,16 @@ def block_segments(rows: pa.Table, shared: pa.Table, buckets: int) -> pa.Table:
     repeat = segments["doc"] > smallest
     settled = np.zeros(int(repeat.sum()), SETTLED)
     own = segments[repeat]
-    settled["doc"], settled["tag"] = own["doc"], own["tag"]
-    settled["at"], settled["end"] = own["at"] - own["high"], own["at"] - own["low"] + LENGTH
+    settled["doc"], settled["rank"] = own["doc"], own["rank"]
+    settled["at"], settled["end"] = own["at"] - own["high"], own["at"] - own["low"] + np.uint32(LENGTH)
     segments = segments[~repeat]
     group = (segments["key"] % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(group, kind="stable")
     out = [
-        {"bucket": int(group[p[0]]), "segments": segments[p].tobytes(), "settled": b""}
+        {"bucket": int(group[p[0]]), "block": block, "segments": _dump(segments[p]), "settled": None}
         for p in np.split(order, np.flatnonzero(np.diff(group[order])) + 1)
     ]
-    out[0]["settled"] = settled.tobytes()
+    out[0]["settled"] = _dump(settled)
     return _packed(out, PASS2)
 
 
@@ -275,20 +316,28 @@ def _refined(ids: np.ndarray, byte: np.ndarray) -> np.ndarray:
 REPEATS = pa.schema([("block", pa.int32()), ("spans", pa.binary())])
 
 
-def repeated_spans(rows: pa.Table, blocks: int) -> pa.Table:
+def repeated_spans(rows: pa.Table) -> pa.Table:
     """Spans of windows that also start in a document of smaller doc_id, sorted out by block."""
-    segments = np.concatenate([np.zeros(0, FIELDS), *[np.frombuffer(b, FIELDS) for b in rows.column("segments").to_pylist()]])
-    spans = [np.concatenate([np.zeros(0, SETTLED), *[np.frombuffer(b, SETTLED) for b in rows.column("settled").to_pylist()]])]
-
-    def add(part: np.ndarray, high: np.ndarray, low: np.ndarray) -> None:
+    packed, blocks = rows.column("segments").to_pylist(), np.array(rows.column("block").to_pylist(), np.int64)
+    lists = [_load([b], FIELDS) for b in packed]
+    segments, home = np.concatenate(lists), np.repeat(blocks, [len(x) for x in lists])
+    spans, homes = [np.zeros(0, SETTLED)], [np.zeros(0, np.int64)]
+    for block, settled in zip(blocks.tolist(), rows.column("settled").to_pylist(), strict=True):
+        if settled:
+            spans.append(_load([settled], SETTLED))
+            homes.append(np.full(len(spans[-1]), block))
+
+    def add(part: np.ndarray, block: np.ndarray, high: np.ndarray, low: np.ndarray) -> None:
         out = np.zeros(len(part), SETTLED)
-        out["doc"], out["tag"] = part["doc"], part["tag"]
-        out["at"], out["end"] = part["at"] - high, part["at"] - low + LENGTH
+        out["doc"], out["rank"] = part["doc"], part["rank"]
+        at = part["at"].astype(np.int64)
+        out["at"], out["end"] = at - high, at - low + LENGTH
         spans.append(out)
+        homes.append(block)
 
     if len(segments):
         order, new = _distinct(segments)
-        segments = segments[order]
+        segments, home = segments[order], home[order]
         begin = np.flatnonzero(new)
         code = np.cumsum(new) - 1
         first = segments["doc"][begin]  # the smallest doc_id of each distinct segment
@@ -296,8 +345,9 @@ def repeated_spans(rows: pa.Table, blocks: int) -> pa.Table:
         key = segments["key"][begin]
         _, bucket, n = np.unique(key, return_inverse=True, return_counts=True)
         open_ = (n > 1)[bucket]
-        simple = segments[(segments["doc"] > first[code]) & ~open_[code]]
-        add(simple, simple["high"], simple["low"])
+        which = (segments["doc"] > first[code]) & ~open_[code]
+        simple = segments[which]
+        add(simple, home[which], simple["high"], simple["low"])
         if open_.any():
             own = segments[begin[open_]]
             doc = first[open_]
@@ -315,7 +365,7 @@ def repeated_spans(rows: pa.Table, blocks: int) -> pa.Table:
                     np.minimum.at(smallest, at, doc[inside])
                     least[inside, k] = smallest[at]
             number = np.cumsum(open_) - 1
-            members = segments[open_[code]]
+            members, where = segments[open_[code]], home[open_[code]]
             rowwise = least[number[code[open_[code]]]]
             hit = rowwise < members["doc"][:, None]
             r, k = np.nonzero(hit)
@@ -323,19 +373,13 @@ def repeated_spans(rows: pa.Table, blocks: int) -> pa.Table:
             new = np.concatenate([[True], (r[1:] != r[:-1]) | (k[1:] != k[:-1] + 1)]) if len(r) else np.zeros(0, bool)
             start = np.flatnonzero(new)
             stop = np.append(start[1:], len(r)) - 1
-            add(members[r[start]], k[stop], k[start])
-    found = np.concatenate(spans)
+            add(members[r[start]], where[r[start]], k[stop], k[start])
+    found, block = np.concatenate(spans), np.concatenate(homes)
     if not len(found):
         return REPEATS.empty_table()
-    block = _block_of(found["doc"], found["tag"], blocks)
     order = np.argsort(block, kind="stable")
     parts = np.split(order, np.flatnonzero(np.diff(block[order])) + 1)
-    return _packed([{"block": int(block[p[0]]), "spans": found[p].tobytes()} for p in parts], REPEATS)
-
-
-def _block_of(doc: np.ndarray, tag: np.ndarray, blocks: int) -> np.ndarray:
-    """The block of a document: tags are hashes of the text already."""
-    return ((tag ^ (doc * 31)) & np.int64(0x7FFFFFFFFFFFFFFF)) % blocks
+    return _packed([{"block": int(block[p[0]]), "spans": _dump(found[p])} for p in parts], REPEATS)
 
 
 CLEANED = pa.schema(
@@ -345,18 +389,18 @@ CLEANED = pa.schema(
 
 
 def cleaned_block(rows: pa.Table, spans: pa.Table, keep_bytes: bool) -> pa.Table:
-    texts, doc, tag, known = _texts(rows)
-    found = np.concatenate([np.zeros(0, SETTLED), *[np.frombuffer(b, SETTLED) for b in spans.column("spans").to_pylist()]])
-    found = found[np.lexsort((found["at"], found["tag"], found["doc"]))]
+    texts, doc, rank, known = _texts(rows)
+    found = _load(spans.column("spans").to_pylist(), SETTLED)
+    found = found[np.lexsort((found["at"], found["rank"], found["doc"]))]
     starts: dict[tuple[int, int], slice] = {}
     if len(found):
-        new = np.concatenate([[True], (found["doc"][1:] != found["doc"][:-1]) | (found["tag"][1:] != found["tag"][:-1])])
+        new = np.concatenate([[True], (found["doc"][1:] != found["doc"][:-1]) | (found["rank"][1:] != found["rank"][:-1])])
         begin = np.flatnonzero(new)
         for a, b in zip(begin.tolist(), np.append(begin[1:], len(found)).tolist(), strict=True):
-            starts[int(found["doc"][a]), int(found["tag"][a])] = slice(a, b)
+            starts[int(found["doc"][a]), int(found["rank"][a])] = slice(a, b)
     out = []
     for k, text in enumerate(texts):
-        own = starts.get((int(doc[k]), int(tag[k]))) if known[k] else None
+        own = starts.get((int(doc[k]), int(rank[k]))) if known[k] else None
         kept, removed, runs, at = [], 0, 0, 0
         if own is not None:
             end = -1
@@ -411,9 +455,9 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False, hot_blocks: int =
     met = by_block.applyInArrow(members, _ddl(PASS1))
     shared = met.groupBy("bucket").applyInArrow(lambda own: shared_buckets(own, hot_blocks), _ddl(SHARED))
     segments = by_block.cogroup(shared.groupBy("block")).applyInArrow(
-        lambda own, other: block_segments(own, other, buckets), _ddl(PASS2)
+        lambda key, own, other: block_segments(own, other, key[0].as_py(), buckets), _ddl(PASS2)
     )
-    spans = segments.groupBy("bucket").applyInArrow(lambda own: repeated_spans(own, blocks), _ddl(REPEATS))
+    spans = segments.groupBy("bucket").applyInArrow(repeated_spans, _ddl(REPEATS))
     return by_block.cogroup(spans.groupBy("block")).applyInArrow(
         lambda own, other: cleaned_block(own, other, keep_bytes), _ddl(CLEANED)
     )
