@@ -29,7 +29,7 @@ RUN = 25
 #: Rows of whole bands compared at a time, and group size up to which all pairs are listed.
 CHUNK, SMALL = 20_000, 32
 #: Bytes of text split into words at a time.
-SLICE = 8_000_000
+SLICE = 4_000_000
 
 SENTENCE = re.compile(r"[^\n.!?]*[^\n.!?\s][^\n.!?]*[.!?]*")
 

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tenura.lineage import staged
@@ -194,14 +194,9 @@ def read_files(files: DataFrame) -> DataFrame:
     """What the files hold: (doc_id, start, n_tokens, ids_crc32), `start` over all files. One row a part
     is broadcast: as many as the writing job had tasks."""
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("held"))
-    before = parts.select(F.col("part").alias("other"), "held")
-    # a sum over the earlier parts; both sides have one row a task of the writing job
-    offsets = (
-        parts.select("part")
-        .join(F.broadcast(before), F.col("other") < F.col("part"), "left")
-        .groupBy("part")
-        .agg(F.coalesce(F.sum("held"), F.lit(0)).alias("offset"))
-    )
+    # one row a task of the writing job
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("part", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("offset"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words whose ids a worker remembers, first come first kept: a bound on memory, never on results.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Bytes of text whose words are looked up at once.
 BATCH_CHARS = 8_000_000
 
