@@ -34,17 +34,11 @@ def kaplan_meier(df: DataFrame, group: str | None = None, rows_per_slab: int = R
     keys = [group] if group else []
     steps = staged(time_steps(df, keys))
     cuts = cuts_of(steps, rows_per_slab)
-    size = steps.groupBy(*keys).agg(F.sum("removed").alias("_size"))
-    left = running_sums(steps, "time", {"_gone": F.col("removed")}, keys, cuts=cuts)
-    if group:
-        size = size.withColumnRenamed(group, "_group")
-        sized = left.join(size, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
-    else:
-        sized = left.join(F.broadcast(size))  # a global aggregate: exactly one row
-    at_risk = sized.withColumn("at_risk", F.col("_size") - F.col("_gone") + F.col("removed"))
+    # at risk are all that leave at this time or later; written, as the next sums read it more than once
+    at_risk = staged(running_sums(steps, "time", {"at_risk": F.col("removed")}, keys, descending=True, cuts=cuts))
     lived = F.col("at_risk") - F.col("deaths")
     summed = running_sums(
-        at_risk.drop("_gone"),
+        at_risk,
         "time",
         {
             "_log_s": F.when(lived > 0, F.log(lived / F.col("at_risk"))).otherwise(F.lit(0.0)),
