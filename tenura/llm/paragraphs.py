@@ -2,9 +2,14 @@
 
 Paragraphs (lines) of SHINGLE words or more get MinHash values of their word shingles; bands tuned
 for high recall bring candidates together, exact Jaccard similarity decides, and clusters are connected
-components. Passages set into the middle of other paragraphs repeat only in their inner sentences;
-these are compared for equality. A document loses a run of repeated paragraphs and sentences of RUN words
-or more if each also stands in a document of smaller doc_id.
+components. Passages set into the middle of other paragraphs repeat in their inner sentences, which are
+compared for equality, and in their windows of WINDOW words, which heed no line or sentence end. A
+document loses a run of repeated paragraphs, sentences and windows of RUN words or more if each also
+stands in a document of smaller doc_id.
+
+Windows are compared in two steps. The least hash of the SEED-word sequences inside a window names it by
+its content alone; only windows whose name several documents have are hashed as a whole. Equal stretches
+of WINDOW words or more are thus found from their first to their last word, wherever they stand.
 """
 
 from __future__ import annotations
@@ -26,11 +31,14 @@ from tenura.llm.pivot_simhash import local_stars
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.98
 #: Words of the shortest run that is removed: common headings and mottoes stay.
 RUN = 25
+#: Words of a window and of the sequences that name it: powers of two, hashed by doubling.
+WINDOW, SEED = 16, 8
 #: Rows of whole bands compared at a time, and group size up to which all pairs are listed.
 CHUNK, SMALL = 20_000, 32
 #: Bytes of text split into words at a time.
 SLICE = 4_000_000
 
+WORD = re.compile(r"\S+")
 SENTENCE = re.compile(r"[^\n.!?]*[^\n.!?\s][^\n.!?]*[.!?]*")
 
 
@@ -59,16 +67,21 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingled(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lines as hashes: words of each line, its key, and the hashes of its shingles with their bounds.
-    Words are lower-cased runs without white space; a line short of a shingle has one of all its words."""
+def _words(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and the bounds of each line's. Words are lower-cased runs without white space."""
     words = pc.utf8_split_whitespace(pc.utf8_lower(lines))
     flat = words.flatten()
     kept = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
     bounds = np.concatenate([[0], np.cumsum(kept)])[np.asarray(words.offsets) - words.offsets[0].as_py()]
     coded = flat.filter(pa.array(kept)).dictionary_encode()
     table_ = np.array([xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
-    hashes = table_[coded.indices.to_numpy()] if len(table_) else np.zeros(0, np.uint64)
+    return (table_[coded.indices.to_numpy()] if len(table_) else np.zeros(0, np.uint64)), bounds
+
+
+def shingled(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lines as hashes: words of each line, its key, and the hashes of its shingles with their bounds.
+    A line short of a shingle has one of all its words."""
+    hashes, bounds = _words(lines)
     n_words = np.diff(bounds)
     sizes = np.where(n_words >= SHINGLE, n_words - SHINGLE + 1, np.minimum(n_words, 1))
     ends = np.cumsum(sizes)
@@ -184,6 +197,74 @@ def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
     return ((a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b)
 
 
+def _windows(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window of WINDOW words of the texts: its row, the number of its first word, its name (the least
+    hash of its SEED-word sequences) and its key (the hash of all its words)."""
+    hashes, bounds = _words(column)
+    row = np.repeat(np.arange(len(column)), np.maximum(np.diff(bounds) - WINDOW + 1, 0))
+    sizes = np.bincount(row, minlength=len(column))
+    number = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at = bounds[:-1][row] + number
+    if not len(at):
+        return row, number, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    key, width = _mix(hashes), 1
+    while width < WINDOW:
+        if width == SEED:
+            least, span = key, 1  # the least of `span` sequences from each word on
+            while span * 2 <= WINDOW - SEED + 1:
+                least = np.minimum(least[:-span], least[span:])
+                span *= 2
+            rest = WINDOW - SEED + 1 - span
+            least = np.minimum(least[: len(least) - rest], least[rest:])
+        key = _mix(key[:-width] * MULTIPLY[0] + _mix(key[width:] + ADD[0]))
+        width *= 2
+    return row, number, least[at], key[at]
+
+
+def seeds_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, seed): the names of a document's windows, repeats allowed."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, count in _slices(batch.column("text")):
+                row, _, least, _ = _windows(batch.column("text").slice(first, count))
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (least[1:] != least[:-1])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(row[new] + first)), pa.array(least[new].view(np.int64))],
+                    ["doc_id", "seed"],
+                )
+
+    return docs.mapInArrow(of, "doc_id long, seed long")
+
+
+def windows_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, word, key) of the windows whose name another document has too; `word` is the number of
+    the first word."""
+    seeds = staged(seeds_of(docs))
+    several = seeds.groupBy("seed").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    shared = seeds.join(several.filter("first < last").select("seed"), "seed")
+    named = shared.groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))  # at most a document's words
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, count in _slices(batch.column("text")):
+                row, number, least, key = _windows(batch.column("text").slice(first, count))
+                # a name that one document shares is shared in all documents that have it
+                asked = batch.column("seeds").slice(first, count).flatten().to_numpy().view(np.uint64)
+                met = np.isin(least, asked)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").take(pa.array(row[met] + first)),
+                        pa.array(number[met].astype(np.int32)),
+                        pa.array(key[met].view(np.int64)),
+                    ],
+                    ["doc_id", "word", "key"],
+                )
+
+    return docs.join(named, "doc_id").select("doc_id", "text", "seeds").mapInArrow(of, "doc_id long, word int, key long")
+
+
 class Sets:
     """Shingle sets, flat: set k is flat[bounds[k]:bounds[k + 1]], without repeats."""
 
@@ -313,9 +394,10 @@ def clusters(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, line, begin, end, n_words, keeper): every line and inner sentence that is alike or
-    nearly alike in a document of smaller doc_id, `keeper`. Lines carry no offsets. Rows without doc_id,
-    and texts without words, hold nothing and remove nothing; repeated rows of one doc_id are one document."""
+    """(doc_id, kind, line, begin, end, n_words, keeper): every line, inner sentence and window that is alike or
+    nearly alike in a document of smaller doc_id, `keeper`. Lines carry no offsets; those of windows are the
+    numbers of the first word and of the one after the last. Rows without doc_id, and texts without words,
+    hold nothing and remove nothing; repeated rows of one doc_id are one document."""
     docs = texts(docs).filter("doc_id is not null and text <> ''")
     lines = staged(lines_of(docs))
     found = clusters(docs, lines)
@@ -327,16 +409,33 @@ def repeated(docs: DataFrame) -> DataFrame:
     inner = staged(sentences_of(docs)).repartition("key")
     firsts = inner.groupBy("key").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("latest"))
     b = inner.join(firsts.filter("keeper < latest"), "key").filter("doc_id > keeper")
+    windows = staged(windows_of(docs))
+    firsts = windows.groupBy("key").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("latest"))
+    c = windows.join(firsts.filter("keeper < latest"), "key").filter("doc_id > keeper")
+    begin = F.col("word").cast("long")
     none = F.lit(None).cast("long")
     return a.select("doc_id", F.lit("line").alias("kind"), "line", none.alias("begin"), none.alias("end"), "n_words", "keeper").unionAll(
         b.select("doc_id", F.lit("sentence").alias("kind"), "line", "begin", "end", "n_words", "keeper")
+    ).unionAll(
+        c.select(
+            "doc_id", F.lit("window").alias("kind"), none.cast("int").alias("line"), begin.alias("begin"),
+            (begin + WINDOW).alias("end"), F.lit(WINDOW).alias("n_words"), "keeper",
+        )
     )
 
 
-def removal_spans(text: str, lines: set[int], sentences: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """(begin, end, words) of the runs of at least RUN words to be removed from `text`: repeated lines
-    and sentences with nothing but white space or pieces short of a shingle between them."""
+def removal_spans(
+    text: str, lines: set[int], sentences: list[tuple[int, int]], windows: list[int]
+) -> list[tuple[int, int, int]]:
+    """(begin, end, words) of the runs of at least RUN words to be removed from `text`: repeated lines,
+    sentences and windows (by first word) with nothing but white space or pieces short of a shingle
+    between them."""
     spans = list(sentences)
+    if windows:
+        places = [m.span() for m in WORD.finditer(text)]
+        firsts = np.array(sorted(w for w in windows if w + WINDOW <= len(places)), np.int64)
+        cuts = np.flatnonzero(np.diff(firsts) > WINDOW) + 1
+        spans += [(places[w[0]][0], places[w[-1] + WINDOW - 1][1]) for w in np.split(firsts, cuts) if len(w)]
     at = 0
     for number, line in enumerate(text.split("\n")):
         if number in lines:
@@ -353,13 +452,14 @@ def removal_spans(text: str, lines: set[int], sentences: list[tuple[int, int]])
 
 
 def _named(docs: DataFrame) -> DataFrame:
-    """(id, lines, spans): what repeats in each document that may lose a run."""
+    """(id, lines, spans, windows): what repeats in each document that may lose a run."""
     return (
         repeated(docs)
         .groupBy(F.col("doc_id").alias("id"))
         .agg(
             F.collect_set(F.when(F.col("kind") == "line", F.col("line"))).alias("lines"),
             F.collect_set(F.when(F.col("kind") == "sentence", F.struct("begin", "end"))).alias("spans"),
+            F.collect_set(F.when(F.col("kind") == "window", F.col("begin").cast("int"))).alias("windows"),
             F.sum("n_words").alias("words"),
         )
         .filter(F.col("words") >= RUN // 2)
@@ -375,7 +475,7 @@ def removals(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                runs = removal_spans(r["text"], set(r["lines"]), [(s["begin"], s["end"]) for s in r["spans"]])
+                runs = removal_spans(r["text"], set(r["lines"]), [(s["begin"], s["end"]) for s in r["spans"]], r["windows"])
                 if runs:
                     kept = without(r["text"], runs)
                     rows.append((r["doc_id"], r["text"], kept, len(runs), sum(n for *_, n in runs)))
@@ -387,7 +487,7 @@ def removals(docs: DataFrame) -> DataFrame:
             )
 
     rows = texts(docs).filter("doc_id is not null and text <> ''").join(_named(docs), F.col("doc_id") == F.col("id"))
-    return rows.select("doc_id", "text", "lines", "spans").mapInArrow(
+    return rows.select("doc_id", "text", "lines", "spans", "windows").mapInArrow(
         apply, "doc_id long, text string, kept_text string, n_runs int, n_words_removed long"
     )
 
@@ -414,12 +514,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             columns = list(batch.column("row").flatten())
             text, keep = columns[text_at].to_pylist(), np.ones(batch.num_rows, bool)
             chars = columns[chars_at].to_pylist() if chars_at is not None else None
-            lists, spans = batch.column("lines"), batch.column("spans")
+            lists, spans, windows = (batch.column(n) for n in ("lines", "spans", "windows"))
             for r in np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False)).tolist():
                 if text[r] is None:
                     continue
                 named = [(s["begin"], s["end"]) for s in spans[r].as_py()]
-                runs = removal_spans(text[r], set(lists[r].as_py()), named)
+                runs = removal_spans(text[r], set(lists[r].as_py()), named, windows[r].as_py())
                 if runs:
                     text[r] = without(text[r], runs)
                     keep[r] = bool(text[r].strip())
@@ -430,7 +530,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 columns[chars_at] = pa.array(chars, columns[chars_at].type)
             yield pa.RecordBatch.from_arrays(columns, fields.names).filter(pa.array(keep))
 
-    return rows.select("row", "lines", "spans").mapInArrow(apply, fields)
+    return rows.select("row", "lines", "spans", "windows").mapInArrow(apply, fields)
 
 
 def op6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

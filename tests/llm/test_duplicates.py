@@ -133,6 +133,42 @@ def test_paragraph_removal(docs_of, odd):
     assert paragraphs.remove_repeats(odd.limit(0)).count() == 0
 
 
+def test_passages_set_into_other_lines(docs_of):
+    """A passage that starts and ends inside sentences of its hosts goes from its first to its last word."""
+    rng = random.Random(8)
+    long = [w.split() for w in (words(rng, 25), words(rng, 51), words(rng, 90))]
+    long[1][20] += ".\n" + words(rng, 1).capitalize()  # the only line and sentence end
+    short = words(rng, 24)
+    rows, left = [], {}
+    for k, passage in enumerate([" ".join(p) for p in long] + [short]):
+        rows.append((k, f"{words(rng, 12)} {passage} {words(rng, 9)}"))
+        hosts = words(rng, 14), words(rng, 11)
+        rows.append((10 + k, f"{hosts[0]} {passage.replace(' ', '  ', 3)} {hosts[1]}"))
+        left[10 + k] = " ".join(hosts).split()
+    found = {r["doc_id"]: r for r in paragraphs.removals(docs_of(rows)).collect()}
+    assert set(found) == {10, 11, 12}
+    assert all(r["kept_text"].split() == left[k] for k, r in found.items())
+    assert [found[10 + k]["n_words_removed"] for k in range(3)] == [25, 52, 90]
+
+
+def test_windows_equal_brute_force(docs_of):
+    rng = random.Random(9)
+    texts = [words(rng, rng.choice([0, 5, 15, 16, 17, 200])).split() for _ in range(30)]
+    for _ in range(40):
+        a, b = rng.sample(range(30), 2)
+        n = rng.randint(10, 40)
+        at = rng.randint(0, len(texts[b]))
+        texts[b][at:at] = texts[a][:n]
+    docs = docs_of([(k, " ".join(t)) for k, t in enumerate(texts)])
+    first = {}
+    for k, t in enumerate(texts):
+        for p in range(len(t) - 15):
+            first.setdefault(tuple(t[p : p + 16]), k)
+    exact = {(k, p) for k, t in enumerate(texts) for p in range(len(t) - 15) if first[tuple(t[p : p + 16])] < k}
+    found = paragraphs.repeated(docs).filter("kind = 'window'").collect()
+    assert exact and {(r["doc_id"], r["begin"]) for r in found} == exact
+
+
 def test_bands_reach_the_recall():
     bands, rows = paragraphs.tune_bands(0.8, 0.98, 64)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.98 and bands * rows <= 64
