@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from tenura.llm import seekable_fim, vector_codes
+from tenura.llm.bloom_lm import op12_bloom_lm
 from tenura.llm.bucket_pointers import op1_bucket_pointers
 from tenura.llm.decision_list import op4_decision_list
 from tenura.llm.edit_matching import op7_edit_matching
 from tenura.llm.paragraphs import op6_paragraphs
 from tenura.llm.pivot_simhash import op9_pivot_simhash
+from tenura.llm.seekable_fim import op11_seekable_fim
 from tenura.llm.simple8b import op2_simple8b
 from tenura.llm.subword_language import op5_subword_language
 from tenura.llm.two_fit import op8_two_fit
+from tenura.llm.vector_codes import op13_vector_codes
 from tenura.llm.virtual_slots import op10_virtual_slots
 from tenura.llm.weak_toxicity import op3_weak_toxicity
 
@@ -24,9 +28,14 @@ QUERIES = {
     "op4_decision_list": op4_decision_list,
     "op9_pivot_simhash": op9_pivot_simhash,
     "op10_virtual_slots": op10_virtual_slots,
+    "op11_seekable_fim": op11_seekable_fim,
+    "op12_bloom_lm": op12_bloom_lm,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE: dict[str, str] = {
+    "op11_seekable_fim": seekable_fim.ORACLE,
+    "op13_vector_codes": vector_codes.ORACLE,
     # every 50-byte string of every text, as hexadecimal digits
     "op1_bucket_pointers": """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, length(hex(encode(coalesce(text, '')))) // 2 AS n
