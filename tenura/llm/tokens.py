@@ -59,7 +59,9 @@ class WordTokenizer:
         some = f"[{letters}0-9{MARKS}]+"
         self.simple = re.compile(f"{lead}{some}(?:\n{some})*")
         self.one = re.compile(f"{lead}[{letters}]+")
-        self.pieces = re.compile(f"{lead}[{letters}]+|{lead}{digits}|{lead}[{MARKS}]+|\n")
+        # vocabularies that drop white space have no piece for a line end
+        line_end = "|\n" if self.spaced else ""
+        self.pieces = re.compile(f"{lead}[{letters}]+|{lead}{digits}|{lead}[{MARKS}]+{line_end}")
         self.alphabet = str.maketrans(dict(enumerate(byte_alphabet())))
         self.model = self.library.model
         self.known: dict[str, bytes] = {}
