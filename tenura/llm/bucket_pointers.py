@@ -226,10 +226,10 @@ def shared_buckets(rows: pa.Table, hot_blocks: int = HOT_BLOCKS) -> pa.Table:
 #: Segments travel in packed columns: key, doc_id, rank, position, least and greatest offset of the minimizer
 #: in a window, the bytes before it, nearest first, and those after it.
 FIELDS = np.dtype(
-    [("key", "<u8"), ("doc", "<i8"), ("rank", "<u2"), ("at", "<u4"), ("low", "u1"), ("high", "u1"),
+    [("key", "<u8"), ("doc", "<i8"), ("rank", "<u4"), ("at", "<u4"), ("low", "u1"), ("high", "u1"),
      ("before", "u1", (SIDE,)), ("after", "u1", (SIDE,))]
 )
-SETTLED = np.dtype([("doc", "<i8"), ("rank", "<u2"), ("at", "<u4"), ("end", "<u4")])
+SETTLED = np.dtype([("doc", "<i8"), ("rank", "<u4"), ("at", "<u4"), ("end", "<u4")])
 PASS2 = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("segments", pa.binary()), ("settled", pa.binary())])
 
 
