@@ -68,7 +68,8 @@ def _fingerprints(values: list[str], shingle: int, seed: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp) of every whole text; fp holds the 64 bits as a signed long. A missing text has no words."""
+    """(doc_id, fp, of_text) of every whole text; fp holds the 64 bits as a signed long, of_text tells texts
+    apart. A missing text has no words."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,9 +82,12 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
                     values, held = [], 0
             done.append(_fingerprints(values, shingle, seed))
             fp = np.concatenate(done).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(fp), batch.column("of_text")], ["doc_id", "fp", "of_text"]
+            )
 
-    return texts(docs).mapInArrow(of, "doc_id long, fp long")
+    rows = texts(docs).withColumn("of_text", F.xxhash64("text"))
+    return rows.mapInArrow(of, "doc_id long, fp long, of_text long")
 
 
 def local_stars(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,31 +194,51 @@ def links(fps: DataFrame) -> DataFrame:
     return edges
 
 
+def _classes(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """(doc_id, fp, of_text, component, component_id) of every row; `component` names the class even where
+    rows of different classes share a doc_id."""
+    rows = staged(fingerprints(docs, shingle, seed))
+    distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    members = components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
+    named = members.join(distinct, "fp")
+    least = named.groupBy("component").agg(F.min("first").alias("least"))
+    linked = named.join(least, "component").select("fp", "component", "least")
+    classes = distinct.join(linked, "fp", "left").select(
+        "fp", F.coalesce("component", "fp").alias("component"), F.coalesce("least", "first").alias("component_id")
+    )
+    return rows.join(classes, "fp")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links.
 
     Words are runs without ASCII white space, A-Z in lower case; shingles count with their repeats.
     Texts without words have fingerprint 0 and link like any other; equal texts link by equal
     fingerprints, without a pair. Rows without doc_id are fingerprinted and link, but name no
-    component unless a component has no doc_id at all, whose component_id is then null.
+    component unless a component has no doc_id at all, whose component_id is then null. An empty table gives
+    no rows.
     """
-    rows = staged(fingerprints(docs, shingle, seed))
-    distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    members = components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
-    named = members.join(distinct, "fp")
-    least = named.groupBy("component").agg(F.min("first").alias("least"))
-    linked = named.join(least, "component").select("fp", "least")
-    classes = distinct.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return _classes(docs, shingle, seed).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component, that of smallest doc_id, all columns kept. Of rows that share this doc_id
-    one stays, any; rows without doc_id stay as they are, since nothing can name them."""
-    stays = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.filter("doc_id is not null")
-    kept = named.join(stays, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    """One row of each component, all columns kept: of smallest doc_id, among rows that share it the text of
+    smallest hash, and of rows equal in both any one. Rows without doc_id stay as they are, since nothing can name
+    them, and do not speak for their component; an empty table gives no rows."""
+    best = (
+        _classes(docs, SHINGLE, SEED)
+        .filter("doc_id is not null")
+        .groupBy("component")
+        .agg(F.min(F.struct("doc_id", "of_text")).alias("best"))
+        .select(F.col("best.doc_id").alias("id"), F.col("best.of_text").alias("of_text"))
+    )
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("id"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("of_text"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+    )
+    kept = rows.join(best, ["id", "of_text"], "left_semi").dropDuplicates(["id", "of_text"])
+    return kept.unionAll(rows.filter("id is null")).select("row.*")
 
 
 def op9_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
