@@ -6,17 +6,21 @@ adding a shard or evening out bytes edits the map and moves whole slots, never s
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tenura.lineage import shared_dir, staged
 from tenura.llm.common import table
-from tenura.lineage import staged
 
 #: Fixed for the life of a data set: a row's slot never changes.
 SLOTS = 8192
 #: Parts of a slot that are numbered by separate tasks.
 PARTS = 16
 ROW_BYTES = 16
+#: Places of equal rows that are numbered at a time.
+BLOCK = 4096
 
 
 def slot_of(key, slots: int = SLOTS):
@@ -115,19 +119,41 @@ def levelling_edits(slot_map: DataFrame, weights: DataFrame) -> DataFrame:
     )
 
 
-def shard_rows(docs: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
+def versions(rows: DataFrame, shards: int, slots: int, path: str) -> DataFrame:
+    """Store three versions of the map at `path` and read them back, one row a slot: (virtual_slot, shard,
+    grown_shard, level_shard, slot_bytes). Version 1 is `first_map`, version 2 has one more shard, version 3 is
+    version 1 levelled by the bytes that `rows` (virtual_slot, size, n) hold in each slot."""
+    spark = rows.sparkSession
+    weights = slot_bytes(rows.withColumnRenamed("virtual_slot", "slot"))
+    base, level = first_map(spark, shards, slots), f"{path}/levelled"
+    store_edits(base, f"{path}/grown")
+    store_edits(with_shard_added(load_map(spark, f"{path}/grown")), f"{path}/grown")
+    store_edits(base, level)
+    store_edits(levelling_edits(load_map(spark, level), weights), level)
+    read = {"shard": (f"{path}/grown", 1), "grown_shard": (f"{path}/grown", None), "level_shard": (level, None)}
+    found = weights.select(F.col("slot"), F.col("bytes").alias("slot_bytes"))
+    found = spark.range(slots).select(F.col("id").cast("int").alias("slot")).join(found, "slot", "left").fillna(0)
+    for name, (at, version) in read.items():
+        found = found.join(load_map(spark, at, version).select("slot", F.col("shard").alias(name)), "slot")
+    return found.withColumnRenamed("slot", "virtual_slot")
+
+
+def shard_rows(docs: DataFrame, shards: int, slots: int = SLOTS, block: int = BLOCK) -> DataFrame:
     """Place `docs` into `shards` shards: (doc_id, size, text_crc32, law, shard, slot, virtual_slot,
-    grown_shard).
+    grown_shard, level_shard, slot_bytes).
 
     The law is `key`: doc_id and the shard count decide the shard. `size` is the text's UTF-8 bytes plus
     16, `slot` the row's place in its shard, gapless from 0 in order of virtual slot, `grown_shard` the
-    shard once one more is added. A missing text counts as no bytes, a missing doc_id is a key like any
-    other, equal rows take neighbouring places; further columns are left behind.
+    shard once one more is added. `level_shard` is the shard after a rebalancing by the bytes of the virtual
+    slots, `slot_bytes`; it depends on all rows, so the law does not use it. A missing text counts as no bytes,
+    a missing doc_id is a key like any other, equal rows take neighbouring places; further columns are left
+    behind; an empty table gives no rows.
 
     Plan: texts become a size and a checksum in the scan. Equal narrow rows are counted before the
-    first shuffle, so a row that is repeated without bound arrives as one. A slot is numbered in PARTS
-    parts, split by the row's content, each a window of its own: one hot doc_id with many texts is
-    spread over them. The broadcast table has SLOTS x PARTS rows whatever the input.
+    first shuffle, so a row that is repeated without bound arrives as one, and leaves in blocks of places. A slot
+    is numbered in PARTS parts, split by the row's content, each a window of its own: one hot doc_id with many
+    texts is spread over them. The broadcast table has SLOTS x PARTS rows whatever the input. The map and its
+    versions are stored in the shared folder and read from there.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
@@ -146,15 +172,13 @@ def shard_rows(docs: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
             }
         )
     )
-    base = first_map(spark, shards, slots)
-    grown = current(base.unionAll(with_shard_added(base))).select("slot", F.col("shard").alias("grown_shard"))
-    mapped = base.join(grown, "slot").select(F.col("slot").alias("virtual_slot"), "shard", "grown_shard")
+    mapped = versions(rows, shards, slots, f"{shared_dir(spark).rstrip('/')}/slot-map-{uuid.uuid4().hex}")
     counts = rows.groupBy("virtual_slot", "part").agg(F.sum("n").alias("held"))
     order = Window.partitionBy("shard").orderBy("virtual_slot", "part").rowsBetween(Window.unboundedPreceding, 0)
     starts = (
         counts.join(F.broadcast(mapped), "virtual_slot")
         .withColumn("first", F.sum("held").over(order) - F.col("held"))
-        .select("virtual_slot", "part", "shard", "grown_shard", "first")
+        .drop("held")
     )
     inside = (
         Window.partitionBy("virtual_slot", "part")
@@ -164,18 +188,24 @@ def shard_rows(docs: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
     placed = rows.withColumn("upto", F.sum("n").over(inside)).join(
         F.broadcast(starts), ["virtual_slot", "part"]
     )
-    end = F.col("first") + F.col("upto")
-    return placed.select(
+    first, n = F.col("first") + F.col("upto") - F.col("n"), F.col("n")
+    # equal rows leave in blocks, so no array is longer than `block`
+    blocks = placed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / block))))
+    begin = F.col("block") * block
+    return blocks.select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("key").alias("law"),
         "shard",
-        F.explode(F.sequence(end - F.col("n"), end - 1)).alias("slot"),
+        F.explode(F.sequence(first + begin, first + F.least(begin + block, n) - 1)).alias("slot"),
         "virtual_slot",
         "grown_shard",
+        "level_shard",
+        "slot_bytes",
     )
 
 
 def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All `documents` in 40 shards, with the versioned map; see `shard_rows` for missing and repeated rows."""
     return shard_rows(table(spark, sf_dir, "documents"), 40)
