@@ -15,17 +15,18 @@ number is bounded by that share), all others meet their counts by shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenura.lineage import staged
+from tenura.lineage import dropped, staged
 from tenura.llm.common import table
 
 ORDER = 2
@@ -36,11 +37,11 @@ BITS, PROBES = 8, 4
 #: A word is broadcast if it makes up a HOT-th of all tokens: at most HOT words, 16 bytes each.
 HOT = 1 << 21
 #: Bytes of text for which the filter gets one segment, and that are split into words at once.
-SEGMENT, SLICE = 1 << 24, 1 << 23
+SEGMENT, SLICE = 1 << 24, 1 << 21
 #: A filter up to this size is broadcast.
-FILTER_BYTES = 1 << 27
+FILTER_BYTES = 100_000_000
 #: Distinct n-grams that a task holds before it hands them on.
-HELD = 1 << 22
+HELD = 1 << 21
 ROWS = 1 << 20
 
 U = np.uint64
@@ -115,7 +116,7 @@ def summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
-    return keys[new], *(np.add.reduceat(c[order], new) if len(new) else c for c in counts)
+    return keys[new], *(np.add.reduceat(c[order], new, dtype=np.int64) if len(new) else c for c in counts)
 
 
 def narrow(counts: np.ndarray) -> bytes:
@@ -221,14 +222,16 @@ def filled(keys: np.ndarray, counts: np.ndarray, per_event: int = BITS) -> tuple
     return bits, np.packbits(image, bitorder="little").tobytes()
 
 
-def joined(rows: list) -> Filter:
-    """A filter from rows (segment, bits, image)."""
-    n = max((r["segment"] for r in rows), default=0) + 1
-    bits, starts, at = np.zeros(n, U), np.zeros(n, np.int64), 0
+def joined(rows: Iterable, segments: int, size: int) -> Filter:
+    """A filter of `size` bytes from rows (segment, bits, image), taken one by one."""
+    bits, starts = np.zeros(max(segments, 1), U), np.zeros(max(segments, 1), np.int64)
+    image, at = np.zeros(size, np.uint8), 0
     for r in rows:
+        own = np.frombuffer(r["image"], np.uint8)
         bits[r["segment"]], starts[r["segment"]] = r["bits"], at
-        at += len(r["image"])
-    return Filter(bits, starts, np.frombuffer(b"".join(r["image"] for r in rows), np.uint8))
+        image[at : at + len(own)] = own
+        at += len(own)
+    return Filter(bits, starts, image)
 
 
 # --- counting ----------------------------------------------------------------------------------------------
@@ -240,6 +243,11 @@ SEGMENTS = (
 )
 
 
+def compact(segment: np.ndarray, keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """A slice's counts in the bytes they need (a slice has fewer than 2^32 tokens)."""
+    return segment.astype(np.uint32), keys, *(c.astype(np.uint32) for c in counts)
+
+
 def _counted(docs: DataFrame, order: int, segments: int) -> DataFrame:
     """Counts of all n-grams, added up in each task: a row for each kind and segment that a task meets. Words are
     counted in all rows (`alls`) and in those to learn from (`counts`), longer n-grams in the latter."""
@@ -273,11 +281,11 @@ def _counted(docs: DataFrame, order: int, segments: int) -> DataFrame:
             learn = np.repeat(part.column("learn").to_numpy(zero_copy_only=False), np.diff(t.bounds))
             size = len(t.low)
             both = np.bincount(t.stream[learn], minlength=size), np.bincount(t.stream, minlength=size)
-            held[1].append((*dealt(t, 1, None, segments), *both))
+            held[1].append(compact(*dealt(t, 1, None, segments), *both))
             n += size
             for k, keys in grams(t, order):
                 distinct, times = np.unique(keys[learn], return_counts=True)
-                held[k].append((*dealt(t, k, distinct, segments), times))
+                held[k].append(compact(*dealt(t, k, distinct, segments), times))
                 n += len(distinct)
             if n >= HELD:
                 yield from flush()
@@ -373,6 +381,7 @@ FIELDS = [
     ("rows", pa.binary()), ("times", pa.binary()), ("counts", pa.binary()),
 ]
 TABLE = pa.schema(FIELDS)
+RESULT = pa.schema([FIELDS[k] for k in (2, 3, 4, 5, 6, 7)])
 
 
 def log_probabilities(t: Tokens, lookup: Lookup, order: int, tokens: int, words: int, segments: int, prior: float) -> np.ndarray:
@@ -441,9 +450,12 @@ def _slice_number(k: int) -> int:
     return (TaskContext.get().partitionId() << 40) | (k << 20)
 
 
-def _scored_by_broadcast(docs: DataFrame, model: Model, prior: float) -> DataFrame:
-    rows = model.segments.select("kind", "segment", "bits", "image").collect()
-    kinds = {k: joined([r for r in rows if r["kind"] == k]) for k in range(1, model.order + 1)}
+def _scored_by_broadcast(docs: DataFrame, model: Model, prior: float) -> tuple[DataFrame, Broadcast]:
+    sizes = {r["kind"]: r["size"] for r in model.segments.groupBy("kind").agg(F.sum(F.expr("octet_length(image) + 0L")).alias("size")).collect()}
+    kinds = {}
+    for k in range(1, model.order + 1):
+        rows = model.segments.filter(F.col("kind") == k).select("segment", "bits", "image").coalesce(8)
+        kinds[k] = joined(rows.toLocalIterator(), model.n_segments, sizes.get(k, 0))
     sent = docs.sparkSession.sparkContext.broadcast((kinds, model._replace(segments=None)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -452,10 +464,10 @@ def _scored_by_broadcast(docs: DataFrame, model: Model, prior: float) -> DataFra
         for k, part in enumerate(slices(batches)):
             yield from _scored(part, _slice_number(k), lookup, facts, prior)
 
-    return docs.mapInArrow(score, SCORED)
+    return docs.mapInArrow(score, SCORED), sent
 
 
-def _scored_by_segments(docs: DataFrame, model: Model, prior: float) -> DataFrame:
+def _scored_by_segments(docs: DataFrame, model: Model, prior: float) -> tuple[DataFrame, Broadcast]:
     """The same without a broadcast of the filter: each slice sends its distinct n-grams to the segments and gets
     their levels back in the order in which it sent them."""
     sent = docs.sparkSession.sparkContext.broadcast(model._replace(segments=None))
@@ -485,7 +497,8 @@ def _scored_by_segments(docs: DataFrame, model: Model, prior: float) -> DataFram
 
     def answer(key: tuple, ask: pa.Table, filters: pa.Table) -> pa.Table:
         kind, segment = (k.as_py() for k in key)
-        own = joined([r | {"segment": 0} for r in filters.select(["bits", "image"]).to_pylist()])
+        held = [r | {"segment": 0} for r in filters.select(["bits", "image"]).to_pylist()]
+        own = joined(held, 1, sum(len(r["image"]) for r in held))
         rows = []
         for r in ask.to_pylist():
             keys = unpack_keys(r["keys"], kind)
@@ -518,7 +531,7 @@ def _scored_by_segments(docs: DataFrame, model: Model, prior: float) -> DataFram
     answers = requests.groupBy("kind", "segment").cogroup(filters.groupBy("kind", "segment")).applyInArrow(
         answer, "slice long, kind int, segment long, keys binary, levels binary"
     )
-    return numbered.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(finish, SCORED)
+    return numbered.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(finish, SCORED), sent
 
 
 def score(docs: DataFrame, model: Model, prior: float = PRIOR, filter_bytes: int = FILTER_BYTES) -> DataFrame:
@@ -527,53 +540,55 @@ def score(docs: DataFrame, model: Model, prior: float = PRIOR, filter_bytes: int
 
     A filter of at most `filter_bytes` is broadcast. Texts are never shuffled then: a slice hands on one narrow row
     a text, and its rare words, as (word, text, times), to the segments that hold their counts; what comes back is
-    added up by row.
+    one packed row a request, added up by slice.
     """
     way = _scored_by_broadcast if model.filter_bytes <= filter_bytes else _scored_by_segments
-    asked = way(docs.select("doc_id", "text", "learn"), model, prior)
-    names = [f.split()[0] for f in SCORED.split(", ")]
+    asked, sent = way(docs.select("doc_id", "text", "learn"), model, prior)
     held = model.segments.filter("kind = 1").select(
-        *(F.col(c) if c in ("segment", "keys", "counts") else F.lit(None).alias(c) for c in names)
+        *(F.col(c) if c in ("segment", "keys", "counts") else F.lit(None).alias(c) for c in TABLE.names)
     )
     total = model.tokens + model.words + 1
 
     def answer(key: tuple, group: pa.Table) -> pa.Table:
+        """A segment's answers, one row a request: for each text its share of the base score and its known words."""
         if key[0].as_py() < 0:
-            return group.cast(TABLE).select(names[1:8])
-        keys, counts = np.zeros(0, U), np.zeros(0, np.int64)
-        asked = [[], [], []]
-        for r in group.to_pylist():
-            if r["counts"] is not None:
-                keys = unpack_keys(r["keys"], 1)
-                counts = wide(r["counts"], len(keys))
-                continue
-            n = len(r["keys"]) // 8
-            asked[0].append(unpack_keys(r["keys"], 1))
-            asked[1].append(r["row"] + np.frombuffer(r["rows"], "<u4").astype(np.int64))
-            asked[2].append(wide(r["times"], n))
-        if not asked[0]:
-            return pa.Table.from_pylist([], TABLE).select(names[1:8])
-        words, rows, times = map(np.concatenate, asked)
-        at = np.minimum(np.searchsorted(keys, words), max(len(keys) - 1, 0))
-        found = np.where(keys[at] == words, counts[at], 0) if len(keys) else np.zeros(len(words), np.int64)
-        of, place = np.unique(rows, return_inverse=True)
-        base = np.bincount(place, times * np.log10((found + 1) / total))
-        known = np.bincount(place, times * (found > 0)).astype(np.int64)
-        return pa.Table.from_pydict(
-            {"row": of, "doc_id": pa.nulls(len(of), pa.int64()), "learn": pa.nulls(len(of), pa.bool_()),
-             "n_tokens": pa.nulls(len(of), pa.int64()), "n_known": known, "base_score": base, "score": pa.nulls(len(of), pa.float64())},
-            schema=pa.schema(FIELDS[1:8]),
-        )
-
-    answered = asked.unionByName(held).groupBy("segment").applyInArrow(answer, ", ".join(SCORED.split(", ")[1:8]))
-    return answered.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("learn").alias("learn"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum("n_known").alias("n_known"),
-        F.sum("base_score").alias("base_score"),
-        F.sum("score").alias("score"),
-    ).drop("row")
+            return group.cast(TABLE).drop_columns("counts")
+        rows = group.select(["row", "keys", "rows", "times", "counts"]).to_pylist()
+        held = next((r for r in rows if r["counts"] is not None), None)
+        keys = unpack_keys(held["keys"], 1) if held else np.zeros(1, U)
+        counts = wide(held["counts"], len(keys)) if held else np.zeros(1, np.int64)
+        out = []
+        for r in rows:
+            if r["counts"] is None:
+                words, texts = unpack_keys(r["keys"], 1), np.frombuffer(r["rows"], "<u4")
+                times = wide(r["times"], len(words))
+                at = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
+                found = np.where(keys[at] == words, counts[at], 0)
+                of, place = np.unique(texts, return_inverse=True)
+                base = np.bincount(place, times * np.log10((found + 1) / total))
+                known = np.bincount(place, times * (found > 0)).astype(np.int64)
+                out.append({"row": r["row"], "rows": of.tobytes(), "keys": base.astype("<f8").tobytes(), "times": narrow(known)})
+        return pa.Table.from_pylist(out, TABLE).drop_columns("counts")
+
+    def add(key: tuple, group: pa.Table) -> pa.Table:
+        """The rows of a slice with all their shares."""
+        facts = group.filter(pc.is_null(group.column("keys"))).sort_by("row")
+        base, known = facts.column("base_score").to_numpy().copy(), facts.column("n_known").to_numpy().copy()
+        for r in group.filter(pc.is_valid(group.column("keys"))).select(["rows", "keys", "times"]).to_pylist():
+            of = np.frombuffer(r["rows"], "<u4").astype(np.int64)  # no text twice in an answer
+            base[of] += np.frombuffer(r["keys"], "<f8")
+            known[of] += wide(r["times"], len(of))
+        columns = [facts.column("doc_id"), facts.column("learn"), facts.column("n_tokens"), known, base, facts.column("score")]
+        return pa.Table.from_arrays([pa.chunked_array([c]) if isinstance(c, np.ndarray) else c for c in columns], schema=RESULT)
+
+    fields = SCORED.split(", ")
+    answered = asked.unionByName(held).groupBy("segment").applyInArrow(answer, ", ".join(fields[:-1]))
+    added = answered.groupBy(F.shiftright("row", 20).alias("slice")).applyInArrow(
+        add, "doc_id long, learn boolean, n_tokens long, n_known long, base_score double, score double"
+    )
+    result = staged(added)  # so that the filter can leave the executors
+    sent.destroy()
+    return result
 
 
 def learned_from(doc_id: Column) -> Column:
@@ -591,7 +606,9 @@ def score_all(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, **bound
         learned_from(F.col("doc_id")).alias("learn"),
     )
     model = fit(rows, order, **{k: v for k, v in bounds.items() if k != "filter_bytes"})
-    return score(rows, model, prior, bounds.get("filter_bytes", FILTER_BYTES)).select(
+    scored = score(rows, model, prior, bounds.get("filter_bytes", FILTER_BYTES))
+    dropped(model.segments)
+    return scored.select(
         "doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known",
         F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score",
     )

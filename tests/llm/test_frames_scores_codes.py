@@ -105,7 +105,7 @@ def test_filter_has_no_false_negatives_and_few_false_positives():
     keys = rng.integers(0, 1 << 40, 20_000, np.uint64)
     counts = rng.zipf(1.7, len(keys)).clip(1, 10**6)
     bits, image = bloom_lm.filled(keys, counts)
-    sieve = bloom_lm.joined([{"segment": 3, "bits": bits, "image": image}])
+    sieve = bloom_lm.joined([{"segment": 3, "bits": bits, "image": image}], 4, len(image))
     levels = sieve.levels(np.full(len(keys), 3), keys)
     true = np.floor(np.log2(counts)).astype(int) + 1
     assert (levels >= true).all() and (levels == true).mean() > 0.9
