@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tenura.operators import signals as lexicon
+from tenura.plans.newton_sql import newton_steps, normal_tail
 
 L_CTE = """
 pairs AS (
@@ -340,6 +341,48 @@ SELECT feature, round(coef, 6) AS coef, round(se, 6) AS se, round(exp(coef), 6)
        round(exp(coef - 1.959963984540054 * se), 6) AS HR_lower,
        round(exp(coef + 1.959963984540054 * se), 6) AS HR_upper FROM raw""")
 
+# ---------------------------------------------------------------- the same with all covariates
+
+
+def _covariates(k: int, used: tuple[str, ...]) -> str:
+    """Rows of L for model k; a covariate that the model does not use is constant."""
+    values = ", ".join(f"CAST({f} AS DOUBLE) AS x{j}" if f in used else f"0.0::DOUBLE AS x{j}" for j, f in enumerate(FEATURES, 1))
+    return f"SELECT {k} AS k, duration AS t, event AS e, {values} FROM L"
+
+
+def on_l_recursive(sql: str) -> str:
+    return on_l(sql).replace("WITH", "WITH RECURSIVE", 1)
+
+
+FULL = newton_steps(_covariates(0, FEATURES), len(FEATURES), STEPS)
+BOTH = newton_steps(_covariates(0, FEATURES) + " UNION ALL " + _covariates(1, FEATURES[:2]), len(FEATURES), STEPS)
+
+ORACLE["hazard_ratios"] = on_l_recursive(FULL + """,
+raw AS (""" + " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, b{j} / s{j} AS coef, sqrt(v) / s{j} AS se, '{'behavioural' if j <= 2 else 'signal'}' AS family "
+    f"FROM fit JOIN scale USING (k) JOIN inverse USING (k) WHERE i = {j} AND j = {j}" for j, f in enumerate(FEATURES, 1)) + """)
+SELECT feature, round(exp(coef), 6) AS HR, round(exp(coef - 1.959963984540054 * se), 6) AS HR_lower,
+       round(exp(coef + 1.959963984540054 * se), 6) AS HR_upper, family FROM raw""")
+
+ORACLE["lr_test_all_signals"] = on_l_recursive(BOTH + """,
+test AS (SELECT 2 * (a.loglik - b.loglik) AS x FROM fit a, fit b WHERE a.k = 0 AND b.k = 1),
+tail AS (SELECT x, -x / 2 + ln(1 + x / 2 + x * x / 8) AS log_p FROM test)
+SELECT round(x, 4) AS lr_statistic, CAST(6 AS BIGINT) AS df, round(exp(log_p), 6) AS p_value,
+       round(log_p, 4) AS log_p_value, log_p < ln(0.05) AS significant FROM tail""")
+
+_ph = range(1, len(FEATURES) + 1)
+ORACLE["ph_test"] = on_l_recursive(FULL + """,
+ranked AS (SELECT *, sum(n) OVER (ORDER BY t) - (n - 1) / 2.0::DOUBLE AS g FROM at_fit),
+centre AS (SELECT sum(d * g) / sum(d) AS gm, sum(d) AS deaths FROM ranked),
+spread AS (SELECT sum(d * (g - gm) * (g - gm)) AS w, any_value(deaths) AS deaths FROM ranked, centre),
+scores AS (""" + " UNION ALL ".join(
+    f"SELECT {j} AS i, sum((g - gm) * (x{j} - g{j})) AS u FROM ranked, centre" for j in _ph) + """),
+sums AS (SELECT j, sum(u * v) AS uv, max(CASE WHEN i = j THEN v END) AS vjj FROM scores JOIN inverse USING (i) GROUP BY j),
+stats AS (SELECT j, sqrt(deaths * uv * uv / (vjj * w)) AS z FROM sums, spread),
+tails AS (SELECT CASE j """ + " ".join(f"WHEN {j} THEN '{f}'" for j, f in enumerate(FEATURES, 1)) + f""" END AS covariate,
+                 {normal_tail("z")} AS p FROM stats)
+SELECT covariate, round(p, 6) AS p, round(-log10(greatest(p, 1e-30)), 4) AS evidence, p < 0.05 AS ph_violated FROM tails""")
+
 ORACLE["lr_test"] = on_l(newton(ALL_ROWS + """
   UNION ALL SELECT 1, duration, event, log_playtime_2weeks, 0 FROM L""") + f"""
 SELECT round(a.loglik, 4) AS loglik_full, round(b.loglik, 4) AS loglik_restricted,

@@ -232,7 +232,7 @@ def cox_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hazard_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, (model,) = _fit(spark, sf_dir, FEATURES)
-    return reports.hazard_forest(cox.hazard_ratios(spark, model))
+    return rounded(reports.hazard_forest(cox.hazard_ratios(spark, model)), 6, "HR", "HR_lower", "HR_upper")
 
 
 def cox_gradient_at_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,12 +258,13 @@ def lr_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lr_test_all_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, (full, restricted) = _fit(spark, sf_dir, FEATURES, BEHAVIOURAL)
-    return spark.createDataFrame([cox.likelihood_ratio_test(full, restricted)])
+    found = rounded(spark.createDataFrame([cox.likelihood_ratio_test(full, restricted)]), 4, "lr_statistic", "log_p_value")
+    return rounded(found, 6, "p_value")
 
 
 def ph_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame, (model,) = _fit(spark, sf_dir, FEATURES)
-    return reports.ph_bars(risk_sets.ph_test(frame, model))
+    return rounded(rounded(reports.ph_bars(risk_sets.ph_test(frame, model)), 6, "p"), 4, "evidence")
 
 
 def cv_cindex(spark: SparkSession, sf_dir: str) -> DataFrame:
