@@ -568,3 +568,90 @@ ORACLE["survival_saved"] = ORACLE["survival_dataset"]
 ORACLE["split_saved"] = ORACLE["holdout_split"]
 ORACLE["weights_saved"] = ORACLE["tfidf_weights"]
 ORACLE["vectors_cached"] = ORACLE["dense_vectors"]
+
+
+# ---------------------------------------------------------------- studies: all variants, folds and scores
+
+
+def _study(variants: dict[str, tuple[str, ...]], folded: str, jobs: str) -> str:
+    """Fits of all `variants` without each fold and on all rows (fold 5), and the concordance of each job. `jobs`
+    selects (i, job, rows of L): the rows that the model without fold i scores under that name."""
+    uses = lambda f: ", ".join(str(v) for v, own in enumerate(variants.values()) if f in own)
+    values = ", ".join(f"CASE WHEN v IN ({uses(f)}) THEN CAST({f} AS DOUBLE) ELSE 0.0::DOUBLE END AS x{j}" for j, f in enumerate(FEATURES, 1))
+    models = (
+        f"SELECT CAST(6 * v + i AS INTEGER) AS k, duration AS t, event AS e, {values} "
+        f"FROM folded, range(0, 6) AS a(i), range(0, {len(variants)}) AS b(v) WHERE fold <> i"
+    )
+    risk = " + ".join(
+        f"CASE WHEN v IN ({uses(f)}) THEN ({f} - m{j}) * b{j} / s{j} ELSE 0 END" for j, f in enumerate(FEATURES, 1)
+    )
+    named = " ".join(f"WHEN {v} THEN '{name}'" for v, name in enumerate(variants))
+    sizes = " ".join(f"WHEN {v} THEN {len(own)}" for v, own in enumerate(variants.values()))
+    lists = " ".join(f"WHEN {v} THEN '{','.join(own)}'" for v, own in enumerate(variants.values()))
+    return on_l_recursive(folded + newton_steps(models, len(FEATURES), STEPS) + f""",
+jobs AS ({jobs}),
+held AS MATERIALIZED (
+  SELECT v, job, duration AS t, event AS e, round({risk}, 9) AS r, count(*) AS w
+  FROM jobs, range(0, {len(variants)}) AS b(v) JOIN fit ON fit.k = 6 * v + i JOIN scale ON scale.k = 6 * v + i GROUP BY ALL),
+scores AS (
+  SELECT a.v, a.job, sum(CASE WHEN b.r < a.r THEN a.w * b.w WHEN b.r = a.r THEN 0.5 * a.w * b.w ELSE 0 END)::DOUBLE / sum(a.w * b.w) AS c
+  FROM held a JOIN held b ON a.v = b.v AND a.job = b.job AND a.e = 1 AND (b.t > a.t OR (b.t = a.t AND b.e = 0)) GROUP BY ALL),
+ratios AS (SELECT v, CASE v {sizes} END - 2 AS df, 2 * (f.loglik - g.loglik) AS x
+          FROM range(1, {len(variants)}) AS b(v) JOIN fit f ON f.k = 6 * v + 5 JOIN fit g ON g.k = 5),
+ratio_tails AS (SELECT *, -x / 2 + ln(1 + CASE WHEN df > 2 THEN x / 2 ELSE 0 END + CASE WHEN df > 4 THEN x * x / 8 ELSE 0 END) AS log_p FROM ratios),
+lr AS (SELECT CASE v {named} END || '_vs_baseline' AS comparison, round(x, 4) AS lr_statistic, df, round(exp(log_p), 6) AS p_value,
+              round(log_p, 4) AS log_p_value, log_p < ln(0.05) AS significant FROM ratio_tails),
+raw AS (SELECT CASE v {named} END AS variant, CASE v {sizes} END AS n_features, CASE v {lists} END AS features,
+               avg(c) FILTER (job LIKE 'fold%') AS cv, stddev_pop(c) FILTER (job LIKE 'fold%') AS cv_sd,
+               string_agg(printf('%.4f', c), ',' ORDER BY job) FILTER (job LIKE 'fold%') AS cv_folds,
+               max(c) FILTER (job = 'holdout') AS holdout, max(c) FILTER (job = 'apparent') AS apparent FROM scores GROUP BY v),
+base AS (SELECT cv AS base_cv, holdout AS base_holdout FROM raw WHERE variant = 'baseline')
+""")
+
+
+# The covariate families of the audit.
+_BASE, _PLAIN = FEATURES[:2], ("technical_issue", "engagement_dropped")
+_POLAR = ("sentiment_score", "frustration_level", "positive_signal", "value_complaint")
+
+AUDIT = _study(
+    {"baseline": _BASE, "non_polarity": _BASE + _PLAIN, "polarity_only": _BASE + _POLAR, "full_augmented": _BASE + _PLAIN + _POLAR},
+    FOLDED + ",\n",
+    "SELECT fold AS i, 'fold' || fold AS job, * FROM folded",
+)
+LIFTS = """,
+lifts AS (SELECT max(base_cv) AS base, max(cv - base_cv) FILTER (variant = 'non_polarity') AS plain,
+                 max(cv - base_cv) FILTER (variant = 'polarity_only') AS polar,
+                 max(cv - base_cv) FILTER (variant = 'full_augmented') AS whole FROM raw, base)
+"""
+ORACLE["leakage_audit"] = AUDIT + """
+SELECT variant, n_features, features, round(cv, 4) AS cv_mean, round(cv_sd, 4) AS cv_std, cv_folds,
+       round(cv - base_cv, 4) AS delta_vs_baseline FROM raw, base"""
+ORACLE["leakage_lr_tests"] = AUDIT + "SELECT * FROM lr"
+ORACLE["leakage_decomposition"] = AUDIT.rstrip() + LIFTS + """
+SELECT round(base, 4) AS base, round(plain, 4) AS non_polarity_lift, round(whole - plain, 4) AS polarity_lift FROM lifts"""
+ORACLE["leakage_shares"] = AUDIT.rstrip() + LIFTS + """
+SELECT round(plain, 4) AS defensible_predictive_lift, round(polar, 4) AS polarity_lift, round(whole, 4) AS full_augmented_lift,
+       round(polar / whole, 3) AS polarity_share, round(plain / whole, 3) AS non_polarity_share FROM lifts"""
+
+EXPERIMENT = _study(
+    {"baseline": _BASE, "augmented": FEATURES},
+    SPLIT + """,
+train AS (SELECT *, md5(concat_ws('|', CAST(user_id AS VARCHAR), CAST(item_id AS VARCHAR), '42')) AS fh
+          FROM sides WHERE split = 'train'),
+folded AS MATERIALIZED (
+  SELECT *, CAST(CASE WHEN r < (n % 5) * (n // 5 + 1) THEN r // (n // 5 + 1)
+                      ELSE (n % 5) + (r - (n % 5) * (n // 5 + 1)) // (n // 5) END AS INTEGER) AS fold
+  FROM (SELECT *, row_number() OVER (ORDER BY fh) - 1 AS r, count(*) OVER () AS n FROM train)),
+""",
+    f"""SELECT fold AS i, 'fold' || fold AS job, duration, event, {", ".join(FEATURES)} FROM folded
+  UNION ALL SELECT 5, 'apparent', duration, event, {", ".join(FEATURES)} FROM folded
+  UNION ALL SELECT 5, 'holdout', duration, event, {", ".join(FEATURES)} FROM sides WHERE split = 'test'""",
+)
+ORACLE["experiment"] = EXPERIMENT + """
+SELECT variant, n_features, features, round(cv, 4) AS cv_mean, round(cv_sd, 4) AS cv_std, cv_folds,
+       round(holdout, 4) AS holdout_cindex, round(apparent, 4) AS apparent_cindex,
+       round(cv - base_cv, 4) AS delta_vs_baseline, round(holdout - base_holdout, 4) AS delta_holdout FROM raw, base"""
+ORACLE["experiment_summary"] = EXPERIMENT + """
+SELECT round(cv, 4) AS cv_cindex, round(holdout, 4) AS holdout_cindex, round(cv - base_cv, 4) AS delta_cindex,
+       round(holdout - base_holdout, 4) AS delta_holdout, log_p_value, significant
+FROM raw, base, lr WHERE variant = 'augmented'"""

@@ -281,7 +281,22 @@ def univariate_cindex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return studies.run_experiment(frame_l(spark, sf_dir), L_KEYS)["models"]
+    return _variants(studies.run_experiment(frame_l(spark, sf_dir), L_KEYS)["models"])
+
+
+def experiment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run in one row: scores of the augmented model, their lift, and the evidence for it."""
+    found = studies.run_experiment(frame_l(spark, sf_dir), L_KEYS)["summary"]
+    return rounded(found, 4, "cv_cindex", "holdout_cindex", "delta_cindex", "delta_holdout", "log_p_value")
+
+
+def _variants(table: DataFrame) -> DataFrame:
+    """Rounded scores; lists as text."""
+    scores = [c for c in table.columns if c not in ("variant", "n_features", "features", "cv_folds")]
+    folds = F.transform("cv_folds", lambda c: F.format_number(c, 4))
+    return rounded(
+        table.withColumns({"features": F.array_join("features", ","), "cv_folds": F.array_join(folds, ",")}), 4, *scores
+    )
 
 
 def experiment_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,12 +309,26 @@ def experiment_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def leakage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return studies.run_leakage_audit(frame_l(spark, sf_dir), L_KEYS)["variants"]
+    return _variants(studies.run_leakage_audit(frame_l(spark, sf_dir), L_KEYS)["variants"])
+
+
+def leakage_lr_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three tests of the audit against the baseline."""
+    found = studies.run_leakage_audit(frame_l(spark, sf_dir), L_KEYS)["lr_tests"]
+    return rounded(rounded(found, 4, "lr_statistic", "log_p_value"), 6, "p_value")
+
+
+def leakage_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lifts of the audit, and the partial ones as shares of the full lift."""
+    found = studies.run_leakage_audit(frame_l(spark, sf_dir), L_KEYS)["decomposition"]
+    lifts = ("defensible_predictive_lift", "polarity_lift", "full_augmented_lift")
+    return rounded(rounded(found, 4, *lifts), 3, "polarity_share", "non_polarity_share")
 
 
 def leakage_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     audit = studies.run_leakage_audit(frame_l(spark, sf_dir), L_KEYS)
-    return reports.leakage_decomposition(audit["variants"])
+    parts = ("base", "non_polarity_lift", "polarity_lift")
+    return rounded(reports.leakage_decomposition(audit["variants"]), 4, *parts)
 
 
 def _ablation(spark: SparkSession, sf_dir: str) -> studies.Study:
@@ -572,8 +601,11 @@ QUERIES = {
         univariate_cindex,
         experiment,
         experiment_baseline,
+        experiment_summary,
         leakage_audit,
         leakage_decomposition,
+        leakage_lr_tests,
+        leakage_shares,
         ablation_isolation,
         ablation_additive,
         tfidf_vocab,
