@@ -568,6 +568,11 @@ ORACLE["survival_saved"] = ORACLE["survival_dataset"]
 ORACLE["split_saved"] = ORACLE["holdout_split"]
 ORACLE["weights_saved"] = ORACLE["tfidf_weights"]
 ORACLE["vectors_cached"] = ORACLE["dense_vectors"]
+ORACLE["vectors_changed"] = on_t("""
+now AS (SELECT item_id, item_id = (SELECT min(item_id) FROM T) AS new,
+               CASE WHEN item_id = (SELECT min(item_id) FROM T) THEN review_text || ' again' ELSE review_text END AS review_text FROM T)
+SELECT item_id, CASE WHEN new THEN 1 ELSE 0 END AS version, length(review_text)::DOUBLE AS chars,
+       len(string_split(review_text, ' '))::DOUBLE AS words FROM now""")
 
 
 # ---------------------------------------------------------------- studies: all variants, folds and scores

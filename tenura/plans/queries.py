@@ -332,7 +332,7 @@ def leakage_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ablation(spark: SparkSession, sf_dir: str) -> studies.Study:
-    return studies.run_ablation(frame_v_signals(spark, sf_dir), ["item_id"], components=8)
+    return studies.run_ablation(frame_v_signals(spark, sf_dir), ["item_id"])
 
 
 def ablation_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -562,6 +562,25 @@ def vectors_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vectors_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache after one text has changed: that text alone gets a new vector (of its length and words), in a
+    version of its own; asking again adds nothing."""
+    path, rows = _new_path(spark), staged(frame_t(spark, sf_dir).select("item_id", "review_text"))
+
+    def encode(wanted: DataFrame) -> DataFrame:
+        numbers = F.array(F.length("review_text"), F.size(F.split("review_text", " ", -1))).cast("array<double>")
+        return wanted.select("item_id", numbers.alias("embedding"))
+
+    first = rows.agg(F.min("item_id").alias("first_id"))
+    text = F.when(F.col("item_id") == F.col("first_id"), F.concat("review_text", F.lit(" again"))).otherwise(F.col("review_text"))
+    changed = rows.join(F.broadcast(first)).select("item_id", text.alias("review_text"))  # one row
+    for frame in (rows, changed, changed):
+        found = tables.cached_vectors(spark, path, frame, "item_id", encode, "review_text")
+    return found.select(
+        "item_id", "version", F.col("embedding")[0].alias("chars"), F.col("embedding")[1].alias("words")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -625,5 +644,6 @@ QUERIES = {
         split_saved,
         weights_saved,
         vectors_cached,
+        vectors_changed,
     )
 }

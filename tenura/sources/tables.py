@@ -66,20 +66,48 @@ def materialize(
     return spark.read.parquet(path)
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The complete versions of a cache, as its manifest lists them."""
+    manifest = f"{path.rstrip('/')}/manifest"
+    return sorted(r[0] for r in spark.read.parquet(manifest).select("version").distinct().collect()) if _exists(spark, manifest) else []
+
+
+def read_vectors(spark: SparkSession, path: str, key: str) -> DataFrame | None:
+    """Everything in the cache, one row for each key and text: (key, text_hash, version, embedding). Of several
+    vectors of one text the newest counts. None if there is no complete version."""
+    versions = _versions(spark, path)
+    if not versions:
+        return None
+    held = spark.read.parquet(*[f"{path.rstrip('/')}/version-{v}" for v in versions])
+    newest = held.groupBy(key, "text_hash").agg(F.max("version").alias("version"))
+    return held.join(newest, [key, "text_hash", "version"], "left_semi").dropDuplicates([key, "text_hash"])
+
+
 def cached_vectors(
-    spark: SparkSession, path: str, df: DataFrame, key: str, encode: Callable[[DataFrame], DataFrame]
+    spark: SparkSession, path: str, df: DataFrame, key: str, encode: Callable[[DataFrame], DataFrame], text: str | None = None
 ) -> DataFrame:
-    """Vectors per key, encoding only the rows that the cache at `path` lacks.
+    """Vectors (key, text_hash, version, embedding) of the rows of `df`, encoding only what the cache at `path`
+    lacks. `encode` takes rows and returns (key, embedding).
 
-    `encode` takes rows and returns (key, embedding). The cache is looked up by key, so a table of
-    equal size but other rows never gets foreign vectors.
+    A vector is found by its key and a hash of the `text` it was made from, so a changed text gets a new vector
+    and its old one stays for rows that still have the old text. Each call that encodes anything writes a version
+    of its own, and lists it in the manifest once it is complete: a job that died leaves nothing that is read, one
+    that is repeated writes the same version again.
     """
-    if not _exists(spark, path):
-        write_table(encode(df), path)
-    else:
-        missing = df.join(spark.read.parquet(path).select(key), key, "left_anti")
-        encode(missing).write.mode("append").parquet(path)
-    return spark.read.parquet(path).join(df.select(key).distinct(), key, "left_semi")
+    root = path.rstrip("/")
+    content = F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256) if text else F.lit("")
+    wanted = df.withColumn("text_hash", content)
+    held = read_vectors(spark, path, key)
+    missing = wanted if held is None else wanted.join(held.select(key, "text_hash"), [key, "text_hash"], "left_anti")
+    if held is None or not missing.isEmpty():
+        version = max(_versions(spark, path), default=-1) + 1
+        hashes = missing.select(key, "text_hash").dropDuplicates([key])
+        made = encode(missing.drop("text_hash")).select(key, "embedding").join(hashes, key)
+        write_table(made.select(key, "text_hash", F.lit(version).alias("version"), "embedding"), f"{root}/version-{version}")
+        listed = spark.range(1).select(F.lit(version).alias("version"))
+        listed.write.mode("append").parquet(f"{root}/manifest")
+        held = read_vectors(spark, path, key)
+    return held.join(wanted.select(key, "text_hash").distinct(), [key, "text_hash"], "left_semi")
 
 
 def write_split(df: DataFrame, path: str, seed: int, fraction: float) -> None:

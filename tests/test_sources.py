@@ -117,6 +117,28 @@ def test_materialize_and_cache(spark, tmp_path):
     assert sorted(r.id for r in found.collect()) == [2, 3, 4] and asked == [[0, 1, 2], [3, 4]]
 
 
+def test_cache_heeds_texts_and_survives_repeats(spark, tmp_path):
+    asked = []
+
+    def encode(rows):
+        asked.append(sorted(r.id for r in rows.collect()))
+        return rows.select("id", F.array(F.length("t").cast("double")).alias("embedding"))
+
+    cache = str(tmp_path / "texts")
+    frame = lambda rows: spark.createDataFrame(rows, "id long, t string")
+    old, new = [(1, "a"), (2, "bb"), (3, None)], [(1, "a"), (2, "bbbb"), (3, None)]
+    ask = lambda rows: {(r.id, r.version, r.embedding[0]) for r in tables.cached_vectors(spark, cache, frame(rows), "id", encode, "t").collect()}
+    assert ask(old) == {(1, 0, 1.0), (2, 0, 2.0), (3, 0, None)}
+    assert ask(new) == {(1, 0, 1.0), (2, 1, 4.0), (3, 0, None)}
+    assert ask(old) == {(1, 0, 1.0), (2, 0, 2.0), (3, 0, None)}  # the old text still has its vector
+    assert asked == [[1, 2, 3], [2]]
+    # a version that is written but not listed is not read, and the next call writes it again
+    frame([(9, "x")]).selectExpr("id", "'x' AS text_hash", "2 AS version", "array(1.0D) AS embedding").write.parquet(f"{cache}/version-2")
+    assert tables.read_vectors(spark, cache, "id").filter("id = 9").count() == 0
+    assert ask([(4, "dddd")]) == {(4, 2, 4.0)}
+    assert tables.read_vectors(spark, cache, "id").count() == 5
+
+
 def test_results_document(spark, tmp_path):
     parts = {"a": spark.createDataFrame([(1, [0.5, 0.6])], "x int, folds array<double>"),
              "b": spark.createDataFrame([("m", 2.0), ("n", None)], "name string, v double")}
