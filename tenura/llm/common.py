@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenura.lineage import staged
+from tenura.lineage import dropped, staged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,9 +46,11 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "hi").select(
             F.explode(F.array(F.struct(F.col("lo").alias("x")), F.struct(F.col("hi").alias("x")))).alias("s"), "m0"
         )
+        old = edges
         edges = staged(
             small.select(F.col("s.x").alias("hi"), F.col("m0").alias("lo")).filter("hi <> lo").distinct()
         )
+        dropped(old)
         after = edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(hi, lo))")).first()
         if after == before:
             break

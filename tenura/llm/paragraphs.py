@@ -2,14 +2,18 @@
 
 Paragraphs (lines) of SHINGLE words or more get MinHash values of their word shingles; bands tuned
 for high recall bring candidates together, exact Jaccard similarity decides, and clusters are connected
-components. Passages set into the middle of other paragraphs repeat in their inner sentences, which are
-compared for equality, and in their windows of WINDOW words, which heed no line or sentence end. A
+components. Passages set into the middle of other paragraphs repeat in their windows of WINDOW words, which
+heed no line or sentence end, and in inner sentences too short for a window, which are compared for equality. A
 document loses a run of repeated paragraphs, sentences and windows of RUN words or more if each also
 stands in a document of smaller doc_id.
 
 Windows are compared in two steps. The least hash of the SEED-word sequences inside a window names it by
-its content alone; only windows whose name several documents have are hashed as a whole. Equal stretches
-of WINDOW words or more are thus found from their first to their last word, wherever they stand.
+its content alone. Neighbouring windows of one name are one row; only those whose name several documents have
+are hashed as a whole, and rows of equal content are compared once. Equal stretches of WINDOW words or more
+are thus found from their first to their last word, wherever they stand.
+
+Texts are split into words twice: once for lines, sentences and names, and once more, where something in them
+may repeat, for the shingles of candidate lines and the windows of shared names.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tenura.lineage import staged
+from tenura.lineage import dropped, staged
 from tenura.llm.common import components, table, texts
 from tenura.llm.pivot_simhash import local_stars
 
@@ -33,13 +37,16 @@ SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.98
 RUN = 25
 #: Words of a window and of the sequences that name it: powers of two, hashed by doubling.
 WINDOW, SEED = 16, 8
-#: Rows of whole bands compared at a time, and group size up to which all pairs are listed.
-CHUNK, SMALL = 20_000, 32
+#: Rows of whole bands compared at a time, group size up to which all pairs are listed, and that from which a
+#: band is dealt again by rare shingles.
+CHUNK, SMALL, LARGE = 20_000, 32, 128
 #: Bytes of text split into words at a time.
 SLICE = 4_000_000
 
 WORD = re.compile(r"\S+")
-SENTENCE = re.compile(r"[^\n.!?]*[^\n.!?\s][^\n.!?]*[.!?]*")
+STOPS = (".", "!", "?")
+#: What a row of `marks_of` is about.
+LINE, SENTENCE, NAME = 0, 1, 2
 
 
 def tune_bands(similarity: float = SIMILARITY, recall: float = RECALL, most_values: int = 64) -> tuple[int, int]:
@@ -67,38 +74,49 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _words(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and the bounds of each line's. Words are lower-cased runs without white space."""
+def _words(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, whether they end a sentence, and the bounds of each line's. Words are lower-cased runs
+    without white space."""
     words = pc.utf8_split_whitespace(pc.utf8_lower(lines))
     flat = words.flatten()
     kept = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
     bounds = np.concatenate([[0], np.cumsum(kept)])[np.asarray(words.offsets) - words.offsets[0].as_py()]
     coded = flat.filter(pa.array(kept)).dictionary_encode()
-    table_ = np.array([xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
-    return (table_[coded.indices.to_numpy()] if len(table_) else np.zeros(0, np.uint64)), bounds
+    distinct = coded.dictionary.to_pylist()
+    if not distinct:
+        return np.zeros(0, np.uint64), np.zeros(0, bool), bounds
+    codes = coded.indices.to_numpy()
+    hashes = np.array([xxh64_intdigest(w) for w in distinct], np.uint64)
+    return hashes[codes], np.array([w.endswith(STOPS) for w in distinct])[codes], bounds
 
 
-def shingled(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lines as hashes: words of each line, its key, and the hashes of its shingles with their bounds.
-    A line short of a shingle has one of all its words."""
-    hashes, bounds = _words(lines)
+def shingled(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of word hashes, run k being hashes[bounds[k]:bounds[k + 1]]: the key of each, and the hashes of its
+    shingles with their bounds. A run short of a shingle has one of all its words."""
     n_words = np.diff(bounds)
     sizes = np.where(n_words >= SHINGLE, n_words - SHINGLE + 1, np.minimum(n_words, 1))
     ends = np.cumsum(sizes)
     row = np.repeat(np.arange(len(sizes)), sizes)
-    at = bounds[:-1][row] + np.arange(len(row)) - (ends - sizes)[row]
+    place = np.arange(len(row)) - (ends - sizes)[row]
+    at = bounds[:-1][row] + place
     shingles = np.zeros(len(row), np.uint64)
     for k in range(SHINGLE):
         inside = at + k < bounds[1:][row]
         shingles[inside] += _mix(hashes[(at + k)[inside]] + np.uint64(k)) * PLACES[k]
     shingles = _mix(shingles)
     # the key depends on all shingles in their order
-    place = np.arange(len(row)) - (ends - sizes)[row]
     keys = np.zeros(len(sizes), np.uint64)
     full = np.flatnonzero(sizes)
     if len(full):
         keys[full] = np.add.reduceat(_mix(shingles + place.astype(np.uint64)), (ends - sizes)[full])
-    return n_words, _mix(keys), shingles, np.concatenate([[0], ends])
+    return _mix(keys), shingles, np.concatenate([[0], ends])
+
+
+def _picked(bounds: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the items of chosen runs, end to end, and the new bounds."""
+    sizes = np.diff(bounds)[chosen]
+    ends = np.cumsum(sizes)
+    return np.repeat(bounds[:-1][chosen] - (ends - sizes), sizes) + np.arange(sizes.sum()), np.concatenate([[0], ends])
 
 
 def band_keys(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -110,159 +128,181 @@ def band_keys(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return _mix(out + np.arange(BANDS, dtype=np.uint64))
 
 
-def _lines(column: pa.Array) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
-    """Slices of a text column: first row, its lines, and each line's row and number."""
-    lengths = pc.binary_length(column).to_numpy()
-    group = (np.cumsum(lengths) - lengths) // SLICE
-    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(column)]
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        if a < b:
-            split = pc.split_pattern(column.slice(a, b - a), "\n")
-            many = np.diff(np.asarray(split.offsets))
-            row = np.repeat(np.arange(b - a), many)
-            number = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-            yield a, split.flatten(), row + a, number
-
-
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, n_words, key, bands) of each line of SHINGLE words or more."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, lines, row, number in _lines(batch.column("text")):
-                n_words, keys, shingles, bounds = shingled(lines)
-                long = np.flatnonzero(n_words >= SHINGLE)
-                sizes = np.diff(bounds)[long]
-                picked = np.repeat(bounds[long] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-                bands = band_keys(shingles[picked], np.concatenate([[0], np.cumsum(sizes)])) if len(long) else np.zeros((0, BANDS), np.uint64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").take(pa.array(row[long])),
-                        pa.array(number[long].astype(np.int32)),
-                        pa.array(n_words[long].astype(np.int32)),
-                        pa.array(keys[long].view(np.int64)),
-                        pa.ListArray.from_arrays(
-                            np.arange(len(long) + 1, dtype=np.int32) * BANDS, pa.array(bands.reshape(-1).view(np.int64))
-                        ),
-                    ],
-                    ["doc_id", "line", "n_words", "key", "bands"],
-                )
-
-    return docs.mapInArrow(of, "doc_id long, line int, n_words int, key long, bands array<long>")
-
-
-def sentences_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, begin, end, n_words, key) of sentences of SHINGLE words or more that share their
-    line with others; offsets count characters of the text."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, count in _slices(batch.column("text")):
-                rows, numbers, begins, ends, found = [], [], [], [], []
-                for r in range(first, first + count):
-                    text = batch.column("text")[r].as_py()
-                    at = 0
-                    for number, line in enumerate(text.split("\n")):
-                        spans = [m.span() for m in SENTENCE.finditer(line)]
-                        if len(spans) > 1:
-                            for a, b in spans:
-                                if b - a >= 2 * SHINGLE - 1:
-                                    rows.append(r)
-                                    numbers.append(number)
-                                    begins.append(at + a)
-                                    ends.append(at + b)
-                                    found.append(line[a:b])
-                        at += len(line) + 1
-                n_words, keys, _, _ = shingled(pa.array(found, pa.string()))
-                long = np.flatnonzero(n_words >= SHINGLE)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").take(pa.array(np.array(rows, np.int64)[long])),
-                        pa.array(np.array(numbers, np.int32)[long]),
-                        pa.array(np.array(begins, np.int64)[long]),
-                        pa.array(np.array(ends, np.int64)[long]),
-                        pa.array(n_words[long].astype(np.int32)),
-                        pa.array(keys[long].view(np.int64)),
-                    ],
-                    ["doc_id", "line", "begin", "end", "n_words", "key"],
-                )
-
-    return docs.mapInArrow(of, "doc_id long, line int, begin long, end long, n_words int, key long")
+class Slice:
+    """Some texts of a column, split into words: line k has the words from bounds[k] to bounds[k + 1] and belongs
+    to text row[k] (of the slice), text r has the words from ends[r] to ends[r + 1]."""
+
+    def __init__(self, column: pa.Array):
+        split = pc.split_pattern(column, "\n")
+        many = np.diff(np.asarray(split.offsets))
+        self.hashes, self.stops, self.bounds = _words(split.flatten())
+        self.row = np.repeat(np.arange(len(column)), many)
+        self.ends = self.bounds[np.concatenate([[0], np.cumsum(many)])]
+
+    def place(self, word: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """The number of a word in its text."""
+        return (word - self.ends[row]).astype(np.int32)
+
+    def sentences(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(line, begin, end) in words of the sentences of SHINGLE words or more, but fewer than a window has, that
+        share their line with others."""
+        begins = np.zeros(len(self.hashes) + 1, bool)
+        begins[self.bounds[:-1]] = True
+        begins[1:] |= self.stops
+        begin = np.flatnonzero(begins[:-1])
+        end = np.append(begin[1:], len(self.hashes)) if len(begin) else begin
+        line = np.searchsorted(self.bounds, begin, side="right") - 1
+        alone = np.bincount(line, minlength=len(self.row)) < 2
+        kept = (end - begin >= SHINGLE) & (end - begin < WINDOW) & ~alone[line]
+        return line[kept], begin[kept], end[kept]
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each window of WINDOW words: its text, its first word, its name (the least hash of its SEED-word
+        sequences) and its key (the hash of all its words)."""
+        hashes, sizes = self.hashes, np.maximum(np.diff(self.ends) - WINDOW + 1, 0)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        at = self.ends[:-1][row] + np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]
+        if not len(at):
+            return row, at, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        key, width = _mix(hashes), 1
+        while width < WINDOW:
+            if width == SEED:
+                least, span = key, 1  # the least of `span` sequences from each word on
+                while span * 2 <= WINDOW - SEED + 1:
+                    least = np.minimum(least[:-span], least[span:])
+                    span *= 2
+                rest = WINDOW - SEED + 1 - span
+                least = np.minimum(least[: len(least) - rest], least[rest:])
+            key = _mix(key[:-width] * MULTIPLY[0] + _mix(key[width:] + ADD[0]))
+            width *= 2
+        return row, at, least[at], key[at]
 
 
 def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of parts of bounded text."""
     lengths = pc.binary_length(column).to_numpy()
     group = (np.cumsum(lengths) - lengths) // SLICE
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(column)]
     return ((a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b)
 
 
-def _windows(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each window of WINDOW words of the texts: its row, the number of its first word, its name (the least
-    hash of its SEED-word sequences) and its key (the hash of all its words)."""
-    hashes, bounds = _words(column)
-    row = np.repeat(np.arange(len(column)), np.maximum(np.diff(bounds) - WINDOW + 1, 0))
-    sizes = np.bincount(row, minlength=len(column))
-    number = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    at = bounds[:-1][row] + number
-    if not len(at):
-        return row, number, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    key, width = _mix(hashes), 1
-    while width < WINDOW:
-        if width == SEED:
-            least, span = key, 1  # the least of `span` sequences from each word on
-            while span * 2 <= WINDOW - SEED + 1:
-                least = np.minimum(least[:-span], least[span:])
-                span *= 2
-            rest = WINDOW - SEED + 1 - span
-            least = np.minimum(least[: len(least) - rest], least[rest:])
-        key = _mix(key[:-width] * MULTIPLY[0] + _mix(key[width:] + ADD[0]))
-        width *= 2
-    return row, number, least[at], key[at]
-
-
-def seeds_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, seed): the names of a document's windows, repeats allowed."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, text): `row` tells rows of one doc_id apart by their text, so that a doc_id with very many
+    rows is no single key."""
+    return docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
+
+
+def marks_of(docs: DataFrame) -> DataFrame:
+    """(kind, doc_id, row, at, n_words, key, hashes): a row for each line of SHINGLE words or more, `hashes` being
+    its bands, one for each short inner sentence, and one for each text with the names of its windows. `at` is the
+    number of the first word."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(kind: int, batch: pa.RecordBatch, first: int, row, at, n_words, keys, hashes=None, sizes=None) -> pa.RecordBatch:
+            whose = pa.array(row + first)
+            n = len(row)
+            lists = pa.nulls(n, pa.list_(pa.int64())) if hashes is None else pa.ListArray.from_arrays(
+                np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(hashes.reshape(-1).view(np.int64))
+            )
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, kind, np.int32)), batch.column("doc_id").take(whose), batch.column("row").take(whose),
+                 pa.array(at), pa.array(n_words.astype(np.int32)), pa.array(keys.view(np.int64)), lists],
+                ["kind", "doc_id", "row", "at", "n_words", "key", "hashes"],
+            )
+
         for batch in batches:
             for first, count in _slices(batch.column("text")):
-                row, _, least, _ = _windows(batch.column("text").slice(first, count))
+                s = Slice(batch.column("text").slice(first, count))
+                keys, shingles, bounds = shingled(s.hashes, s.bounds)
+                long = np.flatnonzero(np.diff(s.bounds) >= SHINGLE)
+                own, ends = _picked(bounds, long)
+                bands = band_keys(shingles[own], ends) if len(long) else np.zeros((0, BANDS), np.uint64)
+                row = s.row[long]
+                yield rows(LINE, batch, first, row, s.place(s.bounds[long], row), np.diff(s.bounds)[long], keys[long], bands, np.full(len(long), BANDS))
+                line, begin, end = s.sentences()
+                sizes = end - begin
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                own = np.repeat(begin - ends[:-1], sizes) + np.arange(sizes.sum())
+                row = s.row[line]
+                yield rows(SENTENCE, batch, first, row, s.place(begin, row), sizes, shingled(s.hashes[own], ends)[0])
+                row, _, least, _ = s.windows()
                 new = np.ones(len(row), bool)
                 new[1:] = (row[1:] != row[:-1]) | (least[1:] != least[:-1])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(row[new] + first)), pa.array(least[new].view(np.int64))],
-                    ["doc_id", "seed"],
-                )
+                named, sizes = np.unique(row[new], return_counts=True)
+                zeros = np.zeros(len(named), np.int32)
+                yield rows(NAME, batch, first, named, zeros, zeros, zeros.astype(np.uint64), least[new], sizes)
+
+    return _keyed(docs).mapInArrow(
+        of, "kind int, doc_id long, row long, at int, n_words int, key long, hashes array<long>"
+    )
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, at, n_words, key, bands) of each line of SHINGLE words or more."""
+    return _lines(marks_of(docs))
 
-    return docs.mapInArrow(of, "doc_id long, seed long")
 
+def _lines(marks: DataFrame) -> DataFrame:
+    return marks.filter(F.col("kind") == LINE).withColumnRenamed("hashes", "bands")
 
-def windows_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, word, key) of the windows whose name another document has too; `word` is the number of
-    the first word."""
-    seeds = staged(seeds_of(docs))
-    several = seeds.groupBy("seed").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    shared = seeds.join(several.filter("first < last").select("seed"), "seed")
-    named = shared.groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))  # at most a document's words
+
+def details_of(docs: DataFrame, lines: DataFrame, names: DataFrame) -> DataFrame:
+    """What a second look at the texts gives. For `lines` (doc_id, row, key): rows with `key` and the line's set
+    of `shingles`. For `names` (doc_id, row, key): rows (doc_id, row, at) with the `windows` of that name, the keys
+    of at most WINDOW - SEED + 1 neighbouring windows from word `at` on, and a `key` of all of them."""
+    asked = (
+        lines.select("doc_id", "row", F.col("key").alias("line"), F.lit(None).cast("long").alias("name"))
+        .unionAll(names.select("doc_id", "row", F.lit(None).cast("long"), F.col("key")))
+        .groupBy("doc_id", "row")
+        .agg(F.collect_set("line").alias("lines"), F.collect_set("name").alias("names"))  # at most a text's words
+    )
+    kinds = pa.schema(
+        [("doc_id", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("key", pa.int64()),
+         ("shingles", pa.list_(pa.int64())), ("windows", pa.list_(pa.int64()))]
+    )
+    most = WINDOW - SEED + 1
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, count in _slices(batch.column("text")):
-                row, number, least, key = _windows(batch.column("text").slice(first, count))
-                # a name that one document shares is shared in all documents that have it
-                asked = batch.column("seeds").slice(first, count).flatten().to_numpy().view(np.uint64)
-                met = np.isin(least, asked)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").take(pa.array(row[met] + first)),
-                        pa.array(number[met].astype(np.int32)),
-                        pa.array(key[met].view(np.int64)),
-                    ],
-                    ["doc_id", "word", "key"],
-                )
-
-    return docs.join(named, "doc_id").select("doc_id", "text", "seeds").mapInArrow(of, "doc_id long, word int, key long")
+                part = batch.slice(first, count)
+                s = Slice(part.column("text"))
+                asked = [part.column(n).flatten().to_numpy().view(np.uint64) for n in ("lines", "names")]
+                if len(asked[0]):
+                    keys, shingles, bounds = shingled(s.hashes, s.bounds)
+                    _, chosen = np.unique(keys, return_index=True)
+                    chosen = chosen[np.isin(keys[chosen], asked[0])]
+                    sets = [np.unique(shingles[bounds[k] : bounds[k + 1]]).view(np.int64) for k in chosen.tolist()]
+                    n, ends = len(chosen), np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                    nothing = [pa.nulls(n, f.type) for f in kinds]
+                    lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+                    yield pa.RecordBatch.from_arrays(
+                        [*nothing[:3], pa.array(keys[chosen].view(np.int64)), lists, nothing[5]], schema=kinds
+                    )
+                if len(asked[1]):
+                    row, at, least, key = s.windows()
+                    # a name that one document shares is shared in all documents that have it
+                    met = np.flatnonzero(np.isin(least, asked[1]))
+                    if not len(met):
+                        continue
+                    row, at, least, key = row[met], at[met], least[met], key[met]
+                    new = np.ones(len(met), bool)
+                    new[1:] = (met[1:] != met[:-1] + 1) | (row[1:] != row[:-1]) | (least[1:] != least[:-1])
+                    run = np.flatnonzero(new)
+                    place = np.arange(len(met)) - np.repeat(run, np.diff(np.append(run, len(met))))
+                    run = np.flatnonzero(place % most == 0)  # one name may go on in periodic texts
+                    whole = np.add.reduceat(_mix(key + (place % most).astype(np.uint64)), run)
+                    whose, n = pa.array(row[run]), len(run)
+                    lists = pa.ListArray.from_arrays(np.append(run, len(met)).astype(np.int32), pa.array(key.view(np.int64)))
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("doc_id").take(whose), part.column("row").take(whose), pa.array(s.place(at[run], row[run])),
+                         pa.array(_mix(whole).view(np.int64)), pa.nulls(n, kinds.field("shingles").type), lists],
+                        schema=kinds,
+                    )
+
+    return _keyed(docs).join(asked, ["doc_id", "row"]).select("doc_id", "row", "text", "lines", "names").mapInArrow(
+        of, "doc_id long, row long, at int, key long, shingles array<long>, windows array<long>"
+    )
 
 
 class Sets:
@@ -354,128 +394,175 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stars(pa.Table.from_batches(held).combine_chunks())
 
 
-def _shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, shingles) of the lines named by `wanted` (doc_id, key): their sets, read from the texts."""
-    named = wanted.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))  # at most a document's lines
+def _met(lines: DataFrame) -> DataFrame:
+    """(band, key, doc_id, row) of lines of different content that share a band, with one place of each."""
+    distinct = staged(
+        lines.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min_by("row", "doc_id").alias("row"), F.first("bands").alias("bands"))
+    )
+    keyed = distinct.select("key", "doc_id", "row", F.explode("bands").alias("band"))
+    shared = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = staged(keyed.join(shared, "band"))
+    dropped(distinct)
+    return met
+
+
+def _by_rare_shingles(sets: DataFrame) -> DataFrame:
+    """Rows (band, key, shingles) for the `sets` (key, shingles) of large bands, dealt again: two sets of
+    similarity SIMILARITY share one of their n - ceil(SIMILARITY * n) + 1 rarest shingles, whatever the order of
+    the shingles, as long as it is one order for all. Lines of one template share their common shingles, which are
+    not asked, and part. A line is taken apart once, however many large bands it is in."""
+    each = sets.select("key", F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    n = F.size("ordered")
+    rarest = (
+        each.join(often, "shingle", "left")
+        .groupBy("key")
+        .agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("ordered"))  # a line's shingles
+        .select("key", F.explode(F.slice("ordered", 1, n - F.ceil(SIMILARITY * n - 1e-9).cast("int") + 1)).alias("s"))
+        .filter("s.often is not null")  # a shingle of one line brings nothing together
+        .select("key", F.col("s.shingle").alias("band"))
+    )
+    several = rarest.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
+    return rarest.join(several, "band").join(sets, "key").select("band", "key", "shingles")
+
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, lines, row, _ in _lines(batch.column("text")):
-                _, keys, shingles, bounds = shingled(lines)
-                signed, out, sets = keys.view(np.int64), [], []
-                asked = {r: set(batch.column("keys")[r].as_py()) for r in np.unique(row).tolist()}
-                for k, (r, key) in enumerate(zip(row.tolist(), signed.tolist(), strict=True)):
-                    if key in asked[r]:
-                        asked[r].discard(key)
-                        out.append(key)
-                        sets.append(np.unique(shingles[bounds[k] : bounds[k + 1]]).view(np.int64))
-                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                flat = np.concatenate([np.zeros(0, np.int64), *sets])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(flat))], ["key", "shingles"]
-                )
-
-    read = docs.join(named, "doc_id").select("text", "keys").mapInArrow(of, "key long, shingles array<long>")
-    return read.groupBy("key").agg(F.first("shingles").alias("shingles"))
+def _clusters(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, cluster) of lines that are similar to another, from `sets` (key, shingles)."""
+    rows = staged(met.select("band", "key", "n").join(sets.groupBy("key").agg(F.first("shingles").alias("shingles")), "key"))
+    dealt = rows.filter(F.col("n") <= LARGE).select("band", "key", "shingles")
+    large = rows.filter(F.col("n") > LARGE).select("key", "shingles").dropDuplicates(["key"])
+    if not large.isEmpty():
+        dealt = dealt.unionAll(_by_rare_shingles(large))
+    dealt = dealt.repartition("band").sortWithinPartitions("band", "key")
+    links = staged(dealt.select("band", "key", "shingles").mapInArrow(_compare, "a long, b long"))
+    dropped(rows)
+    found = components(links).select(F.col("node").alias("key"), F.col("component").alias("cluster"))
+    dropped(links)
+    return found
 
 
 def clusters(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(key, cluster) of all lines that are similar to another: `lines` (doc_id, key, bands)."""
-    distinct = staged(
-        lines.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    """(key, cluster) of all lines that are similar to another: `lines` as `lines_of` gives them."""
+    met = _met(lines)
+    wanted = met.select("doc_id", "row", "key").distinct()
+    return _clusters(met, details_of(docs, wanted, wanted.limit(0)).filter("shingles is not null"))
+
+
+def _earlier(rows: DataFrame, keys: str = "key") -> DataFrame:
+    """`keys` that several documents have, with the smallest doc_id."""
+    return (
+        rows.groupBy(keys).agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("latest")).filter("keeper < latest").drop("latest")
     )
-    keyed = distinct.select("key", "doc_id", F.explode("bands").alias("band"))
-    shared = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
-    met = staged(keyed.join(shared, "band"))
-    sets = _shingles_of(docs, met.select("doc_id", "key").distinct())
-    rows = met.select("band", "key").join(sets, "key").repartition("band").sortWithinPartitions("band", "key")
-    links = rows.select("band", "key", "shingles").mapInArrow(_compare, "a long, b long")
-    return components(links).select(F.col("node").alias("key"), F.col("component").alias("cluster"))
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, line, begin, end, n_words, keeper): every line, inner sentence and window that is alike or
-    nearly alike in a document of smaller doc_id, `keeper`. Lines carry no offsets; those of windows are the
-    numbers of the first word and of the one after the last. Rows without doc_id, and texts without words,
-    hold nothing and remove nothing; repeated rows of one doc_id are one document."""
+def _repeated_windows(windows: DataFrame) -> DataFrame:
+    """(doc_id, row, words, keepers): the first words of windows that stand in an earlier document, from rows
+    (doc_id, row, at, key, windows). Rows of equal content are compared as one."""
+    once = windows.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("windows").alias("windows"))
+    each = staged(once.select("key", "first", "last", F.posexplode("windows").alias("place", "window")))
+    least = each.groupBy("window").agg(F.min("first").alias("keeper"), F.max("last").alias("latest")).filter("keeper < latest")
+    held = staged(each.join(least.drop("latest"), "window").groupBy("key").agg(F.collect_list(F.struct("place", "keeper")).alias("held")))
+    dropped(each)
+    mine = F.filter("held", lambda h: h["keeper"] < F.col("doc_id"))
+    found = staged(
+        windows.select("doc_id", "row", "at", "key")
+        .join(held, "key")
+        .select("doc_id", "row", "at", mine.alias("mine"))
+        .filter("size(mine) > 0")
+        .select("doc_id", "row", F.transform("mine", lambda h: (F.col("at") + h["place"]).cast("int")).alias("words"), F.col("mine.keeper").alias("keepers"))
+    )
+    dropped(held)
+    return found
+
+
+def _repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is alike in a document of smaller doc_id: rows (kind, doc_id, row, at, n_words, keeper) of lines and
+    short sentences, and rows of `_repeated_windows`."""
     docs = texts(docs).filter("doc_id is not null and text <> ''")
-    lines = staged(lines_of(docs))
-    found = clusters(docs, lines)
-    firsts = lines.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    named = firsts.join(found, "key", "left").withColumn("cluster", F.coalesce("cluster", "key"))
+    marks = staged(marks_of(docs))
+    lines = _lines(marks)
+    met = _met(lines)
+    names = marks.filter(F.col("kind") == NAME).select("doc_id", "row", F.explode("hashes").alias("key"))
+    # each written by itself, so that the shuffle files of one are gone before the next begins
+    several = staged(_earlier(names).select("key"))
+    # names that several documents have are few beside all names, which need not be sorted to meet them
+    shared = staged(names.join(several.hint("shuffle_hash"), "key").select("doc_id", "row", "key"))
+    details = staged(details_of(docs, met.select("doc_id", "row", "key").distinct(), shared))
+    dropped(several, shared)
+    found = _clusters(met, details.filter("shingles is not null"))
+    dropped(met)
+    ends = lines.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    named = ends.join(found, "key", "left").withColumn("cluster", F.coalesce("cluster", "key"))
     whole = named.groupBy("cluster").agg(F.min("first").alias("keeper"), F.max("last").alias("latest"))
     spread = named.join(whole.filter("keeper < latest"), "cluster").select("key", "keeper")
-    a = lines.select("doc_id", "line", "n_words", "key").join(spread, "key").filter("doc_id > keeper")
-    inner = staged(sentences_of(docs)).repartition("key")
-    firsts = inner.groupBy("key").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("latest"))
-    b = inner.join(firsts.filter("keeper < latest"), "key").filter("doc_id > keeper")
-    windows = staged(windows_of(docs))
-    firsts = windows.groupBy("key").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("latest"))
-    c = windows.join(firsts.filter("keeper < latest"), "key").filter("doc_id > keeper")
-    begin = F.col("word").cast("long")
-    none = F.lit(None).cast("long")
-    return a.select("doc_id", F.lit("line").alias("kind"), "line", none.alias("begin"), none.alias("end"), "n_words", "keeper").unionAll(
-        b.select("doc_id", F.lit("sentence").alias("kind"), "line", "begin", "end", "n_words", "keeper")
-    ).unionAll(
-        c.select(
-            "doc_id", F.lit("window").alias("kind"), none.cast("int").alias("line"), begin.alias("begin"),
-            (begin + WINDOW).alias("end"), F.lit(WINDOW).alias("n_words"), "keeper",
-        )
+    short = marks.filter(F.col("kind") == SENTENCE)
+    rest = ["kind", "doc_id", "row", "at", "n_words", "keeper"]
+    both = lines.join(spread, "key").select(rest).unionAll(short.join(_earlier(short), "key").select(rest))
+    both = staged(both.filter("doc_id > keeper"))
+    dropped(marks)
+    windows = _repeated_windows(details.filter("windows is not null").select("doc_id", "row", "at", "key", "windows"))
+    dropped(details)
+    return both, windows
+
+
+def repeated(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, kind, begin, end, n_words, keeper): every line, short inner sentence and window that is alike
+    or nearly alike in a document of smaller doc_id, `keeper`; `begin` and `end` are the numbers of the first word
+    and of the one after the last. Rows without doc_id, and texts without words, hold nothing and remove
+    nothing; rows that share a doc_id never remove from each other."""
+    both, windows = _repeats(docs)
+    names = F.when(F.col("kind") == LINE, "line").otherwise("sentence").alias("kind")
+    each = windows.select("doc_id", "row", F.explode(F.arrays_zip("words", "keepers")).alias("w"))
+    return both.select("doc_id", "row", names, F.col("at").alias("begin"), (F.col("at") + F.col("n_words")).alias("end"), "n_words", "keeper").unionAll(
+        each.select("doc_id", "row", F.lit("window"), "w.words", F.col("w.words") + WINDOW, F.lit(WINDOW), "w.keepers")
     )
 
 
-def removal_spans(
-    text: str, lines: set[int], sentences: list[tuple[int, int]], windows: list[int]
-) -> list[tuple[int, int, int]]:
-    """(begin, end, words) of the runs of at least RUN words to be removed from `text`: repeated lines,
-    sentences and windows (by first word) with nothing but white space or pieces short of a shingle
-    between them."""
-    spans = list(sentences)
-    if windows:
-        places = [m.span() for m in WORD.finditer(text)]
-        firsts = np.array(sorted(w for w in windows if w + WINDOW <= len(places)), np.int64)
-        cuts = np.flatnonzero(np.diff(firsts) > WINDOW) + 1
-        spans += [(places[w[0]][0], places[w[-1] + WINDOW - 1][1]) for w in np.split(firsts, cuts) if len(w)]
-    at = 0
-    for number, line in enumerate(text.split("\n")):
-        if number in lines:
-            spans.append((at, at + len(line)))
-        at += len(line) + 1
+def removal_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(begin, end, words) in characters of the runs of at least RUN words to be removed from `text`: repeated
+    ranges of words (first, after the last) with less than a shingle of words between them."""
+    places = [m.span() for m in WORD.finditer(text)]
     runs: list[list[int]] = []
-    for begin, end in sorted(set(spans)):
-        if runs and (begin <= runs[-1][1] or len(text[runs[-1][1] : begin].split()) < SHINGLE):
+    for begin, end in sorted(ranges):
+        if runs and begin - runs[-1][1] < SHINGLE:
             runs[-1][1] = max(runs[-1][1], end)
         else:
             runs.append([begin, end])
-    sized = [(a, b, len(text[a:b].split())) for a, b in runs]
-    return [run for run in sized if run[2] >= RUN]
+    return [(places[a][0], places[b - 1][1], b - a) for a, b in runs if b - a >= RUN]
 
 
 def _named(docs: DataFrame) -> DataFrame:
-    """(id, lines, spans, windows): what repeats in each document that may lose a run."""
+    """(doc_id, row, ranges, windows): what repeats in each text that may lose a run."""
+    both, windows = _repeats(docs)
+    ranges = both.select(
+        "doc_id", "row", F.struct("at", (F.col("at") + F.col("n_words")).alias("end")).alias("range"),
+        F.lit(None).cast("array<int>").alias("words"), F.col("n_words").cast("long").alias("n"),
+    )
+    firsts = windows.select(
+        "doc_id", "row", F.lit(None).cast("struct<at: int, end: int>"), "words", (F.size("words") + WINDOW - 1).cast("long")
+    )
     return (
-        repeated(docs)
-        .groupBy(F.col("doc_id").alias("id"))
-        .agg(
-            F.collect_set(F.when(F.col("kind") == "line", F.col("line"))).alias("lines"),
-            F.collect_set(F.when(F.col("kind") == "sentence", F.struct("begin", "end"))).alias("spans"),
-            F.collect_set(F.when(F.col("kind") == "window", F.col("begin").cast("int"))).alias("windows"),
-            F.sum("n_words").alias("words"),
-        )
-        .filter(F.col("words") >= RUN // 2)
-        .drop("words")
+        ranges.unionAll(firsts)
+        .groupBy("doc_id", "row")
+        .agg(F.collect_set("range").alias("ranges"), F.flatten(F.collect_list("words")).alias("windows"), F.sum("n").alias("n"))
+        .filter(F.col("n") >= RUN // 2)
+        .drop("n")
     )
 
 
+def _runs(text: str, ranges: list[dict], windows: list[int]) -> list[tuple[int, int, int]]:
+    return removal_spans(text, [(r["at"], r["end"]) for r in ranges] + [(w, w + WINDOW) for w in windows])
+
+
 def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, text, kept_text, n_runs, n_words_removed) of the documents that lose something. Rows that share
-    a doc_id count as one document; each loses what is named for that doc_id, by its place in the text."""
+    a doc_id never remove from each other; each loses what repeats in its own text."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                runs = removal_spans(r["text"], set(r["lines"]), [(s["begin"], s["end"]) for s in r["spans"]], r["windows"])
+                runs = _runs(r["text"], r["ranges"], r["windows"])
                 if runs:
                     kept = without(r["text"], runs)
                     rows.append((r["doc_id"], r["text"], kept, len(runs), sum(n for *_, n in runs)))
@@ -486,8 +573,8 @@ def removals(docs: DataFrame) -> DataFrame:
                 ["doc_id", "text", "kept_text", "n_runs", "n_words_removed"],
             )
 
-    rows = texts(docs).filter("doc_id is not null and text <> ''").join(_named(docs), F.col("doc_id") == F.col("id"))
-    return rows.select("doc_id", "text", "lines", "spans", "windows").mapInArrow(
+    rows = _keyed(texts(docs).filter("doc_id is not null and text <> ''")).join(_named(docs), ["doc_id", "row"])
+    return rows.select("doc_id", "text", "ranges", "windows").mapInArrow(
         apply, "doc_id long, text string, kept_text string, n_runs int, n_words_removed long"
     )
 
@@ -503,8 +590,12 @@ def without(text: str, runs: list[tuple[int, int, int]]) -> str:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """`docs` with its repeated runs cut from the texts, all columns kept; `n_chars`, if there, counts the new
     text. A document that had words and lost all of them goes. Rows without doc_id or text stay as they are."""
-    found = _named(docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*docs.columns).alias("row")).join(found, "id", "left")
+    found = _named(docs).select(F.col("doc_id").alias("id"), F.col("row").alias("of_text"), "ranges", "windows")
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("id"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("of_text"),
+        F.struct(*docs.columns).alias("row"),
+    ).join(found, ["id", "of_text"], "left")
     fields = docs.schema
     text_at = docs.columns.index("text")
     chars_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
@@ -514,12 +605,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             columns = list(batch.column("row").flatten())
             text, keep = columns[text_at].to_pylist(), np.ones(batch.num_rows, bool)
             chars = columns[chars_at].to_pylist() if chars_at is not None else None
-            lists, spans, windows = (batch.column(n) for n in ("lines", "spans", "windows"))
-            for r in np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False)).tolist():
+            ranges, windows = batch.column("ranges"), batch.column("windows")
+            for r in np.flatnonzero(ranges.is_valid().to_numpy(zero_copy_only=False)).tolist():
                 if text[r] is None:
                     continue
-                named = [(s["begin"], s["end"]) for s in spans[r].as_py()]
-                runs = removal_spans(text[r], set(lists[r].as_py()), named, windows[r].as_py())
+                runs = _runs(text[r], ranges[r].as_py(), windows[r].as_py())
                 if runs:
                     text[r] = without(text[r], runs)
                     keep[r] = bool(text[r].strip())
@@ -530,7 +620,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 columns[chars_at] = pa.array(chars, columns[chars_at].type)
             yield pa.RecordBatch.from_arrays(columns, fields.names).filter(pa.array(keep))
 
-    return rows.select("row", "lines", "spans", "windows").mapInArrow(apply, fields)
+    return rows.select("row", "ranges", "windows").mapInArrow(apply, fields)
 
 
 def op6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
