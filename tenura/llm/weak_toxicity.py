@@ -1,9 +1,11 @@
 """Toxicity by weak supervision.
 
 Voters are word lists, written patterns, and words and word beginnings mined from labelled training rows.
-A generative label model takes the true class as hidden: EM estimates each voter's rates in both classes
-and the correlations of voters within them, and weighs correlated voters down. A linear classifier is
-then trained on the posterior labels and scores every whole text.
+The sample is dealt into PARTS by a hash. The true classes of one part are hidden: two other parts mine its
+voters, a third is the labelled calibration share that names the classes, and a generative label model
+estimates each voter's rates in both classes and the correlations of voters within them by EM, weighing
+correlated voters down. So no row's own label has a say in its posterior. A linear classifier is then trained
+on the posterior labels of all parts and scores every whole text.
 """
 
 from __future__ import annotations
@@ -24,7 +26,9 @@ from tenura.llm.common import table, texts
 #: Bounds of the labelled sample by class.
 TOXIC_ROWS, CLEAN_ROWS = 4_000, 16_000
 #: Mined voters: at most so many, each in so many toxic rows, with such a smoothed precision.
-MINED, SUPPORT, PRECISION = 250, 5, 0.85
+MINED, SUPPORT, PRECISION = 250, 3, 0.75
+#: Parts of the sample; each is hidden once, with the next one for calibration and the others for mining.
+PARTS = 4
 BEGINNINGS = (3, 4, 5, 6, 7)
 SLICE = 4_000_000
 THRESHOLD = 0.7
@@ -49,6 +53,8 @@ class Model:
     names: list[str]
     weights: np.ndarray
     bias: float
+    turned: int  # labels of the sample that lie on the other side of their posterior
+    sampled: int
 
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -102,24 +108,26 @@ def held_out():
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, toxic_rows: int, clean_rows: int) -> DataFrame:
-    """(text, toxic) of at most about so many training rows of each class, drawn by a hash of doc_id. Its
-    keys are broadcast: twelve bytes for each of at most about toxic_rows + clean_rows rows."""
+    """(text, toxic, part) of about so many different (doc_id, text) rows of each class, drawn and dealt into
+    parts by hashes of both. The keys of the drawn rows are broadcast: some thirty bytes for each."""
     marks = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     marks = marks.filter("toxic in (0, 1) and doc_id is not null").filter(~held_out())
-    n = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    named = texts(docs).withColumn("name", F.xxhash64("text"))
+    rows = staged(named.select("doc_id", "name").distinct().join(marks, "doc_id"))
+    n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.when(F.col("toxic") == 1, min(1.0, toxic_rows / n.get(1, 1))).otherwise(min(1.0, clean_rows / n.get(0, 1)))
-    drawn = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    keys = drawn.limit(2 * (toxic_rows + clean_rows))
-    return texts(docs).join(F.broadcast(keys), "doc_id").select("text", "toxic")
+    keys = rows.filter(F.pmod(F.xxhash64("doc_id", "name"), F.lit(1_000_000)) < share * 1_000_000)
+    drawn = named.join(F.broadcast(keys), ["doc_id", "name"]).dropDuplicates(["doc_id", "name"])
+    return drawn.select("text", "toxic", F.pmod(F.xxhash64("name", "doc_id"), F.lit(PARTS)).cast("int").alias("part"))
 
 
-def mine(sample: DataFrame, most: int = MINED) -> list[str]:
-    """Words, and word beginnings ending in *, that mark toxic rows of the sample: at most `most`."""
+def mine(sample: DataFrame, choices: list[list[int]], most: int = MINED) -> list[list[str]]:
+    """For each choice of parts: words, and word beginnings ending in *, that mark their toxic rows, at most `most`."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toxic = batch.column("toxic").to_pylist()
-            seen: list[Counter[str]] = [Counter(), Counter()]
+            toxic, part_of = batch.column("toxic").to_pylist(), batch.column("part").to_pylist()
+            seen: dict[tuple[int, int], Counter[str]] = {(p, y): Counter() for p in range(PARTS) for y in (0, 1)}
             first = 0
             for part in _slices(batch.column("text")):
                 bounds, codes, distinct = words_of(part)
@@ -128,20 +136,24 @@ def mine(sample: DataFrame, most: int = MINED) -> list[str]:
                 ]
                 for r in range(len(part)):
                     own = {m for c in set(codes[bounds[r] : bounds[r + 1]].tolist()) for m in marks[c]}
-                    seen[toxic[first + r]].update(own)
+                    seen[part_of[first + r], toxic[first + r]].update(own)
                 first += len(part)
-            names = list(seen[0].keys() | seen[1].keys())
+            names = list(set().union(*seen.values()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string())] + [pa.array([s[m] for m in names], pa.int64()) for s in (seen[1], seen[0])],
-                ["mark", "toxic", "clean"],
+                [pa.array(names, pa.string())] + [pa.array([c[m] for m in names], pa.int64()) for c in seen.values()],
+                ["mark", *[f"{'toxic' if y else 'clean'}_{p}" for p, y in seen]],
             )
 
-    counted = (
-        sample.mapInArrow(count, "mark string, toxic long, clean long")
-        .groupBy("mark")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    )
-    good = counted.filter(
+    columns = [f"{kind}_{p}" for p in range(PARTS) for kind in ("clean", "toxic")]
+    counted = sample.mapInArrow(count, "mark string, " + ", ".join(f"{c} long" for c in columns))
+    counted = staged(counted.groupBy("mark").agg(*[F.sum(c).alias(c) for c in columns]))
+    return [_selected(counted, choice, most) for choice in choices]
+
+
+def _selected(counted: DataFrame, parts: list[int], most: int) -> list[str]:
+    toxic, clean = (sum((F.col(f"{kind}_{p}") for p in parts), F.lit(0)) for kind in ("toxic", "clean"))
+    found = counted.select("mark", toxic.alias("toxic"), clean.alias("clean"))
+    good = found.filter(
         (F.col("toxic") >= SUPPORT) & ((F.col("toxic") + 1) / (F.col("toxic") + F.col("clean") + 2) >= PRECISION)
     )
     rows = good.orderBy(F.desc("toxic"), F.length("mark"), "mark").limit(8 * most).collect()
@@ -154,37 +166,45 @@ def mine(sample: DataFrame, most: int = MINED) -> list[str]:
     return sorted(kept, key=lambda m: (-kept[m], m))[:most]
 
 
-#: Share of rows that carry label 1, by true class: the one voter whose rates are given, which names the
-#: classes and keeps EM from drifting to some other split of the rows.
-LABEL_RATES = (0.97, 0.02)
+#: Rows' worth of the voter's overall rate that is added to its rate in each class.
+SMOOTHING = 4.0
 
 
-def label_model(fired: np.ndarray, marks: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Posterior of class 1 for each row of `fired` (rows x voters, 0 or 1), and the estimates.
+def label_model(
+    hidden: np.ndarray, known: np.ndarray, marks: np.ndarray, rounds: int = 60
+) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Posterior of class 1 for each row of `hidden` (rows x voters, 0 or 1), and the estimates.
 
-    A voter that does not fire abstains. The given label votes among them with known rates; all other rates
-    are estimated, and so are the correlations of voters within a class: the evidence of each voter is
-    divided by one plus its positive correlations with the others.
+    The classes of `hidden` are unknown. `known` rows with their `marks` start EM, name the classes and stay in
+    its counts beside the expected ones. Each voter has a rate of firing in either class; the evidence of a
+    voter, fired or not, is divided by one plus its positive correlations with the others within a class.
     """
-    label = np.where(marks == 1, np.log(LABEL_RATES[0] / LABEL_RATES[1]), np.log((1 - LABEL_RATES[0]) / (1 - LABEL_RATES[1])))
-    posterior = np.where(marks == 1, 0.9, 0.1)
-    for _ in range(rounds):
-        prior = np.clip(posterior.mean(), 1e-3, 1 - 1e-3)
-        rates, inner = [], np.zeros((fired.shape[1],) * 2)
-        for weight in (posterior, 1 - posterior):
-            rate = (weight @ fired + 0.5) / (weight.sum() + 1)
-            spread = (fired * weight[:, None]).T @ fired / (weight.sum() + 1) - np.outer(rate, rate)
+    marks = marks.astype(np.float64)
+    n_voters = hidden.shape[1]
+    posterior, counted = np.zeros(len(hidden)), 0.0  # the first round knows only the calibration share
+    for turn in range(rounds):
+        n = len(marks) + counted * len(hidden)
+        prior = (marks.sum() + counted * posterior.sum() + 0.5) / (n + 1)
+        overall = (known.sum(axis=0) + counted * hidden.sum(axis=0) + 0.5) / (n + 1)
+        rates, inner = [], np.zeros((n_voters, n_voters))
+        for own, guessed in ((marks, posterior), (1 - marks, 1 - posterior)):
+            total = own.sum() + counted * guessed.sum()
+            fired = own @ known + counted * (guessed @ hidden)
+            both = (known * own[:, None]).T @ known + counted * (hidden * guessed[:, None]).T @ hidden
+            rate = (fired + 0.5) / (total + 1)
             scale = np.sqrt(np.clip(rate * (1 - rate), 1e-6, None))
-            inner += weight.mean() * np.clip(spread / np.outer(scale, scale), 0, 1)
-            rates.append(rate)
+            inner += total / n * np.clip((both / (total + 1) - np.outer(rate, rate)) / np.outer(scale, scale), 0, 1)
+            rates.append((fired + SMOOTHING * overall) / (total + SMOOTHING))
         np.fill_diagonal(inner, 0)
         inner[inner < 0.1] = 0
         trust = 1 / (1 + inner.sum(axis=1))
-        odds = np.log(prior / (1 - prior)) + label + fired @ (trust * np.log(rates[0] / rates[1]))
+        yes, no = trust * np.log(rates[0] / rates[1]), trust * np.log((1 - rates[0]) / (1 - rates[1]))
+        odds = np.log(prior / (1 - prior)) + hidden @ yes + (1 - hidden) @ no
         before, posterior = posterior, 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        if np.abs(posterior - before).max() < 1e-6:
+        counted = 1.0
+        if turn and np.abs(posterior - before).max(initial=0.0) < 1e-6:
             break
-    return posterior, {"toxic": rates[0], "clean": rates[1], "trust": trust, "correlations": inner}
+    return posterior, {"toxic": rates[0], "clean": rates[1], "trust": trust, "correlations": inner, "prior": prior}
 
 
 def features(counts: np.ndarray) -> np.ndarray:
@@ -193,7 +213,7 @@ def features(counts: np.ndarray) -> np.ndarray:
     return np.column_stack([fired, np.log1p(counts[:, len(PATTERNS) :].sum(axis=1))]).astype(np.float64)
 
 
-def linear_fit(x: np.ndarray, target: np.ndarray, penalty: float = 0.2, rounds: int = 30) -> tuple[np.ndarray, float]:
+def linear_fit(x: np.ndarray, target: np.ndarray, penalty: float = 0.5, rounds: int = 30) -> tuple[np.ndarray, float]:
     """Ridge logistic regression on soft labels by Newton steps."""
     x1 = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x1.shape[1])
@@ -212,12 +232,16 @@ def linear_fit(x: np.ndarray, target: np.ndarray, penalty: float = 0.2, rounds:
 
 def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Model | None:
     """A model from the bounded sample of training labels; None if these name fewer than two classes. The
-    driver gathers votes, one small row a sampled text, never texts."""
+    driver gathers votes, one byte a voter and sampled text, never texts."""
     sample = staged(labelled_sample(docs, labels, toxic_rows, clean_rows))
+    every = list(range(PARTS))
+    miners = [[p for p in every if p not in (hidden, (hidden + 1) % PARTS)] for hidden in every]
+    final, *mined = mine(sample, [every, *miners])
     names = [*PATTERNS, *LISTS]
+    written = len(names)
     words = {w: names.index(k) for k, listed in LISTS.items() for w in listed.split()}
     beginnings: dict[str, int] = {}
-    for mark in mine(sample):
+    for mark in dict.fromkeys([*final, *(m for chosen in mined for m in chosen)]):
         place = beginnings if mark.endswith("*") else words
         if mark.rstrip("*") not in place:
             place[mark.rstrip("*")] = len(names)
@@ -226,17 +250,39 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = votes(batch.column("text"), words, beginnings, len(names))
-            rows = [r.astype("<i4").tobytes() for r in counts]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column("toxic")], ["counts", "toxic"])
+            rows = [r.astype(np.uint8).tobytes() for r in np.minimum(counts, 255)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows, pa.binary()), batch.column("toxic"), batch.column("part")], ["counts", "toxic", "part"]
+            )
 
-    got = sample.mapInArrow(vote, "counts binary, toxic int").collect()
-    marks = np.array([r["toxic"] for r in got], np.int64)
+    got = sample.mapInArrow(vote, "counts binary, toxic int, part int").collect()
+    marks, part = (np.array([r[c] for r in got], np.int64) for c in ("toxic", "part"))
     if len(set(marks.tolist())) < 2:
         return None
-    counts = np.stack([np.frombuffer(r["counts"], "<i4") for r in got])
-    posterior, _ = label_model((counts > 0).astype(np.float64), marks)
-    weights, bias = linear_fit(features(counts), posterior)
-    return Model(words, beginnings, names, weights, bias)
+    counts = np.stack([np.frombuffer(r["counts"], np.uint8) for r in got])
+    at = {name: k for k, name in enumerate(names)}
+    posterior = np.zeros(len(marks))
+    for hidden, chosen in enumerate(mined):
+        columns = [*range(written), *[at[m] for m in chosen if m in at]]
+        own, known = part == hidden, part == (hidden + 1) % PARTS
+        fired = [(counts[rows][:, columns] > 0).astype(np.float64) for rows in (own, known)]
+        posterior[own], _ = label_model(*fired, marks[known])
+    # the classifier and its scores use the voters of the whole sample only
+    kept = [*range(written), *[at[m] for m in final if m in at]]
+    place = {old: new for new, old in enumerate(kept)}
+    shown = features(counts[:, kept])
+    weights, bias = linear_fit(shown, posterior)
+    logits = np.zeros(len(marks))
+    for p in every:
+        w, b = linear_fit(shown[part != p], posterior[part != p])
+        logits[part == p] = shown[part == p] @ w + b
+    slope, shift = linear_fit(logits[:, None], marks.astype(np.float64), penalty=1e-3)
+    turned = int(((posterior > 0.5) != (marks == 1)).sum())
+    return Model(
+        {w: place[k] for w, k in words.items() if k in place},
+        {w: place[k] for w, k in beginnings.items() if k in place},
+        [names[k] for k in kept], weights * slope[0], bias * slope[0] + shift, turned, len(marks),
+    )
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
