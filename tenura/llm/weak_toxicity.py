@@ -208,12 +208,12 @@ def label_model(
 
 
 def features(counts: np.ndarray) -> np.ndarray:
-    """Which voters fire, and how many do, on a scale that flattens."""
+    """Which voters fire, and how many mined ones do, on a scale that flattens."""
     fired = counts > 0
-    return np.column_stack([fired, np.log1p(counts[:, len(PATTERNS) :].sum(axis=1))]).astype(np.float64)
+    return np.column_stack([fired, np.log1p(fired[:, len(PATTERNS) + len(LISTS) :].sum(axis=1))]).astype(np.float64)
 
 
-def linear_fit(x: np.ndarray, target: np.ndarray, penalty: float = 0.5, rounds: int = 30) -> tuple[np.ndarray, float]:
+def linear_fit(x: np.ndarray, target: np.ndarray, penalty: float, rounds: int = 30) -> tuple[np.ndarray, float]:
     """Ridge logistic regression on soft labels by Newton steps."""
     x1 = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x1.shape[1])
@@ -230,6 +230,25 @@ def linear_fit(x: np.ndarray, target: np.ndarray, penalty: float = 0.5, rounds:
     return w[:-1], float(w[-1])
 
 
+#: Ridge penalties of the classifier, of which the training rows choose one.
+PENALTIES = (0.5, 2.0, 8.0)
+
+
+def _calibrated(
+    shown: np.ndarray, posterior: np.ndarray, marks: np.ndarray, part: np.ndarray, penalty: float
+) -> tuple[float, float, float, float]:
+    """(loss, penalty, slope, shift): each part scored by a classifier of the others, the line from these scores
+    to the labels, and its mean logarithmic loss."""
+    logits = np.zeros(len(marks))
+    for p in range(PARTS):
+        weights, bias = linear_fit(shown[part != p], posterior[part != p], penalty)
+        logits[part == p] = shown[part == p] @ weights + bias
+    slope, shift = linear_fit(logits[:, None], marks.astype(np.float64), penalty=1e-3)
+    line = logits * slope[0] + shift
+    loss = float(np.mean(np.logaddexp(0, np.where(marks == 1, -line, line))))
+    return loss, penalty, float(slope[0]), shift
+
+
 def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Model | None:
     """A model from the bounded sample of training labels; None if these name fewer than two classes. The
     driver gathers votes, one byte a voter and sampled text, never texts."""
@@ -271,17 +290,14 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
     kept = [*range(written), *[at[m] for m in final if m in at]]
     place = {old: new for new, old in enumerate(kept)}
     shown = features(counts[:, kept])
-    weights, bias = linear_fit(shown, posterior)
-    logits = np.zeros(len(marks))
-    for p in every:
-        w, b = linear_fit(shown[part != p], posterior[part != p])
-        logits[part == p] = shown[part == p] @ w + b
-    slope, shift = linear_fit(logits[:, None], marks.astype(np.float64), penalty=1e-3)
+    best = min((_calibrated(shown, posterior, marks, part, penalty) for penalty in PENALTIES), key=lambda found: found[0])
+    _, penalty, slope, shift = best
+    weights, bias = linear_fit(shown, posterior, penalty)
     turned = int(((posterior > 0.5) != (marks == 1)).sum())
     return Model(
         {w: place[k] for w, k in words.items() if k in place},
         {w: place[k] for w, k in beginnings.items() if k in place},
-        [names[k] for k in kept], weights * slope[0], bias * slope[0] + shift, turned, len(marks),
+        [names[k] for k in kept], weights * slope, bias * slope + shift, turned, len(marks),
     )
 
 
