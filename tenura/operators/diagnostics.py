@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenura.lineage import staged
-from tenura.operators.ordered import average_ranks, quantile_cuts, slabs_for
+from tenura.operators.ordered import quantile_cuts, running_sums, slabs_for
 
 # A rank table up to this many rows is small enough to send to every executor.
 BROADCAST_VALUES = 200_000
@@ -127,64 +127,57 @@ def spearman_matrix(df: DataFrame, features: Sequence[str], rows_per_slab: int =
     """Spearman correlation of every pair, as rows (feature_x, feature_y, rho), each over the rows that
     have both values: a sparse feature does not change the correlations of the others.
 
-    Features without missing values share one computation; each pair with a sparse one has its own.
-    """
-    missing = df.agg(*[F.count(F.when(F.col(f).isNull(), 1)).alias(f) for f in features]).first()
-    full = [f for f in features if not missing[f]]
-    if len(full) == len(features):
-        return _complete_matrix(df, features, rows_per_slab)
-    result = _complete_matrix(df, full, rows_per_slab) if full else None
-    for i, x in enumerate(features):
-        for y in features[i:]:
-            if x in full and y in full:
-                continue
-            pair = [x] if x == y else [x, y]
-            part = _complete_matrix(df.select(*pair), pair, rows_per_slab)
-            # the diagonal belongs to the feature's own rows
-            part = part if x == y else part.filter(F.col("feature_x") != F.col("feature_y"))
-            result = part if result is None else result.unionByName(part)
-    return result
-
-
-def _complete_matrix(df: DataFrame, features: Sequence[str], rows_per_slab: int) -> DataFrame:
-    """The matrix over the rows that have all features.
-
-    Equal rows are counted together first. Each feature's average ranks come from its value
-    counts; rank tables are broadcast when their checked size is small and joined by shuffle
-    otherwise, where AQE splits hot values.
+    Equal rows are counted together first. A feature is ranked once over its own rows, and once more for
+    each sparse partner over the rows that have both; all rankings share one long pass, so the number of
+    jobs does not depend on the features. A constant feature has no correlation; NaN counts as missing.
     """
     names = [f"f{i}" for i in range(len(features))]
-    typed = df.select(*[F.col(f).cast("double").alias(n) for f, n in zip(features, names)]).dropna()
-    joint = staged(typed.groupBy(*names).agg(F.count(F.lit(1)).alias("w")))
-    total = joint.agg(F.sum("w")).first()[0] or 0
-    ranked = joint
-    for n in names:
-        counts = staged(joint.groupBy(n).agg(F.sum("w").alias("c")))
-        size = counts.count()
-        ranks = average_ranks(counts, n, "c", f"r_{n}", quantile_cuts(counts, n, slabs_for(size, rows_per_slab)))
-        ranks = ranks.select(n, f"r_{n}")
-        ranked = ranked.join(F.broadcast(ranks) if size <= BROADCAST_VALUES else ranks, n)
-    middle = F.lit((total + 1) / 2.0)
-    centred = {n: F.col(f"r_{n}") - middle for n in names}
-    pairs = list(combinations_with_replacement(range(len(names)), 2))
-    sums = ranked.agg(
-        *[F.sum(F.col("w") * centred[names[i]] * centred[names[j]]).alias(f"s_{i}_{j}") for i, j in pairs]
+    values = [F.col(f).cast("double") for f in features]
+    typed = df.select(*[F.when(~F.isnan(v), v).alias(n) for v, n in zip(values, names)])
+    joint = staged(
+        typed.groupBy(*names).agg(F.count(F.lit(1)).alias("w")).withColumn("id", F.monotonically_increasing_id())
+    )
+    gaps = joint.agg(*[F.max(F.col(n).isNull()).alias(n) for n in names]).first()
+    sparse = [i for i in range(len(names)) if gaps[i]]
+    places = range(len(names))
+    rankings = [(i, None) for i in places] + [(i, j) for i in places for j in sparse if i != j]
+    number = {ranking: k for k, ranking in enumerate(rankings)}
+
+    entries = [
+        F.struct(F.lit(k).alias("ranking"), (F.col(names[i]) if j is None else F.when(F.col(names[j]).isNotNull(), F.col(names[i]))).alias("x"))
+        for k, (i, j) in enumerate(rankings)
+    ]
+    long = joint.select("id", "w", F.inline(F.array(*entries))).filter("x IS NOT NULL")
+    counts = staged(long.groupBy("ranking", "x").agg(F.sum("w").alias("c")))
+    size = counts.count()
+    # slabs of the values of all rankings together: none holds more than its share
+    cuts = quantile_cuts(counts, "x", slabs_for(size, rows_per_slab))
+    middle = counts.groupBy("ranking").agg(((F.sum("c") + 1) / 2.0).alias("middle"))
+    ranks = (
+        running_sums(counts, "x", {"upto": F.col("c")}, group=["ranking"], cuts=cuts)
+        .join(F.broadcast(middle), "ranking")  # one row a ranking
+        .select("ranking", "x", (F.col("upto") - (F.col("c") - 1) / 2.0 - F.col("middle")).alias("r"))
+    )
+    ranked = long.join(F.broadcast(ranks) if size <= BROADCAST_VALUES else ranks, ["ranking", "x"])
+    wide = ranked.groupBy("id", "w").agg(
+        *[F.max(F.when(F.col("ranking") == k, F.col("r"))).alias(f"r{k}") for k in range(len(rankings))]
+    )
+
+    def of(i: int, j: int) -> int:
+        return number[i, j if j in sparse and i != j else None]
+
+    pairs = list(combinations_with_replacement(places, 2))
+    sums = wide.agg(
+        *[F.sum(F.col("w") * F.col(f"r{k}") * F.col(f"r{k}")).alias(f"q{k}") for k in range(len(rankings))],
+        *[F.sum(F.col("w") * F.col(f"r{of(i, j)}") * F.col(f"r{of(j, i)}")).alias(f"s_{i}_{j}") for i, j in pairs],
     )
-    entries = []
-    for i in range(len(names)):
-        for j in range(len(names)):
-            low, high = min(i, j), max(i, j)
-            scale = F.sqrt(F.col(f"s_{i}_{i}")) * F.sqrt(F.col(f"s_{j}_{j}"))
-            # a constant feature has no correlation
-            rho = F.lit(1.0) if i == j else F.col(f"s_{low}_{high}") / scale
-            entries.append(
-                F.struct(
-                    F.lit(features[i]).alias("feature_x"),
-                    F.lit(features[j]).alias("feature_y"),
-                    F.when(scale > 0, rho).alias("rho"),
-                )
-            )
-    return sums.select(F.explode(F.array(*entries)).alias("_row")).select("_row.*")
+    found = []
+    for i, j in pairs:
+        scale = F.sqrt(f"q{of(i, j)}") * F.sqrt(f"q{of(j, i)}")
+        rho = F.when(scale > 0, F.lit(1.0) if i == j else F.col(f"s_{i}_{j}") / scale)
+        for x, y in dict.fromkeys([(i, j), (j, i)]):
+            found.append(F.struct(F.lit(features[x]).alias("feature_x"), F.lit(features[y]).alias("feature_y"), rho.alias("rho")))
+    return sums.select(F.inline(F.array(*found)))
 
 
 def collinear_pairs(matrix: DataFrame, threshold: float = COLLINEAR) -> DataFrame:

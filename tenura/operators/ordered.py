@@ -125,11 +125,3 @@ def _add_offsets(result, marked, names, group, descending):
     return joined.drop(
         "_offset_slab", *[f"_g_{g}" for g in group], *[f"_off_{name}" for name in names]
     )
-
-
-def average_ranks(counts: DataFrame, key: str, count: str, rank: str, cuts: Cuts = Cuts(())) -> DataFrame:
-    """Average rank (ties share the mean) of each distinct key, given the rows per key."""
-    summed = running_sums(counts, key, {"_upto": F.col(count)}, cuts=cuts)
-    return summed.withColumn(
-        rank, F.col("_upto") - (F.col(count) - 1) / F.lit(2.0)
-    ).drop("_upto")

@@ -188,6 +188,13 @@ def fit_pca(df: DataFrame, column: str, k: int = COMPONENTS) -> Projection:
     )
 
 
+def explained(spark: SparkSession, projection: Projection) -> DataFrame:
+    """(component, share, cumulative) of the explained variance of dense components, a row each."""
+    shares = np.asarray(projection.strengths, dtype=float)
+    rows = [(k, float(s), float(c)) for k, (s, c) in enumerate(zip(shares, np.cumsum(shares), strict=True))]
+    return spark.createDataFrame(rows, "component int, share double, cumulative double")
+
+
 def _signed(vectors: np.ndarray) -> np.ndarray:
     """Fix the sign of each column: its largest entry in size is positive."""
     top = np.abs(vectors).argmax(axis=0)

@@ -219,8 +219,28 @@ def _spearman(features) -> str:
 
 ORACLE["spearman_matrix"] = on_l(_spearman(SIGNALS) + """
 SELECT feature_x, feature_y, round(rho, 6) AS rho FROM matrix""")
-ORACLE["collinear_pairs"] = on_l(_spearman(FEATURES) + """
-SELECT feature_x, feature_y, round(rho, 6) AS rho FROM matrix WHERE feature_x < feature_y AND abs(rho) > 0.004""")
+ORACLE["collinear_pairs"] = f"""WITH {L_CTE},
+base AS (SELECT * FROM L)""" + _spearman((*FEATURES, "playtime_2weeks", "items_count")).replace(
+    "ranks AS", """, wider AS (SELECT *, round(exp(log_playtime_2weeks) - 1) AS playtime_2weeks,
+                                 round(exp(log_items_count) - 1) AS items_count FROM base),
+ranks AS""", 1).replace("FROM L)", "FROM wider)", 1) + """
+SELECT feature_x, feature_y, round(rho, 6) AS rho FROM matrix WHERE feature_x < feature_y AND abs(rho) > 0.7"""
+
+
+def _sparse_pair(a: str, b: str) -> str:
+    """One pair, ranked over the rows that have both values."""
+    ranked = ", ".join(
+        f"rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0 AS r_{n}" for n, x in ((0, a), (1, b)))
+    return (f"SELECT '{a}' AS feature_x, '{b}' AS feature_y, corr(r_0, r_1) AS rho FROM "
+            f"(SELECT {ranked} FROM seen WHERE {a} IS NOT NULL AND {b} IS NOT NULL)")
+
+
+KNOWN = {"sentiment_score": "log_items_count > 2.5", "frustration_level": "value_complaint = 1", "engagement_dropped": "event = 0"}
+
+ORACLE["spearman_sparse"] = on_l(
+    "seen AS (SELECT " + ", ".join(f"CASE WHEN {KNOWN.get(f, 'TRUE')} THEN {f} END AS {f}" for f in FEATURES) + " FROM L),\n"
+    + f"matrix AS ({_union([_sparse_pair(a, b) for a in FEATURES for b in FEATURES])})\n"
+    + "SELECT feature_x, feature_y, round(CASE WHEN isnan(rho) THEN NULL ELSE rho END, 6) AS rho FROM matrix")
 
 
 # ---------------------------------------------------------------- Cox quantities at fixed coefficients
@@ -484,6 +504,13 @@ SELECT c.item_id, CAST(p AS INTEGER) AS position,
 FROM cells c JOIN norms n ON c.item_id = n.item_id""")
 
 
+ORACLE["pca_total"] = f"""WITH vectors AS (SELECT item_id, position, value FROM ({ORACLE["dense_vectors"].replace(
+    "CASE WHEN length > 0 THEN embedding[p + 1]::DOUBLE / length ELSE 0 END, 6",
+    "CASE WHEN length > 0 THEN embedding[p + 1]::DOUBLE / length ELSE 0 END, 15")})),
+along AS (SELECT position, var_samp(value) AS v FROM vectors GROUP BY position)
+SELECT count(*) AS n_components, round(sum(v), 6) AS variance FROM along"""
+
+
 # ---------------------------------------------------------------- signals
 
 

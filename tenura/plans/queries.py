@@ -145,8 +145,21 @@ def spearman_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def collinear_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matrix = diagnostics.spearman_matrix(frame_l(spark, sf_dir), FEATURES)
-    return rounded(diagnostics.collinear_pairs(matrix, 0.004), 6, "rho")
+    """Pairs above the usual 0.7, with the raw covariates beside their logarithms."""
+    raw = {f.removeprefix("log_"): F.round(F.expm1(f)) for f in BEHAVIOURAL}
+    matrix = diagnostics.spearman_matrix(frame_l(spark, sf_dir).withColumns(raw), (*FEATURES, *raw))
+    return rounded(diagnostics.collinear_pairs(matrix), 6, "rho")
+
+
+#: Covariates that are known for some rows only, and when.
+KNOWN = {"sentiment_score": "log_items_count > 2.5", "frustration_level": "value_complaint = 1", "engagement_dropped": "event = 0"}
+
+
+def spearman_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlations over the rows that have both values, where some covariates are missing."""
+    seen = {f: F.when(F.expr(known), F.col(f)) for f, known in KNOWN.items()}
+    frame = frame_l(spark, sf_dir).select(*[seen.get(f, F.col(f)).alias(f) for f in FEATURES])
+    return rounded(diagnostics.spearman_matrix(frame, FEATURES), 6, "rho")
 
 
 # ---------------------------------------------------------------- Cox quantities at fixed coefficients
@@ -379,6 +392,24 @@ def pca_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce.fit_pca(frame, "embedding").transform(frame, "embedding", "components").drop("embedding")
 
 
+def pca_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the variance that each component explains, and of all up to it; as many as there are columns,
+    so the last sum is 1."""
+    frame = staged(reduce.unit_vectors(frame_v(spark, sf_dir).select("item_id", "embedding"), "embedding"))
+    width = frame.agg(F.max(F.size("embedding"))).first()[0] or 0
+    return rounded(reduce.explained(spark, reduce.fit_pca(frame, "embedding", width)), 6, "share", "cumulative")
+
+
+def pca_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The variance along all components against the variance of all columns, and their number."""
+    frame = staged(reduce.unit_vectors(frame_v(spark, sf_dir).select("item_id", "embedding"), "embedding"))
+    width = frame.agg(F.max(F.size("embedding"))).first()[0] or 0
+    placed = reduce.fit_pca(frame, "embedding", width).transform(frame, "embedding", "components")
+    along = placed.select(F.posexplode("components").alias("component", "x")).groupBy("component").agg(F.var_samp("x").alias("v"))
+    total = along.agg(F.count(F.lit(1)).alias("n_components"), F.sum("v").alias("variance"))
+    return rounded(total, 6, "variance")
+
+
 # ---------------------------------------------------------------- signals
 
 
@@ -602,6 +633,7 @@ QUERIES = {
         density_by_event,
         histogram_by_event,
         spearman_matrix,
+        spearman_sparse,
         collinear_pairs,
         cindex_fixed_risk,
         cox_loglik_fixed_beta,
@@ -632,6 +664,8 @@ QUERIES = {
         tfidf_svd,
         dense_vectors,
         pca_embedding,
+        pca_explained,
+        pca_total,
         text_signals,
         signals_stream,
         signal_contract,

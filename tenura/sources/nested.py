@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+import json
+import re
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tenura.functions.columns import field_or, hours, stripped
 from tenura.operators.dataset import with_enough_text
@@ -25,19 +28,45 @@ ITEMS = _record(user_id=T.StringType(), items_count=T.IntegerType(), items=T.Arr
 ORDER = ("file", "line", "position")
 
 
-def _typed(value, kind: T.DataType):
-    """A literal's value in the declared type; fields that a record lacks stay None."""
+def _typed(kind: T.DataType) -> Callable:
+    """A function that brings a literal's value to the declared type; fields that a record lacks stay None."""
     if isinstance(kind, T.StructType):
-        if not isinstance(value, dict):
-            raise ValueError("not a record")
-        return {f.name: _typed(value[f.name], f.dataType) if f.name in value else None for f in kind}
+        fields = [(f.name, _typed(f.dataType)) for f in kind]
+
+        def record(value):
+            if not isinstance(value, dict):
+                raise ValueError("not a record")
+            return {name: cast(value[name]) if name in value else None for name, cast in fields}
+
+        return record
     if isinstance(kind, T.ArrayType):
-        return [_typed(v, kind.elementType) for v in value]
+        element = _typed(kind.elementType)
+        return lambda value: [element(v) for v in value]
     if isinstance(kind, T.BooleanType):
-        return bool(value)
+        return bool
     if isinstance(kind, T.StringType):
-        return str(value)
-    return int(value) if isinstance(kind, T.IntegerType) else float(value)
+        return str
+    return int if isinstance(kind, T.IntegerType) else float
+
+
+#: What may stand between the strings of a literal that is JSON but for its quotes and constants.
+_BARE = re.compile(r"(?:[\s\d{}\[\]:,.eE+-]|True|False|None)*")
+
+
+def _literal(line: str):
+    """The value of a literal. Lines whose strings are all in single quotes, without escapes, are read by the
+    JSON scanner; whatever that refuses, and every other line, by the literal parser, whose word is final."""
+    if "\\" not in line and '"' not in line:
+        parts = line.split("'")
+        outside = "'".join(part.removesuffix("u") if k < len(parts) // 2 else part for k, part in enumerate(parts[::2]))
+        if len(parts) % 2 and _BARE.fullmatch(outside.replace("'", " ")):
+            outside = outside.replace("True", "true").replace("False", "false").replace("None", "null")
+            parts[::2] = outside.split("'")
+            try:
+                return json.loads('"'.join(parts))
+            except ValueError:
+                pass
+    return ast.literal_eval(line)
 
 
 def read_dict_lines(spark: SparkSession, path: str, schema: T.StructType, tasks: int | None = None) -> DataFrame:
@@ -61,19 +90,37 @@ def read_dict_lines(spark: SparkSession, path: str, schema: T.StructType, tasks:
     lines = lines.repartition(tasks) if tasks else lines.hint("rebalance")
     out = T.StructType([*_order_fields(), *schema.fields, T.StructField("_corrupt", T.StringType())])
 
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        empty = dict.fromkeys(schema.names)
-        for frame in frames:
+    arrow = to_arrow_schema(out)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty, typed = dict.fromkeys(schema.names), _typed(schema)
+        fields = pa.struct([arrow.field(name) for name in (*schema.names, "_corrupt")])
+        for batch in batches:
             rows = []
-            for file, line, text in frame.itertuples(index=False):
+            for text in batch.column("value").to_pylist():
                 try:
-                    fields, bad = _typed(ast.literal_eval(text.strip()), schema), None
+                    row = typed(_literal(text.strip()))
+                    row["_corrupt"] = None
                 except Exception:  # any malformed line is counted, never fatal
-                    fields, bad = empty, text
-                rows.append({"file": file, "line": line, **fields, "_corrupt": bad})
-            yield pd.DataFrame(rows, columns=out.names)
-
-    return lines.mapInPandas(parse, out)
+                    row = {**empty, "_corrupt": text}
+                rows.append(row)
+            try:
+                found = pa.array(rows, fields)
+            except (pa.ArrowException, ValueError, OverflowError):  # a value beyond its type, in some line
+                found = pa.array([_fitting(r, t, empty, fields) for r, t in zip(rows, batch.column("value").to_pylist())], fields)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("file"), batch.column("line").cast(pa.int64()), *found.flatten()], schema=arrow
+            )
+
+    return lines.mapInArrow(parse, out)
+
+
+def _fitting(row: dict, text: str, empty: dict, fields: pa.DataType) -> dict:
+    try:
+        pa.array([row], fields)
+    except (pa.ArrowException, ValueError, OverflowError):
+        return {**empty, "_corrupt": text}
+    return row
 
 
 def _order_fields() -> list[T.StructField]:

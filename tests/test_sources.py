@@ -1,5 +1,8 @@
+import ast
 import gzip
 import math
+import random
+import warnings
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,6 +59,32 @@ def test_load_reviews(spark, files):
     assert (counts.n_lines, counts.n_bad) == (7, 3)
 
 
+def test_literals_equal_the_literal_parser():
+    """Both ways of reading a line agree on every line, on its value or on refusing it."""
+    rng = random.Random(7)
+    pieces = ["{", "}", "[", "]", ":", ",", " ", "'a'", "u'b'", "'menu'", "'it u'", '"c"', "'d\\n'", "True", "False", "None", "true",
+              "null", "NaN", "Infinity", "1", "-2", "3.5", "1e3", "01", "1.", "(", ")", "u", "'", "\xa0", "b'x'", "''", "'True'", "#"]
+    lines = [repr(r) for r in REVIEWS + ITEMS] + ["{'a': true}", "{'a': 1}, {'b': 2}", "{'a': 1} \\", "{'a': 'x' 'y'}", "{'a': u'é', 'a': None}"]
+    lines += ["{'k': [" + "".join(rng.choices(pieces, k=rng.randint(1, 5))) + "], 'u': False}" for _ in range(20000)]
+
+    def read(parse, line):
+        try:
+            return repr(parse(line))
+        except Exception:
+            return None
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        found = [(read(nested._literal, line), read(ast.literal_eval, line)) for line in lines]
+    assert all(mine == other for mine, other in found) and sum(mine is not None for mine, _ in found) > 500
+
+
+def test_a_value_beyond_its_type_is_a_bad_line(spark, tmp_path):
+    path = write(tmp_path / "items.gz", [ITEMS[0], {"user_id": "u9", "items_count": 2**40, "items": []}, ITEMS[1]])
+    counts = nested.bad_lines(nested.read_dict_lines(spark, path, nested.ITEMS)).first()
+    assert (counts.n_lines, counts.n_bad) == (3, 1)
+
+
 def test_survival_table_from_raw_files(spark, files):
     reviews, _ = nested.load_reviews(spark, files[0], tasks=2)
     items, _ = nested.load_items(spark, files[1], tasks=2)
