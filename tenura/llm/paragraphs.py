@@ -26,7 +26,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
 from tenura.lineage import dropped, staged
 from tenura.llm.common import components, table, texts
@@ -44,7 +43,7 @@ CHUNK, SMALL, LARGE = 20_000, 32, 128
 SLICE = 4_000_000
 
 WORD = re.compile(r"\S+")
-STOPS = (".", "!", "?")
+STOPS = np.frombuffer(b".!?", np.uint8)
 #: What a row of `marks_of` is about.
 LINE, SENTENCE, NAME = 0, 1, 2
 
@@ -65,6 +64,8 @@ BANDS, ROWS = tune_bands(most_values=20)
 _RANDOM = np.random.default_rng(8)
 MULTIPLY = _RANDOM.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _RANDOM.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+#: A number for each byte at each of the first places of a word.
+BYTES = np.random.default_rng(12).integers(0, 2**64, (64, 256), dtype=np.uint64)
 PLACES = _RANDOM.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -82,12 +83,26 @@ def _words(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     kept = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
     bounds = np.concatenate([[0], np.cumsum(kept)])[np.asarray(words.offsets) - words.offsets[0].as_py()]
     coded = flat.filter(pa.array(kept)).dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
-    if not distinct:
+    if not len(coded.dictionary):
         return np.zeros(0, np.uint64), np.zeros(0, bool), bounds
     codes = coded.indices.to_numpy()
-    hashes = np.array([xxh64_intdigest(w) for w in distinct], np.uint64)
-    return hashes[codes], np.array([w.endswith(STOPS) for w in distinct])[codes], bounds
+    hashes, stops = _hashed(coded.dictionary)
+    return hashes[codes], stops[codes], bounds
+
+
+def _hashed(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word, none of them empty, and whether it ends a sentence: random numbers for a byte at its
+    place, added up and mixed. The places after the table's last begin again at other multiples."""
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    bytes_ = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]
+    ends -= ends[0]
+    place = np.arange(len(bytes_)) - np.repeat(ends[:-1], np.diff(ends))
+    numbers = BYTES[place % len(BYTES), bytes_]
+    late = np.flatnonzero(place >= len(BYTES))
+    if len(late):
+        numbers[late] = _mix(numbers[late] + (place[late] // len(BYTES)).astype(np.uint64))
+    return _mix(np.add.reduceat(numbers, ends[:-1])), np.isin(bytes_[ends[1:] - 1], STOPS)
 
 
 def shingled(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

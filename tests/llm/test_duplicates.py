@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -258,3 +259,13 @@ def test_pipeline(spark, docs_of, tmp_path):
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == clean | {52}
     assert packed.filter(F.col("offset") + F.col("length") > 1024).count() == 0
+
+
+def test_word_hashes_tell_words_apart():
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abé.!"), rng.integers(1, 9))) for _ in range(3000)]
+    words += ["x" * n for n in range(1, 400)] + ["x" * 64 + "y" + "x" * n for n in range(200)] + ["y" + "x" * 64]
+    words = list(dict.fromkeys(words))
+    hashes, stops = paragraphs._hashed(pa.array(["skipped", *words]).slice(1))
+    assert len(set(hashes.tolist())) == len(words)
+    assert stops.tolist() == [w.endswith((".", "!", "?")) for w in words]
