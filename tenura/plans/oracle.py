@@ -602,6 +602,16 @@ SELECT item_id, CASE WHEN new THEN 1 ELSE 0 END AS version, length(review_text):
        len(string_split(review_text, ' '))::DOUBLE AS words FROM now""")
 
 
+ORACLE["results_document"] = on_l("leaves AS (" + _union(
+    [f"SELECT 'summary' AS \"table\", NULL::VARCHAR AS feature, '{name}' AS path, ({value})::DOUBLE AS value FROM L"
+     for name, value in {"n_rows": "count(*)", "n_churned": "sum(event)", "n_retained": "sum(1 - event)", "churn_rate": "avg(event)"}.items()]
+    + [f"SELECT 'rates', '{f}', 'by_event.' || event, avg({f})::DOUBLE FROM L GROUP BY event" for f in BINARY]
+    + [f"SELECT 'shape', '{f}', '{name}', ({agg}({f}))::DOUBLE FROM L"
+       for f in FEATURES for name, agg in {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}.items()]
+) + """)
+SELECT "table", feature, path, round(value, 6) AS value FROM leaves""")
+
+
 # ---------------------------------------------------------------- studies: all variants, folds and scores
 
 

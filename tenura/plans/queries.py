@@ -612,6 +612,25 @@ def vectors_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def results_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result tables written as one nested document, and its leaves read back as rows."""
+    frame = staged(frame_l(spark, sf_dir))
+    rates = diagnostics.rates_by_event(frame, BINARY).groupBy("feature").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("event").cast("string"), F.round("rate", 6)))).alias("by_event")
+    )
+    shape = rounded(diagnostics.describe_features(frame, FEATURES), 6, "mean", "std", "min", "max")
+    path = _new_path(spark)
+    tables.write_results({"summary": rounded(dataset.churn_summary(frame), 6, "churn_rate"), "rates": rates, "shape": shape}, path)
+    leaves = tables.document_leaves(spark.read.text(f"{path}/document"))
+    number = F.col("leaf").try_cast("double")
+    names = leaves.filter("path = 'feature'").select("table", "row", F.col("leaf").alias("feature"))
+    return (
+        leaves.filter("path <> 'feature'")
+        .join(F.broadcast(names), ["table", "row"], "left")  # a row a feature
+        .select("table", "feature", "path", F.round(number, 6).alias("value"))
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -679,5 +698,6 @@ QUERIES = {
         weights_saved,
         vectors_cached,
         vectors_changed,
+        results_document,
     )
 }

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from tenura.lineage import dropped, staged
+
 SURVIVAL_SCHEMA = (
     "user_id string, item_id string, duration double, event int, review_text string, "
     "playtime_2weeks double, log_playtime_2weeks double, log_items_count double"
@@ -144,3 +146,32 @@ def read_document(spark: SparkSession, path: str) -> DataFrame:
 
 def read_document_dict(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(f"{path}/document").first()[0])
+
+
+def document_leaves(df: DataFrame, value: str = "value") -> DataFrame:
+    """(table, row, path, leaf) of every leaf of JSON documents of unknown depth: `table` is the key at the top,
+    `row` the place in its list, `path` the keys and places below, joined by dots, `leaf` the value as text.
+
+    One level is opened a round, until nothing is nested; empty lists and objects have no leaves.
+    """
+    spark = df.sparkSession
+    level = staged(df.select(F.array().cast("array<string>").alias("path"), F.parse_json(value).alias("v")))
+    leaves = None
+    while True:
+        opened = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(
+            F.concat("path", F.array(F.coalesce("key", F.col("pos").cast("string")))).alias("path"), F.col("value").alias("v")
+        )
+        kind = F.schema_of_variant("v")
+        opened = staged(opened.withColumn("nested", kind.startswith("OBJECT<") | kind.startswith("ARRAY<")))
+        found = opened.filter(~F.col("nested")).select("path", F.try_variant_get("v", "$", "string").alias("leaf"))
+        leaves = found if leaves is None else leaves.unionByName(found)
+        dropped(level)
+        level = staged(opened.filter("nested").select("path", "v"))
+        if level.isEmpty():
+            break
+    return leaves.select(
+        F.get("path", F.lit(0)).alias("table"),
+        F.get("path", F.lit(1)).cast("int").alias("row"),
+        F.array_join(F.slice("path", 3, F.greatest(F.size("path") - 2, F.lit(0))), ".").alias("path"),
+        "leaf",
+    )

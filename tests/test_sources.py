@@ -1,5 +1,6 @@
 import ast
 import gzip
+import json
 import math
 import random
 import warnings
@@ -235,3 +236,11 @@ def test_stream_scores_each_review_once(spark, tmp_path):
         write_scores(score_stream(stream), str(tmp_path / "out"), str(tmp_path / "check"), once=True).awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == 10 and out.filter("technical_issue = 1").count() == 10
+
+
+def test_leaves_of_documents_of_any_depth(spark):
+    document = {"t": [{"a": 1, "b": {"c": [2.5, {"d": "x"}], "e": []}}, {"a": None}], "u": [{"on": True}]}
+    found = tables.document_leaves(spark.createDataFrame([(json.dumps(document),)], "value string")).collect()
+    assert {(r.table, r.row, r.path, r.leaf) for r in found} == {
+        ("t", 0, "a", "1"), ("t", 0, "b.c.0", "2.5"), ("t", 0, "b.c.1.d", "x"), ("t", 1, "a", None), ("u", 0, "on", "true")}
+    assert tables.document_leaves(spark.createDataFrame([], "value string")).count() == 0
