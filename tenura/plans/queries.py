@@ -424,11 +424,12 @@ def text_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def signals_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents arriving as a stream, scored and appended to a table."""
     schema = table(spark, sf_dir, "documents").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
-    reviews = stream.select("doc_id", F.col("text").alias("review_text"))
+    # a pattern for the one name: a stream takes a table of one file, or of a folder of files, only by a pattern
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/[d]ocuments.parquet")
+    scored = score_stream(stream.select("doc_id", F.col("text").alias("review_text"))).drop("review_text")
     out = f"{shared_dir(spark)}/{uuid.uuid4()}"
-    write_scores(score_stream(reviews).drop("review_text"), f"{out}/scores", f"{out}/state", once=True).awaitTermination()
-    return spark.read.parquet(f"{out}/scores")
+    write_scores(scored, f"{out}/scores", f"{out}/state", once=True).awaitTermination()
+    return spark.read.schema(scored.schema).parquet(f"{out}/scores")
 
 
 def signal_contract(spark: SparkSession, sf_dir: str) -> DataFrame:

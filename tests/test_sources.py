@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tenura.operators import dataset, sampling
+from tenura.plans import queries
 from tenura.sources import nested, tables
 from tenura.streaming.scoring import score_stream, write_scores
 
@@ -238,6 +239,17 @@ def test_stream_scores_each_review_once(spark, tmp_path):
     assert out.count() == 10 and out.filter("technical_issue = 1").count() == 10
 
 
+def test_stream_reads_a_table_of_one_file_and_of_many(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "crash and lag, what garbage " + str(i)) for i in range(10)], "doc_id long, text string")
+    rows.repartition(3).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    (file,) = (tmp_path / "one").glob("part-*.parquet")
+    file.rename(tmp_path / "one" / "documents.parquet")
+    for folder in ("many", "one"):
+        found = queries.signals_stream(spark, str(tmp_path / folder))
+        assert found.count() == 10 and found.filter("technical_issue = 1").count() == 10
+
+
 def test_leaves_of_documents_of_any_depth(spark):
     document = {"t": [{"a": 1, "b": {"c": [2.5, {"d": "x"}], "e": []}}, {"a": None}], "u": [{"on": True}]}
     found = tables.document_leaves(spark.createDataFrame([(json.dumps(document),)], "value string")).collect()
