@@ -6,7 +6,8 @@ Per iteration there are two passes over the rows:
    the risk-set sums of all later slabs;
 2. each chunk turns those offsets into its share of the likelihood, gradient and Hessian. The
    hazard accumulated in earlier slabs enters linearly, so a chunk also returns its weighted Gram
-   matrix and the prefix is applied when the chunks are added up.
+   matrix and the prefix is applied when the chunks are added up: within a task those of its run of
+   chunks, the rest of the prefix later.
 
 The driver only sees vectors of the size of the feature set, never rows.
 """
@@ -141,20 +142,25 @@ def _groups(placed: Placed, specs: Sequence[Spec]) -> Iterator[list[Spec]]:
 # ---------------------------------------------------------------- passes over the placed rows
 
 
-def _run_pass(placed: Placed, work: Callable[[Chunk], Iterator[tuple[int, np.ndarray]]]) -> DataFrame:
+def _run_pass(
+    placed: Placed,
+    work: Callable[[Chunk], Iterator[tuple[int, np.ndarray]]],
+    merge: Callable[[Iterator[tuple[int, int, np.ndarray]]], Iterator[tuple[int, int, np.ndarray]]] = iter,
+) -> DataFrame:
+    """Results of every chunk, or with `merge` what it makes of the (spec, chunk, values) of a task."""
     n_features, n_folds = len(placed.features), len(placed.folds)
 
     def task(batches):
-        for chunk in chunks_of(batches, n_features, n_folds):
-            for spec, values in work(chunk):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([spec], pa.int32()),
-                        pa.array([chunk.number], pa.int32()),
-                        pa.array([np.ascontiguousarray(values).tobytes()], pa.binary()),
-                    ],
-                    names=["spec", "chunk", "payload"],
-                )
+        chunks = chunks_of(batches, n_features, n_folds)
+        for spec, number, values in merge((spec, c.number, values) for c in chunks for spec, values in work(c)):
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([spec], pa.int32()),
+                    pa.array([number], pa.int32()),
+                    pa.array([np.ascontiguousarray(values).tobytes()], pa.binary()),
+                ],
+                names=["spec", "chunk", "payload"],
+            )
 
     return placed.df.mapInArrow(task, PASS_SCHEMA)
 
@@ -353,6 +359,43 @@ def _derivatives(view: _View, betas: dict[int, np.ndarray], offsets, slab_of_chu
     return work
 
 
+def _merged_moments(found: Iterator[tuple[int, int, np.ndarray]]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Moments are plain sums."""
+    sums: dict[int, np.ndarray] = {}
+    for i, _, payload in found:
+        sums[i] = sums[i] + payload if i in sums else payload
+    for i, payload in sums.items():
+        yield i, 0, payload
+
+
+def _merged_runs(sizes: dict[int, int], slab_of_chunk: np.ndarray, hot_slabs):
+    """Pass 2 results of a task's consecutive chunks as one, under the number of the first: the hazard of
+    earlier chunks of the run is applied here, that of earlier runs is still to come. A slab of several
+    chunks may go on in another task, so its chunks stay as they are and end the run."""
+
+    def merge(found: Iterator[tuple[int, int, np.ndarray]]) -> Iterator[tuple[int, int, np.ndarray]]:
+        runs: dict[int, tuple[int, np.ndarray]] = {}
+        for i, chunk, payload in found:
+            if int(slab_of_chunk[chunk]) in hot_slabs:
+                if i in runs:
+                    yield i, *runs.pop(i)
+                yield i, chunk, payload
+            elif i not in runs:
+                runs[i] = chunk, payload
+            else:
+                first, run = runs[i]
+                p, alpha = sizes[i], run[1]
+                own = payload.copy()
+                own[3 : 3 + p] -= alpha * payload[3 + p : 3 + 2 * p]
+                hessian = 3 + 3 * p
+                own[hessian : hessian + p * p] -= alpha * payload[hessian + p * p : hessian + 2 * p * p]
+                runs[i] = first, run + own
+        for i, (first, run) in runs.items():
+            yield i, first, run
+
+    return merge
+
+
 def _combine(payload: np.ndarray, p: int, alpha: float, gamma: float) -> np.ndarray:
     """ll, gradient and Hessian of one chunk once the hazard before it (alpha) is known."""
     at = 3
@@ -382,7 +425,7 @@ def _hazard_weights(placed: Placed, heads: np.ndarray):
 
 def _add_up(placed: Placed, result: DataFrame, sizes: dict[int, int]) -> dict[int, np.ndarray]:
     """Sum the chunk results of pass 2 per model."""
-    volume = placed.chunks * sum(8 * (3 + 3 * p + 3 * p * p) for p in sizes.values())
+    volume = placed.results * sum(8 * (3 + 3 * p + 3 * p * p) for p in sizes.values())
     sums = {i: np.zeros(1 + p + p * p) for i, p in sizes.items()}
     heads = {i: np.zeros((placed.chunks, 2)) for i in sizes}
     if volume <= DRIVER_BYTES:
@@ -482,7 +525,7 @@ class _Newton:
         """Mean and sample deviation of each model's own rows."""
         active = list(self.states)
         sums: dict[int, np.ndarray] = {}
-        for i, _, payload in _gather(_run_pass(self.placed, _moments(self.view, active))):
+        for i, _, payload in _gather(_run_pass(self.placed, _moments(self.view, active), _merged_moments)):
             sums[i] = sums.get(i, 0.0) + payload
         for i in active:
             state, p = self.states[i], len(self.specs[i].features)
@@ -512,8 +555,10 @@ class _Newton:
     def _pass_two(self, betas, offsets) -> dict[int, np.ndarray]:
         sent = self.placed.df.sparkSession.sparkContext.broadcast(offsets)
         work = _derivatives(self.view, betas, sent, self.placed.slab_of_chunk, self.placed.hot_slabs)
+        sizes = {i: len(b) for i, b in betas.items()}
+        merge = _merged_runs(sizes, self.placed.slab_of_chunk, self.placed.hot_slabs)
         try:
-            return _add_up(self.placed, _run_pass(self.placed, work), {i: len(b) for i, b in betas.items()})
+            return _add_up(self.placed, _run_pass(self.placed, work, merge), sizes)
         finally:
             sent.unpersist()
 

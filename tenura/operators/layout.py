@@ -1,8 +1,9 @@
 """Placing survival rows in time order over many tasks, once per study.
 
-The time range is cut into slabs of about equal row count. One slab goes to one chunk (a
-partition); a single time value that holds more rows than a chunk should is a slab of its own and
-is spread over several chunks. Every model of a study then reads the same placed rows.
+The time range is cut into slabs of about equal row count. One slab goes to one chunk; a single time
+value that holds more rows than a chunk should is a slab of its own and is spread over several chunks.
+A chunk is what a task holds in memory, a partition is a run of consecutive chunks. Every model of a
+study then reads the same placed rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from tenura.functions.columns import literal_array
 from tenura.lineage import checkpointed
 from tenura.operators.ordered import Cuts, cut_points, quantile_cuts, with_slab
 
-VALUES_PER_CHUNK = 32_000_000  # about 256 MB of doubles in one task
+VALUES_PER_CHUNK = 2_000_000  # about 16 MB of doubles, of which a task has several copies at a time
+CHUNKS_PER_PARTITION = 16
 MAX_CHUNKS = 65_536
 QUANTILES = 1024
 
@@ -39,11 +41,18 @@ class Placed:
     nulls: np.ndarray
     slab_of_chunk: np.ndarray
     hot_slabs: frozenset[int]
+    partitions: int
 
     @property
     def chunks(self) -> int:
         return len(self.slab_of_chunk)
 
+    @property
+    def results(self) -> int:
+        """At most so many results a model: a partition has one, and one a chunk and run between of a hot time."""
+        hot = int(np.isin(self.slab_of_chunk, list(self.hot_slabs)).sum())
+        return min(self.chunks, self.partitions + 2 * hot)
+
     def release(self) -> None:
         self.df.unpersist()
 
@@ -100,10 +109,11 @@ def place(
         chunk = F.element_at(first, at) + F.pmod(F.col("_h"), F.element_at(pieces, at)).cast("int")
     else:
         chunk = F.col("_slab")
+    partitions = min(len(slab_of_chunk), max(parallel, math.ceil(len(slab_of_chunk) / CHUNKS_PER_PARTITION), 1))
     placed = (
         slabbed.withColumn("_chunk", chunk.cast("int"))
         .drop("_slab", "_h")
-        .repartitionById(len(slab_of_chunk), F.col("_chunk"))
+        .repartitionById(partitions, F.floor(F.col("_chunk") * partitions / len(slab_of_chunk)).cast("int"))
         .sortWithinPartitions("_chunk", "_t")
     )
     # written once to the shared folder; the cache only spares reading it back
@@ -111,7 +121,7 @@ def place(
     array = lambda prefix: np.array([_number(facts[f"{prefix}_{n}"]) for n in names])
     return Placed(
         written, features, folds, rows, array("m"), array("s"), array("z"),
-        np.array(slab_of_chunk), frozenset(hot),
+        np.array(slab_of_chunk), frozenset(hot), partitions,
     )
 
 

@@ -7,7 +7,7 @@ import pytest
 from references import efron, ridge_fit
 
 from tenura.functions.tails import log_chi2_tail
-from tenura.operators import cox
+from tenura.operators import cox, layout
 from tenura.operators.layout import place
 
 
@@ -54,6 +54,30 @@ def test_executor_side_addition_gives_the_same_fit(spark, monkeypatch):
     np.testing.assert_allclose(on_driver.coef, on_executors.coef, rtol=1e-10)
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_a_task_holds_one_small_chunk_of_several_and_gives_one_result(spark, hot):
+    pdf = tied_frame(hot=hot)
+    width = len(FEATURES) + 2
+    placed = place(spark.createDataFrame(pdf), FEATURES, keys=["user_id"], values_per_chunk=30 * width)
+    assert placed.df.rdd.getNumPartitions() == placed.partitions < placed.chunks / 4
+    sizes = [r["count"] for r in placed.df.groupBy("_chunk").count().collect()]
+    assert max(sizes) < 120 and sum(sizes) == len(pdf) and (placed.hot_slabs or not hot)
+    view = cox._View(placed, [cox.Spec("m", FEATURES)])
+    found = list(cox._gather(cox._run_pass(placed, cox._moments(view, [0]), cox._merged_moments)))
+    assert len(found) <= placed.partitions and sum(p[0] for _, _, p in found) == len(pdf)
+    model = cox.fit_many(placed, [cox.Spec("m", FEATURES)])["m"]
+    placed.release()
+    coef, ll, hess = ridge_fit(pdf.duration.values, pdf.event.values, pdf[list(FEATURES)].values)
+    np.testing.assert_allclose(model.coef, coef, rtol=1e-8)
+    assert model.loglik == pytest.approx(ll, rel=1e-10)
+    np.testing.assert_allclose(model.hessian, hess, rtol=1e-7, atol=1e-7)
+
+
+def test_values_of_one_chunk_stay_far_below_the_memory_of_a_task():
+    # a task has about ten arrays of this size at a time
+    assert 8 * layout.VALUES_PER_CHUNK <= 32e6
+
+
 def test_models_use_their_own_complete_rows_and_folds(spark, monkeypatch):
     pdf = tied_frame()
     pdf.loc[::7, "b"] = np.nan
