@@ -50,7 +50,8 @@ def _typed(kind: T.DataType) -> Callable:
 
 
 #: What may stand between the strings of a literal that is JSON but for its quotes and constants.
-_BARE = re.compile(r"(?:[\s\d{}\[\]:,.eE+-]|True|False|None)*")
+_BARE = re.compile(r"[\s\d{}\[\]:,.eE+-]*(?:(?:True|False|None)[\s\d{}\[\]:,.eE+-]*)*")
+_JSON = json.JSONDecoder()
 
 
 def _literal(line: str):
@@ -58,12 +59,16 @@ def _literal(line: str):
     JSON scanner; whatever that refuses, and every other line, by the literal parser, whose word is final."""
     if "\\" not in line and '"' not in line:
         parts = line.split("'")
-        outside = "'".join(part.removesuffix("u") if k < len(parts) // 2 else part for k, part in enumerate(parts[::2]))
-        if len(parts) % 2 and _BARE.fullmatch(outside.replace("'", " ")):
-            outside = outside.replace("True", "true").replace("False", "false").replace("None", "null")
-            parts[::2] = outside.split("'")
+        outside = parts[::2]
+        if "u'" in line:
+            outside = [*(part.removesuffix("u") for part in outside[: len(parts) // 2]), *outside[len(parts) // 2 :]]
+        bare = " ".join(outside)
+        if len(parts) % 2 and _BARE.fullmatch(bare):
+            if "T" in bare or "F" in bare or "N" in bare:
+                outside = [p.replace("True", "true").replace("False", "false").replace("None", "null") for p in outside]
+            parts[::2] = outside
             try:
-                return json.loads('"'.join(parts))
+                return _JSON.decode('"'.join(parts))
             except ValueError:
                 pass
     return ast.literal_eval(line)
@@ -95,7 +100,7 @@ def read_dict_lines(spark: SparkSession, path: str, schema: T.StructType, tasks:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         empty, typed = dict.fromkeys(schema.names), _typed(schema)
         fields = pa.struct([arrow.field(name) for name in (*schema.names, "_corrupt")])
-        for batch in batches:
+        for batch in _pieces(batches):
             rows = []
             for text in batch.column("value").to_pylist():
                 try:
@@ -115,6 +120,17 @@ def read_dict_lines(spark: SparkSession, path: str, schema: T.StructType, tasks:
     return lines.mapInArrow(parse, out)
 
 
+#: Lines of so many bytes are Python objects at a time, however many an Arrow batch holds.
+PIECE_BYTES = 1 << 20
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        step = max(1, batch.num_rows * PIECE_BYTES // max(1, batch.nbytes))
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
+
+
 def _fitting(row: dict, text: str, empty: dict, fields: pa.DataType) -> dict:
     try:
         pa.array([row], fields)

@@ -5,6 +5,7 @@ import math
 import random
 import warnings
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,6 +240,14 @@ def test_stream_scores_each_review_once(spark, tmp_path):
     assert out.count() == 10 and out.filter("technical_issue = 1").count() == 10
 
 
+def test_few_lines_are_objects_at_a_time():
+    batch = pa.RecordBatch.from_pydict({"value": ["x" * 100_000] * 300})
+    pieces = list(nested._pieces(iter([batch, batch.slice(0, 0), batch.slice(5, 1)])))
+    assert max(p.num_rows for p in pieces) <= 10 and sum(p.num_rows for p in pieces) == 301
+    small = pa.RecordBatch.from_pydict({"value": ["x"] * 300})
+    assert [p.num_rows for p in nested._pieces(iter([small]))] == [300]
+
+
 def test_stream_reads_a_table_of_one_file_and_of_many(spark, tmp_path):
     rows = spark.createDataFrame([(i, "crash and lag, what garbage " + str(i)) for i in range(10)], "doc_id long, text string")
     rows.repartition(3).write.parquet(str(tmp_path / "many" / "documents.parquet"))
