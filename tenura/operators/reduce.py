@@ -89,7 +89,7 @@ def _dense_blocks(values: pa.StructArray) -> Iterator[tuple[np.ndarray, np.ndarr
 
 
 def _gram_times(df: DataFrame, column: str, q: np.ndarray, tasks: int) -> np.ndarray:
-    """X'X q in one pass: each task adds up its rows, the tasks are added up in a tree."""
+    """X'X q in one pass: each task adds up its rows, the tasks are added up in a tree, to one for the driver."""
     sent = df.sparkSession.sparkContext.broadcast(q)
 
     def task(batches):
@@ -101,7 +101,7 @@ def _gram_times(df: DataFrame, column: str, q: np.ndarray, tasks: int) -> np.nda
         yield _partial(TaskContext.get().partitionId(), total)
 
     parts = df.select(column).mapInArrow(task, PARTIAL)
-    while tasks > FAN_IN:
+    while tasks > 1:
         parts = parts.groupBy(F.floor(F.col("part") / FAN_IN).cast("int")).applyInArrow(_add_partials, PARTIAL)
         tasks = -(-tasks // FAN_IN)
     payloads = parts.toArrow().column("payload").to_pylist()
@@ -110,7 +110,7 @@ def _gram_times(df: DataFrame, column: str, q: np.ndarray, tasks: int) -> np.nda
 
 
 PARTIAL = "part int, payload binary"
-# Partial matrices added up at a time, on an executor or at last on the driver.
+# Partial matrices added up at a time, on an executor.
 FAN_IN = 16
 
 

@@ -68,6 +68,16 @@ def test_tfidf_and_svd(spark, corpus, monkeypatch):
     assert set(reduce.numbered("tfidf_c", 6)) < set(wide.columns)
 
 
+def test_one_partial_matrix_a_pass_reaches_the_driver(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} w{i % 3}") for i in range(90)], "id int, review_text string").repartition(5)
+    weighted = text.fit_tfidf(df).transform(df)
+    frame, seen = type(df), []
+    plain = frame.toArrow
+    monkeypatch.setattr(frame, "toArrow", lambda self: (seen.append(plain(self)), seen[-1])[1])
+    reduce.fit_truncated_svd(weighted, "tfidf", text.fit_tfidf(df).size, k=2)
+    assert seen and {t.num_rows for t in seen} == {1}
+
+
 def test_svd_at_its_defaults(spark, monkeypatch):
     """64 components of several hundred texts, without and with a subspace that must be cut back."""
     rng = np.random.default_rng(3)
