@@ -42,16 +42,15 @@ def words(text: Column | str) -> Column:
 
 
 def unigrams_and_bigrams(tokens: Column) -> Column:
-    """Words followed by the pairs of neighbouring words."""
-    pairs = F.when(
-        F.size(tokens) > 1,
-        F.zip_with(
-            F.slice(tokens, F.lit(1), F.size(tokens) - 1),
-            F.slice(tokens, F.lit(2), F.size(tokens) - 1),
-            lambda left, right: F.concat_ws(" ", left, right),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    return F.concat(tokens, pairs)
+    """Words followed by the pairs of neighbouring words.
+
+    The words are bound to a lambda variable, as in `unit_length`: they are found once, not at every mention.
+    """
+    pairs = lambda t: F.transform(
+        F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0))),
+        lambda left, i: F.concat_ws(" ", left, F.get(t, i + 1)),
+    )
+    return F.element_at(F.transform(F.array(tokens), lambda t: F.concat(t, pairs(t))), 1)
 
 
 def literal_array(values: Sequence, kind: str) -> Column:

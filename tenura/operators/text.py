@@ -49,16 +49,16 @@ def term_statistics(df: DataFrame, text: str = "review_text") -> DataFrame:
     """Total count and document count per term. Both are summed from one pass over the texts, and
     the shuffle carries one partial sum per term, not (document, term) pairs."""
     terms = df.select(unigrams_and_bigrams(words(text)).alias("terms"))
-    marks = F.concat(
-        F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
-        F.transform(
-            F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))
-        ),
+    # all terms of a text, and once more the distinct ones
+    both = F.array(
+        F.struct(F.lit(1).alias("tf"), F.lit(0).alias("df"), F.col("terms").alias("terms")),
+        F.struct(F.lit(0).alias("tf"), F.lit(1).alias("df"), F.array_distinct("terms").alias("terms")),
     )
     return (
-        terms.select(F.explode(marks).alias("m"))
-        .groupBy(F.col("m.term").alias("term"))
-        .agg(F.sum("m.tf").alias("tf"), F.sum("m.df").alias("df"))
+        terms.select(F.explode(both).alias("b"))
+        .select("b.tf", "b.df", F.explode("b.terms").alias("term"))
+        .groupBy("term")
+        .agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
     )
 
 

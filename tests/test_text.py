@@ -5,7 +5,9 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from tenura.functions.columns import unigrams_and_bigrams, words
 from tenura.operators import reduce, text
 
 
@@ -114,3 +116,17 @@ def test_unit_vectors(spark):
     df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0])], "id int, embedding array<float>")
     rows = {r.id: r.embedding for r in reduce.unit_vectors(df, "embedding").collect()}
     assert rows == {1: [pytest.approx(0.6), pytest.approx(0.8)], 2: [0.0, 0.0]}
+
+
+def test_words_are_found_once_for_unigrams_and_bigrams(spark):
+    rows = [(0, "to be or not to be"), (1, "word"), (2, ""), (3, None)]
+    df = spark.createDataFrame(rows, "id int, review_text string")
+    found = df.select("id", unigrams_and_bigrams(words("review_text")).alias("terms"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    by_id = {r.id: r.terms for r in found.collect()}
+    assert by_id[0] == ["to", "be", "or", "not", "to", "be", "to be", "be or", "or not", "not to", "to be"]
+    assert (by_id[1], by_id[2], by_id[3]) == (["word"], [], [])
+    given = spark.createDataFrame([(["a", None, "c"],), (None,)], "t array<string>").select(unigrams_and_bigrams(F.col("t")))
+    assert [r[0] for r in given.collect()] == [["a", None, "c", "a", "c"], None]
+    counts = {r.term: (r.tf, r.df) for r in text.term_statistics(df).collect()}
+    assert counts["to be"] == (2, 1) and counts["word"] == (1, 1) and len(counts) == 9
