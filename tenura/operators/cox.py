@@ -162,7 +162,7 @@ def _run_pass(
                 names=["spec", "chunk", "payload"],
             )
 
-    return placed.df.mapInArrow(task, PASS_SCHEMA)
+    return placed.packed.mapInArrow(task, PASS_SCHEMA)
 
 
 def _gather(result: DataFrame) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -185,17 +185,28 @@ class _View:
 
     def rows(self, i: int, chunk: Chunk):
         """Time, event and standardised features of the rows that model i uses."""
-        x = chunk.x[:, self.columns[i]]
+        if self.complete[i]:
+            # models without missing values that leave out the same fold use the same rows
+            if self.fold[i] not in chunk.kept:
+                chunk.kept[self.fold[i]] = self._chosen(i, chunk)
+            keep, t, e = chunk.kept[self.fold[i]]
+        else:
+            keep, t, e = self._chosen(i, chunk)
+        z = np.empty((len(e), len(self.columns[i])))
+        for k, (column, mean, std) in enumerate(zip(self.columns[i], self.means[i], self.stds[i])):
+            x = chunk.x[:, column]
+            z[:, k] = ((x if keep is None else x[keep]) - mean) / std
+        return t, e, z
+
+    def _chosen(self, i: int, chunk: Chunk):
         keep = None
         if self.fold[i] is not None:
             column, left_out = self.fold[i]
             keep = chunk.folds[column] != left_out
         if not self.complete[i]:
-            usable = np.isfinite(x).all(axis=1)
+            usable = np.isfinite(chunk.x[:, self.columns[i]]).all(axis=1)
             keep = usable if keep is None else keep & usable
-        if keep is None:
-            return chunk.t, chunk.e, (x - self.means[i]) / self.stds[i]
-        return chunk.t[keep], chunk.e[keep], (x[keep] - self.means[i]) / self.stds[i]
+        return (None, chunk.t, chunk.e) if keep is None else (keep, chunk.t[keep], chunk.e[keep])
 
 
 def _moments(view: _View, active: list[int]):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tenura.lineage import staged
 from tenura.operators.concordance import concordance
 from tenura.operators.cox import PENALIZER, CoxModel, Spec, check_features, fit_many
-from tenura.operators.layout import place
+from tenura.operators.layout import Placed, place, single_rows
 from tenura.operators.sampling import FOLD_SEED, FOLDS, with_folds
 
 # Risks are compared after rounding, so equal covariates always give equal risks.
@@ -21,7 +21,7 @@ RISK_DIGITS = 10
 
 
 def score_rows(
-    rows: DataFrame,
+    rows: DataFrame | Placed,
     features: Sequence[str],
     jobs: Sequence[tuple[str, CoxModel, bool]],
     folds: Sequence[str] = (),
@@ -29,7 +29,7 @@ def score_rows(
     """Long rows (label, duration, event, risk), one per model and row it can score.
 
     `rows` has _t, _e, one column per feature in order (x0, x1, ...) and one per name in `folds`
-    (k0, k1, ...). A job flagged as held out scores only the fold its model left out.
+    (k0, k1, ...), or is placed. A job flagged as held out scores only the fold its model left out.
     """
     plan = []
     for label, model, held_out in jobs:
@@ -37,10 +37,15 @@ def score_rows(
         fold = f"k{folds.index(model.spec.fold_column)}" if held_out else None
         plan.append((label, columns, model.coef, model.means, fold, model.spec.left_out))
     needed = sorted({c for _, columns, *_ in plan for c in columns})
-    kept = rows.select("_t", "_e", *[f"x{c}" for c in needed], *sorted({p[4] for p in plan if p[4]}))
+    names = ["_t", "_e", *[f"x{c}" for c in needed], *sorted({p[4] for p in plan if p[4]})]
+    if isinstance(rows, Placed):
+        kinds = {n: rows.kinds[n] for n in names}
+        kept = rows.packed.select("_chunk", "_rows", *names)
+    else:
+        kinds, kept = {}, rows.select(*names)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in single_rows(batches, kinds) if kinds else batches:
             x = {c: batch.column(f"x{c}").to_numpy(zero_copy_only=False) for c in needed}
             for label, columns, coef, means, fold, left_out in plan:
                 matrix = np.column_stack([x[c] for c in columns])
@@ -139,9 +144,9 @@ def evaluate(
         fitted = fit_many(placed, specs, penalizer, skip_failed)
         jobs = [(name, m, True) for name, m in fitted.items() if m.spec.fold_column is not None]
         whole = [(name, m, False) for name, m in fitted.items() if m.spec.fold_column is None]
-        scored = score_rows(placed.df, placed.features, jobs, placed.folds) if jobs else None
+        scored = score_rows(placed, placed.features, jobs, placed.folds) if jobs else None
         if apparent and whole:
-            own = score_rows(placed.df, placed.features, [(f"{n}#apparent", m, f) for n, m, f in whole])
+            own = score_rows(placed, placed.features, [(f"{n}#apparent", m, f) for n, m, f in whole])
             scored = own if scored is None else scored.unionByName(own)
         if test is not None and whole:
             held = score_rows(plain_rows(test, features), features, [(f"{n}#holdout", m, f) for n, m, f in whole])

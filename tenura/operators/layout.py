@@ -3,14 +3,16 @@
 The time range is cut into slabs of about equal row count. One slab goes to one chunk; a single time
 value that holds more rows than a chunk should is a slab of its own and is spread over several chunks.
 A chunk is what a task holds in memory, a partition is a run of consecutive chunks. Every model of a
-study then reads the same placed rows.
+study then reads the same placed rows, column by column in compressed pieces: handing over single rows
+took most of the time of a pass.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +32,11 @@ QUANTILES = 1024
 
 @dataclass
 class Placed:
-    """Rows in chunks ordered by time: _chunk, _t, _e, one double column per feature, fold columns."""
+    """Rows in chunks ordered by time: _t, _e, one double column per feature, fold columns, _chunk. `packed` holds
+    them in pieces of chunks (`pack`)."""
 
     df: DataFrame
+    packed: DataFrame
     features: tuple[str, ...]
     folds: tuple[str, ...]
     rows: int
@@ -53,8 +57,12 @@ class Placed:
         hot = int(np.isin(self.slab_of_chunk, list(self.hot_slabs)).sum())
         return min(self.chunks, self.partitions + 2 * hot)
 
+    @property
+    def kinds(self) -> dict[str, type]:
+        return _kinds(len(self.features), len(self.folds))
+
     def release(self) -> None:
-        self.df.unpersist()
+        self.packed.unpersist()
 
 
 def place(
@@ -116,11 +124,16 @@ def place(
         .repartitionById(partitions, F.floor(F.col("_chunk") * partitions / len(slab_of_chunk)).cast("int"))
         .sortWithinPartitions("_chunk", "_t")
     )
+    kinds = _kinds(len(features), len(folds))
+    schema = ", ".join(["_chunk int", "_rows int", *[f"{n} binary" for n in kinds]])
     # written once to the shared folder; the cache only spares reading it back
-    written = checkpointed(placed).persist(StorageLevel.MEMORY_AND_DISK)
+    packed = checkpointed(placed.mapInArrow(lambda batches: pack(batches, kinds), schema)).persist(
+        StorageLevel.MEMORY_AND_DISK
+    )
+    single = packed.mapInArrow(lambda batches: single_rows(batches, kinds), placed.schema)
     array = lambda prefix: np.array([_number(facts[f"{prefix}_{n}"]) for n in names])
     return Placed(
-        written, features, folds, rows, array("m"), array("s"), array("z"),
+        single, packed, features, folds, rows, array("m"), array("s"), array("z"),
         np.array(slab_of_chunk), frozenset(hot), partitions,
     )
 
@@ -153,34 +166,75 @@ class Chunk:
     number: int
     t: np.ndarray
     e: np.ndarray
-    x: np.ndarray
+    x: np.ndarray  # (rows, features), a feature's values side by side
     folds: list[np.ndarray]
+    kept: dict = field(default_factory=dict)  # rows outside a fold, once chosen
 
 
-def chunks_of(batches: Iterator[pa.RecordBatch], n_features: int, n_folds: int) -> Iterator[Chunk]:
-    """Whole chunks from the record batches of one partition (rows arrive sorted by chunk, time)."""
-    waiting: list[pa.RecordBatch] = []
-    number = None
+def _kinds(n_features: int, n_folds: int) -> dict[str, type]:
+    kinds = {"_t": np.float64, "_e": np.int32}
+    kinds |= {f"x{i}": np.float64 for i in range(n_features)}
+    return kinds | {f"k{i}": np.int32 for i in range(n_folds)}
+
+
+NO_FOLD = np.iinfo(np.int32).min
+CODEC = "zstd"
+
+
+def pack(batches: Iterator[pa.RecordBatch], kinds: dict[str, type]) -> Iterator[pa.RecordBatch]:
+    """One row for the rows of one chunk in one record batch: chunk, number of rows, and each column as compressed
+    bytes. Order is kept; a null feature becomes NaN."""
     for batch in batches:
         ids = batch.column("_chunk").to_numpy()
         edges = np.flatnonzero(np.diff(ids)) + 1
         for start, stop in zip([0, *edges], [*edges, len(ids)]):
             if start == stop:
                 continue
-            if number is not None and ids[start] != number:
-                yield _chunk(number, waiting, n_features, n_folds)
-                waiting = []
-            number = int(ids[start])
-            waiting.append(batch.slice(start, stop - start))
-    if waiting:
-        yield _chunk(number, waiting, n_features, n_folds)
-
-
-def _chunk(number: int, batches: list[pa.RecordBatch], n_features: int, n_folds: int) -> Chunk:
-    table = pa.Table.from_batches(batches)
-    column = lambda name: table.column(name).to_numpy()
-    x = np.empty((table.num_rows, n_features))
+            columns = []
+            for name, kind in kinds.items():
+                values = batch.column(name).slice(start, stop - start)
+                values = values.fill_null(NO_FOLD) if kind is np.int32 else values
+                plain = np.ascontiguousarray(values.to_numpy(zero_copy_only=False), dtype=kind)
+                columns.append(pa.array([pa.compress(plain.tobytes(), codec=CODEC, asbytes=True)], pa.binary()))
+            ends = [pa.array([ids[start]], pa.int32()), pa.array([stop - start], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*ends, *columns], names=["_chunk", "_rows", *kinds])
+
+
+def unpack(batches: Iterator[pa.RecordBatch], kinds: dict[str, type]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """Chunk number and columns of each packed piece."""
+    for batch in batches:
+        columns = {n: batch.column(n) for n in kinds}
+        for at, (number, rows) in enumerate(zip(batch.column("_chunk").to_pylist(), batch.column("_rows").to_pylist())):
+            yield number, {
+                n: np.frombuffer(
+                    pa.decompress(columns[n][at].as_buffer(), rows * np.dtype(kind).itemsize, codec=CODEC), kind
+                )
+                for n, kind in kinds.items()
+            }
+
+
+def single_rows(batches: Iterator[pa.RecordBatch], kinds: dict[str, type]) -> Iterator[pa.RecordBatch]:
+    """The rows that were packed, in their order."""
+    for number, columns in unpack(batches, kinds):
+        plain = [
+            pa.array(v, mask=v == NO_FOLD) if kind is np.int32 else pa.array(v, from_pandas=True)
+            for v, kind in ((columns[n], kind) for n, kind in kinds.items())
+        ]
+        chunk = pa.array(np.full(len(columns["_t"]), number, np.int32))
+        yield pa.RecordBatch.from_arrays([*plain, chunk], names=[*kinds, "_chunk"])
+
+
+def chunks_of(batches: Iterator[pa.RecordBatch], n_features: int, n_folds: int) -> Iterator[Chunk]:
+    """Whole chunks from the packed pieces of one partition (they arrive sorted by chunk, time)."""
+    pieces = unpack(batches, _kinds(n_features, n_folds))
+    for number, run in groupby(pieces, key=lambda piece: piece[0]):
+        yield _chunk(number, [columns for _, columns in run], n_features, n_folds)
+
+
+def _chunk(number: int, pieces: list[dict[str, np.ndarray]], n_features: int, n_folds: int) -> Chunk:
+    column = lambda name: np.concatenate([p.pop(name) for p in pieces])
+    t = column("_t")
+    x = np.empty((n_features, len(t))).T
     for i in range(n_features):
-        # a null feature arrives as NaN
         x[:, i] = column(f"x{i}")
-    return Chunk(number, column("_t"), column("_e"), x, [column(f"k{i}") for i in range(n_folds)])
+    return Chunk(number, t, column("_e"), x, [column(f"k{i}") for i in range(n_folds)])

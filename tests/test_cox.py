@@ -4,6 +4,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from references import efron, ridge_fit
 
 from tenura.functions.tails import log_chi2_tail
@@ -169,3 +170,28 @@ def test_save_and_load(spark, tmp_path):
     assert [r.feature for r in ratios][0] in FEATURES and len(ratios) == 3
     effects = [abs(math.log(r.HR)) for r in ratios]
     assert effects == sorted(effects, reverse=True)
+
+
+def test_placed_rows_are_read_in_pieces_of_whole_chunks(spark):
+    pdf = tied_frame(hot=True)
+    pdf.loc[::7, "b"] = None
+    pdf["fold"] = [None if i % 11 == 0 else i % 3 for i in range(len(pdf))]
+    frame = spark.createDataFrame(pdf).withColumn("fold", F.nanvl("fold", F.lit(None)).cast("int"))
+    placed = place(frame, FEATURES, ["fold"], ["user_id"], min_rows_per_chunk=60)
+    pieces = placed.packed.select("_chunk", "_rows").collect()
+    assert len(pieces) == placed.chunks > 5 and sum(p["_rows"] for p in pieces) == len(pdf)
+    rows = placed.df.toPandas()
+    assert rows.x1.isna().sum() == pdf.b.isna().sum() and rows.k0.isna().sum() == pdf.fold.isna().sum()
+    assert (rows.groupby("_chunk")._t.diff().dropna() >= 0).all()
+    chunks = list(layout.chunks_of(iter(placed.packed.toArrow().to_batches()), len(FEATURES), 1))
+    assert sum(len(c.t) for c in chunks) == len(pdf) and all(c.x.flags.f_contiguous for c in chunks)
+    view = cox._View(placed, [cox.Spec(f"{f}{k}", (f,), "fold", k) for f in ("a", "c") for k in range(3)])
+    for i in range(6):
+        k = i % 3
+        kept = [view.rows(i, c) for c in chunks]
+        assert sum(len(e) for _, e, _ in kept) == (pdf.fold != k).sum()
+        column = ("a", "c")[i // 3]
+        values = np.concatenate([z[:, 0] for *_, z in kept]) * view.stds[i] + view.means[i]
+        np.testing.assert_allclose(np.sort(values), np.sort(pdf[column][pdf.fold != k]))
+    assert all(len(c.kept) == 3 for c in chunks)  # once a fold, not once a model
+    placed.release()
