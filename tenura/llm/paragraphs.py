@@ -8,9 +8,11 @@ document loses a run of repeated paragraphs, sentences and windows of RUN words
 stands in a document of smaller doc_id.
 
 Windows are compared in two steps. The least hash of the SEED-word sequences inside a window names it by
-its content alone. Neighbouring windows of one name are one row; only those whose name several documents have
-are hashed as a whole, and rows of equal content are compared once. Equal stretches of WINDOW words or more
-are thus found from their first to their last word, wherever they stand.
+its content alone; only windows whose name several documents have are compared as a whole. Equal stretches of
+WINDOW words or more are thus found from their first to their last word, wherever they stand.
+
+Names, windows and bands are very many, so none of them is a row. A slice of the texts holds its own as arrays,
+asks for each distinct one once, and gets back those that others have (`answers`).
 
 Texts are split into words twice: once for lines, sentences and names, and once more, where something in them
 may repeat, for the shingles of candidate lines and the windows of shared names.
@@ -18,12 +20,14 @@ may repeat, for the shingles of candidate lines and the windows of shared names.
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,8 +43,10 @@ WINDOW, SEED = 16, 8
 #: Rows of whole bands compared at a time, group size up to which all pairs are listed, and that from which a
 #: band is dealt again by rare shingles.
 CHUNK, SMALL, LARGE = 20_000, 32, 128
-#: Bytes of text split into words at a time.
-SLICE = 4_000_000
+#: Bytes of text split into words at a time, and keys that one task compares, on average.
+SLICE, PART = 4_000_000, 600_000
+#: Values hashed at a time, so that they stay in the processor's cache.
+BLOCK = 1 << 15
 
 WORD = re.compile(r"\S+")
 STOPS = np.frombuffer(b".!?", np.uint8)
@@ -70,9 +76,15 @@ PLACES = _RANDOM.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + n
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+    rest = x >> np.uint64(31)
+    x = x ^ rest
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    rest = np.right_shift(x, np.uint64(29), out=rest)
+    x ^= rest
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    rest = np.right_shift(x, np.uint64(32), out=rest)
+    x ^= rest
+    return x
 
 
 def _words(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,12 +149,87 @@ def _picked(bounds: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndar
 def band_keys(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """One 64-bit key a line and band; all lines have shingles."""
     out = np.zeros((len(bounds) - 1, BANDS), np.uint64)
-    for k in range(BANDS * ROWS):
-        least = np.minimum.reduceat(_mix(shingles * MULTIPLY[k] + ADD[k]), bounds[:-1])
-        out[:, k // ROWS] = _mix(out[:, k // ROWS] + least)
+    cuts = np.append(_begins(bounds[:-1] // BLOCK), len(bounds) - 1).tolist()
+    for a, b in itertools.pairwise(cuts):
+        some, at = shingles[bounds[a] : bounds[b]], bounds[a:b] - bounds[a]
+        for k in range(BANDS * ROWS):
+            least = np.minimum.reduceat(_mix(some * MULTIPLY[k] + ADD[k]), at)
+            out[a:b, k // ROWS] = _mix(out[a:b, k // ROWS] + least)
     return _mix(out + np.arange(BANDS, dtype=np.uint64))
 
 
+def _begins(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(values.view(np.int64) if values.dtype == np.uint64 else values))
+
+
+def _flat(rows: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
+    """The values of a list column, end to end."""
+    column = rows.column(name)
+    return (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten().to_numpy(zero_copy_only=False)
+
+
+def _numbers() -> Iterator[int]:
+    """Numbers that no other task of the stage gives."""
+    return itertools.count(TaskContext.get().partitionId() << 32)
+
+
+def answers(
+    slices: DataFrame, read: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], n: int, later: bool = False
+) -> DataFrame:
+    """(slice, keys, least) for staged `slices`, a row each, of which `read` gives (keys, owners): the keys that
+    several owners have, with the least owner; if `later`, only if the slice has a greater one. `n` is the number of all keys.
+    A slice asks once for a key with its least and greatest owner, so that a very common key is met by as many rows as there are
+    slices."""
+    parts = max(1, -(-n // PART))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                keys, owners = read(batch.slice(k, 1))
+                if not len(keys):
+                    continue
+                order = np.argsort(keys)
+                keys, owners = keys[order], owners[order]
+                first = _begins(keys)
+                keys, lo, hi = keys[first], np.minimum.reduceat(owners, first), np.maximum.reduceat(owners, first)
+                part = (((keys & np.uint64(0xFFFFFFFF)) * np.uint64(parts)) >> np.uint64(32)).astype(np.uint16 if parts <= 1 << 16 else np.int32)
+                order = np.argsort(part, kind="stable")
+                first = _begins(part[order])
+                bounds = np.append(first, len(part))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part[order][first].astype(np.int32)), batch.column("slice").take(pa.array(np.full(len(first), k))),
+                     _lists(keys[order], bounds), _lists(lo[order], bounds), _lists((hi - lo)[order], bounds)],
+                    ["part", "slice", "keys", "lo", "more"],
+                )
+
+    def meet(rows: pa.Table) -> pa.Table:
+        keys, lo = _flat(rows, "keys"), _flat(rows, "lo")
+        hi = lo + _flat(rows, "more")
+        order = np.argsort(keys)
+        first = _begins(keys[order])
+        sizes = np.diff(np.append(first, len(keys)))
+        least = np.empty_like(lo)
+        least[order] = np.repeat(np.minimum.reduceat(lo[order], first), sizes)
+        if not later:
+            hi[order] = np.repeat(np.maximum.reduceat(hi[order], first), sizes)
+        kept = least < hi
+        ends = np.cumsum(pc.list_value_length(rows.column("keys")).to_numpy())
+        bounds = np.concatenate([[0], np.cumsum(kept)[ends - 1]])
+        return pa.table([rows.column("slice"), _lists(keys[kept], bounds), _lists(least[kept], bounds)], ["slice", "keys", "least"])
+
+    dealt = slices.mapInArrow(deal, "part int, slice long, keys array<long>, lo array<long>, more array<long>")
+    return dealt.groupBy("part").applyInArrow(meet, "slice long, keys array<long>, least array<long>")
+
+
 class Slice:
     """Some texts of a column, split into words: line k has the words from bounds[k] to bounds[k + 1] and belongs
     to text row[k] (of the slice), text r has the words from ends[r] to ends[r + 1]."""
@@ -209,22 +296,23 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def marks_of(docs: DataFrame) -> DataFrame:
     """(kind, doc_id, row, at, n_words, key, hashes): a row for each line of SHINGLE words or more, `hashes` being
-    its bands, one for each short inner sentence, and one for each text with the names of its windows. `at` is the
-    number of the first word."""
+    its bands, and one for each short inner sentence. `at` is the number of the first word. A row for each slice of
+    texts has the names of its windows, `n_words` in number: `hashes` end to end, those of a text as many as
+    `sizes` says, of the texts `doc_ids` and `rows`."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(kind: int, batch: pa.RecordBatch, first: int, row, at, n_words, keys, hashes=None, sizes=None) -> pa.RecordBatch:
+        def rows(kind: int, batch: pa.RecordBatch, first: int, row, at, n_words, keys, hashes=None) -> pa.RecordBatch:
             whose = pa.array(row + first)
             n = len(row)
-            lists = pa.nulls(n, pa.list_(pa.int64())) if hashes is None else pa.ListArray.from_arrays(
-                np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(hashes.reshape(-1).view(np.int64))
-            )
+            lists = pa.nulls(n, pa.list_(pa.int64())) if hashes is None else _lists(hashes.reshape(-1), np.arange(n + 1) * BANDS)
             return pa.RecordBatch.from_arrays(
                 [pa.array(np.full(n, kind, np.int32)), batch.column("doc_id").take(whose), batch.column("row").take(whose),
-                 pa.array(at), pa.array(n_words.astype(np.int32)), pa.array(keys.view(np.int64)), lists],
-                ["kind", "doc_id", "row", "at", "n_words", "key", "hashes"],
-            )
+                 pa.array(at), pa.array(n_words.astype(np.int32)), pa.array(keys.view(np.int64)), lists,
+                 pa.nulls(n, pa.int64()), *(pa.nulls(n, pa.list_(t)) for t in (pa.int64(), pa.int64(), pa.int32()))],
+                NAMES,
+            )
 
+        number = _numbers()
         for batch in batches:
             for first, count in _slices(batch.column("text")):
                 s = Slice(batch.column("text").slice(first, count))
@@ -233,7 +321,7 @@ def marks_of(docs: DataFrame) -> DataFrame:
                 own, ends = _picked(bounds, long)
                 bands = band_keys(shingles[own], ends) if len(long) else np.zeros((0, BANDS), np.uint64)
                 row = s.row[long]
-                yield rows(LINE, batch, first, row, s.place(s.bounds[long], row), np.diff(s.bounds)[long], keys[long], bands, np.full(len(long), BANDS))
+                yield rows(LINE, batch, first, row, s.place(s.bounds[long], row), np.diff(s.bounds)[long], keys[long], bands)
                 line, begin, end = s.sentences()
                 sizes = end - begin
                 ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -241,14 +329,22 @@ def marks_of(docs: DataFrame) -> DataFrame:
                 row = s.row[line]
                 yield rows(SENTENCE, batch, first, row, s.place(begin, row), sizes, shingled(s.hashes[own], ends)[0])
                 row, _, least, _ = s.windows()
-                new = np.ones(len(row), bool)
-                new[1:] = (row[1:] != row[:-1]) | (least[1:] != least[:-1])
+                new = _begins(row, least)
                 named, sizes = np.unique(row[new], return_counts=True)
-                zeros = np.zeros(len(named), np.int32)
-                yield rows(NAME, batch, first, named, zeros, zeros, zeros.astype(np.uint64), least[new], sizes)
-
+                whose = pa.array(named + first)
+                one, n = np.array([0, len(named)]), pa.array([len(new)], pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([NAME], pa.int32()), *(pa.nulls(1, pa.int64()) for _ in range(2)), pa.nulls(1, pa.int32()), n, pa.nulls(1, pa.int64()),
+                     _lists(least[new], np.array([0, len(new)])), pa.array([next(number)]),
+                     *(_lists(batch.column(c).take(whose).to_numpy(), one) for c in ("doc_id", "row")), _lists(sizes.astype(np.int32), one)],
+                    NAMES,
+                )
+
+    NAMES = ["kind", "doc_id", "row", "at", "n_words", "key", "hashes", "slice", "doc_ids", "rows", "sizes"]
     return _keyed(docs).mapInArrow(
-        of, "kind int, doc_id long, row long, at int, n_words int, key long, hashes array<long>"
+        of,
+        "kind int, doc_id long, row long, at int, n_words int, key long, hashes array<long>, "
+        "slice long, doc_ids array<long>, rows array<long>, sizes array<int>",
     )
 
 
@@ -258,26 +354,52 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def _lines(marks: DataFrame) -> DataFrame:
-    return marks.filter(F.col("kind") == LINE).withColumnRenamed("hashes", "bands")
+    return marks.filter(F.col("kind") == LINE).select("kind", "doc_id", "row", "at", "n_words", "key", F.col("hashes").alias("bands"))
+
+
+def _shared_names(marks: DataFrame) -> DataFrame:
+    """(doc_id, row, names) of the texts with names that several documents have."""
+    slices = marks.filter(F.col("kind") == NAME).select("slice", "doc_ids", "rows", "sizes", "hashes", "n_words")
+
+    def read(one: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return _flat(one, "hashes").view(np.uint64), np.repeat(_flat(one, "doc_ids"), _flat(one, "sizes"))
+
+    def of(mine: pa.Table, shared: pa.Table) -> pa.Table:
+        names, sizes = _flat(mine, "hashes"), _flat(mine, "sizes")
+        met = np.flatnonzero(np.isin(names, _flat(shared, "keys")))
+        text = np.repeat(np.arange(len(sizes)), sizes)[met]
+        first = _begins(text)
+        return pa.table(
+            [pa.array(_flat(mine, "doc_ids")[text[first]]), pa.array(_flat(mine, "rows")[text[first]]), _lists(names[met], np.append(first, len(met)))],
+            ["doc_id", "row", "names"],
+        )
+
+    n = slices.agg(F.sum("n_words")).first()[0] or 0
+    return slices.groupBy("slice").cogroup(answers(slices, read, n).groupBy("slice")).applyInArrow(of, "doc_id long, row long, names array<long>")
 
 
 def details_of(docs: DataFrame, lines: DataFrame, names: DataFrame) -> DataFrame:
     """What a second look at the texts gives. For `lines` (doc_id, row, key): rows with `key` and the line's set
-    of `shingles`. For `names` (doc_id, row, key): rows (doc_id, row, at) with the `windows` of that name, the keys
-    of at most WINDOW - SEED + 1 neighbouring windows from word `at` on, and a `key` of all of them."""
+    of `shingles`. For `names` (doc_id, row, names): a row for each slice of texts with all their windows of those
+    names, `n` in number: `windows` are their keys end to end, in runs of neighbours of which `begins` has the
+    first word and `lengths` the windows; a text of `doc_ids` and `rows` has as many runs as `sizes` says."""
+    none = F.lit(None).cast("array<long>")
     asked = (
-        lines.select("doc_id", "row", F.col("key").alias("line"), F.lit(None).cast("long").alias("name"))
-        .unionAll(names.select("doc_id", "row", F.lit(None).cast("long"), F.col("key")))
+        lines.groupBy("doc_id", "row")
+        .agg(F.collect_set("key").alias("lines"))  # at most a text's lines
+        .withColumn("names", none)
+        .unionAll(names.select("doc_id", "row", none, "names"))
         .groupBy("doc_id", "row")
-        .agg(F.collect_set("line").alias("lines"), F.collect_set("name").alias("names"))  # at most a text's words
+        .agg(F.first("lines", True).alias("lines"), F.first("names", True).alias("names"))  # equal texts share equal names
     )
     kinds = pa.schema(
-        [("doc_id", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("key", pa.int64()),
-         ("shingles", pa.list_(pa.int64())), ("windows", pa.list_(pa.int64()))]
+        [("key", pa.int64()), ("shingles", pa.list_(pa.int64())), ("slice", pa.int64()), ("n", pa.int64()),
+         ("doc_ids", pa.list_(pa.int64())), ("rows", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())),
+         ("begins", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32())), ("windows", pa.list_(pa.int64()))]
     )
-    most = WINDOW - SEED + 1
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = _numbers()
         for batch in batches:
             for first, count in _slices(batch.column("text")):
                 part = batch.slice(first, count)
@@ -289,10 +411,9 @@ def details_of(docs: DataFrame, lines: DataFrame, names: DataFrame) -> DataFrame
                     chosen = chosen[np.isin(keys[chosen], asked[0])]
                     sets = [np.unique(shingles[bounds[k] : bounds[k + 1]]).view(np.int64) for k in chosen.tolist()]
                     n, ends = len(chosen), np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                    nothing = [pa.nulls(n, f.type) for f in kinds]
                     lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
                     yield pa.RecordBatch.from_arrays(
-                        [*nothing[:3], pa.array(keys[chosen].view(np.int64)), lists, nothing[5]], schema=kinds
+                        [pa.array(keys[chosen].view(np.int64)), lists, *(pa.nulls(n, f.type) for f in list(kinds)[2:])], schema=kinds
                     )
                 if len(asked[1]):
                     row, at, least, key = s.windows()
@@ -300,23 +421,23 @@ def details_of(docs: DataFrame, lines: DataFrame, names: DataFrame) -> DataFrame
                     met = np.flatnonzero(np.isin(least, asked[1]))
                     if not len(met):
                         continue
-                    row, at, least, key = row[met], at[met], least[met], key[met]
-                    new = np.ones(len(met), bool)
-                    new[1:] = (met[1:] != met[:-1] + 1) | (row[1:] != row[:-1]) | (least[1:] != least[:-1])
-                    run = np.flatnonzero(new)
-                    place = np.arange(len(met)) - np.repeat(run, np.diff(np.append(run, len(met))))
-                    run = np.flatnonzero(place % most == 0)  # one name may go on in periodic texts
-                    whole = np.add.reduceat(_mix(key + (place % most).astype(np.uint64)), run)
-                    whose, n = pa.array(row[run]), len(run)
-                    lists = pa.ListArray.from_arrays(np.append(run, len(met)).astype(np.int32), pa.array(key.view(np.int64)))
+                    row, at, key = row[met], at[met], key[met]
+                    run = _begins(row, met - np.arange(len(met)))
+                    text = _begins(row[run])
+                    whose, one = pa.array(row[run][text]), np.array([0, len(text)])
+                    runs = np.array([0, len(run)])
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("doc_id").take(whose), part.column("row").take(whose), pa.array(s.place(at[run], row[run])),
-                         pa.array(_mix(whole).view(np.int64)), pa.nulls(n, kinds.field("shingles").type), lists],
+                        [pa.nulls(1, pa.int64()), pa.nulls(1, kinds.field("shingles").type), pa.array([next(number)]), pa.array([len(met)]),
+                         *(_lists(part.column(c).take(whose).to_numpy(), one) for c in ("doc_id", "row")),
+                         _lists(np.diff(np.append(text, len(run))).astype(np.int32), one), _lists(s.place(at[run], row[run]), runs),
+                         _lists(np.diff(np.append(run, len(met))).astype(np.int32), runs), _lists(key, np.array([0, len(met)]))],
                         schema=kinds,
-                    )
+                    )
 
-    return _keyed(docs).join(asked, ["doc_id", "row"]).select("doc_id", "row", "text", "lines", "names").mapInArrow(
-        of, "doc_id long, row long, at int, key long, shingles array<long>, windows array<long>"
+    return _keyed(docs).join(asked, ["doc_id", "row"]).select("text", "doc_id", "row", "lines", "names").mapInArrow(
+        of,
+        "key long, shingles array<long>, slice long, n long, doc_ids array<long>, rows array<long>, sizes array<int>, "
+        "begins array<int>, lengths array<int>, windows array<long>",
     )
 
 
@@ -324,21 +445,25 @@ class Sets:
     """Shingle sets, flat: set k is flat[bounds[k]:bounds[k + 1]], without repeats."""
 
     def __init__(self, flat: np.ndarray, bounds: np.ndarray):
-        self.flat, self.bounds, self.sizes = flat, bounds, np.diff(bounds)
+        distinct, codes = np.unique(flat, return_inverse=True)
+        self.codes, self.n_codes, self.bounds, self.sizes = codes, max(1, len(distinct)), bounds, np.diff(bounds)
 
     def alike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """For pairs of sets: whether their Jaccard similarity is SIMILARITY or more."""
-        tag = _mix(np.arange(len(a), dtype=np.uint64) + np.uint64(1))
-        code = []
-        for side in (a, b):
-            n = self.sizes[side]
-            at = np.repeat(self.bounds[side] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            code.append((self.flat[at] + np.repeat(tag, n), np.repeat(np.arange(len(side)), n)))
-        both, pair = np.concatenate([code[0][0], code[1][0]]), np.concatenate([code[0][1], code[1][1]])
-        order = np.argsort(both, kind="stable")
-        same = (both[order][1:] == both[order][:-1]) & (pair[order][1:] == pair[order][:-1])
-        common = np.bincount(pair[order][1:][same], minlength=len(a))
-        return common >= SIMILARITY * (self.sizes[a] + self.sizes[b] - common) - 1e-9
+        out = np.zeros(len(a), bool)
+        sizes = self.sizes[a], self.sizes[b]
+        asked = np.flatnonzero(np.minimum(*sizes) >= SIMILARITY * np.maximum(*sizes) - 1e-9)  # else the sizes say no
+        ends = np.cumsum(sizes[0][asked] + sizes[1][asked])
+        for some in np.split(asked, np.searchsorted(ends, np.arange(16 * BLOCK, ends[-1] if len(ends) else 0, 16 * BLOCK))):
+            code = []
+            for side in (a[some], b[some]):
+                n = self.sizes[side]
+                at = np.repeat(self.bounds[side] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                code.append(self.codes[at] + np.repeat(np.arange(len(side)) * self.n_codes, n))
+            both = np.sort(np.concatenate(code))
+            common = np.bincount(both[1:][both[1:] == both[:-1]] // self.n_codes, minlength=len(some))
+            out[some] = common >= SIMILARITY * (sizes[0][some] + sizes[1][some] - common) - 1e-9
+        return out
 
 
 def _group_links(sets: Sets, first: int, n: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -409,16 +534,45 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stars(pa.Table.from_batches(held).combine_chunks())
 
 
-def _met(lines: DataFrame) -> DataFrame:
-    """(band, key, doc_id, row) of lines of different content that share a band, with one place of each."""
-    distinct = staged(
-        lines.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min_by("row", "doc_id").alias("row"), F.first("bands").alias("bands"))
+def _distinct(lines: DataFrame) -> DataFrame:
+    """Lines of different content in slices: lists of their `keys`, of the first and last document that has each
+    (`firsts`, `lasts`), of the text of the first (`rows`) and of their `bands`, `n` in number."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = _numbers()
+        for batch in batches:
+            one = np.array([0, batch.num_rows])
+            lists = [_lists(batch.column(c).to_numpy(), one) for c in ("key", "first", "row", "last")]
+            bands = batch.column("bands").flatten().to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([next(number)]), pa.array([len(bands)]), *lists, _lists(bands, np.array([0, len(bands)]))],
+                ["slice", "n", "keys", "firsts", "rows", "lasts", "bands"],
+            )
+
+    found = lines.groupBy("key").agg(
+        F.min("doc_id").alias("first"), F.min_by("row", "doc_id").alias("row"), F.max("doc_id").alias("last"), F.first("bands").alias("bands")
     )
-    keyed = distinct.select("key", "doc_id", "row", F.explode("bands").alias("band"))
-    shared = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = staged(keyed.join(shared, "band"))
-    dropped(distinct)
-    return met
+    return staged(found.mapInArrow(of, "slice long, n long, keys array<long>, firsts array<long>, rows array<long>, lasts array<long>, bands array<long>"))
+
+
+def _met(distinct: DataFrame) -> DataFrame:
+    """(band, key, doc_id, row, last) of lines of different content that share a band, with one place of each."""
+
+    def read(one: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return _flat(one, "bands").view(np.uint64), np.repeat(_flat(one, "keys"), BANDS)
+
+    def of(mine: pa.Table, shared: pa.Table) -> pa.Table:
+        bands = _flat(mine, "bands")
+        met = np.flatnonzero(np.isin(bands, _flat(shared, "keys")))
+        return pa.table(
+            [pa.array(bands[met]), *(pa.array(_flat(mine, c)[met // BANDS]) for c in ("keys", "firsts", "rows", "lasts"))],
+            ["band", "key", "doc_id", "row", "last"],
+        )
+
+    slices = distinct.select("slice", "keys", "firsts", "rows", "lasts", "bands")
+    n = distinct.agg(F.sum("n")).first()[0] or 0
+    asked = answers(slices.select("slice", "keys", "bands"), read, n).groupBy("slice")
+    return staged(slices.groupBy("slice").cogroup(asked).applyInArrow(of, "band long, key long, doc_id long, row long, last long"))
 
 
 def _by_rare_shingles(sets: DataFrame) -> DataFrame:
@@ -443,7 +597,8 @@ def _by_rare_shingles(sets: DataFrame) -> DataFrame:
 
 def _clusters(met: DataFrame, sets: DataFrame) -> DataFrame:
     """(key, cluster) of lines that are similar to another, from `sets` (key, shingles)."""
-    rows = staged(met.select("band", "key", "n").join(sets.groupBy("key").agg(F.first("shingles").alias("shingles")), "key"))
+    often = met.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+    rows = staged(met.select("band", "key").join(often, "band").join(sets.groupBy("key").agg(F.first("shingles").alias("shingles")), "key"))
     dealt = rows.filter(F.col("n") <= LARGE).select("band", "key", "shingles")
     large = rows.filter(F.col("n") > LARGE).select("key", "shingles").dropDuplicates(["key"])
     if not large.isEmpty():
@@ -458,9 +613,12 @@ def _clusters(met: DataFrame, sets: DataFrame) -> DataFrame:
 
 def clusters(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(key, cluster) of all lines that are similar to another: `lines` as `lines_of` gives them."""
-    met = _met(lines)
+    distinct = _distinct(lines)
+    met = _met(distinct)
+    dropped(distinct)
     wanted = met.select("doc_id", "row", "key").distinct()
-    return _clusters(met, details_of(docs, wanted, wanted.limit(0)).filter("shingles is not null"))
+    nothing = wanted.limit(0).select("doc_id", "row", F.array("key").alias("names"))
+    return _clusters(met, details_of(docs, wanted, nothing).filter("shingles is not null"))
 
 
 def _earlier(rows: DataFrame, keys: str = "key") -> DataFrame:
@@ -470,24 +628,48 @@ def _earlier(rows: DataFrame, keys: str = "key") -> DataFrame:
     )
 
 
-def _repeated_windows(windows: DataFrame) -> DataFrame:
-    """(doc_id, row, words, keepers): the first words of windows that stand in an earlier document, from rows
-    (doc_id, row, at, key, windows). Rows of equal content are compared as one."""
-    once = windows.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("windows").alias("windows"))
-    each = staged(once.select("key", "first", "last", F.posexplode("windows").alias("place", "window")))
-    least = each.groupBy("window").agg(F.min("first").alias("keeper"), F.max("last").alias("latest")).filter("keeper < latest")
-    held = staged(each.join(least.drop("latest"), "window").groupBy("key").agg(F.collect_list(F.struct("place", "keeper")).alias("held")))
-    dropped(each)
-    mine = F.filter("held", lambda h: h["keeper"] < F.col("doc_id"))
-    found = staged(
-        windows.select("doc_id", "row", "at", "key")
-        .join(held, "key")
-        .select("doc_id", "row", "at", mine.alias("mine"))
-        .filter("size(mine) > 0")
-        .select("doc_id", "row", F.transform("mine", lambda h: (F.col("at") + h["place"]).cast("int")).alias("words"), F.col("mine.keeper").alias("keepers"))
+def _repeated_windows(slices: DataFrame) -> DataFrame:
+    """(doc_id, row, begins, ends, keepers): runs of neighbouring windows that stand in an earlier document, from
+    rows of `details_of`; `keepers` has the smallest doc_id, one for all windows of a run."""
+
+    def runs(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each run of windows: its text, its first word and its length."""
+        sizes = _flat(rows, "sizes")
+        return np.repeat(np.arange(len(sizes)), sizes), _flat(rows, "begins"), _flat(rows, "lengths")
+
+    def read(one: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        text, _, lengths = runs(one)
+        return _flat(one, "windows").view(np.uint64), np.repeat(_flat(one, "doc_ids")[text], lengths)
+
+    def of(mine: pa.Table, earlier: pa.Table) -> pa.Table:
+        doc_ids, windows = _flat(mine, "doc_ids"), _flat(mine, "windows")
+        text, begins, lengths = runs(mine)
+        keys, least = _flat(earlier, "keys"), _flat(earlier, "least")
+        order = np.argsort(keys)
+        keys, least = keys[order], least[order]
+        place = np.searchsorted(keys, windows)
+        met = np.flatnonzero(np.append(keys, 0)[place] == windows) if len(keys) else place[:0]
+        met = met[place[met] < len(keys)]
+        run = np.repeat(np.arange(len(lengths)), lengths)
+        keeper = least[place[met]]
+        later = keeper < doc_ids[text[run[met]]]
+        met, keeper = met[later], keeper[later]
+        run = run[met]
+        text, at = text[run], begins[run] + (met - (np.cumsum(lengths) - lengths)[run])
+        first = _begins(text, at - np.arange(len(at)), keeper)
+        last = np.append(first[1:], len(at)) - 1 if len(first) else first
+        own = _begins(text[first])
+        bounds, whose = np.append(own, len(first)), text[first][own]
+        return pa.table(
+            [pa.array(doc_ids[whose]), pa.array(_flat(mine, "rows")[whose]), _lists(at[first].astype(np.int32), bounds),
+             _lists((at[last] + WINDOW).astype(np.int32), bounds), _lists(keeper[first], bounds)],
+            ["doc_id", "row", "begins", "ends", "keepers"],
+        )
+
+    asked = answers(slices, read, slices.agg(F.sum("n")).first()[0] or 0, later=True).groupBy("slice")
+    return staged(
+        slices.groupBy("slice").cogroup(asked).applyInArrow(of, "doc_id long, row long, begins array<int>, ends array<int>, keepers array<long>")
     )
-    dropped(held)
-    return found
 
 
 def _repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -496,26 +678,27 @@ def _repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = texts(docs).filter("doc_id is not null and text <> ''")
     marks = staged(marks_of(docs))
     lines = _lines(marks)
-    met = _met(lines)
-    names = marks.filter(F.col("kind") == NAME).select("doc_id", "row", F.explode("hashes").alias("key"))
-    # each written by itself, so that the shuffle files of one are gone before the next begins
-    several = staged(_earlier(names).select("key"))
-    # names that several documents have are few beside all names, which need not be sorted to meet them
-    shared = staged(names.join(several.hint("shuffle_hash"), "key").select("doc_id", "row", "key"))
+    distinct = _distinct(lines)
+    met = _met(distinct)
+    # written by itself, so that its shuffle files are gone before the next begins
+    shared = staged(_shared_names(marks))
     details = staged(details_of(docs, met.select("doc_id", "row", "key").distinct(), shared))
-    dropped(several, shared)
-    found = _clusters(met, details.filter("shingles is not null"))
-    dropped(met)
-    ends = lines.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    named = ends.join(found, "key", "left").withColumn("cluster", F.coalesce("cluster", "key"))
+    dropped(shared)
+    found = staged(_clusters(met, details.filter("shingles is not null")))
+    # a line that is similar to no other repeats alone
+    ends = distinct.select(F.explode(F.arrays_zip("keys", "firsts", "lasts")).alias("l")).filter("l.firsts < l.lasts")
+    alone = ends.select(F.col("l.keys").alias("key"), F.col("l.firsts").alias("keeper")).join(found, "key", "left_anti")
+    named = found.join(met.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("last").alias("last")), "key")
     whole = named.groupBy("cluster").agg(F.min("first").alias("keeper"), F.max("last").alias("latest"))
-    spread = named.join(whole.filter("keeper < latest"), "cluster").select("key", "keeper")
+    spread = alone.unionAll(named.join(whole.filter("keeper < latest"), "cluster").select("key", "keeper"))
     short = marks.filter(F.col("kind") == SENTENCE)
     rest = ["kind", "doc_id", "row", "at", "n_words", "keeper"]
     both = lines.join(spread, "key").select(rest).unionAll(short.join(_earlier(short), "key").select(rest))
     both = staged(both.filter("doc_id > keeper"))
-    dropped(marks)
-    windows = _repeated_windows(details.filter("windows is not null").select("doc_id", "row", "at", "key", "windows"))
+    dropped(marks, met, distinct, found)
+    windows = _repeated_windows(
+        details.filter("windows is not null").select("slice", "n", "doc_ids", "rows", "sizes", "begins", "lengths", "windows")
+    )
     dropped(details)
     return both, windows
 
@@ -527,23 +710,18 @@ def repeated(docs: DataFrame) -> DataFrame:
     nothing; rows that share a doc_id never remove from each other."""
     both, windows = _repeats(docs)
     names = F.when(F.col("kind") == LINE, "line").otherwise("sentence").alias("kind")
-    each = windows.select("doc_id", "row", F.explode(F.arrays_zip("words", "keepers")).alias("w"))
+    each = windows.select("doc_id", "row", F.explode(F.arrays_zip("begins", "ends", "keepers")).alias("w")).select(
+        "doc_id", "row", F.explode(F.sequence("w.begins", F.col("w.ends") - WINDOW)).alias("at"), "w.keepers"
+    )
     return both.select("doc_id", "row", names, F.col("at").alias("begin"), (F.col("at") + F.col("n_words")).alias("end"), "n_words", "keeper").unionAll(
-        each.select("doc_id", "row", F.lit("window"), "w.words", F.col("w.words") + WINDOW, F.lit(WINDOW), "w.keepers")
+        each.select("doc_id", "row", F.lit("window"), "at", F.col("at") + WINDOW, F.lit(WINDOW), "keepers")
     )
 
 
-def removal_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """(begin, end, words) in characters of the runs of at least RUN words to be removed from `text`: repeated
-    ranges of words (first, after the last) with less than a shingle of words between them."""
-    places = [m.span() for m in WORD.finditer(text)]
-    runs: list[list[int]] = []
-    for begin, end in sorted(ranges):
-        if runs and begin - runs[-1][1] < SHINGLE:
-            runs[-1][1] = max(runs[-1][1], end)
-        else:
-            runs.append([begin, end])
-    return [(places[a][0], places[b - 1][1], b - a) for a, b in runs if b - a >= RUN]
+def _spans(text: str, begins: list[int], ends: list[int]) -> list[tuple[int, int, int]]:
+    """(begin, end, words) in characters of runs of words."""
+    places = [m.span() for m in itertools.islice(WORD.finditer(text), ends[-1])]
+    return [(places[a][0], places[b - 1][1], b - a) for a, b in zip(begins, ends, strict=True)]
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -551,22 +729,43 @@ def _named(docs: DataFrame) -> DataFrame:
     both, windows = _repeats(docs)
     ranges = both.select(
         "doc_id", "row", F.struct("at", (F.col("at") + F.col("n_words")).alias("end")).alias("range"),
-        F.lit(None).cast("array<int>").alias("words"), F.col("n_words").cast("long").alias("n"),
+        F.lit(None).cast("struct<begins: array<int>, ends: array<int>>").alias("runs"), F.col("n_words").cast("long").alias("n"),
     )
-    firsts = windows.select(
-        "doc_id", "row", F.lit(None).cast("struct<at: int, end: int>"), "words", (F.size("words") + WINDOW - 1).cast("long")
+    found = windows.select(
+        "doc_id", "row", F.lit(None).cast("struct<at: int, end: int>"), F.struct("begins", "ends"), F.lit(WINDOW).cast("long")
     )
     return (
-        ranges.unionAll(firsts)
+        ranges.unionAll(found)
         .groupBy("doc_id", "row")
-        .agg(F.collect_set("range").alias("ranges"), F.flatten(F.collect_list("words")).alias("windows"), F.sum("n").alias("n"))
+        .agg(F.collect_set("range").alias("ranges"), F.collect_set("runs").alias("windows"), F.sum("n").alias("n"))
         .filter(F.col("n") >= RUN // 2)
-        .drop("n")
+        .select("doc_id", "row", "ranges", F.struct(F.flatten("windows.begins").alias("begins"), F.flatten("windows.ends").alias("ends")).alias("windows"))
     )
 
 
-def _runs(text: str, ranges: list[dict], windows: list[int]) -> list[tuple[int, int, int]]:
-    return removal_spans(text, [(r["at"], r["end"]) for r in ranges] + [(w, w + WINDOW) for w in windows])
+def _runs(ranges: pa.ListArray, windows: pa.StructArray) -> Iterator[tuple[int, list[int], list[int]]]:
+    """(text, begins, ends) of the texts that lose something: runs of at least RUN words, of repeated ranges of
+    words (first, after the last) with less than a shingle of words between them."""
+    found = [ranges, pc.struct_field(ranges.flatten(), "at"), pc.struct_field(ranges.flatten(), "end")]
+    runs = [pc.struct_field(windows, n) for n in ("begins", "ends")]
+    # words of all texts are numbered through, far apart
+    owner = np.concatenate([pc.list_parent_indices(c).to_numpy() for c in (ranges, runs[0])])
+    begin = np.concatenate([found[1].to_numpy(), runs[0].flatten().to_numpy()]) + (owner << 32)
+    end = np.concatenate([found[2].to_numpy(), runs[1].flatten().to_numpy()]) + (owner << 32)
+    order = np.argsort(begin)
+    begin, upto = begin[order], np.maximum.accumulate(end[order])
+    new = np.ones(len(begin), bool)
+    new[1:] = begin[1:] - upto[:-1] >= SHINGLE
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(begin)) - 1 if len(first) else first
+    begin, end = begin[first], upto[last]
+    kept = end - begin >= RUN
+    begin, end = begin[kept], end[kept]
+    text = begin >> 32
+    own = _begins(text)
+    for a, b in itertools.pairwise([*own.tolist(), len(text)]):
+        base = text[a] << 32
+        yield int(text[a]), (begin[a:b] - base).tolist(), (end[a:b] - base).tolist()
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -576,11 +775,10 @@ def removals(docs: DataFrame) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for r in batch.to_pylist():
-                runs = _runs(r["text"], r["ranges"], r["windows"])
-                if runs:
-                    kept = without(r["text"], runs)
-                    rows.append((r["doc_id"], r["text"], kept, len(runs), sum(n for *_, n in runs)))
+            for r, begins, ends in _runs(batch.column("ranges"), batch.column("windows")):
+                text = batch.column("text")[r].as_py()
+                runs = _spans(text, begins, ends)
+                rows.append((batch.column("doc_id")[r].as_py(), text, without(text, runs), len(runs), sum(n for *_, n in runs)))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -620,16 +818,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             columns = list(batch.column("row").flatten())
             text, keep = columns[text_at].to_pylist(), np.ones(batch.num_rows, bool)
             chars = columns[chars_at].to_pylist() if chars_at is not None else None
-            ranges, windows = batch.column("ranges"), batch.column("windows")
-            for r in np.flatnonzero(ranges.is_valid().to_numpy(zero_copy_only=False)).tolist():
+            for r, begins, ends in _runs(batch.column("ranges"), batch.column("windows")):
                 if text[r] is None:
                     continue
-                runs = _runs(text[r], ranges[r].as_py(), windows[r].as_py())
-                if runs:
-                    text[r] = without(text[r], runs)
-                    keep[r] = bool(text[r].strip())
-                    if chars is not None:
-                        chars[r] = len(text[r])
+                text[r] = without(text[r], _spans(text[r], begins, ends))
+                keep[r] = bool(text[r].strip())
+                if chars is not None:
+                    chars[r] = len(text[r])
             columns[text_at] = pa.array(text, pa.string())
             if chars is not None:
                 columns[chars_at] = pa.array(chars, columns[chars_at].type)

@@ -84,3 +84,44 @@ def test_a_doc_id_of_many_texts(docs_of):
     assert sorted(r["n_words_removed"] for r in found) == [40, 40]
     kept = paragraphs.remove_repeats(docs_of(rows))
     assert sorted(len(r["text"].split()) for r in kept.collect()) == [20, 30, 40, 40, 40]
+
+
+def test_names_and_windows_are_no_rows(docs_of, monkeypatch):
+    """A slice of texts has one row for all its names, and one for all its windows, however many texts it has."""
+    rng = random.Random(5)
+    passage = words(rng, 30)
+    docs = common.texts(docs_of([(k, f"{words(rng, 20)} x{k} {passage} y{k} {words(rng, 20)}") for k in range(200)]).coalesce(1))
+    marks = paragraphs.marks_of(docs).filter(F.col("kind") == paragraphs.NAME)
+    assert marks.count() == 1 and marks.first()["n_words"] == len(marks.first()["hashes"]) > 200 * 5
+    names = docs.select("doc_id", F.xxhash64("text").alias("row"), F.lit(marks.first()["hashes"]).alias("names"))
+    details = paragraphs.details_of(docs, names.limit(0).withColumn("key", F.lit(1)), names)
+    assert details.count() < 50 and details.agg(F.sum("n")).first()[0] == 200 * (72 - paragraphs.WINDOW + 1)
+    monkeypatch.setattr(paragraphs, "PART", 100)  # many parts
+    found = paragraphs.repeated(docs).filter("kind = 'window'").collect()
+    assert {(r["doc_id"], r["begin"], r["keeper"]) for r in found} == {(k, at, 0) for k in range(1, 200) for at in range(21, 36)}
+    assert len(found) == 199 * 15
+
+
+@pytest.mark.parametrize("part", [7, 10**6])
+def test_answers_equal_brute_force(spark, monkeypatch, part):
+    """Several owners of a key; a very common key is asked once a slice."""
+    monkeypatch.setattr(paragraphs, "PART", part)
+    rng = np.random.default_rng(6)
+    rows = [(s, [(1 << 62) - 1, *rng.integers(0, 60, 40).tolist()], [s, *rng.integers(-(2**62), 2**62, 3).tolist() * 13, 5]) for s in range(9)]
+    slices = spark.createDataFrame(rows, "slice long, keys array<long>, owners array<long>")
+    owners = {}
+    for _, keys, whose in rows:
+        for key, owner in zip(keys, whose, strict=True):
+            owners.setdefault(key, set()).add(owner)
+    for later in (False, True):
+        asked = paragraphs.answers(
+            slices, lambda one: (paragraphs._flat(one, "keys").view(np.uint64), paragraphs._flat(one, "owners")), 9 * 41, later
+        )
+        found = [(r["slice"], key, least) for r in asked.collect() for key, least in zip(r["keys"], r["least"], strict=True)]
+        exact = {
+            (s, key, min(owners[key]))
+            for s, keys, whose in rows
+            for key, owner in zip(keys, whose, strict=True)
+            if (owner > min(owners[key]) if later else len(owners[key]) > 1)
+        }
+        assert exact and len(found) == len(exact) and set(found) == exact
