@@ -11,8 +11,8 @@ Windows are compared in two steps. The least hash of the SEED-word sequences ins
 its content alone; only windows whose name several documents have are compared as a whole. Equal stretches of
 WINDOW words or more are thus found from their first to their last word, wherever they stand.
 
-Names, windows and bands are very many, so none of them is a row. A slice of the texts holds its own as arrays,
-asks for each distinct one once, and gets back those that others have (`answers`).
+Lines, sentences, names, windows and bands are very many, so none of them is a row. A slice of the texts holds its own
+as arrays, asks for each distinct one once, and gets back those that others have (`answers`).
 
 Texts are split into words twice: once for lines, sentences and names, and once more, where something in them
 may repeat, for the shingles of candidate lines and the windows of shared names.
@@ -295,77 +295,130 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def marks_of(docs: DataFrame) -> DataFrame:
-    """(kind, doc_id, row, at, n_words, key, hashes): a row for each line of SHINGLE words or more, `hashes` being
-    its bands, and one for each short inner sentence. `at` is the number of the first word. A row for each slice of
-    texts has the names of its windows, `n_words` in number: `hashes` end to end, those of a text as many as
-    `sizes` says, of the texts `doc_ids` and `rows`."""
+    """(kind, slice, n, doc_ids, rows, at, n_words, keys, hashes): for each slice of texts a row with its lines of
+    SHINGLE words or more, `hashes` being their bands end to end, a row with its short inner sentences, both `n` in number, and one
+    with the `n` names of its windows, `hashes`, of which a text has as many as `n_words` says. `at` has the numbers
+    of the first words."""
+    kinds = pa.schema(
+        [("kind", pa.int32()), ("slice", pa.int64()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("rows", pa.list_(pa.int64())),
+         ("at", pa.list_(pa.int32())), ("n_words", pa.list_(pa.int32())), ("keys", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64()))]
+    )
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(kind: int, batch: pa.RecordBatch, first: int, row, at, n_words, keys, hashes=None) -> pa.RecordBatch:
-            whose = pa.array(row + first)
-            n = len(row)
-            lists = pa.nulls(n, pa.list_(pa.int64())) if hashes is None else _lists(hashes.reshape(-1), np.arange(n + 1) * BANDS)
+        def one(kind: int, n: int, batch: pa.RecordBatch, row, n_words, at=None, keys=None, hashes=None) -> pa.RecordBatch:
+            whose = pa.array(row)
+            lists = [*(batch.column(c).take(whose).to_numpy() for c in ("doc_id", "row")), at, n_words, keys, hashes]
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, kind, np.int32)), batch.column("doc_id").take(whose), batch.column("row").take(whose),
-                 pa.array(at), pa.array(n_words.astype(np.int32)), pa.array(keys.view(np.int64)), lists,
-                 pa.nulls(n, pa.int64()), *(pa.nulls(n, pa.list_(t)) for t in (pa.int64(), pa.int64(), pa.int32()))],
-                NAMES,
+                [pa.array([kind], pa.int32()), pa.array([next(number)]), pa.array([n]),
+                 *(pa.nulls(1, f.type) if x is None else _lists(x, np.array([0, len(x)])) for x, f in zip(lists, list(kinds)[3:], strict=True))],
+                schema=kinds,
             )
 
         number = _numbers()
         for batch in batches:
             for first, count in _slices(batch.column("text")):
-                s = Slice(batch.column("text").slice(first, count))
+                part = batch.slice(first, count)
+                s = Slice(part.column("text"))
                 keys, shingles, bounds = shingled(s.hashes, s.bounds)
                 long = np.flatnonzero(np.diff(s.bounds) >= SHINGLE)
                 own, ends = _picked(bounds, long)
                 bands = band_keys(shingles[own], ends) if len(long) else np.zeros((0, BANDS), np.uint64)
                 row = s.row[long]
-                yield rows(LINE, batch, first, row, s.place(s.bounds[long], row), np.diff(s.bounds)[long], keys[long], bands)
+                n_words = np.diff(s.bounds)[long].astype(np.int32)
+                yield one(LINE, len(long), part, row, n_words, s.place(s.bounds[long], row), keys[long], bands.reshape(-1))
                 line, begin, end = s.sentences()
                 sizes = end - begin
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 own = np.repeat(begin - ends[:-1], sizes) + np.arange(sizes.sum())
                 row = s.row[line]
-                yield rows(SENTENCE, batch, first, row, s.place(begin, row), sizes, shingled(s.hashes[own], ends)[0])
+                yield one(SENTENCE, len(line), part, row, sizes.astype(np.int32), s.place(begin, row), shingled(s.hashes[own], ends)[0])
                 row, _, least, _ = s.windows()
                 new = _begins(row, least)
                 named, sizes = np.unique(row[new], return_counts=True)
-                whose = pa.array(named + first)
-                one, n = np.array([0, len(named)]), pa.array([len(new)], pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([NAME], pa.int32()), *(pa.nulls(1, pa.int64()) for _ in range(2)), pa.nulls(1, pa.int32()), n, pa.nulls(1, pa.int64()),
-                     _lists(least[new], np.array([0, len(new)])), pa.array([next(number)]),
-                     *(_lists(batch.column(c).take(whose).to_numpy(), one) for c in ("doc_id", "row")), _lists(sizes.astype(np.int32), one)],
-                    NAMES,
-                )
+                yield one(NAME, len(new), part, named, sizes.astype(np.int32), hashes=least[new])
 
-    NAMES = ["kind", "doc_id", "row", "at", "n_words", "key", "hashes", "slice", "doc_ids", "rows", "sizes"]
     return _keyed(docs).mapInArrow(
         of,
-        "kind int, doc_id long, row long, at int, n_words int, key long, hashes array<long>, "
-        "slice long, doc_ids array<long>, rows array<long>, sizes array<int>",
+        "kind int, slice long, n long, doc_ids array<long>, rows array<long>, at array<int>, n_words array<int>, "
+        "keys array<long>, hashes array<long>",
     )
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, row, at, n_words, key, bands) of each line of SHINGLE words or more."""
-    return _lines(marks_of(docs))
+    each = F.posexplode(F.arrays_zip("doc_ids", "rows", "at", "n_words", "keys"))
+    return (
+        marks_of(docs)
+        .filter(F.col("kind") == LINE)
+        .select("hashes", each)
+        .select("col.doc_ids", "col.rows", "col.at", "col.n_words", "col.keys", F.slice("hashes", F.col("pos") * BANDS + 1, BANDS))
+        .toDF("doc_id", "row", "at", "n_words", "key", "bands")
+    )
 
 
-def _lines(marks: DataFrame) -> DataFrame:
-    return marks.filter(F.col("kind") == LINE).select("kind", "doc_id", "row", "at", "n_words", "key", F.col("hashes").alias("bands"))
+def _sliced(lines: DataFrame) -> DataFrame:
+    """What `lines_of` gives, in slices as `marks_of` gives them."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = _numbers()
+        for batch in batches:
+            lists = [_lists(batch.column(c).to_numpy(), np.array([0, batch.num_rows])) for c in ("doc_id", "row", "at", "n_words", "key")]
+            bands = batch.column("bands").flatten().to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([next(number)]), pa.array([batch.num_rows]), *lists, _lists(bands, np.array([0, len(bands)]))],
+                ["slice", "n", "doc_ids", "rows", "at", "n_words", "keys", "hashes"],
+            )
+
+    return lines.select("doc_id", "row", "at", "n_words", "key", "bands").mapInArrow(
+        of, "slice long, n long, doc_ids array<long>, rows array<long>, at array<int>, n_words array<int>, keys array<long>, hashes array<long>"
+    )
+
+
+def _total(slices: DataFrame) -> int:
+    return slices.agg(F.sum("n")).first()[0] or 0
+
+
+def _looked_up(keys: np.ndarray, answer: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the keys have an answer, and the least owners of these."""
+    known, least = _flat(answer, "keys"), _flat(answer, "least")
+    order = np.argsort(known)
+    known, least = known[order], least[order]
+    place = np.searchsorted(known, keys)
+    met = np.flatnonzero(place < len(known))
+    met = met[known[place[met]] == keys[met]]
+    return met, least[place[met]]
+
+
+def _alike(marks: DataFrame) -> DataFrame:
+    """(kind, doc_id, row, at, n_words, key, keeper) of lines and short sentences that stand in an earlier document
+    word by word."""
+
+    def keys(one: pa.RecordBatch | pa.Table) -> np.ndarray:
+        return _mix(_flat(one, "keys").view(np.uint64) + np.uint64(one.column("kind")[0].as_py()))
+
+    def of(mine: pa.Table, earlier: pa.Table) -> pa.Table:
+        doc_ids = _flat(mine, "doc_ids")
+        met, keeper = _looked_up(keys(mine).view(np.int64), earlier)
+        later = keeper < doc_ids[met]
+        met, keeper = met[later], keeper[later]
+        kind = pa.array(np.full(len(met), mine.column("kind")[0].as_py(), np.int32))
+        lists = [pa.array(x[met]) for x in (doc_ids, *(_flat(mine, c) for c in ("rows", "at", "n_words", "keys")))]
+        return pa.table([kind, *lists, pa.array(keeper)], ["kind", "doc_id", "row", "at", "n_words", "key", "keeper"])
+
+    slices = marks.filter(F.col("kind") != NAME).select("kind", "slice", "n", "doc_ids", "rows", "at", "n_words", "keys")
+    asked = answers(slices, lambda one: (keys(one), _flat(one, "doc_ids")), _total(slices), later=True).groupBy("slice")
+    return slices.groupBy("slice").cogroup(asked).applyInArrow(of, "kind int, doc_id long, row long, at int, n_words int, key long, keeper long")
 
 
 def _shared_names(marks: DataFrame) -> DataFrame:
     """(doc_id, row, names) of the texts with names that several documents have."""
-    slices = marks.filter(F.col("kind") == NAME).select("slice", "doc_ids", "rows", "sizes", "hashes", "n_words")
+    slices = marks.filter(F.col("kind") == NAME).select("slice", "n", "doc_ids", "rows", "n_words", "hashes")
 
     def read(one: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        return _flat(one, "hashes").view(np.uint64), np.repeat(_flat(one, "doc_ids"), _flat(one, "sizes"))
+        return _flat(one, "hashes").view(np.uint64), np.repeat(_flat(one, "doc_ids"), _flat(one, "n_words"))
 
     def of(mine: pa.Table, shared: pa.Table) -> pa.Table:
-        names, sizes = _flat(mine, "hashes"), _flat(mine, "sizes")
+        names, sizes = _flat(mine, "hashes"), _flat(mine, "n_words")
         met = np.flatnonzero(np.isin(names, _flat(shared, "keys")))
         text = np.repeat(np.arange(len(sizes)), sizes)[met]
         first = _begins(text)
@@ -374,8 +427,8 @@ def _shared_names(marks: DataFrame) -> DataFrame:
             ["doc_id", "row", "names"],
         )
 
-    n = slices.agg(F.sum("n_words")).first()[0] or 0
-    return slices.groupBy("slice").cogroup(answers(slices, read, n).groupBy("slice")).applyInArrow(of, "doc_id long, row long, names array<long>")
+    asked = answers(slices, read, _total(slices)).groupBy("slice")
+    return slices.groupBy("slice").cogroup(asked).applyInArrow(of, "doc_id long, row long, names array<long>")
 
 
 def details_of(docs: DataFrame, lines: DataFrame, names: DataFrame) -> DataFrame:
@@ -534,45 +587,33 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stars(pa.Table.from_batches(held).combine_chunks())
 
 
-def _distinct(lines: DataFrame) -> DataFrame:
-    """Lines of different content in slices: lists of their `keys`, of the first and last document that has each
-    (`firsts`, `lasts`), of the text of the first (`rows`) and of their `bands`, `n` in number."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = _numbers()
-        for batch in batches:
-            one = np.array([0, batch.num_rows])
-            lists = [_lists(batch.column(c).to_numpy(), one) for c in ("key", "first", "row", "last")]
-            bands = batch.column("bands").flatten().to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([next(number)]), pa.array([len(bands)]), *lists, _lists(bands, np.array([0, len(bands)]))],
-                ["slice", "n", "keys", "firsts", "rows", "lasts", "bands"],
-            )
-
-    found = lines.groupBy("key").agg(
-        F.min("doc_id").alias("first"), F.min_by("row", "doc_id").alias("row"), F.max("doc_id").alias("last"), F.first("bands").alias("bands")
-    )
-    return staged(found.mapInArrow(of, "slice long, n long, keys array<long>, firsts array<long>, rows array<long>, lasts array<long>, bands array<long>"))
-
-
-def _met(distinct: DataFrame) -> DataFrame:
-    """(band, key, doc_id, row, last) of lines of different content that share a band, with one place of each."""
+def _candidates(slices: DataFrame) -> DataFrame:
+    """(doc_id, row, at, n_words, key, bands) of the lines that share a band with a line of different content:
+    `bands` are those they share."""
 
     def read(one: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        return _flat(one, "bands").view(np.uint64), np.repeat(_flat(one, "keys"), BANDS)
+        return _flat(one, "hashes").view(np.uint64), np.repeat(_flat(one, "keys"), BANDS)
 
     def of(mine: pa.Table, shared: pa.Table) -> pa.Table:
-        bands = _flat(mine, "bands")
+        bands = _flat(mine, "hashes")
         met = np.flatnonzero(np.isin(bands, _flat(shared, "keys")))
-        return pa.table(
-            [pa.array(bands[met]), *(pa.array(_flat(mine, c)[met // BANDS]) for c in ("keys", "firsts", "rows", "lasts"))],
-            ["band", "key", "doc_id", "row", "last"],
-        )
+        line = met // BANDS
+        first = _begins(line)
+        lists = [pa.array(_flat(mine, c)[line[first]]) for c in ("doc_ids", "rows", "at", "n_words", "keys")]
+        return pa.table([*lists, _lists(bands[met], np.append(first, len(met)))], ["doc_id", "row", "at", "n_words", "key", "bands"])
+
+    slices = slices.select("slice", "n", "doc_ids", "rows", "at", "n_words", "keys", "hashes")
+    asked = answers(slices.select("slice", "keys", "hashes"), read, _total(slices) * BANDS).groupBy("slice")
+    return staged(slices.groupBy("slice").cogroup(asked).applyInArrow(of, "doc_id long, row long, at int, n_words int, key long, bands array<long>"))
+
 
-    slices = distinct.select("slice", "keys", "firsts", "rows", "lasts", "bands")
-    n = distinct.agg(F.sum("n")).first()[0] or 0
-    asked = answers(slices.select("slice", "keys", "bands"), read, n).groupBy("slice")
-    return staged(slices.groupBy("slice").cogroup(asked).applyInArrow(of, "band long, key long, doc_id long, row long, last long"))
+def _met(candidates: DataFrame) -> DataFrame:
+    """(band, key, doc_id, row, last) of lines of different content that share a band, with one place of each in its first
+    document, and its last document."""
+    found = candidates.groupBy("key").agg(
+        F.min_by("row", "doc_id").alias("row"), F.max("doc_id").alias("last"), F.first("bands").alias("bands"), F.min("doc_id").alias("doc_id")
+    )
+    return staged(found.select(F.explode("bands").alias("band"), "key", "doc_id", "row", "last"))
 
 
 def _by_rare_shingles(sets: DataFrame) -> DataFrame:
@@ -613,21 +654,12 @@ def _clusters(met: DataFrame, sets: DataFrame) -> DataFrame:
 
 def clusters(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(key, cluster) of all lines that are similar to another: `lines` as `lines_of` gives them."""
-    distinct = _distinct(lines)
-    met = _met(distinct)
-    dropped(distinct)
+    met = _met(_candidates(staged(_sliced(lines))))
     wanted = met.select("doc_id", "row", "key").distinct()
     nothing = wanted.limit(0).select("doc_id", "row", F.array("key").alias("names"))
     return _clusters(met, details_of(docs, wanted, nothing).filter("shingles is not null"))
 
 
-def _earlier(rows: DataFrame, keys: str = "key") -> DataFrame:
-    """`keys` that several documents have, with the smallest doc_id."""
-    return (
-        rows.groupBy(keys).agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("latest")).filter("keeper < latest").drop("latest")
-    )
-
-
 def _repeated_windows(slices: DataFrame) -> DataFrame:
     """(doc_id, row, begins, ends, keepers): runs of neighbouring windows that stand in an earlier document, from
     rows of `details_of`; `keepers` has the smallest doc_id, one for all windows of a run."""
@@ -642,16 +674,10 @@ def _repeated_windows(slices: DataFrame) -> DataFrame:
         return _flat(one, "windows").view(np.uint64), np.repeat(_flat(one, "doc_ids")[text], lengths)
 
     def of(mine: pa.Table, earlier: pa.Table) -> pa.Table:
-        doc_ids, windows = _flat(mine, "doc_ids"), _flat(mine, "windows")
+        doc_ids = _flat(mine, "doc_ids")
         text, begins, lengths = runs(mine)
-        keys, least = _flat(earlier, "keys"), _flat(earlier, "least")
-        order = np.argsort(keys)
-        keys, least = keys[order], least[order]
-        place = np.searchsorted(keys, windows)
-        met = np.flatnonzero(np.append(keys, 0)[place] == windows) if len(keys) else place[:0]
-        met = met[place[met] < len(keys)]
+        met, keeper = _looked_up(_flat(mine, "windows"), earlier)
         run = np.repeat(np.arange(len(lengths)), lengths)
-        keeper = least[place[met]]
         later = keeper < doc_ids[text[run[met]]]
         met, keeper = met[later], keeper[later]
         run = run[met]
@@ -666,7 +692,7 @@ def _repeated_windows(slices: DataFrame) -> DataFrame:
             ["doc_id", "row", "begins", "ends", "keepers"],
         )
 
-    asked = answers(slices, read, slices.agg(F.sum("n")).first()[0] or 0, later=True).groupBy("slice")
+    asked = answers(slices, read, _total(slices), later=True).groupBy("slice")
     return staged(
         slices.groupBy("slice").cogroup(asked).applyInArrow(of, "doc_id long, row long, begins array<int>, ends array<int>, keepers array<long>")
     )
@@ -677,25 +703,24 @@ def _repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     short sentences, and rows of `_repeated_windows`."""
     docs = texts(docs).filter("doc_id is not null and text <> ''")
     marks = staged(marks_of(docs))
-    lines = _lines(marks)
-    distinct = _distinct(lines)
-    met = _met(distinct)
-    # written by itself, so that its shuffle files are gone before the next begins
+    # each written by itself, so that the shuffle files of one are gone before the next begins
+    candidates = _candidates(marks.filter(F.col("kind") == LINE))
+    met = _met(candidates)
     shared = staged(_shared_names(marks))
+    alike = staged(_alike(marks))
+    dropped(marks)
     details = staged(details_of(docs, met.select("doc_id", "row", "key").distinct(), shared))
     dropped(shared)
     found = staged(_clusters(met, details.filter("shingles is not null")))
-    # a line that is similar to no other repeats alone
-    ends = distinct.select(F.explode(F.arrays_zip("keys", "firsts", "lasts")).alias("l")).filter("l.firsts < l.lasts")
-    alone = ends.select(F.col("l.keys").alias("key"), F.col("l.firsts").alias("keeper")).join(found, "key", "left_anti")
     named = found.join(met.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("last").alias("last")), "key")
     whole = named.groupBy("cluster").agg(F.min("first").alias("keeper"), F.max("last").alias("latest"))
-    spread = alone.unionAll(named.join(whole.filter("keeper < latest"), "cluster").select("key", "keeper"))
-    short = marks.filter(F.col("kind") == SENTENCE)
+    spread = named.join(whole.filter("keeper < latest"), "cluster").select("key", "keeper")
+    # a line that is similar to others repeats with them, all others and sentences repeat word by word
+    own = found.select("key", F.lit(LINE).alias("kind"))
     rest = ["kind", "doc_id", "row", "at", "n_words", "keeper"]
-    both = lines.join(spread, "key").select(rest).unionAll(short.join(_earlier(short), "key").select(rest))
-    both = staged(both.filter("doc_id > keeper"))
-    dropped(marks, met, distinct, found)
+    both = alike.join(own, ["kind", "key"], "left_anti").select(rest)
+    both = staged(both.unionAll(candidates.join(spread, "key").filter("doc_id > keeper").select(F.lit(LINE).alias("kind"), *rest[1:])))
+    dropped(alike, candidates, met, found)
     windows = _repeated_windows(
         details.filter("windows is not null").select("slice", "n", "doc_ids", "rows", "sizes", "begins", "lengths", "windows")
     )

@@ -86,14 +86,15 @@ def test_a_doc_id_of_many_texts(docs_of):
     assert sorted(len(r["text"].split()) for r in kept.collect()) == [20, 30, 40, 40, 40]
 
 
-def test_names_and_windows_are_no_rows(docs_of, monkeypatch):
-    """A slice of texts has one row for all its names, and one for all its windows, however many texts it has."""
+def test_lines_names_and_windows_are_no_rows(docs_of, monkeypatch):
+    """A slice of texts has one row for all its lines, names or windows, however many texts it has."""
     rng = random.Random(5)
     passage = words(rng, 30)
     docs = common.texts(docs_of([(k, f"{words(rng, 20)} x{k} {passage} y{k} {words(rng, 20)}") for k in range(200)]).coalesce(1))
-    marks = paragraphs.marks_of(docs).filter(F.col("kind") == paragraphs.NAME)
-    assert marks.count() == 1 and marks.first()["n_words"] == len(marks.first()["hashes"]) > 200 * 5
-    names = docs.select("doc_id", F.xxhash64("text").alias("row"), F.lit(marks.first()["hashes"]).alias("names"))
+    marks = {r["kind"]: r for r in paragraphs.marks_of(docs).collect()}
+    assert paragraphs.marks_of(docs).count() == 3 and marks[paragraphs.LINE]["n"] == 200
+    assert marks[paragraphs.NAME]["n"] == len(marks[paragraphs.NAME]["hashes"]) > 200 * 5
+    names = docs.select("doc_id", F.xxhash64("text").alias("row"), F.lit(marks[paragraphs.NAME]["hashes"]).alias("names"))
     details = paragraphs.details_of(docs, names.limit(0).withColumn("key", F.lit(1)), names)
     assert details.count() < 50 and details.agg(F.sum("n")).first()[0] == 200 * (72 - paragraphs.WINDOW + 1)
     monkeypatch.setattr(paragraphs, "PART", 100)  # many parts
